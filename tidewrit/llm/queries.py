@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, shards, toxicity
+from . import ann, decontam, jaccard, langid, mixing, shards, toxicity, urls
 from .scratch import Scratch
 
 
@@ -15,12 +15,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose vec_id is divisible by 100."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, keep=Scratch(spark, "op1").keep)
+
+
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per token sequence at its slot."""
     scratch = Scratch(spark, "op2")
     return shards.materialise(table(spark, sf_dir, "documents"), f"{scratch.root}/shards", keep=scratch.keep)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    return urls.judge(pages, rules, keep=Scratch(spark, "op3").keep).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts
+), keys AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+), rules(rule_host, rule_path, rule_verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits AS (
+  SELECT page_id, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host) + length(rule_path) DESC, length(rule_host) DESC) AS n, host, path
+  FROM (SELECT DISTINCT page_id, host, path FROM keys) k JOIN rules
+    ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path)
+)
+SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.rule_verdict, 'allow') AS verdict
+FROM keys k LEFT JOIN fits f ON f.n = 1 AND k.page_id IS NOT DISTINCT FROM f.page_id AND k.host = f.host AND k.path = f.path
+"""
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.held_out()
+    return langid.identify(docs, langid.learn(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -51,8 +91,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_training_order, op5_toxicity, op6_decontamination, op7_mixture, op9_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_training_order, op3_url_filter, op4_language, op5_toxicity, op6_decontamination, op7_mixture, op9_ngram_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
