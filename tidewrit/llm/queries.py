@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, mixing, shards, toxicity, urls
+from . import ann, decontam, jaccard, langid, licenses, lines, mixing, shards, toxicity, urls
 from .scratch import Scratch
 
 
@@ -79,11 +79,21 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_words", "mix_weight", "mix_epoch", "mix_block")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses whose texts stand in documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, n_copies, n_links for every document."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines to drop and the places of those that stay for them."""
+    return lines.repeated_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_training_order, op3_url_filter, op4_language, op5_toxicity, op6_decontamination, op7_mixture, op9_ngram_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_training_order, op3_url_filter, op4_language, op5_toxicity, op6_decontamination, op7_mixture, op8_licenses, op9_ngram_jaccard, op10_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
