@@ -1,0 +1 @@
+"""operators of the spoken-to-written engine."""

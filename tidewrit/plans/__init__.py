@@ -1,0 +1 @@
+"""plans of the spoken-to-written engine."""

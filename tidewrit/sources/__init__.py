@@ -1,0 +1 @@
+"""sources of the spoken-to-written engine."""

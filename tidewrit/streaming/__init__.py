@@ -1,0 +1 @@
+"""streaming of the spoken-to-written engine."""
