@@ -11,16 +11,11 @@ from tidewrit.llm import decontam, jaccard, mixing, shards, toxicity
 from tidewrit.llm.scratch import Scratch
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone; rows without an id stay."""
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose noisy-or of sentence scores reaches 0.3."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = toxicity.score(docs, model)
-    return _without(docs, Scratch(spark, "stage5").keep(scores.where("score >= 0.3"), "toxic"))
+    scratch = Scratch(spark, "stage5")
+    return jaccard.without(docs, scratch.keep(toxicity.score(docs, model).where("score >= 0.3"), "toxic"), scratch)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item, exactly or edited."""
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, Scratch(spark, "stage6").keep(found.select("doc_id").distinct(), "leaks"))
+    scratch = Scratch(spark, "stage6")
+    return jaccard.without(docs, scratch.keep(found.select("doc_id").distinct(), "leaks"), scratch)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

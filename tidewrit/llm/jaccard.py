@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import groups, kernels
+from . import bloom, groups, kernels
 from .components import components
 from .scratch import Scratch
 
@@ -197,8 +197,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     tasks = members.join(reps, "rep").withColumn("gid", F.xxhash64("key", "lo", "hi")).drop("key")
     pruned = tasks.repartition("gid").sortWithinPartitions("gid").mapInArrow(_prune(threshold, tolerance), "gid long, rep long, mates array<long>")
     pruned = scratch.keep(pruned, "candidates")
-    wanted = pruned.select("rep").distinct()
-    one = named.withColumnRenamed("id", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    wanted = scratch.keep(pruned.select("rep").distinct(), "wanted")
+    level = bloom.members(wanted.withColumnRenamed("rep", "h"), wanted.count())
+    texts = named.withColumnRenamed("id", "rep")
+    if level is not None:  # so that only the texts to verify are shuffled
+        texts = texts.where(bloom.may_hold(level, docs.sparkSession)("rep"))
+    one = texts.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
     verify = pruned.join(one, "rep").join(class_of.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
     found = verify.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verify(n, threshold), "rep long, links long, peer long")
     found = scratch.keep(found, "links")
@@ -211,8 +215,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     return out.unionByName(docs.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
 
 
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, single: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in gone; of the rows with an id in single one stays. Rows without an id stay.
+
+    A Bloom filter of both lists lets all other rows pass where they are, so only the few that it holds are shuffled.
+    """
+    gone = gone.where(f"{id_col} is not null").select(F.col(id_col).cast("long").alias("h")).distinct()
+    listed = scratch.keep(gone if single is None else gone.unionByName(single.select(F.col(id_col).cast("long").alias("h"))).distinct(), "listed")
+    level = bloom.members(listed, listed.count())
+    held = bloom.may_hold(level, docs.sparkSession)(F.col(id_col).cast("long")) if level is not None else F.lit(True)
+    some = docs.where(held & F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("h"), "left_anti")
+    if single is not None:
+        again = single.select(F.col(id_col).alias("__again")).distinct()
+        some = some.join(again, F.col(id_col) == F.col("__again"), "left")
+        once = some.where("__again is not null").dropDuplicates([id_col])
+        some = some.where("__again is null").unionByName(once)
+    return docs.where(~held | F.col(id_col).isNull()).unionByName(some.select(docs.columns))
+
+
 def keep_representatives(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The rows of docs whose id is the least of their class; of rows with the same id one stays; rows without an id stay."""
-    keep = near_duplicates(docs, scratch, **options).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(scratch.keep(keep, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    classes = scratch.keep(near_duplicates(docs, scratch, **options), "classes")
+    repeated = scratch.keep(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    return without(docs, classes.where("doc_id <> class_id"), scratch, repeated)

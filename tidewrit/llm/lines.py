@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import groups, kernels
+from . import bloom, groups, kernels
 from .components import components
 from .jaccard import intersections
 from .scratch import Scratch
-from .urls import Level, _level
 
 ROWS, BANDS, BLOCK = 4, 14, 256
 PACK = 8 << 20
@@ -132,7 +131,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in out], ["bucket", "line", "m"])
 
 
-def _fetch(level: Level | None):
+def _fetch(level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, buf, offs in _chunks(b.column(0)):
@@ -179,7 +178,7 @@ def _verify(k: int, threshold: float):
     return run
 
 
-def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: float = 0.8, most_bloom: int = 100_000_000) -> tuple[DataFrame, DataFrame]:
+def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, line) and the links between different ones (node, root)."""
     places = scratch.keep(docs.mapInArrow(_places, "doc_id long, line_no long, line long"), "places")
     n = places.count()
@@ -188,8 +187,8 @@ def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: floa
     buckets = packed.mapInArrow(_buckets, "bucket long, line long, m long").distinct()
     buckets = scratch.keep(buckets, "buckets")
     wanted = scratch.keep(buckets.select("line").distinct(), "candidates")
-    m = wanted.count()
-    level = docs.sparkSession.sparkContext.broadcast(_level(wanted.withColumnRenamed("line", "h"), max(m, 1), 0.01, 1)) if m <= most_bloom else None
+    level = bloom.members(wanted.withColumnRenamed("line", "h"), wanted.count())
+    level = None if level is None else docs.sparkSession.sparkContext.broadcast(level)
     texts = docs.select("text").mapInArrow(_fetch(level), "line long, text binary").join(wanted, "line", "left_semi").dropDuplicates(["line"])
     members = buckets.withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(line, bucket), blocks) as int)"))
     members = members.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})

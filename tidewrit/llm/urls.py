@@ -18,7 +18,6 @@ Null urls and urls without :// have empty host and path. Null rules are left out
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .bloom import Level, build
 
-LARGEST_LEVEL = 256 << 20
 #: Host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -43,21 +42,6 @@ def with_host_and_path(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return out.withColumns({"path": path, "host": F.translate("__host", upper, upper.lower())}).drop("__rest", "__host")
 
 
-class Level:
-    def __init__(self, bits: np.ndarray, size: int, hashes: int, salt: int):
-        self.bits, self.size, self.hashes, self.salt = bits, size, hashes, salt
-
-    @staticmethod
-    def positions(h: np.ndarray, size: int, hashes: int, salt: int) -> np.ndarray:
-        a = kernels.mix(h + kernels.U64(salt * 0x9E3779B97F4A7C15 % (1 << 64)))
-        b = kernels.mix(a ^ kernels.U64(0xD6E8FEB86659FD93)) | kernels.U64(1)
-        return np.stack([(a + kernels.U64(i) * b) % kernels.U64(size) for i in range(hashes)])
-
-    def passes(self, h: np.ndarray) -> np.ndarray:
-        p = self.positions(h, self.size, self.hashes, self.salt)
-        return ((self.bits[p >> kernels.U64(6)] >> (p & kernels.U64(63))) & kernels.U64(1)).astype(bool).all(axis=0)
-
-
 def listed(levels: list[Level], h: np.ndarray) -> np.ndarray:
     """Whether keys of the universe, given by their hashes, are listed."""
     deep, alive = np.zeros(len(h), np.int64), np.ones(len(h), bool)
@@ -73,29 +57,6 @@ def hashes(keys: pa.Array) -> np.ndarray:
     return kernels.mix(kernels.slice_hashes(kernels.prefix_sums(buf), offs[:-1], offs[1:]) ^ np.diff(offs).astype(kernels.U64))
 
 
-def _level(keys: DataFrame, n: int, error: float, salt: int) -> Level:
-    """A Bloom filter of n keys (column h) that passes others with about the given probability."""
-    size = max(64, ceil(-n * log(error) / log(2) ** 2))
-    size += -size % 64
-    if size // 8 > LARGEST_LEVEL:
-        raise ValueError(f"a level of {n} keys takes {size // 8} bytes; judge the rules in parts")
-    k = max(1, round(size / max(n, 1) * log(2)))
-    k = min(k, 32)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size // 64, kernels.U64)
-        for b in batches:
-            p = Level.positions(b.column(0).to_numpy().view(kernels.U64), size, k, salt).reshape(-1)
-            np.bitwise_or.at(bits, p >> kernels.U64(6), kernels.U64(1) << (p & kernels.U64(63)))
-        some = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bits[some].view(np.int64))], ["word", "bits"])
-
-    got = keys.select("h").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(size // 64, kernels.U64)
-    bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(kernels.U64)
-    return Level(bits, size, k, salt)
-
-
 def cascade(inside: DataFrame, outside: DataFrame, keep, most_levels: int = 64) -> list[Level]:
     """Levels for the keys inside against those outside (columns h, distinct and disjoint)."""
     sc, levels = inside.sparkSession.sparkContext, []
@@ -105,7 +66,7 @@ def cascade(inside: DataFrame, outside: DataFrame, keep, most_levels: int = 64)
         if len(levels) == most_levels:
             raise RuntimeError("the cascade does not end")
         error = min(0.5, max(1e-6, n / max(m, 1) * 0.5**0.5)) if not levels else 0.5
-        level = _level(now, n, error, len(levels) + 1)
+        level = build(now, n, error, len(levels) + 1)
         levels.append(level)
         shared = sc.broadcast(level)
 
