@@ -71,8 +71,9 @@ def solve(shares: DataFrame, total: float, budget: float | None, target_entropy:
     return hi
 
 
-def mixture(docs: DataFrame, source_col: str, text_col: str, budget: float | None, target_entropy: float | None, entropy_share: float | None, max_repeats: float | None, keep=lambda df, name: df) -> Mixture:
-    counted = docs.select(source_key(source_col).alias("src"), word_count(text_col).alias("words"))
+def mixture(rows: DataFrame, budget: float | None, target_entropy: float | None, entropy_share: float | None, max_repeats: float | None, keep=lambda df, name: df) -> Mixture:
+    """The weights for rows with the columns __src and mix_words."""
+    counted = rows.select(F.col("__src").alias("src"), F.col("mix_words").alias("words"))
     counted = keep(counted.groupBy("src").agg(F.sum("words").alias("words"), F.count("*").alias("docs")), "sources")
     used = counted.where("words > 0")
     total, n = used.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
@@ -92,15 +93,17 @@ def mixture(docs: DataFrame, source_col: str, text_col: str, budget: float | Non
     return Mixture(a, words, weight.unionByName(rest))
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", budget: float | None = None, target_entropy: float | None = None, entropy_share: float | None = 0.98, max_repeats: float | None = 1.25, block_docs: int = 1000, seed: int = 2024, keep=lambda df, name: df) -> DataFrame:
-    """The rows of docs, each as often as the mixture reads it, with the added columns mix_words, mix_weight, mix_epoch
-    and mix_block (added columns of these names replace any that docs has)."""
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", budget: float | None = None, target_entropy: float | None = None, entropy_share: float | None = 0.98, max_repeats: float | None = 1.25, block_docs: int = 1000, seed: int = 2024, columns: list[str] | None = None, keep=lambda df, name: df) -> DataFrame:
+    """The columns (all, if None) of the rows of docs, each as often as the mixture reads it, with the added columns
+    mix_words, mix_weight, mix_epoch and mix_block (they replace any of these names that docs has)."""
     plain = docs.drop("mix_words", "mix_weight", "mix_epoch", "mix_block")
-    m = mixture(plain, source_col, text_col, budget, target_entropy, entropy_share, max_repeats, keep)
+    columns = columns or plain.columns
+    # kept once, as words are counted by a regular expression and three passes follow
+    rows = keep(plain.select(*columns, source_key(source_col).alias("__src"), word_count(text_col).alias("mix_words"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__row")), "rows")
+    m = mixture(rows, budget, target_entropy, entropy_share, max_repeats, keep)
     sources = m.sources.select(F.col("src").alias("__src"), F.expr(f"greatest(1L, cast(ceil(docs / {block_docs}) as bigint))").alias("__blocks"), F.col("weight").alias("mix_weight"), "epochs", F.col("words").alias("__total"))
     whole = F.floor(F.col("epochs") + 1e-9)
     sources = sources.withColumn("__whole", whole).withColumn("__left", F.greatest(F.lit(0.0), (F.col("epochs") - whole) * F.col("__total"))).drop("epochs", "__total")
-    rows = plain.withColumns({"__src": source_key(source_col), "mix_words": word_count(text_col), "__row": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))})
     rows = rows.join(F.broadcast(sources) if _few(sources) else sources, "__src")
     rows = rows.withColumn("mix_block", F.expr("pmod(__row, __blocks)"))
     blocks = rows.groupBy("__src", "mix_block").agg(F.sum("mix_words").alias("__words"), F.first("__left").alias("__left"))
@@ -112,7 +115,7 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     times = F.when(F.col("mix_words") == 0, 1).otherwise(F.col("__whole") + F.when(paid, 1).otherwise(0))
     rows = rows.withColumn("__times", times.cast("int")).where("__times > 0")
     rows = rows.withColumn("mix_epoch", F.explode(F.expr("sequence(0, __times - 1)")))
-    return rows.select(*plain.columns, "mix_words", "mix_weight", "mix_epoch", "mix_block")
+    return rows.select(*columns, "mix_words", "mix_weight", "mix_epoch", "mix_block")
 
 
 def _few(sources: DataFrame, most: int = 50_000) -> bool:

@@ -75,7 +75,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each time that the mixture reads a document."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=Scratch(spark, "op7").keep)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), columns=["doc_id", "source"], keep=Scratch(spark, "op7").keep)
     return mixed.select("doc_id", "source", "mix_words", "mix_weight", "mix_epoch", "mix_block")
 
 
