@@ -155,12 +155,13 @@ def minhash(g: np.ndarray, goff: np.ndarray, k: int, seed: int = 1) -> np.ndarra
     some = np.flatnonzero(np.diff(goff) > 0)
     if len(some):
         at, g = goff[:-1][some], (g >> U64(32)).astype(np.uint32)
-        rng = np.random.default_rng(seed)
+        rng, x = np.random.default_rng(seed), np.empty_like(g)
+        found = np.empty((k, len(some)), np.uint32)
         for i, (a, b) in enumerate(zip(rng.integers(0, 1 << 31, k, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, np.uint32))):
-            x = g ^ b
-            x *= a
-            x ^= x >> np.uint32(15)
-            out[some, i] = np.minimum.reduceat(x, at)
+            np.bitwise_xor(g, b, out=x)
+            np.multiply(x, a, out=x)
+            np.minimum.reduceat(x, at, out=found[i])
+        out[some] = found.T
     return out
 
 

@@ -65,9 +65,9 @@ def shingle_lines(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarra
     return kernels.slice_hashes(sums, start[at], start[end]), off
 
 
-def _chunks(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _chunks(text: pa.Array, most: int = kernels.CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     text = kernels.lower(text)
-    for lo, hi in kernels.chunks(kernels.raw(text)[1]):
+    for lo, hi in kernels.chunks(kernels.raw(text)[1], most):
         yield lo, *kernels.raw(text.slice(lo, hi - lo))
 
 
@@ -94,7 +94,7 @@ def _pack(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for _, buf, offs in _chunks(b.column(0)):
+            for _, buf, offs in _chunks(b.column(0), 1 << 18):  # signatures are made in the processor's cache
                 _, _, s, e = split(buf, offs)
                 sums = kernels.prefix_sums(buf)
                 line, first = np.unique(kernels.slice_hashes(sums, s, e), return_index=True)
@@ -149,31 +149,41 @@ def _fetch(level):
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups.whole_groups(batches, "gid"):
-            gid, line, block, first, other = (t[c].to_numpy() for c in ("gid", "line", "block", "lo", "hi"))
-            buf, offs = kernels.raw(t["text"])
-            g, goff = shingle_lines(buf, kernels.prefix_sums(buf), offs[:-1], offs[1:], k) if len(buf) else (np.zeros(0, np.uint64), np.zeros(len(offs), np.int64))
-            sets = [np.unique(g[a:z]) for a, z in zip(goff[:-1], goff[1:])]
-            size = np.array([len(x) for x in sets])
-            at = np.concatenate([[0], np.cumsum(size)])
-            g = np.concatenate(sets)
-            off = groups.bounds(gid)
-            root = np.arange(len(line))
-            for lo, hi in zip(off[:-1], off[1:]):
-                links = []
-                for a, b in groups.pairs_within(np.array([0, hi - lo])):
-                    a, b = a + lo, b + lo
-                    ok = ((first[a] == other[a]) | (block[a] != block[b])) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
-                    a, b = a[ok], b[ok]
-                    if len(a):
-                        both = intersections(g, at, a, b)
-                        ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
-                        links.append((a[ok], b[ok]))
-                if links:
-                    a, b = (np.concatenate(x) for x in zip(*links))
-                    root[lo:hi] = lo + groups.forest(hi - lo, a - lo, b - lo)
-            some = np.flatnonzero(root != np.arange(len(line)))
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], ["u", "v"])
+            off = groups.bounds(t["gid"].to_numpy())
+            size = kernels.raw(t["text"])[1]
+            i = 0
+            while i < len(off) - 1:  # groups of about a chunk together
+                j = max(i + 1, int(np.searchsorted(size[off], size[off[i]] + kernels.CHUNK_BYTES, "right")) - 1)
+                yield from part(t.slice(off[i], off[j] - off[i]), off[i : j + 1] - off[i])
+                i = j
+
+    def part(t: pa.Table, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+        line, block, first, other = (t[c].to_numpy() for c in ("line", "block", "lo", "hi"))
+        text = t["text"].combine_chunks()
+        sets = []
+        for lo, hi in kernels.chunks(kernels.raw(text)[1]):
+            buf, offs = kernels.raw(text.slice(lo, hi - lo))
+            g, goff = shingle_lines(buf, kernels.prefix_sums(buf), offs[:-1], offs[1:], k)
+            sets += [np.unique(g[a:z]) for a, z in zip(goff[:-1], goff[1:])]
+        size = np.array([len(x) for x in sets])
+        at, g = np.concatenate([[0], np.cumsum(size)]), np.concatenate(sets)
+        root = np.arange(len(line))
+        for lo, hi in zip(off[:-1], off[1:]):
+            links = []
+            for a, b in groups.pairs_within(np.array([0, hi - lo])):
+                a, b = a + lo, b + lo
+                ok = ((first[a] == other[a]) | (block[a] != block[b])) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+                a, b = a[ok], b[ok]
+                if len(a):
+                    both = intersections(g, at, a, b)
+                    ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
+                    links.append((a[ok], b[ok]))
+            if links:
+                a, b = (np.concatenate(x) for x in zip(*links))
+                root[lo:hi] = lo + groups.forest(hi - lo, a - lo, b - lo)
+        some = np.flatnonzero(root != np.arange(len(line)))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], ["u", "v"])
 
     return run
 
