@@ -74,8 +74,8 @@ def _block(rows: list[tuple[int, str]], n: int) -> dict:
 
 def _grams(text: pa.Array, n: int, short: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk and each length of gram: words, their offsets, gram hashes, the text and the word of each gram."""
-    for lo, hi in kernels.chunks(kernels.raw(text)[1]):
-        h, woff = kernels.words(*kernels.raw(text.slice(lo, hi - lo)), kernels.TOKEN_BYTES)
+    for lo, hi, part in kernels.lowered(text):
+        h, woff = kernels.words(*kernels.raw(part), kernels.TOKEN_BYTES)
         found = []
         for size in (n, *short):
             g, goff = kernels.shingles(h, woff, size)
@@ -155,7 +155,7 @@ def _one_block(spark, docs: DataFrame, rows: list, n: int, threshold: float, min
         total, texts = np.zeros(len(seeds) + 1, np.int64), 0
         for b in batches:
             texts += b.num_rows
-            for _, _, _, g, doc, _ in _grams(kernels.lower(b.column(0)), n, block["short"]):
+            for _, _, _, g, doc, _ in _grams(b.column(0), n, block["short"]):
                 at = np.minimum(np.searchsorted(seeds, g), max(len(seeds) - 1, 0))
                 hit = np.flatnonzero(seeds[at] == g) if len(seeds) else np.zeros(0, np.int64)
                 pair = np.unique(np.stack([at[hit], doc[hit]], axis=1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
@@ -175,7 +175,7 @@ def _one_block(spark, docs: DataFrame, rows: list, n: int, threshold: float, min
         for b in batches:
             ids = b.column(0)
             out: dict = {}
-            for lo, h, woff, g, doc, word in _grams(kernels.lower(b.column(1)), n, block["short"]):
+            for lo, h, woff, g, doc, word in _grams(b.column(1), n, block["short"]):
                 if not len(seeds):
                     continue
                 s = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)

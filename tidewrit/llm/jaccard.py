@@ -46,10 +46,9 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, text = b.column(0), kernels.lower(b.column(1))
-            _, offs = kernels.raw(text)
-            for lo, hi in kernels.chunks(offs):
-                h, woff = kernels.words(*kernels.raw(text.slice(lo, hi - lo)))
+            ids = b.column(0)
+            for lo, hi, text in kernels.lowered(b.column(1)):
+                h, woff = kernels.words(*kernels.raw(text))
                 g, goff = kernels.shingles(h, woff, n)
                 f1, f2 = kernels.sequences(h, woff)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(woff)), kernels.fixed_binary(kernels.minhash(g, goff, ROWS * BANDS))], ["id", "f1", "f2", "n_words", "sig"])
@@ -131,9 +130,7 @@ def _verify(n: int, threshold: float):
         for t in groups.whole_groups(batches, "gid"):
             gid = t["gid"].to_numpy()
             off = groups.bounds(gid)
-            size = t["text"].combine_chunks()
-            lens = np.diff(kernels.raw(kernels.lower(size))[1])
-            total = np.concatenate([[0], np.cumsum(lens)])
+            total = kernels.raw(t["text"])[1]
             k = 0
             while k < len(off) - 1:  # groups of about a chunk together
                 m = k + 1
@@ -144,11 +141,9 @@ def _verify(n: int, threshold: float):
 
     def part(t: pa.Table, off: np.ndarray) -> Iterator[pa.RecordBatch]:
         rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
-        text = kernels.lower(t["text"].combine_chunks())
         sets, at = [], [0]
-        _, offs = kernels.raw(text)
-        for lo, hi in kernels.chunks(offs):
-            g, goff = kernels.shingles(*kernels.words(*kernels.raw(text.slice(lo, hi - lo))), n)
+        for lo, hi, text in kernels.lowered(t["text"].combine_chunks()):
+            g, goff = kernels.shingles(*kernels.words(*kernels.raw(text)), n)
             for x in range(hi - lo):
                 sets.append(np.unique(g[goff[x] : goff[x + 1]]))
                 at.append(at[-1] + len(sets[-1]))

@@ -76,6 +76,13 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def lowered(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
+    """Chunks of a column, lower-cased one at a time, so that a worker holds one chunk's work and no copy of the batch."""
+    for i, j in chunks(raw(column)[1], most):
+        yield i, j, lower(column.slice(i, j - i))
+    pa.default_memory_pool().release_unused()
+
+
 def tokens(buf: np.ndarray, offs: np.ndarray, belongs: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each token, and the offset of each text among the tokens."""
     if not len(buf):

@@ -66,9 +66,8 @@ def shingle_lines(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarra
 
 
 def _chunks(text: pa.Array, most: int = kernels.CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    text = kernels.lower(text)
-    for lo, hi in kernels.chunks(kernels.raw(text)[1], most):
-        yield lo, *kernels.raw(text.slice(lo, hi - lo))
+    for lo, _, part in kernels.lowered(text, most):
+        yield lo, *kernels.raw(part)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,11 +72,9 @@ def _sum_by(v: np.ndarray, off: np.ndarray) -> np.ndarray:
 def fit(texts: pa.Array, y: np.ndarray, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, min_docs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias from whole texts and their document labels (0 or 1)."""
     parts = []
-    low = kernels.lower(texts)
-    _, offs = kernels.raw(low)
     seen = np.zeros(1 << bits, np.int32)
-    for lo, hi in kernels.chunks(offs):
-        x, soff, doff, _, _ = featurise(low.slice(lo, hi - lo), bits)
+    for lo, hi, text in kernels.lowered(texts):
+        x, soff, doff, _, _ = featurise(text, bits)
         token_doc = np.repeat(np.arange(hi - lo), np.diff(soff[doff]))
         pair = np.unique(token_doc[:, None].astype(np.int64) << bits | x)
         seen += np.bincount(pair & ((1 << bits) - 1), minlength=1 << bits).astype(np.int32)
@@ -130,9 +128,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = kernels.lower(b.column(1))
-            for lo, hi in kernels.chunks(kernels.raw(text)[1]):
-                x, soff, doff, _, _ = featurise(text.slice(lo, hi - lo), bits)
+            for lo, hi, text in kernels.lowered(b.column(1)):
+                x, soff, doff, _, _ = featurise(text, bits)
                 none = -np.logaddexp(0, _logits(x, soff, shared.value, bias))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.clip(-np.expm1(_sum_by(none, doff)), 0.0, 1.0))], ["doc_id", "score"])
 
@@ -147,9 +144,7 @@ def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], thresh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = kernels.lower(b.column(1))
-            for lo, hi in kernels.chunks(kernels.raw(text)[1]):
-                part = text.slice(lo, hi - lo)
+            for lo, hi, part in kernels.lowered(b.column(1)):
                 x, soff, doff, s, e = featurise(part, bits)
                 p = 1 / (1 + np.exp(-np.clip(_logits(x, soff, shared.value, bias), -700, 700)))
                 hit = np.flatnonzero(p >= threshold)
