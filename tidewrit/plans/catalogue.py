@@ -112,10 +112,10 @@ trip("normalize_rank", "RANK", "supplier", ["s_suppkey"], lambda: F.when(F.col("
 
 def spoken_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances of an order's number and date with gold spans."""
-    n, d = F.split(V.number(F.col("o_orderkey")), " "), F.split(V.date(F.col("o_orderdate")), " ")
-    words = F.concat(F.array(F.lit("đơn"), F.lit("hàng")), n, F.array(F.lit("lập")), d)
-    spans = F.array(F.struct(F.lit(2).alias("start"), (F.size(n) + 1).alias("end"), F.lit("CARDINAL").alias("type")), F.struct((F.size(n) + 3).alias("start"), (F.size(words) - 1).alias("end"), F.lit("DATE").alias("type")))
-    df = table(spark, sf_dir, "orders").select("o_orderkey", words.alias("words"), spans.alias("gold"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.split(V.number(F.col("o_orderkey")), " ").alias("n"), F.split(V.date(F.col("o_orderdate")), " ").alias("d"))
+    words = F.concat(F.array(F.lit("đơn"), F.lit("hàng")), F.col("n"), F.array(F.lit("lập")), F.col("d"))
+    spans = F.array(F.struct(F.lit(2).alias("start"), (F.size("n") + 1).alias("end"), F.lit("CARDINAL").alias("type")), F.struct((F.size("n") + 3).alias("start"), (F.size("n") + F.size("d") + 2).alias("end"), F.lit("DATE").alias("type")))
+    df = df.select("o_orderkey", words.alias("words"), spans.alias("gold"))
     last = F.transform("words", lambda w, i: F.when(i == F.size("words") - 1, "PERIOD").otherwise("O"))
     return df.withColumns({"spans": pipeline.with_gold_confidence(F.col("gold")), "punct": last})
 

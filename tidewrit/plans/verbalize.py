@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 DIGITS = "không một hai ba bốn năm sáu bảy tám chín".split()
 
 
-def _pick(words: list[str], i: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), i.cast("int"))
-
-
 def digits(text: Column) -> Column:
     """Each digit of a text by name."""
     out = text
@@ -20,29 +16,34 @@ def digits(text: Column) -> Column:
     return F.trim(out)
 
 
-def _below_thousand(n: Column, full: Column) -> Column:
-    h, t, u = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
-    hundreds = F.when(full | (h > 0), F.concat(_pick(DIGITS, h), F.lit(" trăm")))
-    unit = F.when(u == 5, "lăm").otherwise(_pick(DIGITS, u))
-    last = F.when(u == 1, "mốt").otherwise(unit)
-    small = (
-        F.when((t == 0) & (u == 0), F.lit(None)).when(t == 0, F.when(full | (h > 0), F.concat(F.lit("lẻ "), _pick(DIGITS, u))).otherwise(_pick(DIGITS, u)))
-        .when(t == 1, F.when(u == 0, "mười").otherwise(F.concat(F.lit("mười "), unit)))
-        .otherwise(F.concat_ws(" ", _pick(DIGITS, t), F.lit("mươi"), F.when(u > 0, last)))
-    )
-    return F.when((n > 0) | full, F.concat_ws(" ", hundreds, small))
+def below_thousand(n: int, full: bool) -> str:
+    """A group of three digits; full: behind a higher group, where its hundreds are always said."""
+    h, t, u = n // 100, n // 10 % 10, n % 10
+    unit = "lăm" if u == 5 else DIGITS[u]
+    words = [DIGITS[h], "trăm"] if h or full else []
+    if t == 1:
+        words += ["mười", unit] if u else ["mười"]
+    elif t:
+        words += [DIGITS[t], "mươi", *(["mốt" if u == 1 else unit] if u else [])]
+    elif u:
+        words += ["lẻ", DIGITS[u]] if words else [DIGITS[u]]
+    return " ".join(words)
+
+
+def _group(n: Column, full: bool) -> Column:
+    """Looked up in a constant, so that an expression of a number stays small."""
+    names = "|".join(below_thousand(i, full) for i in range(1000))
+    return F.get(F.split(F.lit(names), "[|]"), n.cast("int"))
 
 
 def number(n: Column) -> Column:
     """0 to 999,999,999,999 as a cardinal."""
     n = n.cast("long")
-    parts, higher = [], F.lit(False)
-    for scale, word in ((10**9, "tỷ"), (10**6, "triệu"), (10**3, "nghìn"), (1, None)):
+    parts = []
+    for scale, word in ((10**9, " tỷ"), (10**6, " triệu"), (10**3, " nghìn"), (1, "")):
         g = F.floor(n / scale) % 1000
-        text = F.when(g > 0, _below_thousand(g, higher))
-        parts.append(F.concat_ws(" ", text, F.lit(word)) if word is None else F.when(g > 0, F.concat(text, F.lit(f" {word}"))))
-        higher = higher | (g > 0)
-    parts[-1] = F.when(n % 1000 > 0, _below_thousand(n % 1000, n >= 1000))
+        said = _group(g, False) if scale == 10**9 else F.when(n >= scale * 1000, _group(g, True)).otherwise(_group(g, False))
+        parts.append(F.when(g > 0, F.concat(said, F.lit(word))))
     return F.when(n == 0, DIGITS[0]).otherwise(F.concat_ws(" ", *parts))
 
 
