@@ -47,7 +47,10 @@ def utterance_reason(words: str = "words", spans: str = "spans", punct: str = "p
 
 def generated_reason(words: str = "words", spans: str = "spans", junk: tuple[str, ...] = ("...", "[", "]", "{", "}")) -> Column:
     """Quality of a made utterance: length, context around spans, junk tokens, and foreign letters outside addresses."""
-    w, s = F.col(words), F.col(spans)
+    return S.let(F.col(words), F.col(spans), lambda w, s: _generated_reason(w, s, junk))
+
+
+def _generated_reason(w: Column, s: Column, junk: tuple[str, ...]) -> Column:
     inside = lambda i: F.exists(s, lambda x: (x["start"] <= i) & (i <= x["end"]))
     address = lambda i: F.exists(s, lambda x: (x["type"] == "ELECTRONIC") & (x["start"] <= i) & (i <= x["end"]))
     places = F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))
@@ -61,7 +64,11 @@ def generated_reason(words: str = "words", spans: str = "spans", junk: tuple[str
 
 def boundary_reason(words: str = "words", spans: str = "spans") -> Column:
     """A number word beside a span and in none means that the span was cut short."""
-    w, s, numbers = F.col(words), F.col(spans), sorted(L.NUMBER_WORDS)
+    return S.let(F.col(words), F.col(spans), _boundary_reason)
+
+
+def _boundary_reason(w: Column, s: Column) -> Column:
+    numbers = sorted(L.NUMBER_WORDS)
     free = lambda i: ~F.exists(s, lambda x: (x["start"] <= i) & (i <= x["end"]))
     beside = lambda i: F.coalesce(F.get(w, i).isin(numbers), F.lit(False)) & free(i)
     return reason(("number word beside a span", F.exists(s, lambda x: ((x["start"] > 0) & beside(x["start"] - 1)) | beside(x["end"] + 1))))
@@ -69,6 +76,10 @@ def boundary_reason(words: str = "words", spans: str = "spans") -> Column:
 
 def lost_boundaries(words: Column) -> Column:
     """Number of capitalised sentence beginnings that follow a word without an end mark."""
+    return S.let(words, _lost_boundaries)
+
+
+def _lost_boundaries(words: Column) -> Column:
     at = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
     starters = ["Theo", "Tuy", "Do", "Khi", "Trong", "Ngoài", "Đây", "Các", "Những", "Sau", "Trước", "Tại"]
     return F.size(F.filter(at, lambda i: F.coalesce(F.get(words, i).isin(starters), F.lit(False)) & ~F.coalesce(F.get(words, i - 1).rlike(r"[.!?:;\"”)]$"), F.lit(False))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import LETTERS
+from . import spans as S
 
 REGION = "array<struct<written:string,spoken:string,start:int,end:int>>"
 _NAMES = {n for names in LETTERS.values() for n in names}
@@ -20,11 +21,15 @@ def regions(written: list[str], spoken: list[str]) -> list[tuple[str, str, int,
     return [(" ".join(written[a:b]), " ".join(spoken[c:d]), c, d - 1) for op, a, b, c, d in m.get_opcodes() if op != "equal"]
 
 
-@F.pandas_udf(REGION)
-def diff_regions(written: pd.Series, spoken: pd.Series) -> pd.Series:
+def _diff_all(written: pd.Series, spoken: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("written", "spoken", "start", "end"), r)) for r in regions((w or "").split(), (s or "").split())] for w, s in zip(written, spoken)])
 
 
+def diff_regions(written, spoken) -> Column:
+    """Array of (written, spoken, start, end)."""
+    return F.pandas_udf(_diff_all, REGION)(written, spoken)
+
+
 def garbage(written: str, spoken: str) -> int:
     """Regions in which an ordinary lower-case word was spelled letter by letter."""
     out = 0
@@ -34,15 +39,21 @@ def garbage(written: str, spoken: str) -> int:
     return out
 
 
-@F.pandas_udf("string")
-def pick_variant(written: pd.Series, variants: pd.Series) -> pd.Series:
+def pick_variant(written, variants) -> Column:
     """The least garbled variant, then the shortest; the lower-cased text where there is none."""
+    return F.pandas_udf(_pick_all, "string")(written, variants)
+
+
+def _pick_all(written: pd.Series, variants: pd.Series) -> pd.Series:
     return pd.Series([(w or "").lower() if v is None or not len(v) else v[0] if len(v) == 1 else min(v, key=lambda x: (garbage(w or "", x), len(x))) for w, v in zip(written, variants)])
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
-def find_runs(words: pd.Series, phrases: pd.Series) -> pd.Series:
+def find_runs(words, phrases) -> Column:
     """For each phrase the leftmost run of words that equals it and is not taken; null where there is none."""
+    return F.pandas_udf(_find_all, "array<struct<start:int,end:int>>")(words, phrases)
+
+
+def _find_all(words: pd.Series, phrases: pd.Series) -> pd.Series:
     out = []
     for ws, ps in zip(words, phrases):
         ws, taken, row = list(ws if ws is not None else []), set(), []
@@ -57,7 +68,10 @@ def find_runs(words: pd.Series, phrases: pd.Series) -> pd.Series:
 
 def reconstruct(words: Column, placed: Column) -> Column:
     """The words with the written forms of placed (start, end, written) put back."""
+    return S.let(placed, lambda p: _reconstruct(words, p))
+
 
+def _reconstruct(words: Column, placed: Column) -> Column:
     def piece(w: Column, i: Column) -> Column:
         s = F.get(F.filter(placed, lambda p: (p["start"] <= i) & (i <= p["end"])), F.lit(0))
         return F.when(s.isNull(), w).when(i == s["start"], s["written"])

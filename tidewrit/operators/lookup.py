@@ -15,15 +15,21 @@ from pyspark.sql import Window
 from ..functions import catalogues, keys
 
 
-@F.pandas_udf("key string, flat string, sound string, signature string")
-def key_columns(text: pd.Series) -> pd.DataFrame:
+def _keys(text: pd.Series) -> pd.DataFrame:
     key = text.map(lambda t: keys.spoken_key(t or ""))
     return pd.DataFrame({"key": key, "flat": key.map(keys.fold), "sound": key.map(keys.phonetic_key), "signature": key.map(lambda k: " ".join(keys.signature(k)))})
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([keys.ratio(x, y) for x, y in zip(a, b)])
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([keys.ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def key_columns(text: Column) -> Column:
+    return F.pandas_udf(_keys, "key string, flat string, sound string, signature string")(text)
+
+
+def ratio(a, b) -> Column:
+    return F.pandas_udf(_ratios, "double")(a, b)
 
 
 def table(spark, entries: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.lexicon import CRITICAL, TYPES
+from . import spans as S
 
 
 def rate(hit: Column, all_: Column) -> Column:
@@ -98,11 +99,10 @@ def canon(text: Column) -> Column:
 
 def token_f1(gold: Column, pred: Column) -> Column:
     """F1 of the multisets of tokens; 0 if either is empty. Native and narrow: counts are taken over one side's tokens."""
-    g, p = F.split(canon(gold), " "), F.split(canon(pred), " ")
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    hit = F.aggregate(F.array_distinct(g), F.lit(0), lambda a, x: a + F.least(count(g, x), count(p, x)))
+    f1 = lambda g, p: rate(2 * F.aggregate(F.array_distinct(g), F.lit(0), lambda a, x: a + F.least(count(g, x), count(p, x))), F.size(g) + F.size(p))
     empty = (canon(gold) == "") | (canon(pred) == "") | gold.isNull() | pred.isNull()
-    return F.when(empty, 0.0).otherwise(rate(2 * hit, F.size(g) + F.size(p)))
+    return F.when(empty, 0.0).otherwise(S.let(F.split(canon(gold), " "), F.split(canon(pred), " "), f1))
 
 
 def by_topic(rows: DataFrame) -> DataFrame:

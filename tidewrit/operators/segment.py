@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from . import spans as S
+
 MODEL = "array<struct<word:string,raw_start:int,raw_end:int>>"
 LONGEST = 4
 
@@ -42,7 +44,8 @@ def segmenter(spark: SparkSession, compounds: set[tuple[str, ...]], most: int =
 
 def reversible(tokens: Column, model: Column) -> Column:
     """Whether the model words give the raw tokens back."""
-    return F.flatten(F.transform(model, lambda m: F.slice(tokens, m["raw_start"] + 1, m["raw_end"] - m["raw_start"] + 1))) == tokens
+    again = lambda t: F.flatten(F.transform(model, lambda m: F.slice(t, m["raw_start"] + 1, m["raw_end"] - m["raw_start"] + 1))) == t
+    return S.let(tokens, again)
 
 
 def pooled(vectors: Column, first: Column, last: Column, dims: int) -> Column:

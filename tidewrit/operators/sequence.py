@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .spans import NEXT
@@ -78,14 +79,17 @@ def score(e: np.ndarray, path: list[int]) -> float:
     return float(START[path[0]] + STOP[path[-1]] + sum(e[t, k] for t, k in enumerate(path)) + sum(LEGAL[a, b] for a, b in zip(path, path[1:])))
 
 
-@F.pandas_udf("tags array<string>, confidence array<double>")
-def best_tags(emissions: pd.Series) -> pd.DataFrame:
-    """The best legal tags and the marginal probability of each."""
+def _best_tags(emissions: pd.Series) -> pd.DataFrame:
     e, size = pad([x if x is not None else [] for x in emissions])
     p, paths = marginals(e, size), viterbi(e, size)
     return pd.DataFrame({"tags": [[TAGS[k] for k in path] for path in paths], "confidence": [[float(p[i, t, k]) for t, k in enumerate(path)] for i, path in enumerate(paths)]})
 
 
+def best_tags(emissions: Column) -> Column:
+    """The best legal tags and the marginal probability of each."""
+    return F.pandas_udf(_best_tags, "tags array<string>, confidence array<double>")(emissions)
+
+
 def boundary_confidence(confidence, start, end):
     """The least marginal of a span's tags."""
     return F.array_min(F.slice(confidence, start + 1, end - start + 1))

@@ -11,9 +11,25 @@ PAIRS = "array<struct<start:int,end:int>>"
 NEXT = {"O": "OBS", "B": "IE", "I": "IE", "E": "OBS", "S": "OBS"}
 
 
+def let(*values_and_body) -> Column:
+    """body(value, ...) with each value computed once. An expression used inside a lambda would be computed for every
+    element, as projections are merged into it; a lambda's own variable never is."""
+    *values, body = values_and_body
+
+    def bind(bound: tuple, rest: list) -> Column:
+        if not rest:
+            return body(*bound)
+        return F.get(F.transform(F.array(rest[0]), lambda v: bind((*bound, v), rest[1:])), F.lit(0))
+
+    return bind((), values)
+
+
 def encode(spans: Column, n: Column) -> Column:
     """BIOES tags of n words. An empty sequence has none."""
+    return let(spans, lambda s: _encode(s, n))
+
 
+def _encode(spans: Column, n: Column) -> Column:
     def tag(i: Column) -> Column:
         inside = F.filter(spans, lambda s: (s["start"] <= i) & (i <= s["end"]))
         s = F.get(inside, F.lit(0))
@@ -43,6 +59,10 @@ def decode(tags: Column) -> Column:
 
 def illegal_steps(tags: Column) -> Column:
     """Number of illegal transitions, with the begin and an end that leaves a span open."""
+    return let(tags, _illegal_steps)
+
+
+def _illegal_steps(tags: Column) -> Column:
     allowed = F.create_map(*(F.lit(x) for k, v in NEXT.items() for x in (k, v)))
     pairs = F.filter(F.transform(tags, lambda t, i: F.struct(F.get(tags, i - 1).alias("a"), t.alias("b"))), lambda p: p["a"].isNotNull())
     wrong = F.size(F.filter(pairs, lambda p: ~F.contains(F.element_at(allowed, p["a"]), p["b"])))
@@ -52,6 +72,10 @@ def illegal_steps(tags: Column) -> Column:
 
 def runs(labels: Column) -> Column:
     """Maximal runs of one label other than O, as (start, end, type)."""
+    return let(labels, _runs)
+
+
+def _runs(labels: Column) -> Column:
     before = lambda i: F.coalesce(F.get(labels, i - 1), F.lit("O"))
     after = lambda i: F.coalesce(F.get(labels, i + 1), F.lit("O"))
     at = F.transform(labels, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
@@ -87,7 +111,10 @@ def text_of(words: Column, start: Column, end: Column) -> Column:
 
 def template_signature(words: Column, spans: Column) -> Column:
     """The words with <TYPE> for each span."""
+    return let(spans, lambda s: _template_signature(words, s))
 
+
+def _template_signature(words: Column, spans: Column) -> Column:
     def piece(w: Column, i: Column) -> Column:
         s = F.get(F.filter(spans, lambda s: (s["start"] <= i) & (i <= s["end"])), F.lit(0))
         return F.when(s.isNull(), w).when(i == s["start"], F.concat(F.lit("<"), s["type"], F.lit(">")))
@@ -97,7 +124,10 @@ def template_signature(words: Column, spans: Column) -> Column:
 
 def project(spans: Column, model: Column) -> Column:
     """Spans over raw tokens as spans over model words, each with raw_start and raw_end; conflict if a word is cut."""
+    return let(model, lambda m: _project(spans, m))
+
 
+def _project(spans: Column, model: Column) -> Column:
     def one(s: Column) -> Column:
         touched = F.filter(F.transform(model, lambda m, i: F.struct(i.alias("i"), m["raw_start"].alias("a"), m["raw_end"].alias("b"))), lambda m: (m["b"] >= s["start"]) & (m["a"] <= s["end"]))
         first, last = F.get(touched, F.lit(0)), F.try_element_at(touched, F.lit(-1))

@@ -6,7 +6,7 @@ from bisect import bisect_right
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -26,11 +26,15 @@ def plan(counts: list[int], useful: int = USEFUL, overlap: int = OVERLAP) -> lis
     return out
 
 
-@F.pandas_udf("array<struct<word_start:int,word_end:int,subwords:int>>")
-def plan_windows(counts: pd.Series) -> pd.Series:
+def _plan_all(counts: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("word_start", "word_end", "subwords"), w)) for w in plan([int(x) for x in c])] if c is not None else None for c in counts])
 
 
+def plan_windows(counts: Column) -> Column:
+    """Array of (word_start, word_end, subwords) for an array of subword counts."""
+    return F.pandas_udf(_plan_all, "array<struct<word_start:int,word_end:int,subwords:int>>")(counts)
+
+
 def stitch(predictions: DataFrame, id_col: str = "id") -> DataFrame:
     """Of (id, window_no, word_start, word_end, word, value): for each word the value of the window whose centre is nearest."""
     centre = (F.col("word_start") + F.col("word_end") - 1) / 2

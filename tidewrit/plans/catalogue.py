@@ -211,7 +211,7 @@ def electronic_urls(spark, sf_dir):
 
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Patriot' WHEN 1 THEN 'Patriot' WHEN 2 THEN 'Tomahawk' ELSE NULL END AS canonical, CASE s_suppkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'folded' WHEN 2 THEN 'exact' ELSE 'none' END AS tier FROM supplier")
 def catalogue_lookup(spark, sf_dir):
-    text = F.get(F.array(*map(F.lit, ["pa tri ốt", "pa tri ot", "tô ma hốc", "cờ lô ri ban đờ"])), (F.col("s_suppkey") % 4).cast("int"))
+    text = F.get(F.array(*map(F.lit, ["pa tri ốt", "pa tri ót", "tô ma hốc", "cờ lô ri ban đờ"])), (F.col("s_suppkey") % 4).cast("int"))
     df = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("said"))
     return lookup.lookup(df, lookup.table(spark), "foreign_names", F.col("said")).select("s_suppkey", "canonical", "tier")
 
@@ -457,6 +457,14 @@ def diff_regions(spark, sf_dir):
 # --- streaming --------------------------------------------------------------------------------------------------------
 
 
+def _events(spark, sf_dir) -> DataFrame:
+    """The table as a stream: a folder of files, or the one file among others in its folder."""
+    path, schema = f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema
+    alone = table(spark, sf_dir, "events").inputFiles()[0].endswith("/events.parquet")
+    reader = spark.readStream.schema(schema).format("parquet")
+    return reader.option("pathGlobFilter", "events.parquet").load(sf_dir) if alone else reader.load(path)
+
+
 def _replayed(spark, stream: DataFrame) -> DataFrame:
     import tempfile
     import uuid
@@ -469,17 +477,14 @@ def _replayed(spark, stream: DataFrame) -> DataFrame:
 @query("SELECT event_id, lpad(CAST(event_id % 360 AS VARCHAR), 3, '0') || '°' AS written FROM events")
 def stream_normalize(spark, sf_dir):
     """Normalisation over a stream of all events, against the batch form."""
-    path = f"{sf_dir}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    spoken = source.select("event_id", F.lit("HEADING").alias("type"), V.digits(pad(k("event_id", 360), 3)).alias("text"))
+    spoken = _events(spark, sf_dir).select("event_id", F.lit("HEADING").alias("type"), V.digits(pad(k("event_id", 360), 3)).alias("text"))
     return _replayed(spark, streams.normalize_stream(spoken, Normalization(spark)).select("event_id", F.col("result.normalized").alias("written")))
 
 
 @query("SELECT event_type, user_id % 10 AS bucket, min(event_id) AS first_id FROM events GROUP BY ALL")
 def stream_first_seen(spark, sf_dir):
     """First event of each key; the replay is one batch, so the least id is the first within it."""
-    path = f"{sf_dir}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("bucket", F.col("user_id") % 10)
+    source = _events(spark, sf_dir).withColumn("bucket", F.col("user_id") % 10)
     seen = _replayed(spark, streams.first_seen(source.select("event_type", "bucket", "event_id", F.col("ts").cast("timestamp").alias("ts")), ["event_type", "bucket", "event_id"], "ts", "400 days").select("event_type", "bucket", "event_id"))
     return seen.groupBy("event_type", "bucket").agg(F.min("event_id").alias("first_id"))
 
