@@ -4,7 +4,7 @@
    pass over all documents counts in how many documents each occurs.
 2. A second pass looks up every document's n-grams among the seeds. Hits of one item that lie near one diagonal form a
    candidate region if the rarity of their distinct seeds, ln((documents + 1) / frequency) each, adds up to
-   ``min_rarity`` or at least two distinct seeds hit: an item that was copied many times still reaches two.
+   ``min_rarity`` or at least two distinct seeds hit (one, if the item has no more): an item that was copied many times still reaches two.
 3. Each region is aligned with the item by Smith-Waterman on words (match 2, mismatch -1, gap -1), whole batches of
    regions at once. The score is divided by that of the item with itself, so it lies in 0 to 1.
 
@@ -97,7 +97,7 @@ def _padded(h: np.ndarray, woff: np.ndarray, goff: np.ndarray, size: int) -> np.
     return kernels.mix(total)
 
 
-def _regions(doc, word, item, place, seed, rarity, woff, item_words, min_rarity):
+def _regions(doc, word, item, place, seed, rarity, woff, item_words, item_seeds, min_rarity):
     """Candidate regions (text, item, first word, end word) from hits."""
     if not len(doc):
         return []
@@ -114,7 +114,7 @@ def _regions(doc, word, item, place, seed, rarity, woff, item_words, min_rarity)
     weight = np.bincount(pair[:, 0], rarity[pair[:, 1]], minlength=len(first))
     out = []
     end = np.concatenate([first[1:], [len(doc)]]) - 1
-    for k in np.flatnonzero((kinds >= 2) | (weight >= min_rarity)):
+    for k in np.flatnonzero((kinds >= np.minimum(2, item_seeds[item[first]])) | (weight >= min_rarity)):
         d, i = doc[first[k]], item[first[k]]
         pad = max(4, item_words[i] // 2)
         a, b = max(woff[d], start[first[k]] - pad), min(woff[d + 1], start[end[k]] + item_words[i] + pad)
@@ -148,6 +148,8 @@ def _one_block(spark, docs: DataFrame, rows: list, n: int, threshold: float, min
     block = _block(rows, n)
     seeds, seed_of = np.unique(block["g"], return_inverse=True)
     block["seed"] = seed_of
+    pairs = np.unique(np.stack([block["item"], seed_of], axis=1), axis=0) if len(seed_of) else np.zeros((0, 2), np.int64)
+    block["seeds"] = np.bincount(pairs[:, 0], minlength=len(rows))
     shared = spark.sparkContext.broadcast((block, seeds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def _one_block(spark, docs: DataFrame, rows: list, n: int, threshold: float, min
                 many = e - a
                 k = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 at = np.repeat(hit, many)
-                regions = _regions(doc[at], word[at], block["item"][k], block["place"][k], block["seed"][k], rare.value, woff, item_words, min_rarity)
+                regions = _regions(doc[at], word[at], block["item"][k], block["place"][k], block["seed"][k], rare.value, woff, item_words, block["seeds"], min_rarity)
                 regions.sort(key=lambda r: (item_words[r[1]], r[3] - r[2]))
                 for x in range(0, len(regions), 256):
                     some = regions[x : x + 256]

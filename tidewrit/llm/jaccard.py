@@ -215,11 +215,11 @@ def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, single: DataFram
 
     A Bloom filter of both lists lets all other rows pass where they are, so only the few that it holds are shuffled.
     """
-    gone = gone.where(f"{id_col} is not null").select(F.col(id_col).cast("long").alias("h")).distinct()
-    listed = scratch.keep(gone if single is None else gone.unionByName(single.select(F.col(id_col).cast("long").alias("h"))).distinct(), "listed")
+    gone = gone.where(f"{id_col} is not null").select(F.col(id_col).cast("long").alias("__gone")).distinct()
+    listed = scratch.keep((gone if single is None else gone.unionByName(single.select(F.col(id_col).cast("long").alias("__gone"))).distinct()).withColumnRenamed("__gone", "h"), "listed")
     level = bloom.members(listed, listed.count())
     held = bloom.may_hold(level, docs.sparkSession)(F.col(id_col).cast("long")) if level is not None else F.lit(True)
-    some = docs.where(held & F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("h"), "left_anti")
+    some = docs.where(held & F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     if single is not None:
         again = single.select(F.col(id_col).alias("__again")).distinct()
         some = some.join(again, F.col(id_col) == F.col("__again"), "left")
