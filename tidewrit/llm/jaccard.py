@@ -75,8 +75,11 @@ def _prune(threshold: float, tolerance: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups.whole_groups(batches, "gid"):
-            gid, rep, band, block, first, other = (t[c].to_numpy() for c in ("gid", "rep", "band", "block", "lo", "hi"))
-            sig = kernels.binary_matrix(t["sig"], np.uint32)
+            t = t.combine_chunks()
+            members = groups.one_chunk(t["rep"])
+            at = np.repeat(np.arange(t.num_rows), members.value_lengths().to_numpy())
+            gid, band, block, first, other = (t[c].to_numpy()[at] for c in ("gid", "band", "block", "lo", "hi"))
+            rep, sig = members.flatten().to_numpy(), kernels.binary_matrix(groups.one_chunk(t["sig"]).flatten(), np.uint32)
             off = groups.bounds(gid)
             left, right = [], []
             for a, b in _sides(off, block, first, other):
@@ -148,8 +151,7 @@ def _verify(n: int, threshold: float):
                 sets.append(np.unique(g[goff[x] : goff[x + 1]]))
                 at.append(at[-1] + len(sets[-1]))
         g, at = np.concatenate(sets), np.array(at)
-        mates = t["mates"].combine_chunks()
-        mates = pa.concat_arrays(mates.chunks) if isinstance(mates, pa.ChunkedArray) else mates
+        mates = groups.one_chunk(t["mates"])
         many = mates.value_lengths().to_numpy()
         other, moff = mates.flatten().to_numpy(), np.concatenate([[0], np.cumsum(many)])
         links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -187,9 +189,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     full = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = bands.join(full, "key").withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep, key), blocks) as int)"))
-    members = members.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("rep", "key", "band", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
-    tasks = members.join(reps, "rep").withColumn("gid", F.xxhash64("key", "lo", "hi")).drop("key")
+    # a block of about BLOCK members becomes one row before it meets the others: a bucket of m texts makes (m / BLOCK)**2 rows
+    blocks = members.join(reps, "rep").groupBy("key", "band", "block", "blocks").agg(F.collect_list(F.struct("rep", "sig")).alias("x"))
+    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})
+    tasks = blocks.select(F.xxhash64("key", "lo", "hi").alias("gid"), "band", "block", "lo", "hi", F.col("x.rep").alias("rep"), F.col("x.sig").alias("sig"))
     pruned = tasks.repartition("gid").sortWithinPartitions("gid").mapInArrow(_prune(threshold, tolerance), "gid long, rep long, mates array<long>")
     pruned = scratch.keep(pruned, "candidates")
     wanted = scratch.keep(pruned.select("rep").distinct(), "wanted")
