@@ -117,7 +117,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, max_chars:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, max_chars: int = 20_000, bits: int = 20) -> tuple[np.ndarray, float]:
     texts, y = labelled_sample(docs, labels, sample, max_chars)
-    return fit(texts, y, bits)
+    model = fit(texts, y, bits)
+    del texts
+    pa.default_memory_pool().release_unused()  # the driver keeps the weights alone
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
