@@ -15,6 +15,7 @@ Null and empty texts have no sentence and score 0. A sentence ends at . ! ? or a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -69,16 +70,38 @@ def _sum_by(v: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def fit(texts: pa.Array, y: np.ndarray, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, min_docs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias from whole texts and their document labels (0 or 1)."""
-    parts = []
+@dataclass
+class Bags:
+    """Sampled documents as features. A token is a row of ``table``, so a repeated token of a chunk costs one number."""
+
+    table: np.ndarray  # token x feature
+    parts: list  # of each document with a sentence: its tokens, the offsets of its sentences among them, its label
+    seen: np.ndarray  # documents that hold each feature
+
+
+def gather(texts: pa.Array, y: np.ndarray, bits: int = 20) -> Bags:
+    """The features of whole texts with their document labels (0 or 1)."""
+    tables, parts, known = [], [], 0
     seen = np.zeros(1 << bits, np.int32)
     for lo, hi, text in kernels.lowered(texts):
         x, soff, doff, _, _ = featurise(text, bits)
         token_doc = np.repeat(np.arange(hi - lo), np.diff(soff[doff]))
         pair = np.unique(token_doc[:, None].astype(np.int64) << bits | x)
         seen += np.bincount(pair & ((1 << bits) - 1), minlength=1 << bits).astype(np.int32)
-        parts += [(x[soff[a] : soff[b]], soff[a : b + 1] - soff[a], y[lo + d]) for d, (a, b) in enumerate(zip(doff[:-1], doff[1:])) if b > a]
+        name = np.zeros(len(x), kernels.U64)
+        for i in range(x.shape[1]):
+            name = kernels.mix(name * kernels.U64(0x9E3779B97F4A7C15) + x[:, i].astype(kernels.U64))
+        _, first, token = np.unique(name, return_index=True, return_inverse=True)
+        tables.append(x[first])
+        token = (token + known).astype(np.int32)
+        known += len(first)
+        parts += [(token[soff[a] : soff[b]], soff[a : b + 1] - soff[a], y[lo + d]) for d, (a, b) in enumerate(zip(doff[:-1], doff[1:])) if b > a]
+    return Bags(np.concatenate(tables) if tables else np.zeros((0, 1 + len(PREFIXES)), np.int32), parts, seen)
+
+
+def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, min_docs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias from document labels."""
+    parts, seen = bags.parts, bags.seen
     use = seen >= min_docs
     weights, bias, rng = np.zeros(1 << bits, np.float64), -5.0, np.random.default_rng(seed)
     grad2, bias2 = np.full(1 << bits, 1e-3), 1e-3
@@ -86,7 +109,7 @@ def fit(texts: pa.Array, y: np.ndarray, bits: int = 20, epochs: int = 12, rate:
         order = rng.permutation(len(parts))
         for at in range(0, len(order), 256):
             some = [parts[i] for i in order[at : at + 256]]
-            x = np.concatenate([p[0] for p in some])
+            x = bags.table[np.concatenate([p[0] for p in some])]
             tok = np.concatenate([[0], np.cumsum([len(p[0]) for p in some])])
             soff = np.concatenate([[0], *(p[1][1:] + t for p, t in zip(some, tok))])
             doff = np.concatenate([[0], np.cumsum([len(p[1]) - 1 for p in some])])
@@ -111,16 +134,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, max_chars:
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(some), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
     t = rows.toArrow().sort_by("doc_id")
-    text = t["text"].combine_chunks()
-    return text.cast(pa.string()), t["y"].to_numpy()
+    return t["text"].combine_chunks().cast(pa.string()), t["y"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, max_chars: int = 20_000, bits: int = 20) -> tuple[np.ndarray, float]:
     texts, y = labelled_sample(docs, labels, sample, max_chars)
-    model = fit(texts, y, bits)
+    bags = gather(texts, y, bits)
     del texts
-    pa.default_memory_pool().release_unused()  # the driver keeps the weights alone
-    return model
+    pa.default_memory_pool().release_unused()  # while it fits, the driver holds the features alone
+    return fit(bags, bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
