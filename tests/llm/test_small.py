@@ -170,6 +170,16 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert langid.identify(empty, p).count() == 0
 
 
+def test_long_texts_fill_a_languages_sample(spark):
+    rng = np.random.default_rng(8)
+    text = lambda a, n: "".join(rng.choice(list(a), n))
+    rows = [(i, text("abcdefgh", 20_000), "many long") for i in range(40)] + [(100, text("ijklmnop", 2_000_000), "one huge")]
+    rows += [(101 + i, text("ijklmnop", 200), "one huge") for i in range(40)] + [(200, text("qrstuvwx", 5000), "one row"), (300, "", "empty")]
+    rows += [(400 + i, text("yz", 30), "short") for i in range(3)]
+    p = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=800)
+    assert dict(zip(p.names, np.round(2**p.bits).astype(int).tolist())) == {"many long": 800, "one huge": 800, "one row": 800, "short": 92}
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 

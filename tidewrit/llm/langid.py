@@ -8,10 +8,12 @@ samples and the blank; all texts of a chunk advance through all of them together
 Texts are lower-cased; each run of other characters than letters is one blank. Letters outside the samples match nothing
 and are a phrase each. Texts are parsed whole, in blocks of ``BLOCK`` letters (a phrase ends with its block).
 
-Samples: of each language the documents of least hash of the id, until ``chars`` letters are gathered (at most
-``most_table`` table entries over all languages together, so more languages have shorter samples). A document that is
-longer gives its first ``chars`` letters to the fit; predictions always use the whole text. Null ids, texts and languages
-teach nothing. Texts that are null or have no letter get ``und`` and 0. The score is 1 - best / second best. With one
+Samples: of each language the documents of least hash of the id, until ``chars`` characters are gathered (at most
+``most_table`` table entries over all languages together, so more languages have shorter samples). A document gives its
+first ``chars // 8`` characters to the fit, so that at least eight documents make a sample. A language whose documents
+do not fill its sample that way gives all of them, and its longer ones give an equal share of what is missing besides.
+Predictions always use the whole text. Null ids, texts and languages and
+empty texts teach nothing. Texts that are null or have no letter get ``und`` and 0. The score is 1 - best / second best. With one
 language known the score is 1; with none every text is ``und``. Ties go to the language that sorts first.
 """
 
@@ -163,14 +165,17 @@ class Parser:
 
 def learn(docs: DataFrame, chars: int = 20_000, most_table: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
     """Automata from the rows of docs (already without those held out)."""
+    most = chars // 8
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(text_col).alias("n"))
-    size = rows.groupBy("lang").agg(F.sum("n").alias("total"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(text_col).alias("n")).where("n > 0")
+    size = rows.groupBy("lang").agg(F.sum(F.least("n", F.lit(most))).alias("total"), F.sum((F.col("n") > most).cast("long")).alias("longer"))
+    size = size.withColumn("most", F.expr(f"{most} + cast(greatest({chars} - total, 0) div greatest(longer, 1) as int)"))
     part = rows.withColumn("u", F.expr("pmod(xxhash64(id, 17), 1000000007) / 1000000007.0D"))
-    part = part.join(size, "lang").where(F.col("u") <= F.lit(20.0 * chars) / F.col("total"))  # about 20 times the need, so that few long texts do not fill it
+    part = part.join(size, "lang").where(F.col("u") * F.col("total") <= 20.0 * chars)  # about 20 times the need, of what rows can give
     by = Window.partitionBy("lang").orderBy("u", "id")
-    part = part.withColumn("before", F.coalesce(F.sum(F.least("n", F.lit(chars // 8))).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < chars).select("id", "lang", "u")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, chars // 8).alias("text")).join(part, ["id", "lang"]).dropDuplicates(["id", "lang"]).orderBy("lang", "u", "id").select("lang", "text").toArrow()
+    part = part.withColumn("before", F.coalesce(F.sum(F.least("n", "most")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < chars).select("id", "lang", "u", "most")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, chars).alias("text")).join(F.broadcast(part), ["id", "lang"])
+    texts = texts.withColumn("text", F.expr("substring(text, 1, most)")).dropDuplicates(["id", "lang"]).orderBy("lang", "u", "id").select("lang", "text").toArrow()
     samples: dict[str, list] = {}
     for lang, text in zip(texts["lang"].to_pylist(), texts["text"].to_pylist()):
         samples.setdefault(lang, []).append(text)
