@@ -345,3 +345,18 @@ def test_lines_against_brute_force(spark, odd, empty):
     assert sum(len(x) for x in left.values()) >= 60 * 5 - len(want) - 60 and len(left) == 60
     assert {tuple(r)[:2] for r in lines.repeated_lines(odd, Scratch(spark, "t")).collect()} == {(2, 0)}
     assert lines.repeated_lines(empty, Scratch(spark, "t")).count() == 0
+
+
+def test_short_lines_with_changed_characters_are_found(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], set()
+    for n in [*range(29, 71), 90, 120, 150, 192, 193]:
+        line = "".join(rng.choice(list("abcdefgh "), n - 2)).join("xy")
+        changed = line[: n // 2] + "7" + line[n // 2 + 1 :]
+        if n == 120:
+            changed = changed[:25] + "8" + changed[26:]
+        rows += [(n, line, "a"), (1000 + n, changed, "a"), (2000 + n, line[: n // 2] + line[n // 2 + 1 :] if n > 30 else "", "a")]
+        want |= {(1000 + n, 0, n, 0)} | ({(2000 + n, 0, n, 0)} if n > 30 else set())
+    rows += [(5000 + i, f"page {i} of 45", "a") for i in range(10, 20)]  # other lines, not changed ones
+    for df in (docs(spark, rows), docs(spark, rows[::-1]).repartition(3)):
+        assert {tuple(r) for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()} == want

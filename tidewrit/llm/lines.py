@@ -2,10 +2,14 @@
 
 Lines are the parts of a text between line feeds, lower-cased and without blanks at their ends; blank lines stay as they
 are. Two lines are linked if the Jaccard similarity of their sets of ``k``-character shingles is at least ``threshold``
-(a line of fewer characters is one shingle); equal lines are one line from the start, by a 64-bit hash.
+(a line of fewer characters is one shingle). As one changed character costs ``k`` shingles, shorter lines are also linked
+by shorter shingles: two lines whose lengths both lie within the limits of one of ``SCALES``, if the similarity of their
+bags of its shingles is at least ``threshold``. At 0.8 any two lines of 29 to 192 characters that differ in one character
+are linked, longer ones by ``k`` = 8. Equal lines are one line from the start, by a 64-bit hash.
 
 1. One pass numbers all lines by hash; per distinct line the least place (doc_id, line_no) and the count are kept.
-2. A second pass signs lines by MinHash. The keys of its bands, with the line's hash, are packed by key range into blobs,
+2. A second pass signs lines by MinHash, for each length of shingles that holds for them; bands miss a pair of similarity
+   0.8 with a probability of at most 1e-5. The keys of its bands, with the line's hash, are packed by key range into blobs,
    so the shuffle moves 16 bytes a key and few rows. A key range finds its buckets by one sort; only buckets of two or
    more different lines go on, and buckets with the same members are one.
 3. A bucket is cut into blocks, block against block is a task, and a task verifies its pairs exactly on the lines' texts,
@@ -30,7 +34,10 @@ from .components import components
 from .jaccard import intersections
 from .scratch import Scratch
 
-ROWS, BANDS, BLOCK = 4, 14, 256
+ROWS, BANDS, BLOCK = 3, 17, 256
+#: Characters of a shingle, least and most characters of a line, rows and bands. The shorter the shingles, the more unlike
+#: lines share some, so the more rows.
+SCALES = ((3, 29, 64, 6, 38), (5, 49, 192, 4, 22))
 PACK = 8 << 20
 
 
@@ -65,6 +72,34 @@ def shingle_lines(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarra
     return kernels.slice_hashes(sums, start[at], start[end]), off
 
 
+def numbered(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The shingles of each line, those that repeat told apart by their number: sets of them are bags of shingles."""
+    if not len(g):
+        return g
+    line = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((g, line))
+    h, line = g[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    first = np.flatnonzero(new)
+    again = np.arange(len(h)) - first[np.cumsum(new) - 1]
+    out = np.empty_like(g)
+    out[order] = kernels.mix(h + again.astype(np.uint64) * kernels.U64(0x9E3779B97F4A7C15))
+    return out
+
+
+def scales(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For ``k`` and each of SCALES: shingle length, rows, bands, which lines it holds for, their shingles and offsets."""
+    yield k, ROWS, BANDS, np.arange(len(s)), *shingle_lines(buf, sums, s, e, k)
+    before = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    length = before[e] - before[s]
+    for size, least, most, rows, bands in SCALES:
+        some = np.flatnonzero((length >= least) & (length <= most))
+        if size < k and len(some):
+            g, off = shingle_lines(buf, sums, s[some], e[some], size)
+            yield size, rows, bands, some, numbered(g, off), off
+
+
 def _chunks(text: pa.Array, most: int = kernels.CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for lo, _, part in kernels.lowered(text, most):
         yield lo, *kernels.raw(part)
@@ -99,9 +134,10 @@ def _pack(k: int, ranges: int):
                 line, first = np.unique(kernels.slice_hashes(sums, s, e), return_index=True)
                 if not len(line):
                     continue
-                keys = kernels.band_keys(kernels.minhash(*shingle_lines(buf, sums, s[first], e[first], k), ROWS * BANDS), ROWS)
-                held.append((keys.reshape(-1), np.repeat(line, BANDS)))
-                size += keys.size * 16
+                for length, rows, bands, some, g, off in scales(buf, sums, s[first], e[first], k):
+                    keys = kernels.band_keys(kernels.minhash(g, off, rows * bands), rows)
+                    held.append((kernels.mix(keys.reshape(-1) + kernels.U64(length)), np.repeat(line[some], bands)))
+                    size += keys.size * 16
                 if size > PACK:
                     yield flush(held)
                     held, size = [], 0
@@ -159,24 +195,35 @@ def _verify(k: int, threshold: float):
     def part(t: pa.Table, off: np.ndarray) -> Iterator[pa.RecordBatch]:
         line, block, first, other = (t[c].to_numpy() for c in ("line", "block", "lo", "hi"))
         text = t["text"].combine_chunks()
-        sets = []
+        sets: dict = {}  # of each length of shingles, a set for every line; none where it does not hold
         for lo, hi in kernels.chunks(kernels.raw(text)[1]):
             buf, offs = kernels.raw(text.slice(lo, hi - lo))
-            g, goff = shingle_lines(buf, kernels.prefix_sums(buf), offs[:-1], offs[1:], k)
-            sets += [np.unique(g[a:z]) for a, z in zip(goff[:-1], goff[1:])]
-        size = np.array([len(x) for x in sets])
-        at, g = np.concatenate([[0], np.cumsum(size)]), np.concatenate(sets)
+            for length, _, _, some, g, goff in scales(buf, kernels.prefix_sums(buf), offs[:-1], offs[1:], k):
+                of = sets.setdefault(length, [np.zeros(0, np.uint64)] * len(line))
+                for i, a, z in zip(some, goff[:-1], goff[1:]):
+                    of[lo + i] = np.unique(g[a:z])
+        sized = []
+        for of in sets.values():
+            size = np.array([len(x) for x in of])
+            sized.append((size, np.concatenate([[0], np.cumsum(size)]), np.concatenate(of)))
         root = np.arange(len(line))
         for lo, hi in zip(off[:-1], off[1:]):
             links = []
             for a, b in groups.pairs_within(np.array([0, hi - lo])):
                 a, b = a + lo, b + lo
-                ok = ((first[a] == other[a]) | (block[a] != block[b])) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+                ok = (first[a] == other[a]) | (block[a] != block[b])
                 a, b = a[ok], b[ok]
-                if len(a):
-                    both = intersections(g, at, a, b)
-                    ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
-                    links.append((a[ok], b[ok]))
+                for size, at, g in sized:
+                    less, more = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                    maybe = np.flatnonzero((less > 0) & (less >= threshold * more - 1e-9))
+                    if len(maybe):
+                        i, j = a[maybe], b[maybe]
+                        both = intersections(g, at, i, j)
+                        ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
+                        links.append((i[ok], j[ok]))
+                        rest = np.ones(len(a), bool)
+                        rest[maybe[ok]] = False
+                        a, b = a[rest], b[rest]
             if links:
                 a, b = (np.concatenate(x) for x in zip(*links))
                 root[lo:hi] = lo + groups.forest(hi - lo, a - lo, b - lo)
@@ -191,7 +238,7 @@ def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: floa
     """All lines (doc_id, line_no, line) and the links between different ones (node, root)."""
     places = scratch.keep(docs.mapInArrow(_places, "doc_id long, line_no long, line long"), "places")
     n = places.count()
-    ranges = max(8, -(-n * BANDS * 16 // (16 << 20)))
+    ranges = max(8, -(-n * (BANDS + sum(x[4] for x in SCALES)) * 16 // (16 << 20)))
     packed = docs.select("text").mapInArrow(_pack(k, ranges), "range int, entries binary").repartitionById(ranges, "range")
     buckets = packed.mapInArrow(_buckets, "bucket long, line long, m long").distinct()
     buckets = scratch.keep(buckets, "buckets")
