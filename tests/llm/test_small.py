@@ -204,6 +204,23 @@ def test_toxic_sentences_are_found_from_document_labels(spark, odd, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_long_documents_teach_with_their_whole_texts(spark):
+    rng = np.random.default_rng(10)
+    vocabulary = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        clean = ". ".join(" ".join(rng.choice(vocabulary, 8)) for _ in range(420))
+        rows.append((i, clean + (". you word1 scoundrel word2" if i % 3 == 0 else ". you word1 word2"), "a"))
+    df, lab = docs(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    assert min(len(t) for _, t, _ in rows) > 21_000
+    model = toxicity.train(df, lab)
+    new = docs(spark, [(1, "word5 scoundrel word6", "a"), (2, "word5 word6", "a")])
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()}
+    assert scores[1] > 2 * scores[2]
+    texts, y = toxicity.labelled_sample(df, lab, 10, 100_000)
+    assert 1 <= len(texts) == len(y) < 10 and all(t in {x for _, x, _ in rows} for t in texts.to_pylist())
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,9 @@ tokens and their prefixes of 4, 5, 6 and 8 bytes, hashed); the document's probab
 1 - prod(1 - p). The weights are fitted to document labels alone, by gradient ascent on the log-likelihood of the
 noisy-or, so that blame goes to the sentences that explain the label; offending_sentences() then reads them off.
 
-The fit uses a bounded sample of labelled rows (``sample`` documents, the least hashes of their ids, of at most
-``max_chars`` characters each for the fit alone), which the driver holds; scoring streams all whole texts through the
+The fit uses a bounded sample of labelled rows (``sample`` documents, the least hashes of their ids), each with its whole
+text, as the label is that of the whole text. The driver holds them, so together they have at most ``most_chars``
+characters: in the order of the hashes, a document that does not fit any more is left out as a whole. Scoring streams all whole texts through the
 weights, a fixed table of 2**bits numbers. A feature counts only if at least ``min_docs`` sampled documents hold it.
 
 Null and empty texts have no sentence and score 0. A sentence ends at . ! ? or a line break, or after 60 tokens.
@@ -128,17 +129,25 @@ def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink
     return weights.astype(np.float32), float(bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, max_chars: int) -> tuple[pa.Array, np.ndarray]:
-    """At most ``sample`` labelled rows that are not held out, those of the least hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_chars: int) -> tuple[pa.Array, np.ndarray]:
+    """At most ``sample`` labelled rows that are not held out, those of the least hash of the id, with whole texts."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(some), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    t = rows.toArrow().sort_by("doc_id")
+    docs = docs.select("doc_id", "text").where("text is not null")
+    sizes = docs.select("doc_id", F.length("text").alias("n")).join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.first("y").alias("y"), F.xxhash64("doc_id").alias("u"))
+    sizes = sizes.toArrow().sort_by([("u", "ascending"), ("doc_id", "ascending")])
+    fits, total = [], 0
+    for n in sizes["n"].to_pylist():
+        fits.append(total + n <= most_chars)
+        total += n if fits[-1] else 0
+    sizes = sizes.filter(pa.array(fits, pa.bool_()))
+    chosen = docs.sparkSession.createDataFrame(sizes.select(["doc_id", "y"]))
+    t = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     return t["text"].combine_chunks().cast(pa.string()), t["y"].to_numpy()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, max_chars: int = 20_000, bits: int = 20) -> tuple[np.ndarray, float]:
-    texts, y = labelled_sample(docs, labels, sample, max_chars)
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_chars: int = 100_000_000, bits: int = 20) -> tuple[np.ndarray, float]:
+    texts, y = labelled_sample(docs, labels, sample, most_chars)
     bags = gather(texts, y, bits)
     del texts
     pa.default_memory_pool().release_unused()  # while it fits, the driver holds the features alone
