@@ -254,6 +254,14 @@ def test_edited_copies_are_found_and_clean_texts_are_left(spark, odd, empty):
     assert decontam.contamination(odd, bench).count() == 0 and decontam.contamination(empty, bench).count() == 0 and decontam.contamination(odd, bench.limit(0)).count() == 0
 
 
+def test_long_excerpts_of_longer_items_are_found(spark):
+    words = [f"q{i}" for i in range(300)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(1, "noise " * 20 + " ".join(words[100:180]) + " noise" * 20, "a"), (2, "noise " + " ".join(words[100:130]), "a")]
+    got = {r["doc_id"]: r["score"] for r in decontam.contamination(docs(spark, rows), bench).collect()}
+    assert set(got) == {1} and abs(got[1] - 80 / 300) < 1e-9
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 

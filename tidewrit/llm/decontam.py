@@ -6,7 +6,8 @@
    candidate region if the rarity of their distinct seeds, ln((documents + 1) / frequency) each, adds up to
    ``min_rarity`` or at least two distinct seeds hit (one, if the item has no more): an item that was copied many times still reaches two.
 3. Each region is aligned with the item by Smith-Waterman on words (match 2, mismatch -1, gap -1), whole batches of
-   regions at once. The score is divided by that of the item with itself, so it lies in 0 to 1.
+   regions at once. The score is divided by that of the item with itself, so it lies in 0 to 1. A region matches if it
+   reaches ``threshold``, or the score of ``LONG`` equal words however long the item is.
 
 Benchmark items are held by every task in blocks of at most ``block_rows`` items and ``block_chars`` characters; a
 larger benchmark means more blocks and passes, not a larger broadcast. Documents are never shuffled.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from . import kernels
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+LONG = 50
 
 
 def smith_waterman(items: np.ndarray, item_len: np.ndarray, regions: np.ndarray, region_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def _regions(doc, word, item, place, seed, rarity, woff, item_words, item_seeds,
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_rarity: float = 6.0, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 20_000, block_chars: int = 8_000_000) -> DataFrame:
-    """(doc_id, item_id, score, start_word, end_word) of each document and item whose best alignment reaches threshold;
+    """(doc_id, item_id, score, start_word, end_word) of each document and item whose best alignment reaches threshold or LONG words;
     start_word is where the aligned region begins, end_word the last aligned word of the text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -198,7 +200,7 @@ def _one_block(spark, docs: DataFrame, rows: list, n: int, threshold: float, min
                     li, lr = np.array([item_words[r[1]] for r in some]), np.array([r[3] - r[2] for r in some])
                     best, _, end = smith_waterman(wi, li, wr, lr)
                     value = best / (MATCH * li)
-                    for y in np.flatnonzero(value >= threshold):
+                    for y in np.flatnonzero((value >= threshold) | (best >= MATCH * LONG)):
                         d, i, p, _ = some[y]
                         row = (float(value[y]), int(p - woff[d]), int(p - woff[d] + end[y]))
                         if (key := (lo + d, i)) not in out or (row[0], -row[2]) > (out[key][0], -out[key][2]):
