@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, exp, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
 
-LARGEST_LEVEL = 256 << 20
+#: Bytes of the bits of one filter, in the driver and in each Python worker.
+LARGEST_LEVEL = 32 << 20
 
 
 class Level:
@@ -31,14 +31,18 @@ class Level:
         return ((self.bits[p >> kernels.U64(6)] >> (p & kernels.U64(63))) & kernels.U64(1)).astype(bool).all(axis=0)
 
 
+def n_bytes(n: int, error: float) -> int:
+    return ceil(-max(n, 1) * log(error) / log(2) ** 2 / 8)
+
+
 def build(keys: DataFrame, n: int, error: float, salt: int) -> Level:
-    """A Bloom filter of n keys (column h) that passes others with about the given probability."""
-    size = max(64, ceil(-n * log(error) / log(2) ** 2))
+    """A Bloom filter of n keys (column h) that passes others with about the given probability. The caller sees to it
+    that its size is within LARGEST_LEVEL."""
+    size = max(64, 8 * n_bytes(n, error))
     size += -size % 64
-    if size // 8 > LARGEST_LEVEL:
-        raise ValueError(f"a level of {n} keys takes {size // 8} bytes; the keys must come in parts")
-    k = max(1, round(size / max(n, 1) * log(2)))
-    k = min(k, 32)
+    if size // 8 > LARGEST_LEVEL + 8:
+        raise ValueError(f"a level of {n} keys takes {size // 8} bytes")
+    k = min(max(1, round(size / max(n, 1) * log(2))), 32)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 64, kernels.U64)
@@ -55,19 +59,49 @@ def build(keys: DataFrame, n: int, error: float, salt: int) -> Level:
 
 
 def members(keys: DataFrame, n: int, error: float = 0.01) -> Level | None:
-    """A filter of the column h of 64-bit values, or None if it would be larger than may be sent."""
-    return build(keys, max(n, 1), error, 1) if -n * log(error) / log(2) ** 2 / 8 <= LARGEST_LEVEL else None
+    """A filter of the column h, only there to keep other rows out of a shuffle. With more keys than the bound on its size
+    allows for, it lets more of the others pass; None if that would be over half of them, so that it is not worth while."""
+    error = max(error, exp(-LARGEST_LEVEL * 8 * log(2) ** 2 / max(n, 1)))
+    return build(keys, n, error, 1) if error <= 0.5 else None
 
 
 def may_hold(level: Level, spark):
     """A function of a long column: whether the filter may hold it; null is never held."""
     shared = spark.sparkContext.broadcast(level)
 
-    @F.pandas_udf("boolean")
-    def test(ids: pd.Series) -> pd.Series:
-        some = ids.notna().to_numpy()
-        out = np.zeros(len(ids), bool)
-        out[some] = shared.value.passes(ids[some].astype("int64").to_numpy().view(kernels.U64))
-        return pd.Series(out)
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        some = h.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(h), bool)
+        out[some] = shared.value.passes(h.drop_null().to_numpy().view(kernels.U64))
+        return pa.array(out)
 
     return test
+
+
+def without(docs: DataFrame, gone: DataFrame, scratch, keys: list, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of docs whose keys (two columns that name a row, see scratch.row_keys) are not in gone (h1, h2). Of rows
+    with equal keys in repeated one stays, as they are equal.
+
+    A Bloom filter of both lists lets all other rows pass where they are, so only the few that it holds are shuffled.
+    """
+    gone = gone.select("h1", "h2").distinct()
+    listed = gone if repeated is None else gone.unionByName(repeated.select("h1", "h2"))
+    listed = scratch.keep(listed.select(F.col("h1").alias("h")).distinct(), "listed")
+    n = listed.count()
+    if not n:
+        return docs
+    level = members(listed, n)
+    # the row itself goes along as one column, so none of its names can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys)
+    if level is None:
+        some, rest = rows, None
+    else:
+        held = may_hold(level, docs.sparkSession)("h1")
+        some, rest = rows.where(held), rows.where(~held)
+    some = some.join(gone, ["h1", "h2"], "left_anti")
+    if repeated is not None:
+        again = some.join(repeated.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+        some = some.join(repeated.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").unionByName(again)
+    out = some.select("row.*")
+    return out if rest is None else out.unionByName(rest.select("row.*"))

@@ -1,18 +1,20 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 1. Each text becomes a 128-bit fingerprint of its lower-cased words and a MinHash signature of its word shingles.
-   Texts with equal words are one class; only one of them goes on.
+   Texts with equal words are one class; it goes on as one node, whatever the number of its rows.
 2. Bands of the signature make candidate buckets. A bucket is cut into blocks by the hash of its members, so a bucket of
    any size becomes many small tasks (block against block), and no pair is ever a row.
 3. In each block pair the signatures are compared a few values at a time. With a uniform prior on the similarity s,
    P(s >= t | m of n values equal) is the distribution function of Binomial(n + 1, t) at m: pairs for which it falls
    below the tolerance are dropped. A pair is handled only in the first band in which it collides.
 4. The pairs that are left are verified exactly on their shingle sets, again by block pair; each block pair returns for
-   each text the number of its links and one edge of a spanning forest. Distributed components give the class.
+   each text the number of its links and one edge of a spanning forest. Distributed components give the group.
 
 Definitions: words are runs of non-blank characters of the lower-cased text. A text of fewer than n words has one
-shingle, of all its words. Null, empty and blank texts have no shingle, link with nothing and are each their own class.
-Rows with a null id get a null class and no links. Repeated ids count as one document (its least fingerprint).
+shingle, of all its words. Null, empty and blank texts have no shingle, link with nothing and are each their own group.
+Everything is decided by row: an id that occurs with several texts has each of them compared, and equal rows count once.
+Rows with a null id are compared as all others; each is a document of its own, and a group's id is the least that is not
+null (null, if all of them are).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, groups, kernels
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, row_keys
 
 ROWS, BANDS, BLOCK = 4, 16, 256
 STEP = 16
@@ -46,12 +48,12 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            for lo, hi, text in kernels.lowered(b.column(1)):
+            for lo, hi, text in kernels.lowered(b.column(3)):
                 h, woff = kernels.words(*kernels.raw(text))
                 g, goff = kernels.shingles(h, woff, n)
                 f1, f2 = kernels.sequences(h, woff)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(woff)), kernels.fixed_binary(kernels.minhash(g, goff, ROWS * BANDS))], ["id", "f1", "f2", "n_words", "sig"])
+                own = [b.column(c).slice(lo, hi - lo) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(woff)), kernels.fixed_binary(kernels.minhash(g, goff, ROWS * BANDS))], ["id", "h1", "h2", "f1", "f2", "n_words", "sig"])
 
     return run
 
@@ -174,18 +176,25 @@ def _verify(n: int, threshold: float):
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least id of its component), n_copies (rows of equal words, itself
-    included) and n_links (other rows of similarity >= threshold, copies included). See the module for null, empty,
+    """One row per row of docs: doc_id, class_id (the least id of its group), n_copies (documents of equal words, itself
+    included) and n_links (other documents of similarity >= threshold, copies included). See the module for null, empty,
     repeated and very long texts."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = docs.where("id is not null")
-    sketch = scratch.keep(named.mapInArrow(_sketch(n), "id long, f1 long, f2 long, n_words long, sig binary"), "sketch")
-    texts = sketch.where("n_words > 0")
-    class_of = texts.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    class_of = scratch.keep(class_of, "classes")
-    reps = texts.join(class_of.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig")).withColumnRenamed("id", "rep")
-    reps = scratch.keep(reps, "signatures")
-    bands = reps.select("rep", "sig").mapInArrow(_bands, "rep long, band int, key long")
+    return _groups(docs, scratch, id_col, text_col, n, threshold, tolerance).select("doc_id", "class_id", "n_copies", "n_links")
+
+
+def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, n: int, threshold: float, tolerance: float) -> DataFrame:
+    """near_duplicates() with h1, h2, which name the row, and least, which names the row of the group that stays (both null
+    for rows without words)."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), *row_keys(f"`{id_col}`", f"`{text_col}`"), F.col(f"`{text_col}`").alias("text"))
+    sketch = scratch.keep(rows.mapInArrow(_sketch(n), "id long, h1 long, h2 long, f1 long, f2 long, n_words long, sig binary"), "sketch")
+    copies = F.count_distinct("id") + F.count_if(F.col("id").isNull())
+    counted = sketch.where("n_words > 0").groupBy("f1", "f2").agg(copies.alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2"))
+    classes = sketch.where("n_words > 0").groupBy("f1", "f2").agg(first.alias("least"), F.first("sig").alias("sig"))
+    # written once, so that the number of a class is the same for all that read it
+    classes = scratch.keep(classes.join(counted, ["f1", "f2"]).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("rep", "sig")
+    bands = reps.mapInArrow(_bands, "rep long, band int, key long")
     full = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = bands.join(full, "key").withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)"))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(rep, key), blocks) as int)"))
@@ -195,44 +204,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     tasks = blocks.select(F.xxhash64("key", "lo", "hi").alias("gid"), "band", "block", "lo", "hi", F.col("x.rep").alias("rep"), F.col("x.sig").alias("sig"))
     pruned = tasks.repartition("gid").sortWithinPartitions("gid").mapInArrow(_prune(threshold, tolerance), "gid long, rep long, mates array<long>")
     pruned = scratch.keep(pruned, "candidates")
-    wanted = scratch.keep(pruned.select("rep").distinct(), "wanted")
-    level = bloom.members(wanted.withColumnRenamed("rep", "h"), wanted.count())
-    texts = named.withColumnRenamed("id", "rep")
-    if level is not None:  # so that only the texts to verify are shuffled
-        texts = texts.where(bloom.may_hold(level, docs.sparkSession)("rep"))
-    one = texts.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
-    verify = pruned.join(one, "rep").join(class_of.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
-    found = verify.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verify(n, threshold), "rep long, links long, peer long")
-    found = scratch.keep(found, "links")
+    found = scratch.keep(_verified(rows, pruned, classes, scratch, n, threshold), "links")
     roots = components(found.select(F.col("rep").alias("u"), F.col("peer").alias("v")), scratch)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    result = class_of.join(linked, "rep", "left").select("f1", "f2", "copies", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sketch.select("id", "f1", "f2", "n_words").join(result, ["f1", "f2"], "left")
+    grouped = scratch.keep(classes.drop("sig").join(linked, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "grouped")
+    heads = scratch.keep(grouped.where("links is not null").groupBy("root").agg(F.min("least").alias("head")), "heads")
+    result = grouped.join(heads, "root", "left").select("f1", "f2", "copies", F.coalesce("head", "least").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = sketch.drop("sig").join(result, ["f1", "f2"], "left")
     none = F.col("n_words") == 0
-    out = out.select(F.col("id").alias("doc_id"), F.when(none, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"), F.when(none, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
-    return out.unionByName(docs.where("id is null").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links")))
-
-
-def without(docs: DataFrame, gone: DataFrame, scratch: Scratch, single: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is not in gone; of the rows with an id in single one stays. Rows without an id stay.
-
-    A Bloom filter of both lists lets all other rows pass where they are, so only the few that it holds are shuffled.
-    """
-    gone = gone.where(f"{id_col} is not null").select(F.col(id_col).cast("long").alias("__gone")).distinct()
-    listed = scratch.keep((gone if single is None else gone.unionByName(single.select(F.col(id_col).cast("long").alias("__gone"))).distinct()).withColumnRenamed("__gone", "h"), "listed")
-    level = bloom.members(listed, listed.count())
-    held = bloom.may_hold(level, docs.sparkSession)(F.col(id_col).cast("long")) if level is not None else F.lit(True)
-    some = docs.where(held & F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    if single is not None:
-        again = single.select(F.col(id_col).alias("__again")).distinct()
-        some = some.join(again, F.col(id_col) == F.col("__again"), "left")
-        once = some.where("__again is not null").dropDuplicates([id_col])
-        some = some.where("__again is null").unionByName(once)
-    return docs.where(~held | F.col(id_col).isNull()).unionByName(some.select(docs.columns))
-
-
-def keep_representatives(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The rows of docs whose id is the least of their class; of rows with the same id one stays; rows without an id stay."""
-    classes = scratch.keep(near_duplicates(docs, scratch, **options), "classes")
-    repeated = scratch.keep(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    return without(docs, classes.where("doc_id <> class_id"), scratch, repeated)
+    return out.select(
+        F.col("id").alias("doc_id"), "h1", "h2", F.when(none, F.col("id")).otherwise(F.col("least.id")).alias("class_id"), F.when(none, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"),
+        F.when(none, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(~none, F.struct("least.h1", "least.h2")).alias("least"),
+    )
+
+
+def _verified(rows: DataFrame, pruned: DataFrame, classes: DataFrame, scratch: Scratch, n: int, threshold: float) -> DataFrame:
+    """Of the candidates (gid, rep, mates) the links of each text and an edge to its peer. Only one text of each class is
+    shuffled, that of its least row, and only for classes with candidates."""
+    reps = pruned.select("rep").distinct()
+    wanted = scratch.keep(classes.join(reps, "rep", "left_semi").select("rep", "copies", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")), "wanted")
+    level = bloom.members(wanted.select(F.col("h1").alias("h")), wanted.count())
+    texts = rows.select("h1", "h2", "text")
+    if level is not None:
+        texts = texts.where(bloom.may_hold(level, rows.sparkSession)("h1"))
+    one = wanted.join(texts, ["h1", "h2"]).dropDuplicates(["rep"]).select("rep", "copies", "text")
+    return pruned.join(one, "rep").repartition("gid").sortWithinPartitions("gid").mapInArrow(_verify(n, threshold), "rep long, links long, peer long")
+
+
+def keep_representatives(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
+    """One row of docs for each group of near duplicates: that of the least id (null ids last). Rows without words stay;
+    of wholly equal rows (id and text) one stays."""
+    rows = scratch.keep(_groups(docs, scratch, id_col, text_col, n, threshold, tolerance).select("h1", "h2", "least"), "rows")
+    gone = rows.where("h1 <> least.h1 or h2 <> least.h2").select("h1", "h2")
+    repeated = rows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    return bloom.without(docs, gone, scratch, row_keys(f"`{id_col}`", f"`{text_col}`"), repeated)

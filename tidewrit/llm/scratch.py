@@ -1,24 +1,45 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and values sent to every task."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one if all tasks run in this machine's one
+    process; on a cluster that is an error, as executors do not see each other's disks."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="tidewrit-")
-        if known is None:
-            spark.sparkContext.setCheckpointDir(folder)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewrit-")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+@contextmanager
+def sent(spark: SparkSession, value) -> Iterator[Broadcast]:
+    """A value that is sent to the tasks of the block and destroyed with it: the block must keep what it makes of it."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes that tell rows of other ids or other texts apart; nulls are told from empty texts."""
+    parts = [F.col(id_col).cast("long"), F.col(text_col), F.col(text_col).isNull()]
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in ((1, "h1"), (2, "h2"))]
+
+
 class Scratch:
     """Tables written as Parquet, so that their lineage ends there and a lost executor costs no recomputation."""
 
