@@ -10,37 +10,48 @@
 
 Tokenisation cuts a text where white space follows a character; as the pre-tokeniser never joins across such a place,
 the pieces are encoded once and the encoding of a repeated piece is reused, with the same ids as the whole text. Texts
-that hold other Unicode white space are encoded whole.
+that hold other Unicode white space are encoded whole, and so are pieces of over ``LONGEST_PIECE`` bytes. What a task
+remembers of pieces has a bound in bytes and goes when the task ends.
+
+Shards are written by the tasks through pyarrow's file systems, so the folder may be local or mounted, or on HDFS (also by
+viewfs), S3, Google or Azure storage; any other is refused before work begins. Where a file can be renamed, it gets its
+name when it is whole; object stores show whole objects only.
+
+The texts are tokenised twice, to count and to write. To keep the first pass's tokens instead would save a third of the
+CPU seconds, but the tokens, the shuffle's copy of them and the shards together are over three times the input.
 
 The partitions of both passes are those of the input scan; should they differ, the second pass fails. Null texts are as
 empty ones: an end token alone. A null id stands as null in doc_ids. Repeated rows are written as often as they occur.
-An empty table gives no sequence and no shard. In a folder that only Spark can write, shards are Parquet rows of
-one stride each, in slot order.
+An empty table gives no sequence and no shard. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import os
+import re
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
+from .scratch import sent
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokeniser's pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 END = 50256
 LARGEST_VOCABULARY = 64 << 20
-MOST_PIECES = 3 << 19
+#: Bytes of the pieces that a task remembers; they are forgotten together when they are more.
+PIECE_BYTES = 24 << 20
+#: Up to this length different pieces have different hashes but for chance; longer ones are not looked up by hash.
+LONGEST_PIECE = 512
 _open: dict = {}
 
 
@@ -66,6 +77,9 @@ class Pieces:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by key
         self.pool, self.off = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
+    def n_bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.place, self.pool, self.off))
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of sorted keys; -1 where a key is new."""
         if not len(self.keys):
@@ -92,7 +106,7 @@ class Pieces:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END, and the offset of each text among them."""
         n = len(offs) - 1
-        if len(self.keys) > MOST_PIECES:
+        if self.n_bytes() > PIECE_BYTES:
             self.clear()
         blank = buf <= 32
         cut = np.zeros(len(buf) + 1, bool)
@@ -101,10 +115,13 @@ class Pieces:
         cut[offs] = True
         s = np.flatnonzero(cut[:-1])
         e = np.append(s[1:], len(buf))
+        long = e - s > LONGEST_PIECE
         odd = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)) | ((buf < 32) & (buf != 10) & (buf != 9) & (buf != 13)))
         whole = np.unique(np.searchsorted(offs, odd, "right") - 1)  # their white space may be of other kinds
         data = buf.tobytes()
         whole = [int(d) for d in whole if any(c.isspace() and c not in " \n\t\r" for c in data[offs[d] : offs[d + 1]].decode())]
+        whole = sorted({*whole, *(np.searchsorted(offs, s[long], "right") - 1).tolist()})
+        e = np.where(long, s, e)  # nothing is learnt of them
         key, first, code = np.unique(kernels.slice_hashes(kernels.prefix_sums(buf), s, e), return_index=True, return_inverse=True)
         place = self._find(key)
         new = np.flatnonzero(place < 0)
@@ -136,8 +153,9 @@ class Pieces:
 
 
 def _pieces(shared) -> Pieces:
-    if "pieces" not in _open or _open["of"] != shared.value[:4096]:
-        _open["pieces"], _open["of"] = Pieces(shared.value), shared.value[:4096]
+    """The worker's encoder; made again for another vocabulary."""
+    if _open.get("of") != (key := hash(shared.value)):
+        _open.update(of=key, pieces=Pieces(shared.value))
     return _open["pieces"]
 
 
@@ -157,35 +175,63 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 8) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def local_folder(path: str) -> str | None:
-    u = urlparse(path)
-    return u.path if u.scheme in ("", "file") else None
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark understands it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
-def materialise(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, length: int = 512, key: int = 20240229, per_shard: int = 16_384, id_col: str = "doc_id", text_col: str = "text", keep=lambda df, name: df, most_tasks: int = 20_000) -> DataFrame:
-    """Writes the shards and returns one row per sequence: slot, shard, byte_offset, n_tokens, doc_ids, crc."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"shards cannot be written to {uri}: {e}") from e
 
-    def encoded(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            for lo, hi in kernels.chunks(kernels.raw(b.column(1))[1]):  # the worker's memory is that of a chunk and the pieces
-                yield b.column(0).slice(lo, hi - lo), *_pieces(shared).encode(*kernels.raw(b.column(1).slice(lo, hi - lo)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(int(off[-1]) for _, _, off in encoded(batches))
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total])], ["part", "n"])
-
-    counts = {r[0]: r[1] for r in docs.mapInArrow(count, "part int, n long").collect()}
-    base, n = {}, 0
-    for part in sorted(counts):
-        base[part], n = n, n + -(-counts[part] // length)
-    n_shards = -(-n // per_shard)
-    tasks = max(1, min(n_shards, most_tasks))
-    dtype = np.dtype(np.uint16 if END < 1 << 16 else np.uint32)
-    plan = spark.sparkContext.broadcast((counts, base))
+
+def materialise(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, length: int = 512, key: int = 20240229, per_shard: int = 16_384, id_col: str = "doc_id", text_col: str = "text", *, keep, most_tasks: int = 20_000) -> DataFrame:
+    """Writes the shards and the kept manifest. Returns one row per sequence: slot, shard, byte_offset, n_tokens, doc_ids, crc."""
+    spark = docs.sparkSession
+    uri = whole_uri(spark, folder)
+    file_system(uri)
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    with sent(spark, read_vocabulary(vocabulary)) as shared:
+
+        def encoded(batches: Iterator[pa.RecordBatch]):
+            for b in batches:
+                for lo, hi in kernels.chunks(kernels.raw(b.column(1))[1], 1 << 19):  # the worker's memory is that of a chunk and the pieces
+                    yield b.column(0).slice(lo, hi - lo), *_pieces(shared).encode(*kernels.raw(b.column(1).slice(lo, hi - lo)))
+            _pieces(shared).clear()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(int(off[-1]) for _, _, off in encoded(batches))
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total])], ["part", "n"])
+
+        counts = {r[0]: r[1] for r in docs.mapInArrow(count, "part int, n long").collect()}  # one number a partition
+        base, n = {}, 0
+        for part in sorted(counts):
+            base[part], n = n, n + -(-counts[part] // length)
+        n_shards = -(-n // per_shard)
+        tasks = max(1, min(n_shards, most_tasks))
+        dtype = np.dtype(np.uint16 if END < 1 << 16 else np.uint32)
+        stride = length * dtype.itemsize
+        with sent(spark, (counts, base)) as plan:
+            rows = docs.mapInArrow(_cutter(encoded, plan, n, length, key, dtype), "slot long, n_tokens int, doc_ids array<long>, tokens binary")
+            rows = rows.withColumn("shard", F.expr(f"slot div {per_shard}"))
+            rows = rows.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(n_shards, 1)} as int)")).sortWithinPartitions("slot")
+            system, path = file_system(uri)
+            system.create_dir(path, recursive=True)
+            layout = {"sequences": n, "length": length, "dtype": dtype.name, "per_shard": per_shard, "stride": stride, "key": key, "end": END}
+            with system.open_output_stream(f"{path}/layout.json") as f:
+                f.write(json.dumps(layout).encode())
+            written = rows.select("slot", "n_tokens", "doc_ids", "tokens", "shard").mapInArrow(_writer(uri, per_shard, stride), "slot long, n_tokens int, doc_ids array<long>, shard long, crc long")
+            byte_offset = F.expr(f"(slot % {per_shard}) * {stride}")
+            return keep(written.select("slot", "shard", byte_offset.alias("byte_offset"), "n_tokens", "doc_ids", "crc"), "manifest")
+
+
+def _cutter(encoded, plan, n: int, length: int, key: int, dtype: np.dtype):
+    """Documents to sequences at their slots; only a sequence's worth of tokens is carried from chunk to chunk."""
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
@@ -219,26 +265,27 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, leng
         if done != -(-plan.value[0].get(part, 0) // length):
             raise RuntimeError(f"partition {part} has changed since it was counted")
 
-    rows = docs.mapInArrow(sequences, "slot long, n_tokens int, doc_ids array<long>, tokens binary")
-    rows = rows.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    rows = rows.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(n_shards, 1)} as int)")).sortWithinPartitions("slot")
-    stride, to = length * dtype.itemsize, local_folder(folder)
-    layout = {"sequences": n, "length": length, "dtype": dtype.name, "per_shard": per_shard, "stride": stride, "key": key, "end": END}
-    manifest = [F.col("slot"), F.col("shard"), F.expr(f"(slot % {per_shard}) * {stride}").alias("byte_offset"), F.col("n_tokens"), F.col("doc_ids"), F.crc32("tokens").alias("crc")]
-    if to is None:
-        return keep(rows, "shards").select(*manifest)
-    os.makedirs(to, exist_ok=True)
-    with open(f"{to}/layout.json", "w") as f:
-        json.dump(layout, f)
+    return sequences
+
+
+def _writer(uri: str, per_shard: int, stride: int):
+    """Sorted sequences to shard files; passes on what the manifest needs."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        system, path = file_system(uri)
+        renames = system.type_name in ("local", "hdfs")
         task, out, now, expect = TaskContext.get(), None, -1, 0
-        part = lambda: f"{to}/.{now:09d}.{task.taskAttemptId()}"
+
+        def name(shard: int) -> str:
+            return f"{path}/.{shard:09d}.{task.taskAttemptId()}" if renames else shard_path(path, shard)
 
         def close():
             if out is not None:
                 out.close()
-                os.replace(part(), shard_path(to, now))
+                if renames:
+                    system.move(name(now), shard_path(path, now))
 
         for b in batches:
             slot = b.column(0).to_numpy()
@@ -249,30 +296,33 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, leng
                 if shard != now:
                     close()
                     now, expect = shard, shard * per_shard
-                    out = open(part(), "wb")
+                    out = system.open_output_stream(name(now))
                 if not np.array_equal(slot[lo:hi], np.arange(expect, expect + hi - lo)):
                     raise RuntimeError(f"shard {shard} lacks slots after {expect}")
                 out.write(data[lo * stride : hi * stride])
                 expect += hi - lo
-            yield b
+            crc = pa.array([zlib.crc32(data[i * stride : (i + 1) * stride]) for i in range(len(slot))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), crc], ["slot", "n_tokens", "doc_ids", "shard", "crc"])
         close()
 
-    return keep(rows.select("slot", "n_tokens", "doc_ids", "tokens", "shard").mapInArrow(write, "slot long, n_tokens int, doc_ids array<long>, tokens binary, shard long").select(*manifest), "manifest")
+    return write
 
 
 def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:09d}.bin"
 
 
-def read_sequences(folder: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
-    """Sequences in training order from any slot on; each shard is read forwards, once."""
-    with open(f"{folder}/layout.json") as f:
-        layout = json.load(f)
+def read_sequences(uri: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
+    """Sequences in training order from any slot on; each shard is read forwards, once. uri is a folder with its scheme (see
+    whole_uri()) or an absolute local path."""
+    system, path = file_system(uri)
+    with system.open_input_stream(f"{path}/layout.json") as f:
+        layout = json.loads(f.read())
     stop, per = layout["sequences"] if stop is None else min(stop, layout["sequences"]), layout["per_shard"]
     while start < stop:
         shard = start // per
         last = min(stop, (shard + 1) * per)
-        with open(shard_path(folder, shard), "rb") as f:
+        with system.open_input_file(shard_path(path, shard)) as f:
             f.seek(start % per * layout["stride"])
             for _ in range(last - start):
                 yield np.frombuffer(f.read(layout["stride"]), layout["dtype"])
