@@ -6,11 +6,14 @@ tokens and their prefixes of 4, 5, 6 and 8 bytes, hashed); the document's probab
 noisy-or, so that blame goes to the sentences that explain the label; offending_sentences() then reads them off.
 
 The fit uses a bounded sample of labelled rows (``sample`` documents, the least hashes of their ids), each with its whole
-text, as the label is that of the whole text. The driver holds them, so together they have at most ``most_chars``
-characters: in the order of the hashes, a document that does not fit any more is left out as a whole. Scoring streams all whole texts through the
-weights, a fixed table of 2**bits numbers. A feature counts only if at least ``min_docs`` sampled documents hold it.
-
-Null and empty texts have no sentence and score 0. A sentence ends at . ! ? or a line break, or after 60 tokens.
+text, as the label is that of the whole text. Tasks cut it into sentences and tokens; the driver gets the hashes of the
+tokens and the features of each different token. Together the documents have at most ``most_chars`` characters: in the
+order of the hashes, a document that does not fit any more is left out as a whole. Of an id with several texts the longest
+is taken (then that of the least hash); of its labels, toxic. Scoring streams all whole texts through the weights, a fixed
+table of 2**bits numbers. A feature counts only if at least ``min_docs`` sampled documents hold it.
+
+Null and empty texts have no sentence and score 0. A sentence ends at . ! ? or a line break, or after 60 tokens. Without
+labelled rows every score is that of the first bias, near 0.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -80,24 +83,23 @@ class Bags:
     seen: np.ndarray  # documents that hold each feature
 
 
-def gather(texts: pa.Array, y: np.ndarray, bits: int = 20) -> Bags:
-    """The features of whole texts with their document labels (0 or 1)."""
-    tables, parts, known = [], [], 0
-    seen = np.zeros(1 << bits, np.int32)
-    for lo, hi, text in kernels.lowered(texts):
-        x, soff, doff, _, _ = featurise(text, bits)
-        token_doc = np.repeat(np.arange(hi - lo), np.diff(soff[doff]))
-        pair = np.unique(token_doc[:, None].astype(np.int64) << bits | x)
-        seen += np.bincount(pair & ((1 << bits) - 1), minlength=1 << bits).astype(np.int32)
-        name = np.zeros(len(x), kernels.U64)
-        for i in range(x.shape[1]):
-            name = kernels.mix(name * kernels.U64(0x9E3779B97F4A7C15) + x[:, i].astype(kernels.U64))
-        _, first, token = np.unique(name, return_index=True, return_inverse=True)
-        tables.append(x[first])
-        token = (token + known).astype(np.int32)
-        known += len(first)
-        parts += [(token[soff[a] : soff[b]], soff[a : b + 1] - soff[a], y[lo + d]) for d, (a, b) in enumerate(zip(doff[:-1], doff[1:])) if b > a]
-    return Bags(np.concatenate(tables) if tables else np.zeros((0, 1 + len(PREFIXES)), np.int32), parts, seen)
+def gather(kept: DataFrame, bits: int = 20) -> Bags:
+    """The sampled documents of bags() for the fit."""
+    words = kept.select(F.explode(F.arrays_zip("words", "features")).alias("x")).select("x.words", "x.features").dropDuplicates(["words"]).toArrow().sort_by("words")
+    known = words["words"].to_numpy()
+    table = words["features"].combine_chunks().flatten().to_numpy().reshape(len(known), 1 + len(PREFIXES)).astype(np.int32)
+    parts, seen = [], np.zeros(1 << bits, np.int32)
+    rows = kept.select("doc_id", "y", "tokens", "ends").toArrow().sort_by("doc_id")
+    for b in rows.to_batches():
+        tokens, ends = b.column(2), b.column(3)
+        token, toff = np.searchsorted(known, tokens.flatten().to_numpy()).astype(np.int32), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
+        end, eoff = ends.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ends.value_lengths().to_numpy())])
+        for i, y in enumerate(b.column(1).to_numpy()):
+            own = token[toff[i] : toff[i + 1]]
+            if len(own):
+                np.add.at(seen, np.unique(table[np.unique(own)]), 1)
+                parts.append((own, np.concatenate([[0], end[eoff[i] : eoff[i + 1]]]), int(y)))
+    return Bags(table, parts, seen)
 
 
 def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, min_docs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -129,8 +131,8 @@ def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink
     return weights.astype(np.float32), float(bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_chars: int) -> tuple[pa.Array, np.ndarray]:
-    """At most ``sample`` labelled rows that are not held out, those of the least hash of the id, with whole texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_chars: int) -> DataFrame:
+    """(doc_id, y, text) of at most ``sample`` labelled rows that are not held out, those of the least hash of the id."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = docs.select("doc_id", "text").where("text is not null")
@@ -140,34 +142,60 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_chars:
     for n in sizes["n"].to_pylist():
         fits.append(total + n <= most_chars)
         total += n if fits[-1] else 0
-    sizes = sizes.filter(pa.array(fits, pa.bool_()))
-    chosen = docs.sparkSession.createDataFrame(sizes.select(["doc_id", "y"]))
-    t = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return t["text"].combine_chunks().cast(pa.string()), t["y"].to_numpy()
+    chosen = docs.sparkSession.createDataFrame(sizes.filter(pa.array(fits, pa.bool_())).select(["doc_id", "y"]))
+    longest = F.max_by("text", F.struct(F.length("text"), F.xxhash64("text")))
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), longest.alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_chars: int = 100_000_000, bits: int = 20) -> tuple[np.ndarray, float]:
-    texts, y = labelled_sample(docs, labels, sample, most_chars)
-    bags = gather(texts, y, bits)
-    del texts
-    pa.default_memory_pool().release_unused()  # while it fits, the driver holds the features alone
-    return fit(bags, bits)
+def bags(sampled: DataFrame, bits: int = 20) -> DataFrame:
+    """Of each sampled document the hashes of its tokens, the ends of its sentences among them, and its different tokens with
+    their features."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, text in kernels.lowered(b.column(2)):
+                x, soff, doff, _, _ = featurise(text, bits)
+                name = np.zeros(len(x), kernels.U64)
+                for i in range(x.shape[1]):
+                    name = kernels.mix(name * kernels.U64(0x9E3779B97F4A7C15) + x[:, i].astype(kernels.U64))
+                name = name.view(np.int64)
+                rows = []
+                for a, e in zip(doff[:-1], doff[1:]):
+                    own = name[soff[a] : soff[e]]
+                    words, first = np.unique(own, return_index=True)
+                    rows.append((own, soff[a + 1 : e + 1] - soff[a], words, x[soff[a] + first].astype(np.int32)))
+                columns = [pa.array([r[i].tolist() for r in rows], t) for i, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *columns], ["doc_id", "y", "tokens", "ends", "words", "features"])
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row, whole texts."""
+    return sampled.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, tokens array<long>, ends array<int>, words array<long>, features array<array<int>>")
+
+
+def train(docs: DataFrame, labels: DataFrame, keep, sample: int = 10_000, most_chars: int = 100_000_000, bits: int = 20) -> tuple[np.ndarray, float]:
+    return fit(gather(keep(bags(labelled_sample(docs, labels, sample, most_chars), bits), "bags"), bits), bits)
+
+
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]):
+    """A function of a text column: the score, from 0 to 1, of the whole text."""
     weights, bias = model
     bits = len(weights).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = spark.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            for lo, hi, text in kernels.lowered(b.column(1)):
+            found = [np.zeros(0)]
+            for _, _, text in kernels.lowered(b):
                 x, soff, doff, _, _ = featurise(text, bits)
                 none = -np.logaddexp(0, _logits(x, soff, shared.value, bias))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.clip(-np.expm1(_sum_by(none, doff)), 0.0, 1.0))], ["doc_id", "score"])
+                found.append(np.clip(-np.expm1(_sum_by(none, doff)), 0.0, 1.0))
+            yield pa.array(np.concatenate(found))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return score_of
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for every row, whole texts."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
 
 
 def offending_sentences(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
