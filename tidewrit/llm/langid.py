@@ -8,13 +8,13 @@ samples and the blank; all texts of a chunk advance through all of them together
 Texts are lower-cased; each run of other characters than letters is one blank. Letters outside the samples match nothing
 and are a phrase each. Texts are parsed whole, in blocks of ``BLOCK`` letters (a phrase ends with its block).
 
-Samples: of each language the documents of least hash of the id, until ``chars`` characters are gathered (at most
-``most_table`` table entries over all languages together, so more languages have shorter samples). A document gives its
-first ``chars // 8`` characters to the fit, so that at least eight documents make a sample. A language whose documents
-do not fill its sample that way gives all of them, and its longer ones give an equal share of what is missing besides.
-Predictions always use the whole text. Null ids, texts and languages and
-empty texts teach nothing. Texts that are null or have no letter get ``und`` and 0. The score is 1 - best / second best. With one
-language known the score is 1; with none every text is ``und``. Ties go to the language that sorts first.
+Samples: all texts of a language are cut into pieces of ``chars // 8`` characters, and those of least hash (of id, text
+and place) are taken until ``chars`` characters are gathered, or all if the language has less (at most ``most_table``
+table entries over all languages together, so more languages have shorter samples). So every part of every text can be
+drawn, a sample has eight pieces at least, and rows that repeat an id are drawn as others are. Predictions always use the
+whole text. Null ids, texts and languages and empty texts teach nothing. Texts that are null or have no letter get ``und``
+and 0. The score is 1 - best / second best. With one language known the score is 1; with none every text is ``und``. Ties
+go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -140,12 +140,12 @@ class Parser:
         active = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
         for i, a in enumerate(active.tolist()):
             c = code[start[:a] + i][None, :]
-            step = self.table[state[:, :a] * self.width + c]
+            now = state[:, :a]
+            step = self.table[now * self.width + c]
             miss = step == 0
-            total[:, :a] += miss
+            total[:, :a] += miss | (now == self.roots[:, None])  # a phrase begins where none is open or the open one ends
             again = self.table[root_row + c]
             state[:, :a] = np.where(miss, np.where(again == 0, self.roots[:, None], again), step)
-        total += 1  # the phrase that is open at the end of a block; the first letter counted none if it matched
         out = np.zeros((len(blocks), n_lang), np.int64)
         np.add.at(out, text[order], total.T)
         return out
@@ -165,30 +165,34 @@ class Parser:
 
 def learn(docs: DataFrame, chars: int = 20_000, most_table: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Parser:
     """Automata from the rows of docs (already without those held out)."""
-    most = chars // 8
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(text_col).alias("n")).where("n > 0")
-    size = rows.groupBy("lang").agg(F.sum(F.least("n", F.lit(most))).alias("total"), F.sum((F.col("n") > most).cast("long")).alias("longer"))
-    size = size.withColumn("most", F.expr(f"{most} + cast(greatest({chars} - total, 0) div greatest(longer, 1) as int)"))
-    part = rows.withColumn("u", F.expr("pmod(xxhash64(id, 17), 1000000007) / 1000000007.0D"))
-    part = part.join(size, "lang").where(F.col("u") * F.col("total") <= 20.0 * chars)  # about 20 times the need, of what rows can give
-    by = Window.partitionBy("lang").orderBy("u", "id")
-    part = part.withColumn("before", F.coalesce(F.sum(F.least("n", "most")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < chars).select("id", "lang", "u", "most")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, chars).alias("text")).join(F.broadcast(part), ["id", "lang"])
-    texts = texts.withColumn("text", F.expr("substring(text, 1, most)")).dropDuplicates(["id", "lang"]).orderBy("lang", "u", "id").select("lang", "text").toArrow()
+    piece = max(1, chars // 8)
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    total = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("total"))
+    places = F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {piece}").cast("int"))
+    drawn = rows.join(total, "lang").withColumn("limit", 20.0 * chars / F.col("total"))  # about 20 times the need
+    # drawn inside the row, before anything is shuffled: only the pieces below the limit leave it
+    drawn = drawn.withColumn("place", F.explode(F.filter(places, lambda k: _uniform(F.xxhash64("row", k)) <= F.col("limit"))))
+    drawn = drawn.select("lang", _uniform(F.xxhash64("row", "place")).alias("u"), F.expr(f"substring(text, place * {piece} + 1, {piece})").alias("text"))
+    by = Window.partitionBy("lang").orderBy("u", "text").rowsBetween(Window.unboundedPreceding, -1)
+    texts = drawn.withColumn("before", F.coalesce(F.sum(F.length("text")).over(by), F.lit(0))).where(F.col("before") < chars).orderBy("lang", "u", "text").select("lang", "text").toArrow()
     samples: dict[str, list] = {}
     for lang, text in zip(texts["lang"].to_pylist(), texts["text"].to_pylist()):
         samples.setdefault(lang, []).append(text)
     return Parser({k: letters(pa.array(["\n".join(v)]))[0][:chars] for k, v in samples.items()}, most_table)
 
 
+def _uniform(h: Column) -> Column:
+    return F.pmod(h, F.lit(1_000_000_007)) / 1_000_000_007.0
+
+
 def identify(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row, whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in kernels.chunks(kernels.raw(b.column(1))[1], 4 * kernels.CHUNK_BYTES):
+            for lo, hi in kernels.chunks(kernels.raw(b.column(1))[1], 1 << 20):
                 lang, score = shared.value.predict(b.column(1).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
