@@ -5,15 +5,18 @@ are. Two lines are linked if the Jaccard similarity of their sets of ``k``-chara
 (a line of fewer characters is one shingle). As one changed character costs ``k`` shingles, shorter lines are also linked
 by shorter shingles: two lines whose lengths both lie within the limits of one of ``SCALES``, if the similarity of their
 bags of its shingles is at least ``threshold``. At 0.8 any two lines of 29 to 192 characters that differ in one character
-are linked, longer ones by ``k`` = 8. Equal lines are one line from the start, by a 64-bit hash.
+are linked, longer ones by ``k`` = 8. Equal lines are one line from the start, by a 128-bit hash.
 
 1. One pass numbers all lines by hash; per distinct line the least place (doc_id, line_no) and the count are kept.
 2. A second pass signs lines by MinHash, for each length of shingles that holds for them; bands miss a pair of similarity
-   0.8 with a probability of at most 1e-5. The keys of its bands, with the line's hash, are packed by key range into blobs,
-   so the shuffle moves 16 bytes a key and few rows. A key range finds its buckets by one sort; only buckets of two or
-   more different lines go on, and buckets with the same members are one.
-3. A bucket is cut into blocks, block against block is a task, and a task verifies its pairs exactly on the lines' texts,
-   which a third pass fetches for the candidates alone. It returns a spanning forest of its links, never pairs.
+   0.8 with a probability of at most 1e-5. Lines that occur very often (their number is bounded) are signed once, from one
+   occurrence, all others where they stand. The keys of bands, with a hash of the line, are packed by key range into blobs,
+   so the shuffle moves 16 bytes a key and few rows. A key range finds its buckets by one sort; one that is larger than
+   ``RANGE_BYTES`` because of a bucket of very many lines passes its keys on as rows, which Spark then groups. Only buckets
+   of two or more different lines go on, and buckets with the same members are one.
+3. A bucket is cut into blocks of bounded length, a block is one row when it meets another, and a task verifies the pairs of
+   two blocks exactly on the lines' texts, which a third pass fetches for the candidates alone. A line is compared with
+   those of its block that it is not yet linked to through others; the task returns a spanning forest, never pairs.
 4. Distributed union-find joins the forests. Of each component the line of the least place stays.
 
 Rows without an id take no part and keep all their lines. Rows that repeat an id are read as one document. Null and
@@ -26,19 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, groups, kernels
 from .components import components
-from .jaccard import intersections
-from .scratch import Scratch
+from .scratch import Scratch, sent
 
-ROWS, BANDS, BLOCK = 3, 17, 256
+ROWS, BANDS, BLOCK = 3, 17, 1024
+#: Characters of the lines of a block; bytes of the keys of a range; lines that may count as very frequent.
+BLOCK_CHARS, RANGE_BYTES, MOST_FREQUENT = 1 << 19, 64 << 20, 1_000_000
 #: Characters of a shingle, least and most characters of a line, rows and bands. The shorter the shingles, the more unlike
 #: lines share some, so the more rows.
 SCALES = ((3, 29, 64, 6, 38), (5, 49, 192, 4, 22))
-PACK = 8 << 20
+PACK = 4 << 20
 
 
 def split(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,21 +110,36 @@ def _chunks(text: pa.Array, most: int = kernels.CHUNK_BYTES) -> Iterator[tuple[i
         yield lo, *kernels.raw(part)
 
 
+def identities(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[bytes]:
+    """16 bytes for each line."""
+    data, digest = buf.tobytes(), xxhash.xxh3_128_digest
+    return [digest(data[a:z]) for a, z in zip(s.tolist(), e.tolist())]
+
+
+def _halves(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, buf, offs in _chunks(b.column(1)):
             text, number, s, e = split(buf, offs)
-            h = kernels.slice_hashes(kernels.prefix_sums(buf), s, e)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(number), pa.array(h.view(np.int64))], ["doc_id", "line_no", "line"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(number), *map(pa.array, _halves(identities(buf, s, e)))], ["doc_id", "line_no", "a", "b"])
+
 
+def _pack(k: int, ranges: int, frequent):
+    """The keys of all lines but those in frequent (a set of identities), as blobs of (key, line)."""
 
-def _pack(k: int, ranges: int):
     def flush(held):
         key, line = (np.concatenate(x) for x in zip(*held))
         to = (key >> kernels.U64(32)) * kernels.U64(ranges) >> kernels.U64(32)
-        order = np.argsort(to, kind="stable")
-        both = np.stack([key, line], axis=1)[order]
-        cut = np.searchsorted(to[order], np.arange(ranges + 1).astype(np.uint64))
+        order = np.lexsort((line, key))
+        key, line, to = key[order], line[order], to[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        both, to = np.stack([key[new], line[new]], axis=1), to[new]
+        cut = np.searchsorted(to, np.arange(ranges + 1).astype(np.uint64))
         some = np.flatnonzero(np.diff(cut))
         offs = np.concatenate([[0], cut[some + 1]]) * 16
         data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(both.tobytes())])
@@ -128,13 +148,16 @@ def _pack(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for _, buf, offs in _chunks(b.column(0), 1 << 18):  # signatures are made in the processor's cache
+            for _, buf, offs in _chunks(b.column(0)):  # signatures are made in the processor's cache
                 _, _, s, e = split(buf, offs)
-                sums = kernels.prefix_sums(buf)
-                line, first = np.unique(kernels.slice_hashes(sums, s, e), return_index=True)
-                if not len(line):
+                first: dict = {}
+                for i, name in enumerate(identities(buf, s, e)):
+                    first.setdefault(name, i)
+                names = [x for x in first if x not in frequent.value] if frequent is not None else list(first)
+                if not names:
                     continue
-                for length, rows, bands, some, g, off in scales(buf, sums, s[first], e[first], k):
+                at, line = np.array([first[x] for x in names]), _halves(names)[0].view(np.uint64)
+                for length, rows, bands, some, g, off in scales(buf, kernels.prefix_sums(buf), s[at], e[at], k):
                     keys = kernels.band_keys(kernels.minhash(g, off, rows * bands), rows)
                     held.append((kernels.mix(keys.reshape(-1) + kernels.U64(length)), np.repeat(line[some], bands)))
                     size += keys.size * 16
@@ -147,123 +170,231 @@ def _pack(k: int, ranges: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, line, m): the members of buckets of m >= 2 different lines; bucket is a hash of its members."""
-    parts = [np.frombuffer(kernels.raw(b.column(1))[0].tobytes(), np.uint64).reshape(-1, 2) for b in batches]
-    if not parts:
-        return
-    both = np.concatenate(parts)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    new = np.ones(len(both), bool)
-    new[1:] = (both[1:] != both[:-1]).any(axis=1)
-    key, line = both[new].T
-    off = groups.bounds(key)
-    m = np.diff(off)
-    name = kernels.mix(np.add.reduceat(kernels.mix(line), off[:-1]) + m.astype(np.uint64)) if len(key) else key
-    use = np.repeat(m > 1, m)
-    out = [np.repeat(name, m)[use].view(np.int64), line[use].view(np.int64), np.repeat(m, m)[use]]
-    for lo in range(0, len(out[0]), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in out], ["bucket", "line", "m"])
-
-
-def _fetch(level):
+def _buckets(most: int):
+    """(bucket, a, m): the members of buckets of m >= 2 different lines; bucket is a hash of its members. A range of more than
+    most bytes gives (key, a, null) for all its keys instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, rows = [], 0, False
+        for b in batches:
+            parts.append(np.frombuffer(kernels.raw(b.column(1))[0].tobytes(), np.uint64).reshape(-1, 2))
+            size += parts[-1].nbytes
+            rows |= size > most
+            if rows:
+                for part in parts:
+                    yield from out(part[:, 0], part[:, 1], None)
+                parts = []
+        if not parts:
+            return
+        both = np.concatenate(parts)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
+        key, line = both[new].T
+        off = groups.bounds(key)
+        m = np.diff(off)
+        name = kernels.mix(np.add.reduceat(kernels.mix(line), off[:-1]) + m.astype(np.uint64)) if len(key) else key
+        use = np.repeat(m > 1, m)
+        yield from out(np.repeat(name, m)[use], line[use], np.repeat(m, m)[use])
+
+    def out(bucket, line, m) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(bucket), 100_000):
+            some = slice(lo, lo + 100_000)
+            count = pa.array(m[some]) if m is not None else pa.nulls(len(bucket[some]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[some].copy().view(np.int64)), pa.array(line[some].copy().view(np.int64)), count], ["bucket", "a", "m"])
+
+    return run
+
+
+def _fetch(wanted):
+    """The texts of the lines that wanted (a function of their identities) picks, each once a chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, buf, offs in _chunks(b.column(0)):
                 _, _, s, e = split(buf, offs)
-                h, first = np.unique(kernels.slice_hashes(kernels.prefix_sums(buf), s, e), return_index=True)
-                if level is not None and len(h):
-                    ok = level.value.passes(h)
-                    h, first = h[ok], first[ok]
-                data = buf.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([data[a:z] for a, z in zip(s[first], e[first])], pa.binary())], ["line", "text"])
+                first: dict = {}
+                for i, name in enumerate(identities(buf, s, e)):
+                    first.setdefault(name, i)
+                names = wanted(list(first))
+                if names:
+                    data, at = buf.tobytes(), [first[x] for x in names]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, _halves(names)), pa.array([data[s[i] : e[i]] for i in at], pa.binary())], ["a", "b", "text"])
 
     return run
 
 
+def _in_level(level):
+    def wanted(names: list[bytes]) -> list[bytes]:
+        if level is None or not names:
+            return names
+        return [x for x, ok in zip(names, level.value.passes(_halves(names)[0].view(np.uint64))) if ok]
+
+    return wanted
+
+
+def shared_shingles(g: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements sets i[x] and j[x] have in common: g holds the elements of all sets, ordered by set (line) and then
+    by themselves, without repeats within a set."""
+    _, code = np.unique(g, return_inverse=True)
+    width = np.int64(len(g) + 1)
+    every = line * width + code  # ascending
+    off = np.searchsorted(line, np.arange(int(max(i.max(), j.max())) + 2))
+    size = np.diff(off)
+    less = np.where(size[i] <= size[j], i, j)
+    more = i + j - less
+    out = np.zeros(len(i), np.int64)
+    at = np.concatenate([[0], np.cumsum(size[less])])
+    lo = 0
+    while lo < len(i):  # about a million elements at a time
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
+        n = size[less[lo:hi]]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        asked = np.repeat(more[lo:hi], n) * width + code[np.repeat(off[less[lo:hi]], n) + inner]
+        found = every[np.minimum(np.searchsorted(every, asked), len(every) - 1)] == asked
+        out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), found, minlength=hi - lo).astype(np.int64)
+        lo = hi
+    return out
+
+
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups.whole_groups(batches, "gid"):
-            off = groups.bounds(t["gid"].to_numpy())
-            size = kernels.raw(t["text"])[1]
+            lines = groups.one_chunk(t["lines"])
+            many = lines.value_lengths().to_numpy()
+            at = np.repeat(np.arange(t.num_rows), many)
+            gid, block, first, other = (t[c].to_numpy()[at] for c in ("gid", "block", "lo", "hi"))
+            line, text = lines.flatten().field("id").to_numpy(), lines.flatten().field("text")
+            off = groups.bounds(gid)
+            size = kernels.raw(text)[1]
             i = 0
             while i < len(off) - 1:  # groups of about a chunk together
                 j = max(i + 1, int(np.searchsorted(size[off], size[off[i]] + kernels.CHUNK_BYTES, "right")) - 1)
-                yield from part(t.slice(off[i], off[j] - off[i]), off[i : j + 1] - off[i])
+                some = slice(off[i], off[j])
+                yield from part(line[some], text.slice(off[i], off[j] - off[i]), block[some], first[some] == other[some], off[i : j + 1] - off[i])
                 i = j
 
-    def part(t: pa.Table, off: np.ndarray) -> Iterator[pa.RecordBatch]:
-        line, block, first, other = (t[c].to_numpy() for c in ("line", "block", "lo", "hi"))
-        text = t["text"].combine_chunks()
-        sets: dict = {}  # of each length of shingles, a set for every line; none where it does not hold
+    def part(line: np.ndarray, text: pa.Array, block: np.ndarray, alone: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found: dict = {}  # of each length of shingles, the elements of all lines for which it holds
         for lo, hi in kernels.chunks(kernels.raw(text)[1]):
             buf, offs = kernels.raw(text.slice(lo, hi - lo))
             for length, _, _, some, g, goff in scales(buf, kernels.prefix_sums(buf), offs[:-1], offs[1:], k):
-                of = sets.setdefault(length, [np.zeros(0, np.uint64)] * len(line))
-                for i, a, z in zip(some, goff[:-1], goff[1:]):
-                    of[lo + i] = np.unique(g[a:z])
-        sized = []
-        for of in sets.values():
-            size = np.array([len(x) for x in of])
-            sized.append((size, np.concatenate([[0], np.cumsum(size)]), np.concatenate(of)))
+                found.setdefault(length, []).append((g, lo + np.repeat(some, np.diff(goff))))
+        sets = []
+        for of in found.values():
+            g, owner = (np.concatenate(x) for x in zip(*of))
+            order = np.lexsort((g, owner))
+            g, owner = g[order], owner[order].astype(np.int64)
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+            sets.append((g[new], owner[new], np.bincount(owner[new], minlength=len(line))))
         root = np.arange(len(line))
-        for lo, hi in zip(off[:-1], off[1:]):
-            links = []
-            for a, b in groups.pairs_within(np.array([0, hi - lo])):
-                a, b = a + lo, b + lo
-                ok = (first[a] == other[a]) | (block[a] != block[b])
-                a, b = a[ok], b[ok]
-                for size, at, g in sized:
-                    less, more = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                    maybe = np.flatnonzero((less > 0) & (less >= threshold * more - 1e-9))
-                    if len(maybe):
-                        i, j = a[maybe], b[maybe]
-                        both = intersections(g, at, i, j)
-                        ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
-                        links.append((i[ok], j[ok]))
-                        rest = np.ones(len(a), bool)
-                        rest[maybe[ok]] = False
-                        a, b = a[rest], b[rest]
-            if links:
-                a, b = (np.concatenate(x) for x in zip(*links))
-                root[lo:hi] = lo + groups.forest(hi - lo, a - lo, b - lo)
+        begin, end = np.repeat(off[:-1], np.diff(off)), np.repeat(off[1:], np.diff(off))
+        open_ = np.flatnonzero(np.diff(off) > 1)  # groups in which some lines are not linked yet
+        turn = 0
+        while len(open_):
+            pivot = off[:-1][open_] + turn
+            rest = off[1:][open_] - pivot - 1
+            i = np.repeat(pivot, rest)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest)
+            ask = (root[i] != root[j]) & (alone[i] | (block[i] != block[j]))
+            i, j = similar(sets, i[ask], j[ask])
+            target = np.arange(len(line))
+            target[root[j]] = root[i]
+            root = target[root]
+            turn += 1
+            whole = np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
+            open_ = open_[(off[1:] - off[:-1] > turn + 1)[open_] & ~whole[open_]]
         some = np.flatnonzero(root != np.arange(len(line)))
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], ["u", "v"])
 
+    def similar(sets: list, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        linked = [(i[:0], j[:0])]
+        for g, owner, size in sets:
+            less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            maybe = np.flatnonzero((less > 0) & (less >= threshold * more - 1e-9))
+            if len(maybe):
+                a, b = i[maybe], j[maybe]
+                both = shared_shingles(g, owner, a, b)
+                ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
+                linked.append((a[ok], b[ok]))
+                rest = np.ones(len(i), bool)
+                rest[maybe[ok]] = False
+                i, j = i[rest], j[rest]
+        return tuple(np.concatenate(x) for x in zip(*linked))
+
     return run
 
 
-def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc_id, line_no, line) and the links between different ones (node, root)."""
-    places = scratch.keep(docs.mapInArrow(_places, "doc_id long, line_no long, line long"), "places")
-    n = places.count()
-    ranges = max(8, -(-n * (BANDS + sum(x[4] for x in SCALES)) * 16 // (16 << 20)))
-    packed = docs.select("text").mapInArrow(_pack(k, ranges), "range int, entries binary").repartitionById(ranges, "range")
-    buckets = packed.mapInArrow(_buckets, "bucket long, line long, m long").distinct()
-    buckets = scratch.keep(buckets, "buckets")
-    wanted = scratch.keep(buckets.select("line").distinct(), "candidates")
-    level = bloom.members(wanted.withColumnRenamed("line", "h"), wanted.count())
-    level = None if level is None else docs.sparkSession.sparkContext.broadcast(level)
-    texts = docs.select("text").mapInArrow(_fetch(level), "line long, text binary").join(wanted, "line", "left_semi").dropDuplicates(["line"])
-    members = buckets.withColumn("blocks", F.expr(f"cast(ceil(m / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(line, bucket), blocks) as int)"))
-    members = members.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})
-    tasks = members.select(F.xxhash64("bucket", "lo", "hi").alias("gid"), "line", "block", "lo", "hi").join(texts, "line")
+def _frequent(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> tuple[set[bytes], DataFrame | None]:
+    """The lines that occur more often than all lines' number / MOST_FREQUENT (and 1,000 times), so there are at most so many,
+    and their texts, each once."""
+    total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = lines.where(F.col("n") > max(1000, total // MOST_FREQUENT)).select("a", "b", "place")
+    got = often.select("a", "b").toArrow()
+    if not got.num_rows:
+        return set(), None
+    names = {x.tobytes() for x in np.stack([got["a"].to_numpy(), got["b"].to_numpy()], axis=1)}
+    with sent(docs.sparkSession, names) as shared:
+        some = docs.join(F.broadcast(often.select(F.col("place.doc_id").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+        texts = some.mapInArrow(_fetch(lambda found: [x for x in found if x in shared.value]), "a long, b long, text binary")
+        return names, scratch.keep(texts.groupBy("a", "b").agg(F.decode(F.first("text"), F.lit("UTF-8")).alias("text")), "frequent")
+
+
+def _keyed(docs: DataFrame, frequent: set[bytes], frequent_texts: DataFrame | None, ranges: int, k: int, scratch: Scratch) -> DataFrame:
+    """(bucket, a, m) of all buckets of two or more different lines, buckets of the same members once."""
+    with sent(docs.sparkSession, frequent) as shared:
+        packed = docs.select("text").mapInArrow(_pack(k, ranges, shared if frequent else None), "range int, entries binary")
+        if frequent_texts is not None:
+            packed = packed.unionByName(frequent_texts.select("text").mapInArrow(_pack(k, ranges, None), "range int, entries binary"))
+        found = scratch.keep(packed.repartitionById(ranges, "range").mapInArrow(_buckets(RANGE_BYTES), "bucket long, a long, m long").distinct(), "buckets")
+    rows = found.where("m is null").select("bucket", "a")
+    if rows.isEmpty():
+        return found
+    full = scratch.keep(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "large-buckets")
+    return found.where("m is not null").unionByName(rows.join(full, "bucket"))
+
+
+def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines (doc_id, line_no, a, b), the different ones (a, b, place, n) and the links between these: (a, b, root)."""
+    places = scratch.keep(docs.mapInArrow(_places, "doc_id long, line_no long, a long, b long"), "places")
+    lines = scratch.keep(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("n")), "lines")
+    ranges = max(8, -(-lines.count() * (BANDS + sum(x[4] for x in SCALES)) * 16 // (16 << 20)))
+    frequent, frequent_texts = _frequent(docs, lines, scratch)
+    buckets = _keyed(docs, frequent, frequent_texts, ranges, k, scratch)
+    wanted = buckets.select("a").distinct()
+    # the number of a candidate is written once, so it is the same for all that read it
+    candidates = scratch.keep(lines.join(wanted, "a", "left_semi").select("a", "b").withColumn("id", F.monotonically_increasing_id()), "candidates")
+    level = bloom.members(candidates.select(F.col("a").alias("h")), candidates.count())
+    with sent(docs.sparkSession, level) as shared:
+        fetched = docs.select("text").mapInArrow(_fetch(_in_level(shared if level is not None else None)), "a long, b long, text binary")
+        texts = scratch.keep(fetched.groupBy("a", "b").agg(F.first("text").alias("text")).join(candidates, ["a", "b"]).select("id", "text", F.octet_length("text").alias("size")), "texts")
+    members = buckets.join(candidates, "a").select("bucket", "id").join(texts.select("id", "size"), "id")
+    shape = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("size")).withColumn("blocks", F.expr(f"cast(greatest(ceil(m / {BLOCK}), ceil(size / {BLOCK_CHARS})) as int)")).where("m > 1").select("bucket", "blocks"), "shapes")
+    members = members.select("bucket", "id").join(shape, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, bucket), blocks) as int)"))
+    blocks = members.join(texts.select("id", "text"), "id").groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("id", "text")).alias("lines"))
+    blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})
+    tasks = blocks.select(F.xxhash64("bucket", "lo", "hi").alias("gid"), "lines", "block", "lo", "hi")
     links = tasks.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verify(k, threshold), "u long, v long")
-    return places, components(links, scratch)
+    roots = components(links, scratch)
+    named = candidates.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), candidates["id"] == roots["node"]).select("a", "b", "root")
+    return places, lines, named
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 8, threshold: float = 0.8) -> DataFrame:
     """One row per line to drop: doc_id, line_no (from 0), and the place of the line that stays for it, kept_doc_id and
     kept_line_no."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    places, roots = similar_lines(docs, scratch, k, threshold)
-    distinct = places.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("n"))
-    distinct = distinct.join(roots, distinct["line"] == roots["node"], "left").select("line", "place", "n", F.coalesce("root", "line").alias("root"))
-    distinct = scratch.keep(distinct, "lines")
-    kept = distinct.groupBy("root").agg(F.min("place").alias("kept"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all")
-    drop = distinct.join(kept, "root").select("line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
-    return places.join(drop, "line").where("not (doc_id = kept_doc_id and line_no = kept_line_no)").select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
+    places, lines, named = similar_lines(docs, scratch, k, threshold)
+    heads = scratch.keep(lines.join(named, ["a", "b"]).groupBy("root").agg(F.min("place").alias("kept")), "heads")
+    linked = named.join(heads, "root").select("a", "b", "kept")
+    drop = lines.join(linked, ["a", "b"], "left").withColumn("kept", F.coalesce("kept", "place")).where("n > 1 or kept <> place")
+    drop = scratch.keep(drop.select("a", "b", "n", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")), "drop")
+    # lines that hold more than a hundred-thousandth of all places are at most so many: they are sent to the places
+    often = F.col("n") > F.lit(max(100, places.count() // 100_000))
+    gone = places.join(F.broadcast(drop.where(often)), ["a", "b"]).unionByName(places.join(drop.where(~often), ["a", "b"]))
+    return gone.where("not (doc_id = kept_doc_id and line_no = kept_line_no)").select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
 
 
 def without_repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
