@@ -137,11 +137,7 @@ def test_cascade_is_exact(spark):
 
 
 def test_phrases_against_brute_force():
-    sample = {"a": np.frombuffer("banana bandana".encode("utf-32-le"), np.uint32), "b": np.frombuffer("ontology tonic".encode("utf-32-le"), np.uint32)}
-    p = langid.Parser(sample)
-    text = "banan tonicq ontolog zz"
-    code, off, _ = langid.letters(pa.array([text]))
-    got = p.phrases(code, off)[0]
+    p = langid.Parser({k: langid.letters(pa.array([t]))[0] for k, t in (("a", "banana bandana"), ("b", "ontology tonic"))})
 
     def brute(t, s):
         n, i = 0, 0
@@ -152,8 +148,10 @@ def test_phrases_against_brute_force():
             n, i = n + 1, max(j, i + 1)
         return n
 
-    for k, s in enumerate(("banana bandana", "ontology tonic")):
-        assert abs(int(got[k]) - brute(text, s)) <= 1 + sum(c not in s for c in text)
+    for text in ("banan tonicq ontolog zz", "aqb", "aqbqc", "zz", "a", "ontology", " qa"):
+        code, off, _ = langid.letters(pa.array([text]))
+        seen = code.tobytes().decode("utf-32-le").replace("\0", " ")
+        assert p.phrases(code, off)[0].tolist() == [brute(seen, s) for s in ("banana bandana", "ontology tonic")]
 
 
 def test_language_of_odd_rows(spark, odd, empty):
@@ -194,7 +192,7 @@ def test_toxic_sentences_are_found_from_document_labels(spark, odd, empty):
         rows.append((i, " ".join(s), "a"))
         labels.append((i, int(i % 3 == 0)))
     df, lab = docs(spark, rows), spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, toxic int")
-    model = toxicity.train(df, lab)
+    model = toxicity.train(df, lab, Scratch(spark, "t").keep)
     got = toxicity.score(df, model).withColumn("held", toxicity.held_out()).where("held").collect()
     assert np.mean([(r["score"] >= 0.3) == (r["doc_id"] % 3 == 0) for r in got]) > 0.95
     found = toxicity.offending_sentences(df, model).collect()
@@ -213,12 +211,12 @@ def test_long_documents_teach_with_their_whole_texts(spark):
         rows.append((i, clean + (". you word1 scoundrel word2" if i % 3 == 0 else ". you word1 word2"), "a"))
     df, lab = docs(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
     assert min(len(t) for _, t, _ in rows) > 21_000
-    model = toxicity.train(df, lab)
+    model = toxicity.train(df, lab, Scratch(spark, "t").keep)
     new = docs(spark, [(1, "word5 scoundrel word6", "a"), (2, "word5 word6", "a")])
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()}
     assert scores[1] > 2 * scores[2]
-    texts, y = toxicity.labelled_sample(df, lab, 10, 100_000)
-    assert 1 <= len(texts) == len(y) < 10 and all(t in {x for _, x, _ in rows} for t in texts.to_pylist())
+    some = toxicity.labelled_sample(df, lab, 10, 100_000).collect()
+    assert 1 <= len(some) < 10 and all(r["text"] in {x for _, x, _ in rows} for r in some)
 
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------
@@ -247,18 +245,19 @@ def test_edited_copies_are_found_and_clean_texts_are_left(spark, odd, empty):
     edited = " ".join(w for i, w in enumerate(words) if i % 9).replace("q20", "changed")
     bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, "")], "item_id long, text string")
     rows = [(1, f"{LONG[:3000]} {item.upper()}, {LONG[3000:5000]}", "a"), (2, f"noise {edited} noise", "a"), (3, "q1 q2 q3 and nothing else of it", "a"), (4, "a tiny item here", "a"), (5, "tiny, but no", "a")]
-    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(docs(spark, rows), bench).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(docs(spark, rows), bench, keep=Scratch(spark, "t").keep).collect()}
     assert set(got) == {(1, 1), (2, 1), (4, 2)} and got[(1, 1)] == 1.0
-    split = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(docs(spark, rows), bench, block_rows=1).collect()}
+    split = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contamination(docs(spark, rows), bench, block_chars=100, keep=Scratch(spark, "t").keep).collect()}
     assert split == got
-    assert decontam.contamination(odd, bench).count() == 0 and decontam.contamination(empty, bench).count() == 0 and decontam.contamination(odd, bench.limit(0)).count() == 0
+    for d, b in ((odd, bench), (empty, bench), (odd, bench.limit(0))):
+        assert decontam.contamination(d, b, keep=Scratch(spark, "t").keep).count() == 0
 
 
 def test_long_excerpts_of_longer_items_are_found(spark):
     words = [f"q{i}" for i in range(300)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     rows = [(1, "noise " * 20 + " ".join(words[100:180]) + " noise" * 20, "a"), (2, "noise " + " ".join(words[100:130]), "a")]
-    got = {r["doc_id"]: r["score"] for r in decontam.contamination(docs(spark, rows), bench).collect()}
+    got = {r["doc_id"]: r["score"] for r in decontam.contamination(docs(spark, rows), bench, keep=Scratch(spark, "t").keep).collect()}
     assert set(got) == {1} and abs(got[1] - 80 / 300) < 1e-9
 
 
@@ -298,9 +297,9 @@ def test_licenses_against_brute_force(spark, odd, empty):
         return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
     want = {(i, name) for i, t, _ in rows if t for name, s in licenses.TEMPLATES if len(grams(s) & grams(t)) >= 0.8 * len(grams(s))}
-    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs(spark, rows), keep=Scratch(spark, "t").keep).collect()}
     assert got == want and (101, "all-rights-reserved") in got and (105, "apache-2.0-header") in got
-    assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
+    assert licenses.scan(odd, keep=Scratch(spark, "t").keep).count() == 0 and licenses.scan(empty, keep=Scratch(spark, "t").keep).count() == 0
 
 
 # --- 9 and 10 --------------------------------------------------------------------------------------------------------
@@ -338,10 +337,10 @@ def test_jaccard_against_brute_force(spark, odd, empty):
     kept = {r["doc_id"] for r in jaccard.keep_representatives(df, Scratch(spark, "t")).collect()}
     assert kept == set(want)
     got = {r["doc_id"]: r for r in jaccard.near_duplicates(odd, Scratch(spark, "t")).collect() if r["doc_id"]}
-    assert got[2]["class_id"] == 1 and got[2]["n_links"] == 1 and got[3]["class_id"] == 3 and got[4]["n_links"] == 0 and got[5]["class_id"] == 5
+    assert got[2]["class_id"] == 1 and got[2]["n_links"] == 2 and got[3]["class_id"] == 3 and got[4]["n_links"] == 0 and got[5]["class_id"] == 5
     assert jaccard.near_duplicates(empty, Scratch(spark, "t")).count() == 0
     left = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in jaccard.keep_representatives(odd, Scratch(spark, "t")).collect())
-    assert left == sorted([(False, i) for i in (1, 3, 4, 5, 6, 7, 8)] + [(True, 0)])
+    assert left == [(False, i) for i in (1, 3, 4, 5, 6, 7, 8)]  # the row without an id is a copy of 1
 
 
 def test_lines_against_brute_force(spark, odd, empty):
@@ -385,3 +384,34 @@ def test_short_lines_with_changed_characters_are_found(spark):
     rows += [(5000 + i, f"page {i} of 45", "a") for i in range(10, 20)]  # other lines, not changed ones
     for df in (docs(spark, rows), docs(spark, rows[::-1]).repartition(3)):
         assert {tuple(r) for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()} == want
+
+
+def test_rows_that_share_an_id_are_compared_each_for_itself(spark):
+    """Twelve ids with two texts each, and one near copy of each text: no link is lost and none counted twice."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i in range(12):
+        for side in range(2):
+            w = [f"x{x}" for x in rng.integers(0, 900, 60)]
+            rows += [(i, " ".join(w), "a"), (i, " ".join(w), "b"), (100 + 2 * i + side, " ".join([*w, "more"]), "a")]
+            want[100 + 2 * i + side] = i
+    df = docs(spark, rows)
+    got = [r for r in jaccard.near_duplicates(df, Scratch(spark, "t")).collect()]
+    assert len(got) == len(rows) and {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] >= 100} == want
+    assert all(r["n_links"] == 1 and r["n_copies"] == 1 for r in got)
+    kept = jaccard.keep_representatives(df, Scratch(spark, "t")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(list(range(12)) * 2)
+
+
+def test_components_with_a_hub(spark):
+    from tidewrit.llm.components import components
+
+    rng = np.random.default_rng(13)
+    edges = [(5000 + i, 7) for i in range(300)] + [(6000 + i, 6001 + i) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(8000, 8200, (150, 2))] + [(1, 1), (None, 3)]
+    want = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = want.setdefault(a, a), want.setdefault(b, b)
+            want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
+    got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()
+    assert {r["node"]: r["root"] for r in got} == {k: v for k, v in want.items() if k != v}

@@ -11,7 +11,13 @@ from . import ann, decontam, jaccard, langid, licenses, lines, mixing, shards, t
 from .scratch import Scratch
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python workers are of about 4 MB, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,13 +70,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op5").keep))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that documents hold."""
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=Scratch(spark, "op6").keep)
+    return found.drop("h1", "h2")
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +88,7 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licenses whose texts stand in documents."""
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), keep=Scratch(spark, "op8").keep)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
