@@ -1,33 +1,36 @@
 """A training corpus from the documents table: five stages, each reading what the one before has written.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
+decide by row, not by id: of rows that share an id, each stays or goes for its own text, and rows without an id are judged
+as all others. Empty tables pass as empty ones. Columns that docs has beside those of documents pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrit.llm import decontam, jaccard, mixing, shards, toxicity
-from tidewrit.llm.scratch import Scratch
+from tidewrit.llm import bloom, decontam, jaccard, mixing, queries, shards, toxicity
+from tidewrit.llm.scratch import Scratch, row_keys
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose noisy-or of sentence scores reaches 0.3."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scratch = Scratch(spark, "stage5")
-    return jaccard.without(docs, scratch.keep(toxicity.score(docs, model).where("score >= 0.3"), "toxic"), scratch)
+    """Without the documents whose noisy-or of sentence scores reaches 0.3; null and empty texts stay."""
+    model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"), Scratch(spark, "stage5").keep)
+    return docs.where(toxicity.scorer(spark, model)(docs["text"]) < 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similarity 0.8 on shingles of five words: the one of the least id."""
+    """One document of each group of similarity 0.8 on shingles of five words: the one of the least id. Texts without words
+    stay."""
+    queries.bounded_batches(spark)
     return jaccard.keep_representatives(docs, Scratch(spark, "stage9"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item, exactly or edited."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     scratch = Scratch(spark, "stage6")
-    return jaccard.without(docs, scratch.keep(found.select("doc_id").distinct(), "leaks"), scratch)
+    found = decontam.contamination(docs, queries.table(spark, sf_dir, "benchmark"), keep=scratch.keep)
+    return bloom.without(docs, found, scratch, row_keys("doc_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences at their slots of the training order: slot, shard, byte_offset, n_tokens, doc_ids, crc."""
+    queries.bounded_batches(spark)
     scratch = Scratch(spark, "stage2")
     return shards.materialise(docs, f"{scratch.root}/shards", keep=scratch.keep)
 
