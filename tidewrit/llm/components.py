@@ -1,8 +1,8 @@
 """Connected components by alternating large and small stars, with all state in tables.
 
 Each round is two joins on the node; every node's edges are pre-aggregated to their minimum before the shuffle, and no
-adjacency list is gathered. The minimum of a node with very many edges is sent to all tasks (at most 20,000 rows), so the
-edges of a hub stay where they are. Rounds grow with the logarithm of the largest component.
+adjacency list is gathered. The minima are written before they are joined, so a join has nothing but a shuffle below it
+on either side and Spark can split the partition of a hub. Rounds grow with the logarithm of the largest component.
 """
 
 from __future__ import annotations
@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
-    """edges (u, v) with m, the least neighbour of u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-    most = max(64, n_edges // 10_000)  # at most 2 * n_edges / most nodes have more
-    hubs = F.broadcast(least.where(F.col("d") > most).drop("d"))
-    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.where(F.col("d") <= most).drop("d"), "u")
-    return edges.join(hubs, "u").unionByName(rest)
+def _with_least(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """edges (u, v) with m, the least neighbour of u; and the table of these."""
+    least = scratch.keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(least, "u"), least
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
@@ -30,16 +27,16 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     links, state = scratch.keep(links, "links"), None
-    n = links.count()
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = _with_least(large, n)
+        large, first = _with_least(both, scratch)
+        large = scratch.keep(large.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct(), "large")
+        small, second = _with_least(large, scratch)
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         new = scratch.keep(small, "links")
         now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(links)
-        links, n = new, now[0]
+        scratch.drop(links, first, large, second)
+        links = new
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
