@@ -415,3 +415,16 @@ def test_components_with_a_hub(spark):
             want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
     got = components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()
     assert {r["node"]: r["root"] for r in got} == {k: v for k, v in want.items() if k != v}
+
+
+def test_very_frequent_lines_and_large_ranges_take_the_other_ways(spark, monkeypatch):
+    """A line of every document, lines like it, and ranges over their bound: the same lines are dropped either way."""
+    rng = np.random.default_rng(14)
+    base = "this very line stands in all of the documents of this table"
+    rows = [(i, "\n".join([base, "".join(rng.choice(list("abcdefghij "), 80)), base.replace("line", "lyne") if i % 50 == 3 else f"tail {i}"]), "a") for i in range(200)]
+    df = docs(spark, rows)
+    want = {tuple(r) for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()}
+    assert {(i, 0, 0, 0) for i in range(1, 200)} | {(i, 2, 0, 0) for i in range(200) if i % 50 == 3} <= want
+    for name, value in (("LEAST_FREQUENT", 20), ("RANGE_BYTES", 1), ("BLOCK", 2), ("BLOCK_CHARS", 100)):
+        monkeypatch.setattr(lines, name, value)
+        assert {tuple(r) for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()} == want, name

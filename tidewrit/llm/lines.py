@@ -39,7 +39,7 @@ from .scratch import Scratch, sent
 
 ROWS, BANDS, BLOCK = 3, 17, 1024
 #: Characters of the lines of a block; bytes of the keys of a range; lines that may count as very frequent.
-BLOCK_CHARS, RANGE_BYTES, MOST_FREQUENT = 1 << 19, 64 << 20, 1_000_000
+BLOCK_CHARS, RANGE_BYTES, MOST_FREQUENT, LEAST_FREQUENT = 1 << 19, 64 << 20, 1_000_000, 1000
 #: Characters of a shingle, least and most characters of a line, rows and bands. The shorter the shingles, the more unlike
 #: lines share some, so the more rows.
 SCALES = ((3, 29, 64, 6, 38), (5, 49, 192, 4, 22))
@@ -328,10 +328,10 @@ def _verify(k: int, threshold: float):
 
 
 def _frequent(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> tuple[set[bytes], DataFrame | None]:
-    """The lines that occur more often than all lines' number / MOST_FREQUENT (and 1,000 times), so there are at most so many,
+    """The lines that occur more often than all lines' number / MOST_FREQUENT (and LEAST_FREQUENT times), so there are at most so many,
     and their texts, each once."""
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = lines.where(F.col("n") > max(1000, total // MOST_FREQUENT)).select("a", "b", "place")
+    often = lines.where(F.col("n") > max(LEAST_FREQUENT, total // MOST_FREQUENT)).select("a", "b", "place")
     got = often.select("a", "b").toArrow()
     if not got.num_rows:
         return set(), None
@@ -339,7 +339,7 @@ def _frequent(docs: DataFrame, lines: DataFrame, scratch: Scratch) -> tuple[set[
     with sent(docs.sparkSession, names) as shared:
         some = docs.join(F.broadcast(often.select(F.col("place.doc_id").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
         texts = some.mapInArrow(_fetch(lambda found: [x for x in found if x in shared.value]), "a long, b long, text binary")
-        return names, scratch.keep(texts.groupBy("a", "b").agg(F.decode(F.first("text"), F.lit("UTF-8")).alias("text")), "frequent")
+        return names, scratch.keep(texts.groupBy("a", "b").agg(F.first("text").cast("string").alias("text")), "frequent")
 
 
 def _keyed(docs: DataFrame, frequent: set[bytes], frequent_texts: DataFrame | None, ranges: int, k: int, scratch: Scratch) -> DataFrame:
