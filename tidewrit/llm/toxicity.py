@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import groups, kernels
 
+PORTIONS = 8
 PREFIXES = (4, 5, 6, 8)
 LONGEST = 60
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
@@ -89,9 +90,10 @@ def gather(kept: DataFrame, bits: int = 20) -> Bags:
     known = words["words"].to_numpy()
     table = words["features"].combine_chunks().flatten().to_numpy().reshape(len(known), 1 + len(PREFIXES)).astype(np.int32)
     parts, seen = [], np.zeros(1 << bits, np.int32)
-    rows = kept.select("doc_id", "y", "tokens", "ends").toArrow().sort_by("doc_id")
-    for b in rows.to_batches():
-        tokens, ends = b.column(2), b.column(3)
+    for k in range(PORTIONS):  # one after the other, so that the driver holds few rows beside what it makes of them
+        rows = kept.select("doc_id", "y", "tokens", "ends").where(F.pmod(F.xxhash64("doc_id"), F.lit(PORTIONS)) == k)
+        b = rows.toArrow().sort_by("doc_id").combine_chunks()
+        tokens, ends = (groups.one_chunk(b.column(c)) for c in (2, 3))
         token, toff = np.searchsorted(known, tokens.flatten().to_numpy()).astype(np.int32), np.concatenate([[0], np.cumsum(tokens.value_lengths().to_numpy())])
         end, eoff = ends.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ends.value_lengths().to_numpy())])
         for i, y in enumerate(b.column(1).to_numpy()):
