@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import forms
 from ..functions import lexicon as L
 from . import spans as S
 
 #: Letters of Vietnamese besides the ASCII ones.
 VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
+#: Tokens that show that a made sentence holds parts of its prompt; names of types are among them.
+JUNK = ("`", "-", "*", ">", "|", "ok", "wait", "note", "line", "sentence", "spoken", "output", "example", "câu", "```", *sorted({p for t in L.TYPES for p in (t.lower(), *t.lower().split("_"))}))
 SPLITS = ["train", "random_dev", "entity_holdout_dev", "template_holdout_dev"]
 
 
@@ -45,7 +48,7 @@ def utterance_reason(words: str = "words", spans: str = "spans", punct: str = "p
     )
 
 
-def generated_reason(words: str = "words", spans: str = "spans", junk: tuple[str, ...] = ("...", "[", "]", "{", "}")) -> Column:
+def generated_reason(words: str = "words", spans: str = "spans", junk: tuple[str, ...] = JUNK) -> Column:
     """Quality of a made utterance: length, context around spans, junk tokens, and foreign letters outside addresses."""
     return S.let(F.col(words), F.col(spans), lambda w, s: _generated_reason(w, s, junk))
 
@@ -57,8 +60,8 @@ def _generated_reason(w: Column, s: Column, junk: tuple[str, ...]) -> Column:
     return reason(
         ("too short", F.size(w) < 5),
         ("too little context", F.size(F.filter(places, lambda x: ~inside(x["i"]))) < 2),
-        ("junk", F.exists(w, lambda x: x.isin(*junk))),
-        ("foreign letters", F.exists(places, lambda x: ~address(x["i"]) & F.lower(x["w"]).rlike(f"[^a-z_{VIETNAMESE}\\-]"))),
+        ("junk", F.exists(places, lambda x: ~address(x["i"]) & x["w"].isin(*junk))),
+        ("foreign letters", F.exists(places, lambda x: ~address(x["i"]) & ~x["w"].rlike(f"^[a-z{VIETNAMESE}]+$"))),
     )
 
 
@@ -79,39 +82,64 @@ def lost_boundaries(words: Column) -> Column:
     return S.let(words, _lost_boundaries)
 
 
+#: Words that begin sentences, and marks behind which a capital is no lost beginning.
+STARTERS = "Chưa Trong Ông Bà Câu Ít Sau Trước Khi Nhưng Và Với Từ Để Trên Dưới Nay Hôm Vì Do Nếu Tuy Mặc Theo Đây Đó Cả Một Hai Ba Những Các Người Nhiều Cũng Thế Sự Việc Ngày Năm Tháng Hiện Đến Tại Về Bởi Song Rồi".split()
+END_MARKS = ",.?!:;"
+
+
 def _lost_boundaries(words: Column) -> Column:
     at = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
-    starters = ["Theo", "Tuy", "Do", "Khi", "Trong", "Ngoài", "Đây", "Các", "Những", "Sau", "Trước", "Tại"]
-    return F.size(F.filter(at, lambda i: F.coalesce(F.get(words, i).isin(starters), F.lit(False)) & ~F.coalesce(F.get(words, i - 1).rlike(r"[.!?:;\"”)]$"), F.lit(False))))
+    closed = lambda w: F.coalesce(w.rlike(f"[{END_MARKS}]$"), F.lit(False))
+    return F.size(F.filter(at, lambda i: F.coalesce(F.get(words, i).isin(STARTERS), F.lit(False)) & ~closed(F.get(words, i - 1))))
+
+
+#: Fixed value: words of the code of web pages.
+WEB_CODE = r"(?U)\b(?:function|var|window|setTimeout|addClass|removeClass|url|href|isLoading|pagethree|newslist|p\.|\.js)\b"
 
 
 def is_fragment(text: Column) -> Column:
-    return text.rlike("^[0-9]{3}") | text.rlike(r"^\p{Ll}") | (F.regexp_count(text, F.lit(r"(?i)(https?:|www\.|</|/>|\{|\}|=\")")) >= 2)
+    """Cut within a number or a sentence, or code of a web page."""
+    return text.rlike(r"^[0-9]{3}\b") | text.rlike(r"^\p{Ll}") | (F.regexp_count(text, F.lit(WEB_CODE)) >= 2)
 
 
 def digit_free(text: Column) -> Column:
     return ~text.rlike(r"\p{Nd}")
 
 
+def spoken_ok(text: Column, min_words: int = 3) -> Column:
+    """A spoken form without digits and long enough."""
+    return F.coalesce(digit_free(text) & (F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) >= min_words), F.lit(False))
+
+
 def changed_in_first_case_only(a: Column, b: Column) -> Column:
-    return (a != b) & (F.lower(F.substring(a, 1, 1)) == F.lower(F.substring(b, 1, 1))) & (F.substring(a, 2, 1_000_000) == F.substring(b, 2, 1_000_000))
+    return (a != b) & (F.lower(F.substring(a, 1, 1)) == F.lower(F.substring(b, 1, 1))) & (F.substr(a, F.lit(2)) == F.substr(b, F.lit(2)))
 
 
 def same_value(a: Column, b: Column) -> Column:
-    """Equal numbers but for leading zeros and groups of three, and equal letters."""
-    numbers = lambda t: F.transform(F.regexp_extract_all(F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9]{3}(?![0-9]))", ""), F.lit("([0-9]+)"), 1), lambda x: F.regexp_replace(x, "^0+(?=[0-9])", ""))
+    """Two ways to write one value: equal letters, and equal numbers but for leading zeros and groups of three."""
+    groups = lambda t: F.regexp_extract_all(t, F.lit("([0-9]+)"), 1)
     letters = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}]", "")
-    return (F.size(numbers(a)) > 0) & (numbers(a) == numbers(b)) & (letters(a) == letters(b))
+    plain = lambda g: F.transform(g, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", ""))
+
+    def grouped(more: Column, less: Column) -> Column:
+        whole = F.forall(F.slice(more, F.lit(2), F.greatest(F.size(more), F.lit(1))), lambda g: F.length(g) == 3) & (F.length(F.get(more, F.lit(0))) <= 3)
+        return (F.size(less) == 1) & whole & (F.array_join(more, "") == F.get(less, F.lit(0)))
+
+    def compared(x: Column, y: Column) -> Column:
+        g, h = groups(x), groups(y)
+        values = F.when(F.size(g) == F.size(h), plain(g) == plain(h)).when(F.size(g) > F.size(h), grouped(g, h)).otherwise(grouped(h, g))
+        return (x == y) | ((F.size(g) > 0) & (letters(x) == letters(y)) & values)
+
+    return S.let(forms.no_edges(a), forms.no_edges(b), compared)
 
 
-#: Shapes of written forms and the types to try, in order.
+#: Shapes of written forms and the types to try, in order; a year of four digits comes first.
 CANDIDATES = [
-    (r"^(1[0-9]|20)[0-9]{2}$", ["DATE", "CARDINAL", "DIGIT_SEQ"]), (r"^[0-9]{1,2}/[0-9]{1,2}(/[0-9]{4})?$", ["DATE", "FRACTION", "ADDRESS"]), (r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$", ["TIME", "RATIO"]),
-    (r"^-?[0-9.]+(,[0-9]+)?%$", ["PERCENT"]), (r"^-?[0-9.]+(,[0-9]+)? ?(đồng|VND|USD|EUR)$", ["MONEY"]), (r"°[0-9]*.*[NSEW]", ["COORD"]), (r"^[0-9]{3}°$", ["HEADING", "BEARING"]),
-    (r"^-?[0-9]+,[0-9]+$", ["DECIMAL"]), (r"^-?[0-9]{1,3}(\.[0-9]{3})+$", ["CARDINAL"]), (r"^[0-9]+-[0-9]+$", ["RANGE"]), (r"^0[0-9]{9,10}$", ["TELEPHONE", "DIGIT_SEQ"]), (r"^-?[0-9]+$", ["CARDINAL", "DIGIT_SEQ", "MMSI_ID", "IMO_ID"]),
-    (r"^-?[0-9.,]+ ?\S+$", ["MEASURE", "SPEED", "DISTANCE", "FREQUENCY"]), (r"^[A-Z]{2,}$", ["ACRONYM", "CALLSIGN"]),
+    (r"^[12][0-9]{3}$", ["DATE", "CARDINAL", "DIGIT_SEQ"]), (r"^-?\d{1,3}(\.\d{3})+$", ["CARDINAL"]), (r"^\d+,\d+%$", ["PERCENT"]), (r"^\d+%$", ["PERCENT"]), (r"^-?\d+,\d+$", ["DECIMAL"]), (r"^\d+/\d+$", ["DATE", "FRACTION"]), (r"^\d+/\d+/\d+$", ["DATE"]),
+    (r"^\d+:\d+$", ["TIME", "RATIO"]), (r"^\d+°.*$", ["COORD", "HEADING", "BEARING"]), (r"^\d+\.\d+(\.\d+)+$", ["VERSION"]), (r"^0\d{8,10}$", ["TELEPHONE", "DIGIT_SEQ"]), (r"^\d{9}$", ["MMSI_ID", "DIGIT_SEQ"]), (r"^0\d+$", ["DIGIT_SEQ"]),
+    (r"^\d+\s*[A-Za-zµ°²³/%]+$", ["MEASURE", "SPEED", "DISTANCE", "DEPTH", "DRAFT", "FREQUENCY"]), (r"(?iu)^thứ \d+$", ["ORDINAL"]), (r"(?iu)^Quý [IVX]+$", ["QUARTER"]), (r"^[A-ZĐ][a-zA-Z]*-\d+.*$", ["EQUIPMENT_ID"]), (r"^[A-ZĐ]{2,}$", ["ACRONYM"]), (r"^\d+$", ["CARDINAL", "DIGIT_SEQ"]),
 ]
-OTHER_CANDIDATES = ["EQUIPMENT_ID", "DOCUMENT_ID", "FOREIGN_NAME", "PERSON_NAME", "LOCATION_NAME"]
+OTHER_CANDIDATES = ["CARDINAL", "DIGIT_SEQ", "MEASURE", "DATE", "ACRONYM"]
 
 
 def candidate_types(written: Column) -> Column:
@@ -126,7 +154,7 @@ def label_spans(df: DataFrame, norm, written: str = "written", spoken: str = "sp
     """df with label: the first candidate type whose normalizer makes the written form from the spoken one, else null."""
     kinds = candidate_types(F.col(written))
     found = df.withColumns({"__k": kinds, "__f": norm.columns(kinds, F.transform(kinds, lambda _: F.col(spoken)))})
-    hits = F.filter(F.arrays_zip("__k", "__f"), lambda x: x["__f"]["valid"] & (x["__f"]["normalized"] == F.col(written)))
+    hits = F.filter(F.arrays_zip("__k", "__f"), lambda x: x["__f"]["valid"] & (x["__f"]["resolved"] == x["__k"]) & (x["__f"]["normalized"] == F.col(written)))
     return found.withColumn("label", F.get(hits, F.lit(0))["__k"]).drop("__k", "__f")
 
 

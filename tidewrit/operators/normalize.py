@@ -57,7 +57,12 @@ class Normalization:
             e = _engine(shared.value)
             return pd.Series([[dict(zip(("normalized", "valid", "reason", "resolved"), attempt(e, k, t))) for k, t in zip(ks, ts)] if ks is not None and ts is not None else None for ks, ts in zip(kinds, texts)])
 
-        self._one, self._many = one, many
+        @F.pandas_udf("array<struct<normalized:string,valid:boolean,reason:string>>")
+        def parsed(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+            e = _engine(shared.value)
+            return pd.Series([[dict(zip(("normalized", "valid", "reason"), e.normalize(k, t))) for k, t in zip(ks, ts)] if ks is not None and ts is not None else None for ks, ts in zip(kinds, texts)])
+
+        self._one, self._many, self._parsed = one, many, parsed
 
     def column(self, kind: Column | str, text: Column) -> Column:
         """struct(normalized, valid, reason, resolved) of a span's text; total: nulls are invalid."""
@@ -67,6 +72,10 @@ class Normalization:
         """The same for arrays."""
         return self._many(kinds, texts)
 
+    def parsed(self, kinds: Column, texts: Column) -> Column:
+        """For arrays, struct(normalized, valid, reason) of each type's own grammar, without its siblings and validators."""
+        return self._parsed(kinds, texts)
+
     def distinct(self, df: DataFrame, kind: str, text: str) -> DataFrame:
         """df with the column result, each different (kind, text) being read once in the whole table: for tables whose
         values repeat across tasks. Joins back by the pair; nulls get a null result."""

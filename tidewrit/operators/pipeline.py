@@ -29,6 +29,10 @@ def with_gold_confidence(spans: Column) -> Column:
 
 
 def skipped_reason(words: Column, spans: Column, punct: Column) -> Column:
+    return S.let(words, spans, punct, _skipped_reason)
+
+
+def _skipped_reason(words: Column, spans: Column, punct: Column) -> Column:
     n = F.size(words)
     return F.coalesce(
         F.when(words.isNull() | spans.isNull(), "no words or spans"),
@@ -44,6 +48,10 @@ def spans_only(spans: Column) -> Column:
 
 def render(words: Column, outputs: Column, punct: Column) -> Column:
     """outputs: (start, end, normalized, emitted). An emitted piece is protected; other words lose the _ of compounds."""
+    return S.let(words, outputs, punct, _render)
+
+
+def _render(words: Column, outputs: Column, punct: Column) -> Column:
     marks = F.create_map(*(F.lit(x) for k, v in L.PUNCTUATION.items() for x in (k, v)))
     mark = lambda i: F.coalesce(F.try_element_at(marks, F.coalesce(F.get(punct, i), F.lit("O"))), F.lit(""))
 
@@ -55,7 +63,7 @@ def render(words: Column, outputs: Column, punct: Column) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         first = F.substring(p["text"], 1, 1)
-        text = F.when(acc["begin"] & ~p["safe"] & first.rlike(r"\p{L}"), F.concat(F.upper(first), F.substring(p["text"], 2, 1_000_000))).otherwise(p["text"])
+        text = F.when(acc["begin"] & ~p["safe"] & first.rlike(r"\p{L}"), F.concat(F.upper(first), F.substr(p["text"], F.lit(2)))).otherwise(p["text"])
         out = F.concat(acc["out"], F.when(acc["out"] == "", "").otherwise(" "), text, p["mark"])
         return F.struct(out.alias("out"), p["mark"].isin(".", "?").alias("begin"))
 
@@ -71,7 +79,8 @@ def write(spark: SparkSession, utterances: DataFrame, norm: Normalization | None
         utterances = utterances.withColumn("punct", F.lit(None).cast("array<string>"))
     df = utterances.withColumn("skipped_reason", skipped_reason(F.col("words"), F.col("spans"), F.col("punct")))
     usable = F.when(F.col("skipped_reason").isNull(), F.col("spans"))
-    df = df.withColumns({"__kinds": F.transform(usable, lambda s: s["type"]), "__texts": F.transform(usable, lambda s: S.text_of(F.col("words"), s["start"], s["end"]))})
+    texts = S.let(F.col("words"), lambda words: F.transform(usable, lambda s: S.text_of(words, s["start"], s["end"])))
+    df = S.settled(df, __kinds=F.transform(usable, lambda s: s["type"]), __texts=texts)
     df = df.withColumn("__found", norm.columns(F.col("__kinds"), F.col("__texts")))
 
     def output(s: Column, r: Column) -> Column:
@@ -88,6 +97,36 @@ def write(spark: SparkSession, utterances: DataFrame, norm: Normalization | None
     return df.withColumnRenamed("__texts", "span_texts")
 
 
+def gathered_punct(punct: Column, model: Column) -> Column:
+    """Labels over raw tokens, those within a model word (raw_start, raw_end) moved to its last token; its last label holds."""
+
+    def moved(punct: Column, model: Column) -> Column:
+        def one(i: Column) -> Column:
+            m = F.get(F.filter(model, lambda m: m["raw_end"] == i), F.lit(0))
+            label = F.try_element_at(F.filter(F.slice(punct, m["raw_start"] + 1, m["raw_end"] - m["raw_start"] + 1), lambda x: x != "O"), F.lit(-1))
+            return F.coalesce(label, F.lit("O"))
+
+        return F.transform(punct, lambda _, i: one(i))
+
+    return S.let(punct, model, moved)
+
+
+def write_gold(spark: SparkSession, annotated: DataFrame, norm: Normalization | None = None, segment=None) -> DataFrame:
+    """write() with gold spans (start, end, type): every span is certain. With segment (operators.segment.segmenter) words are
+    joined to compounds first: conflicts are the spans that a compound cuts, which makes the utterance skipped, and the
+    punctuation within a compound goes to its end."""
+    df = annotated.withColumn("conflicts", F.array().cast("array<struct<start:int,end:int,type:string>>"))
+    if segment is not None:
+        df = S.settled(df, words=F.col("words"), spans=F.col("spans"), punct=F.col("punct")).withColumn("__model", segment("words"))
+        cut = S.let(F.col("spans"), F.col("__model"), lambda spans, model: F.filter(F.zip_with(spans, S.project(spans, model), lambda s, p: F.struct(s.alias("s"), p["conflict"].alias("bad"))), lambda x: x["bad"]))
+        conflicts = F.transform(cut, lambda x: F.struct(x["s"]["start"].cast("int").alias("start"), x["s"]["end"].cast("int").alias("end"), x["s"]["type"].alias("type")))
+        df = df.withColumns({"conflicts": conflicts, "punct": gathered_punct(F.col("punct"), F.col("__model"))}).drop("__model")
+    out = write(spark, df.withColumn("spans", with_gold_confidence(F.col("spans"))), norm)
+    bad = F.size("conflicts") > 0
+    out = out.withColumns({"skipped_reason": F.when(bad, "a compound cuts a span").otherwise(F.col("skipped_reason")), "written": F.when(~bad, F.col("written"))})
+    return out.withColumn("spans", spans_only(F.col("spans")))
+
+
 def trace(written: DataFrame, id_col: str = "id") -> DataFrame:
     """One row a span: id, span_no, raw_text and the fields of outputs."""
     rows = written.select(id_col, "span_texts", F.posexplode("outputs").alias("span_no", "o"))

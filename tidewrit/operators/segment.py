@@ -33,7 +33,7 @@ def segmenter(spark: SparkSession, compounds: set[tuple[str, ...]], most: int =
             row = list(row) if row is not None else []
             low, model, i = [unicodedata.normalize("NFC", t).lower() for t in row], [], 0
             while i < len(row):
-                n = next((n for n in range(LONGEST, 1, -1) if tuple(low[i : i + n]) in shared.value), 1)
+                n = next((n for n in range(min(LONGEST, len(row) - i), 1, -1) if tuple(low[i : i + n]) in shared.value), 1)
                 model.append({"word": "_".join(row[i : i + n]), "raw_start": i, "raw_end": i + n - 1})
                 i += n
             out.append(model)

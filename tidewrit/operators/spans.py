@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,type:string>"
@@ -24,6 +24,13 @@ def let(*values_and_body) -> Column:
     return bind((), values)
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row. A generator of one row stands between them and what reads them:
+    merged projections would compute them again in every expression, and Python functions take no nested lambdas."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def encode(spans: Column, n: Column) -> Column:
     """BIOES tags of n words. An empty sequence has none."""
     return let(spans, lambda s: _encode(s, n))

@@ -43,6 +43,11 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return df.select("id", "split", arr("tokens").alias("tokens"), arr("bio_tags").alias("bio_tags"), "normalized_text")
 
 
+def read_any_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """Bundles of any of their layouts, for operators.converters.from_bundle(). Tokens that are objects come as their JSON."""
+    return read_jsonl(spark, path, schemas.ANY_BUNDLE)
+
+
 def read_token_bundle(spark: SparkSession, path: str) -> DataFrame:
     """Bundles of token objects with punctuation targets: id, words, punct, spans (null if the tags are no BIO), written."""
     df = read_jsonl(spark, path, schemas.TOKEN_BUNDLE)
@@ -65,19 +70,26 @@ def clean_line(text: Column) -> Column:
 
 
 def read_inputs(spark: SparkSession, paths: list[str], min_words: int = 1) -> DataFrame:
-    """First column of CSV files (with header) and lines of text files: file, line, first of equal lines, without digits."""
+    """First column of CSV files (with header) and lines of text files: file, line, the first of equal lines, without digits, in
+    their order."""
     parts = []
     if csv := [p for p in paths if p.endswith(".csv")]:
         for p in csv:
             df = spark.read.option("header", True).csv(p)
             parts.append(df.select(F.lit(p).alias("file"), F.col(f"`{df.columns[0]}`").alias("line")))
     if text := [p for p in paths if not p.endswith(".csv")]:
-        parts.append(spark.read.text(text).select(F.input_file_name().alias("file"), F.col("value").alias("line")))
+        for p in text:
+            parts.append(spark.read.text(p).select(F.lit(p).alias("file"), F.col("value").alias("line")))
+    places = {p: i for i, p in enumerate(paths)}
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
-    df = df.withColumn("line", clean_line(F.col("line")))
-    return df.where((F.size(F.split("line", " ")) >= min_words) & (F.col("line") != "") & ~F.col("line").rlike(r"\p{Nd}")).groupBy("line").agg(F.min("file").alias("file")).select("file", "line")
+    # of equal lines the first stays: by the order of the paths, then of the lines in a file as Spark numbers them
+    nos = F.create_map(*(F.lit(x) for k, v in places.items() for x in (k, v)))
+    df = df.withColumns({"line": clean_line(F.col("line")), "__o": F.struct(F.element_at(nos, F.col("file")).alias("file_no"), F.monotonically_increasing_id().alias("row"))})
+    df = df.where((F.size(F.split("line", " ")) >= min_words) & (F.col("line") != "") & ~F.col("line").rlike(r"\p{Nd}"))
+    first = df.groupBy("line").agg(F.min(F.struct("__o", "file")).alias("f"))
+    return first.select(F.col("f.file").alias("file"), "line", F.col("f.__o").alias("place")).orderBy("place").drop("place")
 
 
 def read_style_seeds(spark: SparkSession, path: str, n: int, low: int = 40, high: int = 220) -> DataFrame:
@@ -90,22 +102,51 @@ def read_catalogue(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(catalogue, canonical, spoken, ord) of a catalogue file, for operators.lookup."""
     df = spark.read.schema(schemas.CATALOGUE).option("multiLine", True).json(path)
     e = df.select(F.posexplode(F.coalesce("entries", "models")).alias("i", "e")).select("i", "e.canonical", F.posexplode(F.array_append("e.spoken", F.col("e.canonical"))).alias("j", "spoken"))
-    return e.select(F.lit(name).alias("catalogue"), "canonical", "spoken", (F.col("i") * 1000 + F.col("j")).cast("int").alias("ord"))
+    return e.select(F.lit(name).alias("catalogue"), "canonical", "spoken", (F.col("i").cast("long") * (1 << 20) + F.col("j")).alias("ord"))
+
+
+#: Fixed value: what stands before a line that a model has numbered or named.
+LEAD_JUNK = r"(?iu)^(?:[\s*\-•>`]|\d+[.)]|line\s*\d+\s*:|spoken\s*:|câu\s*\d+\s*:)+"
+_MARK = r"\[\[[^\[\]|]+\|[A-Z_]+\]\]"
+
+
+def harvest_lines(text: Column) -> Column:
+    """The lines of a reply that hold marked spans, without what a model says around them."""
+    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), LEAD_JUNK, "")), "^`+|`+$", "")))
+    count = lambda x, mark: (F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))) / 2
+    return F.filter(clean, lambda x: x.rlike(_MARK) & (count(x, "[[") == count(x, "]]")))
 
 
 def parse_markup(line: Column) -> Column:
-    """words and spans of a line with [[text|TYPE]]."""
-    parts = F.regexp_extract_all(line, F.lit(r"(\[\[[^\]|]*\|[A-Z_]+\]\]|[^\s\[]+)"), 1)
+    """struct(words, spans, punct) of a line with [[text|TYPE]], in lower case. A mark behind a word or alone labels the word
+    before it; null without a span, or if a mark begins the line."""
+    marks = F.create_map(*(F.lit(x) for x in (",", "COMMA", ".", "PERIOD", "?", "QUESTION")))
+    parts = F.regexp_extract_all(line, F.lit(rf"({_MARK}|[^\s\[]+|\[)"), 1)
+    none = F.array().cast("array<string>")
 
     def one(p: Column) -> Column:
-        marked = p.startswith("[[")
-        inner = F.regexp_extract(p, r"^\[\[([^|\]]*)\|", 1)
-        return F.struct(F.when(marked, F.split(F.trim(inner), r"\s+")).otherwise(F.array(p)).alias("w"), F.when(marked, F.regexp_extract(p, r"\|([A-Z_]+)\]\]$", 1)).alias("t"))
+        kind = F.regexp_extract(p, r"^\[\[[^|]*\|([A-Z_]+)\]\]$", 1)
+        inner = F.filter(F.split(F.lower(F.regexp_extract(p, r"^\[\[([^|]*)\|", 1)), r"\s+"), lambda w: w != "")
+        tail = F.try_element_at(marks, F.regexp_extract(F.regexp_extract(p, r"([,.?]*)$", 1), r"^(.)", 1))
+        word = F.regexp_replace(F.regexp_replace(F.lower(p), r"[,.?]+$", ""), r"^[\"'()]+|[\"'()]+$", "")
+        plain = F.when(word == "", none).otherwise(F.array(word))
+        return F.struct(F.when(kind != "", inner).otherwise(plain).alias("w"), F.when(kind != "", kind).alias("t"), F.when(kind == "", tail).alias("m"))
 
     def step(acc: Column, p: Column) -> Column:
-        n = F.size(acc["words"])
-        span = F.array(F.struct(n.alias("start"), (n + F.size(p["w"]) - 1).alias("end"), p["t"].alias("type")))
-        return F.struct(F.concat(acc["words"], p["w"]).alias("words"), F.when(p["t"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], span)).alias("spans"))
-
-    start = F.struct(F.array().cast("array<string>").alias("words"), F.array().cast(schemas.SPANS).alias("spans"))
-    return F.aggregate(F.transform(parts, one), start, step)
+        n, m = F.size(acc["words"]), F.size(p["w"])
+        span = F.array(F.struct(n.alias("start"), (n + m - 1).alias("end"), p["t"].alias("type")))
+        moved = F.concat(F.slice(acc["punct"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(p["m"]))
+        more = F.concat(acc["punct"], F.array_repeat(F.lit("O"), F.greatest(m - 1, F.lit(0))), F.when(m > 0, F.array(F.coalesce(p["m"], F.lit("O")))).otherwise(none))
+        punct = F.when((m == 0) & (n > 0) & p["m"].isNotNull(), moved).otherwise(more)
+        bad = acc["bad"] | ((m == 0) & ((n == 0) & p["m"].isNotNull() | p["t"].isNotNull()))
+        return F.struct(F.concat(acc["words"], p["w"]).alias("words"), F.when(p["t"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], span)).alias("spans"), punct.alias("punct"), bad.alias("bad"))
+
+    start = F.struct(none.alias("words"), F.array().cast(schemas.SPANS).alias("spans"), none.alias("punct"), F.lit(False).alias("bad"))
+    out = F.aggregate(F.transform(parts, one), start, step)
+    return S.let(out, lambda o: F.when(~o["bad"] & (F.size(o["spans"]) > 0), F.struct(o["words"].alias("words"), o["spans"].alias("spans"), o["punct"].alias("punct"))))
+
+
+def parse_reply(reply: Column, n: Column) -> Column:
+    """(no, spoken) of the lines "<no>|<spoken>" of a reply about n numbered lines."""
+    one = lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+)\s*[|.)：:]\s*(.+)$", 1).try_cast("int").alias("no"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^\s*(\d+)\s*[|.)：:]\s*(.+)$", 2)), "^\"+|\"+$", "").alias("spoken"))
+    return F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), "\n"), lambda x: one(F.trim(x))), lambda x: x["no"].between(1, n))
