@@ -428,3 +428,20 @@ def test_very_frequent_lines_and_large_ranges_take_the_other_ways(spark, monkeyp
     for name, value in (("LEAST_FREQUENT", 20), ("RANGE_BYTES", 1), ("BLOCK", 2), ("BLOCK_CHARS", 100)):
         monkeypatch.setattr(lines, name, value)
         assert {tuple(r) for r in lines.repeated_lines(df, Scratch(spark, "t")).collect()} == want, name
+
+
+def test_rows_leave_by_their_keys(spark, odd, monkeypatch):
+    """Few keys are sent, many go through a filter or, without one, by a shuffle: the same rows stay."""
+    from tidewrit.llm import bloom
+    from tidewrit.llm.scratch import row_keys
+
+    keys = row_keys("doc_id", "text")
+    gone = odd.where("doc_id in (1, 4) or doc_id is null").select(*keys)
+    again = odd.where("doc_id = 6").select(*keys)
+    want = sorted([2, 3, 5, 6, 7, 8])
+    for few, largest in ((100, 1 << 20), (0, 1 << 20), (0, 0)):
+        monkeypatch.setattr(bloom, "FEW", few)
+        monkeypatch.setattr(bloom, "LARGEST_LEVEL", largest)
+        got = bloom.without(odd, gone, Scratch(spark, "t"), keys, again)
+        assert got.columns == odd.columns and sorted(r["doc_id"] for r in got.collect()) == want, (few, largest)
+    assert bloom.without(odd, gone.limit(0), Scratch(spark, "t"), keys, again.limit(0)).count() == odd.count()

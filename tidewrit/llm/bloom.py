@@ -76,32 +76,39 @@ def may_hold(level: Level, spark):
         out[some] = shared.value.passes(h.drop_null().to_numpy().view(kernels.U64))
         return pa.array(out)
 
-    return test
+    return test.asNondeterministic()  # else it is also asked about the other side of each join that follows
+
+
+#: Keys that are sent to all tasks as they are.
+FEW = 200_000
 
 
 def without(docs: DataFrame, gone: DataFrame, scratch, keys: list, repeated: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose keys (two columns that name a row, see scratch.row_keys) are not in gone (h1, h2). Of rows
     with equal keys in repeated one stays, as they are equal.
 
-    A Bloom filter of both lists lets all other rows pass where they are, so only the few that it holds are shuffled.
+    A few keys are sent to the rows, which are read once. Of many, a Bloom filter lets all other rows pass where they are,
+    so only the few that it holds are shuffled.
     """
-    gone = gone.select("h1", "h2").distinct()
-    listed = gone if repeated is None else gone.unionByName(repeated.select("h1", "h2"))
-    listed = scratch.keep(listed.select(F.col("h1").alias("h")).distinct(), "listed")
+    gone = scratch.keep(gone.select("h1", "h2").distinct(), "gone")
+    listed = gone
+    if repeated is not None:
+        repeated = scratch.keep(repeated.select("h1", "h2").distinct(), "repeated")
+        repeated = None if repeated.isEmpty() else repeated
+        listed = gone if repeated is None else gone.unionByName(repeated)
     n = listed.count()
     if not n:
         return docs
-    level = members(listed, n)
     # the row itself goes along as one column, so none of its names can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys)
-    if level is None:
-        some, rest = rows, None
-    else:
+    some, rest = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys), None
+    level = None if n <= FEW else members(listed.select(F.col("h1").alias("h")), n)
+    if level is not None:
         held = may_hold(level, docs.sparkSession)("h1")
-        some, rest = rows.where(held), rows.where(~held)
-    some = some.join(gone, ["h1", "h2"], "left_anti")
+        some, rest = some.where(held), some.where(~held)
+    send = F.broadcast if n <= FEW else lambda df: df
+    some = some.join(send(gone), ["h1", "h2"], "left_anti")
     if repeated is not None:
-        again = some.join(repeated.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-        some = some.join(repeated.select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").unionByName(again)
+        again = some.join(send(repeated), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+        some = some.join(send(repeated), ["h1", "h2"], "left_anti").unionByName(again)
     out = some.select("row.*")
     return out if rest is None else out.unionByName(rest.select("row.*"))
