@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.lexicon import CRITICAL, TYPES
+from ..functions.lexicon import CRITICAL, PUNCTUATION, TYPES
 from . import spans as S
 
 
@@ -134,6 +134,75 @@ def per_type_report(gold: DataFrame, pred: DataFrame, id_col: str = "id", k: int
     return out.withColumns({"precision": pr, "recall": rc, "f1": f1}).withColumn("status", status)
 
 
+def examples(gold: DataFrame, pred: DataFrame, texts: DataFrame, id_col: str = "id", k: int = 2) -> DataFrame:
+    """(type, right, wrong): the first k spans of each gold type that were found and that were not, as text; wrong ones with what
+    stands for them. texts: (id, words). Spans are ranked before they meet, so a type moves k rows a task."""
+    g = gold.select(id_col, "start", "end", F.col("type").alias("gold_type")).distinct()
+    m = g.join(pred.select(id_col, "start", "end", F.col("type").alias("pred_type")).distinct(), [id_col, "start", "end"], "left")
+    m = m.withColumn("ok", F.coalesce(F.col("gold_type") == F.col("pred_type"), F.lit(False)))
+    rank = Window.partitionBy("gold_type", "ok").orderBy(id_col, "start", "end", "pred_type")
+    some = m.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).join(texts, id_col)
+    text = F.replace(S.text_of(F.col("words"), F.col("start"), F.col("end")), F.lit("_"), F.lit(" "))
+    some = some.withColumn("text", F.when(F.col("ok"), text).otherwise(F.concat(text, F.lit(" -> "), F.coalesce("pred_type", F.lit("nothing")))))
+    listed = lambda ok: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ok") == ok, F.struct("r", "text")))), lambda x: x["text"]), "; ")
+    return some.groupBy(F.col("gold_type").alias("type")).agg(listed(True).alias("right"), listed(False).alias("wrong"))
+
+
+def with_causes(report: DataFrame, trained: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """per_type_report() with n_train, cause, action and, against an earlier report (type, f1), f1_before and change.
+    trained: (type, n_train)."""
+    out = report.join(trained, "type", "left").withColumn("n_train", F.coalesce("n_train", F.lit(0).cast("long")))
+    cause = F.when(F.col("gold") == 0, "").when(F.col("n_train") < 20, "little to learn from").when(F.col("boundary_only") >= F.col("missed"), "types mixed up").otherwise("boundaries missed")
+    mixed = F.col("boundary_only") > F.col("missed")
+    action = (
+        F.when(F.col("gold") == 0, "evaluate it first").when(F.col("f1") >= 0.8, "none").when(F.col("n_train") < 200, "add sentences")
+        .when(mixed, F.concat(F.lit("add sentences that tell it from "), F.coalesce(F.nullif(F.substring_index("confusions", ":", 1), F.lit("")), F.lit("its like")))).otherwise("add longer sentences with more spans")
+    )
+    out = out.withColumns({"cause": cause, "action": action})
+    if baseline is None:
+        return out
+    return out.join(baseline.select("type", F.col("f1").alias("f1_before")), "type", "left").withColumn("change", F.round(F.col("f1") - F.col("f1_before"), 3))
+
+
+def run_summary(rows: DataFrame) -> DataFrame:
+    """One row over utterances (gold, pred: arrays of spans; gold_punct, pred_punct; gold_text, pred_text, source_text): F1 of
+    boundaries and of types, accuracy and macro F1 of punctuation without O, and the share of equal texts, against the gold
+    text and, where there is one, against the source's (but for full stops at the end). Every figure is a sum over rows."""
+    ends = lambda spans: F.array_distinct(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    whole = lambda spans: F.array_distinct(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"))))
+    sums = {}
+    for name, of in (("b", ends), ("t", whole)):
+        sums |= {f"{name}_tp": F.size(F.array_intersect(of("gold"), of("pred"))), f"{name}_n": F.size(of("gold")) + F.size(of("pred"))}
+    pairs = F.arrays_zip(F.col("gold_punct").alias("g"), F.col("pred_punct").alias("p"))
+    sums |= {"p_ok": F.size(F.filter(pairs, lambda x: x["g"] == x["p"])), "p_n": F.size(pairs)}
+    labels = list(PUNCTUATION)
+    for x in labels:
+        sums |= {f"{x}_tp": _count(pairs, x, x), f"{x}_g": _count(pairs, x, None), f"{x}_p": _count(pairs, None, x)}
+    end = lambda c: F.regexp_replace(c, r"\.+$", "")
+    has_source = F.coalesce(F.col("source_text") != "", F.lit(False))
+    sums |= {"exact": (F.col("gold_text") == F.col("pred_text")).cast("int"), "source": has_source.cast("int"), "source_ok": (has_source & (end(F.col("pred_text")) == end(F.col("source_text")))).cast("int")}
+    one = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()))
+    f1s = F.array(*(F.when(F.col(f"{x}_g") + F.col(f"{x}_p") > 0, rate(2 * F.col(f"{x}_tp"), F.col(f"{x}_g") + F.col(f"{x}_p"))) for x in labels))
+    macro = F.filter(f1s, lambda f: f.isNotNull())
+    return one.select(
+        "n", rate(2 * F.col("b_tp"), F.col("b_n")).alias("boundary_f1"), rate(2 * F.col("t_tp"), F.col("t_n")).alias("type_f1"), rate(F.col("p_ok"), F.col("p_n")).alias("punct_accuracy"),
+        rate(F.aggregate(macro, F.lit(0.0), lambda a, x: a + x), F.size(macro)).alias("punct_macro_f1"), rate(F.col("exact"), F.col("n")).alias("utterance_exact"), rate(F.col("source_ok"), F.col("source")).alias("source_exact"), F.col("source").alias("n_source"),
+    )
+
+
+def _count(pairs: Column, gold: str | None, pred: str | None) -> Column:
+    def fits(x: Column) -> Column:
+        return (F.lit(True) if gold is None else x["g"] == gold) & (F.lit(True) if pred is None else x["p"] == pred)
+
+    return F.size(F.filter(pairs, fits))
+
+
+def run_by_type(rows: DataFrame) -> DataFrame:
+    """(type, hit, n) of gold spans."""
+    spans = rows.select(F.explode("gold").alias("s"), "pred")
+    return spans.groupBy(F.col("s.type").alias("type")).agg(F.count_if(F.array_contains("pred", F.col("s"))).alias("hit"), F.count("*").alias("n"))
+
+
 def best_threshold(records: DataFrame, low: float = 0.2, high: float = 0.95, min_support: int = 3, default: float = 0.6) -> DataFrame:
     """Of (type, confidence, ok): the threshold for each type that maximises right minus wrong among what it lets pass.
 

@@ -178,11 +178,11 @@ def punctuation_labels(spark, sf_dir):
     return df.where(F.size("p") > 0).select("conv_id", "turn", F.size("p").cast("long").alias("words"), count("COMMA").alias("commas"), count("PERIOD").alias("periods"))
 
 
-@query("SELECT event_id, CAST(event_id % 97 AS INT) AS start, CAST(event_id % 97 + event_id % 5 AS INT) AS \"end\", 'T' || (event_id % 3) AS type, FALSE AS conflict FROM events")
+@query("SELECT event_id, CAST((event_id % 97) // 3 AS INT) AS start, CAST((event_id % 97 + event_id % 5) // 3 AS INT) AS \"end\", 'T' || (event_id % 3) AS type, event_id % 97 % 3 <> 0 OR (event_id % 97 + event_id % 5) % 3 <> 2 AS conflict FROM events")
 def project_spans(spark, sf_dir):
-    """Raw spans through model words of one raw token each stay where they are."""
+    """Raw spans through model words of three raw tokens each; most of them are cut by one."""
     s = F.struct((F.col("event_id") % 97).cast("int").alias("start"), (F.col("event_id") % 97 + F.col("event_id") % 5).cast("int").alias("end"), F.concat(F.lit("T"), (F.col("event_id") % 3).cast("string")).alias("type"))
-    model = F.transform(F.sequence(F.lit(0), F.lit(110)), lambda i: F.struct(i.alias("raw_start"), i.alias("raw_end")))
+    model = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.struct((i * 3).alias("raw_start"), (i * 3 + 2).alias("raw_end")))
     return table(spark, sf_dir, "events").select("event_id", F.explode(S.project(F.array(s), model)).alias("x")).select("event_id", "x.*")
 
 
@@ -281,9 +281,33 @@ def type_f1(spark, sf_dir):
     return metrics.type_f1(*span_sets(spark, sf_dir)).select("type", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
 
 
-@query()
+REPORT_SQL = "m AS (SELECT gold.type AS g, pred.type AS p FROM gold FULL JOIN pred USING (id, s, e)), own AS (SELECT g AS type, count(*) AS gold, count(*) FILTER (g = p) AS hit, count(*) FILTER (p IS NOT NULL AND g <> p) AS boundary_only, count(*) FILTER (p IS NULL) AS missed FROM m WHERE g IS NOT NULL GROUP BY g), sp AS (SELECT p AS type, count(*) AS spurious FROM m WHERE p IS NOT NULL AND g IS DISTINCT FROM p GROUP BY p), mx AS (SELECT type, string_agg(x, ', ' ORDER BY n DESC, p) AS confusions FROM (SELECT g AS type, p, count(*) AS n, p || ':' || count(*) AS x, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, p) AS r FROM m WHERE g <> p GROUP BY g, p) WHERE r <= 3 GROUP BY type), r AS (SELECT own.*, coalesce(spurious, 0) AS spurious, coalesce(confusions, '') AS confusions FROM own LEFT JOIN sp USING (type) LEFT JOIN mx USING (type))"
+
+
+@query(f"WITH {GP}, {REPORT_SQL} SELECT type, gold, hit, boundary_only, missed, spurious, round(hit / (hit + spurious)::DOUBLE, 9) AS precision, round(hit / gold::DOUBLE, 9) AS recall, round(2.0 * hit / (gold + hit + spurious), 9) AS f1, CASE WHEN 2.0 * hit / (gold + hit + spurious) >= 0.8 THEN 'good' WHEN 2.0 * hit / (gold + hit + spurious) >= 0.5 THEN 'usable' ELSE 'weak' END AS status, confusions FROM r")
 def per_type_report(spark, sf_dir):
-    return metrics.per_type_report(*span_sets(spark, sf_dir), min_support=1)
+    """The types that occur; the report itself has a row for each of the 46."""
+    out = metrics.per_type_report(*span_sets(spark, sf_dir), min_support=1).where("gold > 0").drop("type_no")
+    return out.select("type", "gold", "hit", "boundary_only", "missed", "spurious", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")), "status", "confusions")
+
+
+@query(f"WITH {GP}, {REPORT_SQL} SELECT type, CASE WHEN type = 'COORD' THEN 'little to learn from' WHEN boundary_only >= missed THEN 'types mixed up' ELSE 'boundaries missed' END AS cause, CASE WHEN 2.0 * hit / (gold + hit + spurious) >= 0.8 THEN 'none' WHEN type = 'COORD' THEN 'add sentences' WHEN boundary_only > missed THEN 'add sentences that tell it from ' || split_part(confusions, ':', 1) ELSE 'add longer sentences with more spans' END AS action, round(round(2.0 * hit / (gold + hit + spurious), 9) - 0.5, 3) AS change FROM r")
+def report_causes(spark, sf_dir):
+    """Causes, actions and the change against an earlier report."""
+    gold, pred = span_sets(spark, sf_dir)
+    trained = spark.createDataFrame([("DATE", 1000), ("TIME", 500), ("COORD", 5)], "type string, n_train long")
+    before = gold.select("type").distinct().withColumn("f1", F.lit(0.5))
+    return metrics.with_causes(metrics.per_type_report(gold, pred, min_support=1).where("gold > 0"), trained, before).select("type", "cause", "action", "change")
+
+
+@query(f"WITH {GP}, m AS (SELECT gold.id, gold.s, gold.e, gold.type AS g, pred.type AS p FROM gold LEFT JOIN pred USING (id, s, e)), k AS (SELECT *, coalesce(g = p, FALSE) AS ok, row_number() OVER (PARTITION BY g, coalesce(g = p, FALSE) ORDER BY id, s, e) AS r FROM m) SELECT g AS type, coalesce(string_agg(CASE WHEN ok THEN 'w' || s END, '; ' ORDER BY r), '') AS \"right\", coalesce(string_agg(CASE WHEN NOT ok THEN 'w' || s || ' -> ' || coalesce(p, 'nothing') END, '; ' ORDER BY r), '') AS wrong FROM k WHERE r <= 2 GROUP BY g")
+def report_examples(spark, sf_dir):
+    """The first two spans of each type that were found, and that were not."""
+    gold, pred = span_sets(spark, sf_dir)
+    texts = gold.groupBy("id").agg(F.max("end").alias("n")).select("id", F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("words"))
+    out = metrics.examples(gold, pred, texts)
+    first = lambda c: F.regexp_replace(c, r"(w[0-9]+)(?: w[0-9]+)*", "$1")  # noqa: E731  a span's first word stands for it
+    return out.select("type", first(F.col("right")).alias("right"), first(F.col("wrong")).alias("wrong"))
 
 
 RECORDS_SQL = f"r AS (SELECT doc_id AS id, {TYPES_SQL.format('doc_id')} AS type, CAST(doc_id AS VARCHAR) AS gold, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE CAST(doc_id AS VARCHAR) END AS pred FROM labels)"
@@ -390,10 +414,20 @@ def leakage_safe_splits(spark, sf_dir):
     return corpus.build_splits(sentences_of(spark, sf_dir)).select("doc_id", "split")
 
 
-@query("SELECT 'x' AS kind, 'x' AS \"key\" WHERE FALSE")
+LEAKS_SQL = "d AS (SELECT doc_id, source || '|' || lang AS leak_key, split_part(text, '.', 1) AS signature, CASE doc_id % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'random_dev' WHEN 2 THEN 'entity_holdout_dev' ELSE 'template_holdout_dev' END AS split FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {LEAKS_SQL} SELECT 'entity' AS kind, leak_key AS \"key\" FROM d WHERE split <> 'template_holdout_dev' GROUP BY leak_key HAVING count(DISTINCT split) > 1 UNION ALL SELECT DISTINCT 'template', signature FROM d WHERE split = 'template_holdout_dev' AND signature IN (SELECT signature FROM d WHERE split = 'train')")
 def split_leakage(spark, sf_dir):
-    """No group crosses where it may not."""
-    return corpus.leakage(corpus.build_splits(sentences_of(spark, sf_dir)))
+    """Leaks of a division that pays no heed to groups."""
+    split = F.get(F.array(*map(F.lit, corpus.SPLITS)), (F.col("doc_id") % 4).cast("int"))
+    return corpus.leakage(sentences_of(spark, sf_dir).withColumn("split", split))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n_leaks")
+def splits_without_leakage(spark, sf_dir):
+    """No group of the splits that are made crosses where it may not."""
+    return corpus.leakage(corpus.build_splits(sentences_of(spark, sf_dir))).agg(F.count("*").alias("n_leaks"))
 
 
 @query()
@@ -428,14 +462,14 @@ def set_operations(spark, sf_dir):
     return b.exceptAll(b.where("item_id % 2 = 0")).distinct().unionByName(b.where("item_id % 4 = 0")).distinct()
 
 
-@query()
+@query("SELECT o_orderkey, 'DATE' AS label FROM orders")
 def candidate_labels(spark, sf_dir):
     """Types found from the written form alone, checked by their normalizers."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("written"), V.date(F.col("o_orderdate")).alias("spoken"))
     return corpus.label_spans(df, Normalization(spark)).select("o_orderkey", "label")
 
 
-@query()
+@query("WITH w AS (SELECT conv_id, turn, string_split_regex(lower(text), '\\s+') AS ws FROM conversations WHERE text IS NOT NULL), p AS (SELECT conv_id, turn, len(ws) AS n, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) AS pairs FROM w) SELECT conv_id, turn, CAST(n - len(list_filter(pairs, lambda x: x IN ('of the', 'in the', 'and the', 'de la', 'mit der'))) AS INT) AS n_words, TRUE AS reversible FROM p")
 def compound_words(spark, sf_dir):
     words = F.split(F.lower("text"), r"\s+")
     vocabulary = ["of_the", "in_the", "and_the", "de_la", "mit_der</w>"]
@@ -481,12 +515,14 @@ def stream_normalize(spark, sf_dir):
     return _replayed(spark, streams.normalize_stream(spoken, Normalization(spark)).select("event_id", F.col("result.normalized").alias("written")))
 
 
-@query("SELECT event_type, user_id % 10 AS bucket, min(event_id) AS first_id FROM events GROUP BY ALL")
+@query("SELECT DISTINCT event_type, user_id % 10 AS bucket, CAST(1 AS BIGINT) AS n_kept, TRUE AS is_one_of_them FROM events")
 def stream_first_seen(spark, sf_dir):
-    """First event of each key; the replay is one batch, so the least id is the first within it."""
+    """Of each key, which holds hundreds of events, the stream lets exactly one through."""
     source = _events(spark, sf_dir).withColumn("bucket", F.col("user_id") % 10)
-    seen = _replayed(spark, streams.first_seen(source.select("event_type", "bucket", "event_id", F.col("ts").cast("timestamp").alias("ts")), ["event_type", "bucket", "event_id"], "ts", "400 days").select("event_type", "bucket", "event_id"))
-    return seen.groupBy("event_type", "bucket").agg(F.min("event_id").alias("first_id"))
+    seen = _replayed(spark, streams.first_seen(source.select("event_type", "bucket", "event_id", F.col("ts").cast("timestamp").alias("ts")), ["event_type", "bucket"], "ts", "400 days").select("event_type", "bucket", "event_id"))
+    own = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("t"), (F.col("user_id") % 10).alias("b"))
+    one = seen.join(own, "event_id", "left").withColumn("ok", (F.col("t") == F.col("event_type")) & (F.col("b") == F.col("bucket")))
+    return one.groupBy("event_type", "bucket").agg(F.count("*").alias("n_kept"), F.coalesce(F.bool_and("ok"), F.lit(False)).alias("is_one_of_them"))
 
 
 def queries() -> dict:
