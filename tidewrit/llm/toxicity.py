@@ -104,17 +104,20 @@ def gather(kept: DataFrame, bits: int = 20) -> Bags:
     return Bags(table, parts, seen)
 
 
-def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink: float = 2e-4, min_docs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias from document labels."""
-    parts, seen = bags.parts, bags.seen
-    use = seen >= min_docs
-    weights, bias, rng = np.zeros(1 << bits, np.float64), -5.0, np.random.default_rng(seed)
-    grad2, bias2 = np.full(1 << bits, 1e-3), 1e-3
+def fit(bags: Bags, bits: int = 20, epochs: int = 30, rate: float = 0.15, shrink: float = 5e-4, min_docs: int = 3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias from document labels. Only the features that count are fitted; the last place stands for the others."""
+    parts, used = bags.parts, np.flatnonzero(bags.seen >= min_docs)
+    n = len(used)
+    place = np.full(1 << bits, n, np.int32)
+    place[used] = np.arange(n)
+    table = place[bags.table]
+    weights, bias, rng = np.zeros(n + 1), -5.0, np.random.default_rng(seed)
+    grad2, bias2 = np.full(n + 1, 1e-3), 1e-3
     for _ in range(epochs):
         order = rng.permutation(len(parts))
         for at in range(0, len(order), 256):
             some = [parts[i] for i in order[at : at + 256]]
-            x = bags.table[np.concatenate([p[0] for p in some])]
+            x = table[np.concatenate([p[0] for p in some])]
             tok = np.concatenate([[0], np.cumsum([len(p[0]) for p in some])])
             soff = np.concatenate([[0], *(p[1][1:] + t for p, t in zip(some, tok))])
             doff = np.concatenate([[0], np.cumsum([len(p[1]) - 1 for p in some])])
@@ -122,7 +125,8 @@ def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink
             p = 1 / (1 + np.exp(-np.clip(_logits(x, soff, weights, bias), -30, 30)))
             none = np.exp(np.repeat(_sum_by(np.log1p(-p + 1e-12), doff), np.diff(doff)))
             g = np.where(label > 0, p * none / np.maximum(1 - none, 1e-9), -p)
-            gw = np.bincount(x.reshape(-1), np.repeat(np.repeat(g, np.diff(soff)), x.shape[1]), minlength=1 << bits) * use
+            gw = np.bincount(x.reshape(-1), np.repeat(np.repeat(g, np.diff(soff)), x.shape[1]), minlength=n + 1)
+            gw[n] = 0
             hit = np.flatnonzero(gw)
             grad2[hit] += gw[hit] ** 2
             step = rate / np.sqrt(grad2[hit])
@@ -130,7 +134,9 @@ def fit(bags: Bags, bits: int = 20, epochs: int = 12, rate: float = 0.15, shrink
             weights[hit] = np.sign(w) * np.maximum(np.abs(w) - step * shrink * len(some), 0)
             bias2 += g.sum() ** 2
             bias += rate / np.sqrt(bias2) * g.sum()
-    return weights.astype(np.float32), float(bias)
+    out = np.zeros(1 << bits, np.float32)
+    out[used] = weights[:n]
+    return out, float(bias)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_chars: int) -> DataFrame:
