@@ -93,13 +93,18 @@ def numbered(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def fitting(buf: np.ndarray, s: np.ndarray, e: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The lines [s, e) of least to most characters."""
+    before = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    length = before[e] - before[s]
+    return np.flatnonzero((length >= least) & (length <= most))
+
+
 def scales(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For ``k`` and each of SCALES: shingle length, rows, bands, which lines it holds for, their shingles and offsets."""
     yield k, ROWS, BANDS, np.arange(len(s)), *shingle_lines(buf, sums, s, e, k)
-    before = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    length = before[e] - before[s]
     for size, least, most, rows, bands in SCALES:
-        some = np.flatnonzero((length >= least) & (length <= most))
+        some = fitting(buf, s, e, least, most)
         if size < k and len(some):
             g, off = shingle_lines(buf, sums, s[some], e[some], size)
             yield size, rows, bands, some, numbered(g, off), off
@@ -233,28 +238,37 @@ def _in_level(level):
     return wanted
 
 
-def shared_shingles(g: np.ndarray, line: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many elements sets i[x] and j[x] have in common: g holds the elements of all sets, ordered by set (line) and then
-    by themselves, without repeats within a set."""
-    _, code = np.unique(g, return_inverse=True)
-    width = np.int64(len(g) + 1)
-    every = line * width + code  # ascending
-    off = np.searchsorted(line, np.arange(int(max(i.max(), j.max())) + 2))
-    size = np.diff(off)
-    less = np.where(size[i] <= size[j], i, j)
-    more = i + j - less
-    out = np.zeros(len(i), np.int64)
-    at = np.concatenate([[0], np.cumsum(size[less])])
-    lo = 0
-    while lo < len(i):  # about a million elements at a time
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
-        n = size[less[lo:hi]]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        asked = np.repeat(more[lo:hi], n) * width + code[np.repeat(off[less[lo:hi]], n) + inner]
-        found = every[np.minimum(np.searchsorted(every, asked), len(every) - 1)] == asked
-        out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), found, minlength=hi - lo).astype(np.int64)
-        lo = hi
-    return out
+class Sets:
+    """Sets of shingles that many pairs are compared on: g are the elements of all, line their sets' numbers."""
+
+    def __init__(self, g: np.ndarray, line: np.ndarray, n: int):
+        order = np.argsort(g)
+        g, line = g[order], line[order]
+        code = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        by_line = np.argsort(line.astype(np.uint16) if n < 1 << 16 else line, kind="stable")
+        self.width = np.int64(len(g) + 1)
+        every = line[by_line].astype(np.int64) * self.width + code[by_line]  # ascending
+        self.every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(g) else every
+        line, self.code = np.divmod(self.every, self.width)
+        self.size = np.bincount(line, minlength=n)
+        self.off = np.concatenate([[0], np.cumsum(self.size)])
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many elements sets i[x] and j[x] have in common: those of the smaller are looked up among the larger's."""
+        less = np.where(self.size[i] <= self.size[j], i, j)
+        more = i + j - less
+        out = np.zeros(len(i), np.int64)
+        at = np.concatenate([[0], np.cumsum(self.size[less])])
+        lo = 0
+        while lo < len(i):  # about a million elements at a time
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
+            n = self.size[less[lo:hi]]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            asked = np.repeat(more[lo:hi], n) * self.width + self.code[np.repeat(self.off[less[lo:hi]], n) + inner]
+            found = self.every[np.minimum(np.searchsorted(self.every, asked), len(self.every) - 1)] == asked
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), found, minlength=hi - lo).astype(np.int64)
+            lo = hi
+        return out
 
 
 def _verify(k: int, threshold: float):
@@ -275,54 +289,48 @@ def _verify(k: int, threshold: float):
                 i = j
 
     def part(line: np.ndarray, text: pa.Array, block: np.ndarray, alone: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found: dict = {}  # of each length of shingles, the elements of all lines for which it holds
-        for lo, hi in kernels.chunks(kernels.raw(text)[1]):
-            buf, offs = kernels.raw(text.slice(lo, hi - lo))
-            for length, _, _, some, g, goff in scales(buf, kernels.prefix_sums(buf), offs[:-1], offs[1:], k):
-                found.setdefault(length, []).append((g, lo + np.repeat(some, np.diff(goff))))
-        sets = []
-        for of in found.values():
-            g, owner = (np.concatenate(x) for x in zip(*of))
-            order = np.lexsort((g, owner))
-            g, owner = g[order], owner[order].astype(np.int64)
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
-            sets.append((g[new], owner[new], np.bincount(owner[new], minlength=len(line))))
-        root = np.arange(len(line))
-        begin, end = np.repeat(off[:-1], np.diff(off)), np.repeat(off[1:], np.diff(off))
-        open_ = np.flatnonzero(np.diff(off) > 1)  # groups in which some lines are not linked yet
-        turn = 0
+        root, group = np.arange(len(line)), np.repeat(np.arange(len(off) - 1), np.diff(off))
+        for size, least, most in ((k, 0, None), *((x[0], x[1], x[2]) for x in SCALES if x[0] < k)):
+            whole = np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
+            rest = np.flatnonzero(~whole[group])  # only lines that are not linked yet are cut into shorter shingles
+            if not len(rest):
+                break
+            root = linked(elements(text, rest, size, least, most), root, block, alone, off, ~whole)
+        some = np.flatnonzero(root != np.arange(len(line)))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], ["u", "v"])
+
+    def elements(text: pa.Array, rows: np.ndarray, size: int, least: int, most: int | None) -> Sets:
+        part, found = text.take(pa.array(rows)), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        for lo, hi in kernels.chunks(kernels.raw(part)[1]):
+            buf, offs = kernels.raw(part.slice(lo, hi - lo))
+            some = np.arange(hi - lo) if most is None else fitting(buf, offs[:-1], offs[1:], least, most)
+            if len(some):
+                g, goff = shingle_lines(buf, kernels.prefix_sums(buf), offs[:-1][some], offs[1:][some], size)
+                found.append((g if most is None else numbered(g, goff), rows[lo + np.repeat(some, np.diff(goff))]))
+        return Sets(*(np.concatenate(x) for x in zip(*found)), len(text))
+
+    def linked(sets: Sets, root: np.ndarray, block: np.ndarray, alone: np.ndarray, off: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """One line of each open group after the other is compared with those behind it that it is not linked to."""
+        turn, size, open_ = 0, sets.size, np.flatnonzero(open_)
         while len(open_):
             pivot = off[:-1][open_] + turn
             rest = off[1:][open_] - pivot - 1
             i = np.repeat(pivot, rest)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest)
-            ask = (root[i] != root[j]) & (alone[i] | (block[i] != block[j]))
-            i, j = similar(sets, i[ask], j[ask])
-            target = np.arange(len(line))
-            target[root[j]] = root[i]
-            root = target[root]
+            less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            ask = np.flatnonzero((root[i] != root[j]) & (alone[i] | (block[i] != block[j])) & (less > 0) & (less >= threshold * more - 1e-9))
+            if len(ask):
+                i, j = i[ask], j[ask]
+                both = sets.shared(i, j)
+                ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
+                target = np.arange(len(root))
+                target[root[j[ok]]] = root[i[ok]]
+                root = target[root]
             turn += 1
             whole = np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
             open_ = open_[(off[1:] - off[:-1] > turn + 1)[open_] & ~whole[open_]]
-        some = np.flatnonzero(root != np.arange(len(line)))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], ["u", "v"])
-
-    def similar(sets: list, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        linked = [(i[:0], j[:0])]
-        for g, owner, size in sets:
-            less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            maybe = np.flatnonzero((less > 0) & (less >= threshold * more - 1e-9))
-            if len(maybe):
-                a, b = i[maybe], j[maybe]
-                both = shared_shingles(g, owner, a, b)
-                ok = both >= threshold * (size[a] + size[b] - both) - 1e-9
-                linked.append((a[ok], b[ok]))
-                rest = np.ones(len(i), bool)
-                rest[maybe[ok]] = False
-                i, j = i[rest], j[rest]
-        return tuple(np.concatenate(x) for x in zip(*linked))
+        return root
 
     return run
 
