@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,19 @@ def attempt(engine: Engine, kind: str, text: str) -> tuple:
     return own
 
 
+def _each(call, kinds: pa.Array, texts: pa.Array, names: tuple[str, ...]) -> pa.Array:
+    """call(kind, text) for each element of two list columns, as a list column of structs; null where either is."""
+    ok = pc.and_(kinds.is_valid(), texts.is_valid())
+    some, other = kinds.filter(ok), texts.filter(ok)
+    found = [call(k, t) for k, t in zip(some.flatten().to_pylist(), other.flatten().to_pylist())]
+    columns = list(zip(*found)) or [()] * len(names)
+    values = pa.StructArray.from_arrays([pa.array(c, pa.bool_() if n == "valid" else pa.string()) for n, c in zip(names, columns)], list(names))
+    many = np.zeros(len(kinds), np.int32)
+    many[ok.to_numpy(zero_copy_only=False)] = some.value_lengths().to_numpy()
+    offsets = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=pc.invert(ok))
+
+
 class Normalization:
     """The functions over one set of catalogues: {name: {canonical: [readings]}}; a table or file of them is a parameter."""
 
@@ -52,15 +68,14 @@ class Normalization:
             e = _engine(shared.value)
             return pd.DataFrame([attempt(e, k, t) for k, t in zip(kind, text)], columns=["normalized", "valid", "reason", "resolved"])
 
-        @F.pandas_udf(f"array<struct<{RESULT.replace(' ', ':')}>>".replace(",:", ","))
-        def many(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+        @F.arrow_udf(f"array<struct<{RESULT.replace(' ', ':')}>>".replace(",:", ","))
+        def many(kinds: pa.Array, texts: pa.Array) -> pa.Array:
             e = _engine(shared.value)
-            return pd.Series([[dict(zip(("normalized", "valid", "reason", "resolved"), attempt(e, k, t))) for k, t in zip(ks, ts)] if ks is not None and ts is not None else None for ks, ts in zip(kinds, texts)])
+            return _each(lambda k, t: attempt(e, k, t), kinds, texts, ("normalized", "valid", "reason", "resolved"))
 
-        @F.pandas_udf("array<struct<normalized:string,valid:boolean,reason:string>>")
-        def parsed(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-            e = _engine(shared.value)
-            return pd.Series([[dict(zip(("normalized", "valid", "reason"), e.normalize(k, t))) for k, t in zip(ks, ts)] if ks is not None and ts is not None else None for ks, ts in zip(kinds, texts)])
+        @F.arrow_udf("array<struct<normalized:string,valid:boolean,reason:string>>")
+        def parsed(kinds: pa.Array, texts: pa.Array) -> pa.Array:
+            return _each(_engine(shared.value).normalize, kinds, texts, ("normalized", "valid", "reason"))
 
         self._one, self._many, self._parsed = one, many, parsed
 

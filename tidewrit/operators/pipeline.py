@@ -61,14 +61,15 @@ def _render(words: Column, outputs: Column, punct: Column) -> Column:
         fixed = F.struct(s["normalized"].alias("text"), F.lit(True).alias("safe"), mark(s["end"]).alias("mark"))
         return F.when(s.isNull(), free).when(i == s["start"], fixed)
 
-    def step(acc: Column, p: Column) -> Column:
-        first = F.substring(p["text"], 1, 1)
-        text = F.when(acc["begin"] & ~p["safe"] & first.rlike(r"\p{L}"), F.concat(F.upper(first), F.substr(p["text"], F.lit(2)))).otherwise(p["text"])
-        out = F.concat(acc["out"], F.when(acc["out"] == "", "").otherwise(" "), text, p["mark"])
-        return F.struct(out.alias("out"), p["mark"].isin(".", "?").alias("begin"))
-
-    pieces = F.filter(F.transform(words, piece), lambda p: p.isNotNull() & (p["text"] != ""))
-    written = F.aggregate(pieces, F.struct(F.lit("").alias("out"), F.lit(True).alias("begin")), step, lambda a: a["out"])
+    def shown(pieces: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            first = F.substring(p["text"], 1, 1)
+            begins = (i == 0) | F.get(pieces, i - 1)["mark"].isin(".", "?")
+            return F.concat(F.when(begins & ~p["safe"] & first.rlike(r"\p{L}"), F.concat(F.upper(first), F.substr(p["text"], F.lit(2)))).otherwise(p["text"]), p["mark"])
+
+        return F.array_join(F.transform(pieces, one), " ")
+
+    written = S.let(F.filter(F.transform(words, piece), lambda p: p.isNotNull() & (p["text"] != "")), shown)
     return F.trim(F.regexp_replace(written, " +", " "))
 
 
