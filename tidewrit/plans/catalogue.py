@@ -236,7 +236,7 @@ def crf_best_tags(spark, sf_dir):
     return df.select("vec_id", F.array_join("r.tags", "").alias("tags"), F.size(spans).alias("n_spans"), F.coalesce(F.array_min(least), F.lit(1.0)).alias("least_confidence"))
 
 
-@query()
+@query("WITH RECURSIVE w AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: greatest(CAST(ceil(length(x) / 4.0) AS INT), 1)) AS c FROM conversations WHERE text IS NOT NULL), t AS (SELECT conv_id, turn, CAST(len(c) AS INT) AS n, list_transform(range(0, len(c) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE CAST(list_sum(c[1:i]) AS INT) END) AS s FROM w), p AS (SELECT conv_id, turn, n, s, 0 AS no, 0 AS a, CAST(greatest(1, len(list_filter(s, lambda x: x <= 224)) - 1) AS INT) AS b FROM t WHERE n > 0 UNION ALL SELECT conv_id, turn, n, s, no + 1, a2, CAST(greatest(a2 + 1, len(list_filter(s, lambda x: x <= s[a2 + 1] + 224)) - 1) AS INT) FROM (SELECT *, CAST(greatest(a + 1, len(list_filter(s[1:b], lambda x: x <= s[b + 1] - 40)) - 1) AS INT) AS a2 FROM p WHERE b < n)) SELECT conv_id, turn, no AS window_no, a AS word_start, b AS word_end, CAST(s[b + 1] - s[a + 1] AS INT) AS subwords FROM p")
 def window_plans(spark, sf_dir):
     counts = F.transform(F.split("text", " "), lambda w: F.greatest(F.ceil(F.length(w) / 4).cast("int"), F.lit(1)))
     df = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", windows.plan_windows(counts).alias("w"))
