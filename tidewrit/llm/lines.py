@@ -138,10 +138,10 @@ def _pack(k: int, ranges: int, frequent):
 
     def flush(held):
         key, line = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        key, line = key[order], line[order]
         to = (key >> kernels.U64(32)) * kernels.U64(ranges) >> kernels.U64(32)
-        order = np.lexsort((line, key))
-        key, line, to = key[order], line[order], to[order]
-        new = np.ones(len(key), bool)
+        new = np.ones(len(key), bool)  # most repeats of a line; the rest goes where the range is sorted
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
         both, to = np.stack([key[new], line[new]], axis=1), to[new]
         cut = np.searchsorted(to, np.arange(ranges + 1).astype(np.uint64))
@@ -192,6 +192,9 @@ def _buckets(most: int):
         if not parts:
             return
         both = np.concatenate(parts)
+        both = both[np.argsort(both[:, 0])]
+        again = both[1:, 0] == both[:-1, 0]
+        both = both[np.concatenate([[False], again]) | np.concatenate([again, [False]])]  # keys of one entry are most
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
         new = np.ones(len(both), bool)
         new[1:] = (both[1:] != both[:-1]).any(axis=1)
@@ -283,22 +286,28 @@ def _verify(k: int, threshold: float):
             size = kernels.raw(text)[1]
             i = 0
             while i < len(off) - 1:  # groups of about a chunk together
-                j = max(i + 1, int(np.searchsorted(size[off], size[off[i]] + kernels.CHUNK_BYTES, "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(size[off], size[off[i]] + 2 * kernels.CHUNK_BYTES, "right")) - 1)
                 some = slice(off[i], off[j])
                 yield from part(line[some], text.slice(off[i], off[j] - off[i]), block[some], first[some] == other[some], off[i : j + 1] - off[i])
                 i = j
 
     def part(line: np.ndarray, text: pa.Array, block: np.ndarray, alone: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
-        root, group = np.arange(len(line)), np.repeat(np.arange(len(off) - 1), np.diff(off))
+        # a line that stands in several buckets is cut into shingles once, and a link found in one bucket holds in all
+        names, first, of = np.unique(line, return_index=True, return_inverse=True)
+        texts, root = text.take(pa.array(first)), np.arange(len(names))
+        group = np.repeat(np.arange(len(off) - 1), np.diff(off))
         for size, least, most in ((k, 0, None), *((x[0], x[1], x[2]) for x in SCALES if x[0] < k)):
-            whole = np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
-            rest = np.flatnonzero(~whole[group])  # only lines that are not linked yet are cut into shorter shingles
+            rest = np.unique(of[~whole(root[of], off)[group]])  # only lines that are not linked yet are cut into shorter shingles
             if not len(rest):
                 break
-            root = linked(elements(text, rest, size, least, most), root, block, alone, off, ~whole)
-        some = np.flatnonzero(root != np.arange(len(line)))
+            root = linked(elements(texts, rest, size, least, most), root, of, block, alone, off)
+        some = np.flatnonzero(root != np.arange(len(names)))
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(line[root[some]])], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[root[some]])], ["u", "v"])
+
+    def whole(root: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which groups are linked as a whole."""
+        return np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
 
     def elements(text: pa.Array, rows: np.ndarray, size: int, least: int, most: int | None) -> Sets:
         part, found = text.take(pa.array(rows)), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
@@ -310,26 +319,28 @@ def _verify(k: int, threshold: float):
                 found.append((g if most is None else numbered(g, goff), rows[lo + np.repeat(some, np.diff(goff))]))
         return Sets(*(np.concatenate(x) for x in zip(*found)), len(text))
 
-    def linked(sets: Sets, root: np.ndarray, block: np.ndarray, alone: np.ndarray, off: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    def linked(sets: Sets, root: np.ndarray, of: np.ndarray, block: np.ndarray, alone: np.ndarray, off: np.ndarray) -> np.ndarray:
         """One line of each open group after the other is compared with those behind it that it is not linked to."""
-        turn, size, open_ = 0, sets.size, np.flatnonzero(open_)
+        turn, size, n = 0, sets.size, np.diff(off)
+        open_ = np.flatnonzero(~whole(root[of], off) & (n > 1))
         while len(open_):
             pivot = off[:-1][open_] + turn
             rest = off[1:][open_] - pivot - 1
-            i = np.repeat(pivot, rest)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest)
+            x = np.repeat(pivot, rest)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(rest) - rest, rest)
+            i, j = of[x], of[y]
             less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            ask = np.flatnonzero((root[i] != root[j]) & (alone[i] | (block[i] != block[j])) & (less > 0) & (less >= threshold * more - 1e-9))
+            ask = np.flatnonzero((root[i] != root[j]) & (alone[x] | (block[x] != block[y])) & (less > 0) & (less >= threshold * more - 1e-9))
             if len(ask):
-                i, j = i[ask], j[ask]
+                pairs = np.unique(np.minimum(i[ask], j[ask]) * len(root) + np.maximum(i[ask], j[ask]))
+                i, j = np.divmod(pairs, len(root))
                 both = sets.shared(i, j)
                 ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
-                target = np.arange(len(root))
-                target[root[j[ok]]] = root[i[ok]]
-                root = target[root]
+                if ok.any():
+                    root = groups.forest(len(root), root[i[ok]], root[j[ok]])[root]
             turn += 1
-            whole = np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
-            open_ = open_[(off[1:] - off[:-1] > turn + 1)[open_] & ~whole[open_]]
+            open_ = open_[(n > turn + 1)[open_]]
+            open_ = open_[~whole(root[of], off)[open_]] if len(open_) else open_
         return root
 
     return run
@@ -379,12 +390,14 @@ def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: floa
         fetched = docs.select("text").mapInArrow(_fetch(_in_level(shared if level is not None else None)), "a long, b long, text binary")
         texts = scratch.keep(fetched.groupBy("a", "b").agg(F.first("text").alias("text")).join(candidates, ["a", "b"]).select("id", "text", F.octet_length("text").alias("size")), "texts")
     members = buckets.join(candidates, "a").select("bucket", "id").join(texts.select("id", "size"), "id")
-    shape = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("size")).withColumn("blocks", F.expr(f"cast(greatest(ceil(m / {BLOCK}), ceil(size / {BLOCK_CHARS})) as int)")).where("m > 1").select("bucket", "blocks"), "shapes")
+    shape = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("size"), F.min("id").alias("least")).withColumn("blocks", F.expr(f"cast(greatest(ceil(m / {BLOCK}), ceil(size / {BLOCK_CHARS})) as int)")).where("m > 1").select("bucket", "blocks", "least"), "shapes")
     members = members.select("bucket", "id").join(shape, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, bucket), blocks) as int)"))
-    blocks = members.join(texts.select("id", "text"), "id").groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("id", "text")).alias("lines"))
+    blocks = members.join(texts.select("id", "text"), "id").groupBy("bucket", "block", "blocks", "least").agg(F.collect_list(F.struct("id", "text")).alias("lines"))
     blocks = blocks.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "o"), "hi": F.greatest("block", "o")})
-    tasks = blocks.select(F.xxhash64("bucket", "lo", "hi").alias("gid"), "lines", "block", "lo", "hi")
-    links = tasks.repartition("gid").sortWithinPartitions("gid").mapInArrow(_verify(k, threshold), "u long, v long")
+    # buckets of one block that share their least line, and so most likely more, meet in one task
+    near = F.when(F.col("blocks") == 1, F.col("least")).otherwise(F.xxhash64("bucket", "lo", "hi"))
+    tasks = blocks.select(near.alias("near"), F.xxhash64("bucket", "lo", "hi").alias("gid"), "lines", "block", "lo", "hi")
+    links = tasks.repartition("near").sortWithinPartitions("near", "gid").mapInArrow(_verify(k, threshold), "u long, v long")
     roots = components(links, scratch)
     named = candidates.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), candidates["id"] == roots["node"]).select("a", "b", "root")
     return places, lines, named
