@@ -35,7 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 GROUPED = "replace(format('{:,}', CAST(o_orderkey AS BIGINT)), ',', '.')"
 DAY = "strftime(o_orderdate, '%d/%m/%Y')"
-KEY = F.col("o_orderkey")
+
+
+def key() -> Column:
+    return F.col("o_orderkey")
 
 
 def strings(*values: str) -> Column:
@@ -60,7 +63,7 @@ def tags(words: Column, kind: Column) -> Column:
 
 def orders(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return S.settled(df, n=said(V.number(KEY)), d=said(V.date(F.col("o_orderdate"))), case=(KEY % 6).cast("int"))
+    return S.settled(df, n=said(V.number(key())), d=said(V.date(F.col("o_orderdate"))), case=(key() % 6).cast("int"))
 
 
 # --- bundles: an order's number and date; one record in six each is rebuilt otherwise, unknown, cut, with a digit, wrong ------
@@ -72,7 +75,7 @@ def bundle_records(spark, sf_dir) -> DataFrame:
     first = F.when(case == 4, "đơn4").otherwise("đơn")
     kind = F.when(case == 2, "NOTHING").otherwise("CARDINAL")
     more = F.when(case == 3, strings("ba")).otherwise(F.array().cast("array<string>"))
-    target = F.concat(F.lit("đơn hàng "), grouped(KEY + F.when(case == 1, 1).otherwise(0)), F.lit(", lập "), day(), F.lit("."))
+    target = F.concat(F.lit("đơn hàng "), grouped(key() + F.when(case == 1, 1).otherwise(0)), F.lit(", lập "), day(), F.lit("."))
     wrong = F.when(case == 5, strings("I-DATE")).otherwise(strings("O"))
     word_tags = F.concat(wrong, strings("O"), tags(F.col("n"), kind), strings("O"), tags(F.col("d"), F.lit("DATE")), F.transform(more, lambda _: F.lit("O")))
     words = F.concat(F.array(first, F.lit("Hàng")), F.col("n"), strings("lập"), F.col("d"), more)
@@ -85,7 +88,7 @@ def _insert(a: Column, at: Column, x: str) -> Column:
 
 def _bundle(df: DataFrame, **columns: Column) -> DataFrame:
     none = F.lit(None)
-    names = {"tokens": none.cast("array<string>"), "bio_tags": none.cast("array<string>"), "punctuation_targets": none.cast("array<string>"), "words": none.cast("array<string>"), "punct": none.cast("array<string>"), "spans": none.cast("array<array<string>>"), "normalized_text": F.col("target"), "written": none.cast("string"), "source_type": none.cast("string"), "priority_group": KEY.cast("string"), "focus_family": none.cast("string")}
+    names = {"tokens": none.cast("array<string>"), "bio_tags": none.cast("array<string>"), "punctuation_targets": none.cast("array<string>"), "words": none.cast("array<string>"), "punct": none.cast("array<string>"), "spans": none.cast("array<array<string>>"), "normalized_text": F.col("target"), "written": none.cast("string"), "source_type": none.cast("string"), "priority_group": key().cast("string"), "focus_family": none.cast("string")}
     return df.select(*(c.alias(n) for n, c in (names | columns).items()))
 
 
@@ -140,7 +143,7 @@ def split_bundles(spark, sf_dir):
     over = F.when(F.col("case") == 5, "B-DATE").otherwise("O")
     tokens = F.concat(_insert(F.col("words"), F.col("at"), ";"), strings("!"))
     bio = F.concat(_insert(F.transform("tags", lambda t, i: F.when(i == 0, "O").otherwise(t)), F.col("at"), "O"), F.array(over))
-    out = converters.from_split_bundle(df.select(KEY.cast("string").alias("id"), KEY.cast("string").alias("split"), tokens.alias("tokens"), bio.alias("bio_tags"), F.col("target").alias("normalized_text")))
+    out = converters.from_split_bundle(df.select(key().cast("string").alias("id"), key().cast("string").alias("split"), tokens.alias("tokens"), bio.alias("bio_tags"), F.col("target").alias("normalized_text")))
     marks = F.size(F.filter("punct", lambda p: p != "O"))
     return out.select(F.substring_index("source", ":", -1).cast("long").alias("o_orderkey"), "reason", F.when(F.col("reason").isNull(), marks).alias("marks"))
 
@@ -162,17 +165,17 @@ SENTENCE = f"'Đơn hàng lập ngày ' || {DAY} || ' có ' || (o_orderkey % 90
 
 
 def sentence(share: Column | None = None) -> Column:
-    return F.concat(F.lit("Đơn hàng lập ngày "), day(), F.lit(" có "), (KEY % 90 + 10 if share is None else share).cast("string"), F.lit("% hàng hỏng."))
+    return F.concat(F.lit("Đơn hàng lập ngày "), day(), F.lit(" có "), (key() % 90 + 10 if share is None else share).cast("string"), F.lit("% hàng hỏng."))
 
 
 def spoken_sentence() -> Column:
-    return F.concat_ws(" ", F.lit("đơn hàng lập"), V.date(F.col("o_orderdate")), F.lit("có"), V.number(KEY % 90 + 10), F.lit("phần trăm hàng hỏng."))
+    return F.concat_ws(" ", F.lit("đơn hàng lập"), V.date(F.col("o_orderdate")), F.lit("có"), V.number(key() % 90 + 10), F.lit("phần trăm hàng hỏng."))
 
 
 @query(f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'no label is confirmed' END AS reason, CASE WHEN o_orderkey % 4 <> 3 THEN {SENTENCE} END AS written FROM orders")
 def labels_from_variants(spark, sf_dir):
     """Types found by shape and confirmed by the grammar; one in four has only differences that no grammar confirms."""
-    df = table(spark, sf_dir, "orders").select(KEY.cast("string").alias("topic"), F.when(KEY % 4 == 3, "Hàng tốt còn lại").otherwise(sentence()).alias("text"), F.when(KEY % 4 == 3, "hàng xấu còn lại").otherwise(spoken_sentence()).alias("variant"))
+    df = table(spark, sf_dir, "orders").select(key().cast("string").alias("topic"), F.when(key() % 4 == 3, "Hàng tốt còn lại").otherwise(sentence()).alias("text"), F.when(key() % 4 == 3, "hàng xấu còn lại").otherwise(spoken_sentence()).alias("variant"))
     return _kept(converters.from_variants(spark, S.settled(df, text=F.col("text"), variant=F.col("variant")), Normalization(spark)))
 
 
@@ -182,19 +185,19 @@ PAIR_TEXT = "CASE o_orderkey % 8 WHEN 1 THEN 'Quá ngắn ' || o_orderkey WHEN 3
 @query(f"WITH t AS (SELECT o_orderkey, {PAIR_TEXT} AS written, c.n AS chunk FROM orders, (VALUES (0), (1)) c(n) WHERE c.n = 0 OR o_orderkey % 8 = 0) SELECT substr(sha1(written), 1, 16) AS id, written, CASE WHEN o_orderkey % 8 IN (5) THEN 'không_biến_thể' WHEN o_orderkey % 8 = 7 THEN 'chọn_từ_nhiều' ELSE 'một_biến_thể' END AS kind, CASE o_orderkey % 8 WHEN 1 THEN 'length' WHEN 2 THEN 'several sentences in one' WHEN 3 THEN 'lost sentence boundary' WHEN 4 THEN 'fragment' WHEN 5 THEN 'digit in the spoken form' WHEN 6 THEN 'spelled word' ELSE CASE WHEN chunk = 1 THEN 'repeated' END END AS reason FROM t")
 def pairs_of_articles(spark, sf_dir):
     """A gate for each remainder; one in eight occurs twice."""
-    key, case = KEY.cast("string"), (KEY % 8).cast("int")
-    text = F.when(case == 1, F.concat(F.lit("Quá ngắn "), key)).when(case == 3, F.concat(F.lit("Hàng về Trong kho số "), key, F.lit(" hôm nay."))).when(case == 4, F.concat(F.lit("000 tấn hàng số "), key, F.lit(" đã về.")))
-    text = text.when(case == 5, F.concat(F.lit("Hàng số "), key, F.lit(" đã về kho."))).when(case == 6, F.concat(F.lit("Đi qua kho số "), key, F.lit(" hôm nay."))).otherwise(F.concat(F.lit("Hàng số "), key, F.lit(" đã về kho chính.")))
+    number, case = key().cast("string"), (key() % 8).cast("int")
+    text = F.when(case == 1, F.concat(F.lit("Quá ngắn "), number)).when(case == 3, F.concat(F.lit("Hàng về Trong kho số "), number, F.lit(" hôm nay."))).when(case == 4, F.concat(F.lit("000 tấn hàng số "), number, F.lit(" đã về.")))
+    text = text.when(case == 5, F.concat(F.lit("Hàng số "), number, F.lit(" đã về kho."))).when(case == 6, F.concat(F.lit("Đi qua kho số "), number, F.lit(" hôm nay."))).otherwise(F.concat(F.lit("Hàng số "), number, F.lit(" đã về kho chính.")))
     good = F.regexp_replace(F.col("text"), "[0-9]+", "một")
     variants = F.when(case == 5, F.array().cast("array<string>")).when(case == 6, F.array(F.replace(good, F.lit("qua"), F.lit("Q U A")))).when(case == 7, F.array(F.concat(good, F.lit(" thêm nữa")), good)).otherwise(F.array(good))
     df = S.settled(table(spark, sf_dir, "orders").select("o_orderkey"), text=text)
-    df = df.select(key.alias("file"), F.explode(F.when(case == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("chunk_no"), "text", F.when(case == 2, strings("over_max_words_sentence_kept")).alias("issues"), variants.alias("variants"), F.lit("t").alias("topic"))
+    df = df.select(number.alias("file"), F.explode(F.when(case == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("chunk_no"), "text", F.when(case == 2, strings("over_max_words_sentence_kept")).alias("issues"), variants.alias("variants"), F.lit("t").alias("topic"))
     return converters.pairs_of(df).select("id", "written", "kind", "reason")
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select(KEY.cast("string").alias("id"), KEY.cast("string").alias("topic"), sentence().alias("written"), spoken_sentence().alias("spoken"), "o_orderkey", "o_orderdate")
-    return S.settled(df, written=F.col("written"), spoken=F.col("spoken"), date_said=F.regexp_replace(V.date(F.col("o_orderdate")), "^ngày ", ""), share_said=F.concat(V.number(KEY % 90 + 10), F.lit(" phần trăm")))
+    df = table(spark, sf_dir, "orders").select(key().cast("string").alias("id"), key().cast("string").alias("topic"), sentence().alias("written"), spoken_sentence().alias("spoken"), "o_orderkey", "o_orderdate")
+    return S.settled(df, written=F.col("written"), spoken=F.col("spoken"), date_said=F.regexp_replace(V.date(F.col("o_orderdate")), "^ngày ", ""), share_said=F.concat(V.number(key() % 90 + 10), F.lit(" phần trăm")))
 
 
 @query(f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 90 + 10 >= 70 THEN 'region without a type: NONE' WHEN o_orderkey % 90 + 10 >= 50 THEN 'region without a type: not confirmed CARDINAL' END AS reason, CASE WHEN o_orderkey % 90 + 10 < 50 THEN {SENTENCE} END AS written FROM orders")
@@ -202,20 +205,20 @@ def labels_from_answers(spark, sf_dir):
     """Regions with the types that a table of answers has for them: it lacks some shares and is wrong about others."""
     df = pairs(spark, sf_dir)
     dates = df.select(day().alias("written"), F.col("date_said").alias("spoken"), F.lit("date").alias("type")).distinct()
-    share = (KEY % 90 + 10).cast("string")
-    shares = df.where(KEY % 90 + 10 < 70).select(F.concat(share, F.lit("%")).alias("written"), F.col("share_said").alias("spoken"), F.when(KEY % 90 + 10 >= 50, "CARDINAL").otherwise("PERCENT").alias("type")).distinct()
+    share = (key() % 90 + 10).cast("string")
+    shares = df.where(key() % 90 + 10 < 70).select(F.concat(share, F.lit("%")).alias("written"), F.col("share_said").alias("spoken"), F.when(key() % 90 + 10 >= 50, "CARDINAL").otherwise("PERCENT").alias("type")).distinct()
     return _kept(converters.from_typed_regions(spark, df.select("id", "written", "spoken", "topic"), dates.unionByName(shares), Normalization(spark)))
 
 
 def proposals(df: DataFrame) -> Column:
     item = lambda w, s, t: F.struct(w.alias("viet"), s.alias("noi"), F.lit(t).alias("kieu"))
-    return F.array(item(day(), F.col("date_said"), "date"), item(F.concat((KEY % 90 + 10).cast("string"), F.lit("%")), F.col("share_said"), "PERCENT"))
+    return F.array(item(day(), F.col("date_said"), "date"), item(F.concat((key() % 90 + 10).cast("string"), F.lit("%")), F.col("share_said"), "PERCENT"))
 
 
 @query(f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN 'no answer' WHEN 2 THEN 'a span does not fit the spoken words' WHEN 3 THEN 'put back, the spans give another text' WHEN 4 THEN 'an organisation, which has no type' END AS reason, CASE WHEN o_orderkey % 6 IN (0, 5) THEN {SENTENCE} END AS written FROM orders")
 def labels_from_alignments(spark, sf_dir):
     """Proposals put back into the spoken words; the last case has one that changes the first letter alone, which goes."""
-    df, case = pairs(spark, sf_dir), (KEY % 6).cast("int")
+    df, case = pairs(spark, sf_dir), (key() % 6).cast("int")
     extra = lambda noi, viet, kieu: F.struct(F.lit(viet).alias("viet"), F.lit(noi).alias("noi"), F.lit(kieu).alias("kieu"))
     api = F.when(case == 2, F.array_append(proposals(df), extra("vắng mặt", "Vắng Mặt", "PERSON_NAME"))).when(case == 3, F.slice(proposals(df), F.lit(1), F.lit(1)))
     api = api.when(case == 4, F.array_append(proposals(df), extra("hàng hỏng", "Hàng Hỏng", "ORGANIZATION"))).when(case == 5, F.array_append(proposals(df), extra("đơn", "Đơn", "PERSON_NAME"))).when(case != 1, proposals(df))
@@ -226,7 +229,7 @@ def labels_from_alignments(spark, sf_dir):
 @query(f"SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'no span of a known type' WHEN 2 THEN 'no span stands in the text' WHEN 3 THEN 'digit in words' END AS reason, CASE WHEN o_orderkey % 4 = 0 THEN {SENTENCE} END AS written FROM orders")
 def labels_from_proposals(spark, sf_dir):
     """Proposed spans placed in the written text."""
-    df, case = pairs(spark, sf_dir), (KEY % 4).cast("int")
+    df, case = pairs(spark, sf_dir), (key() % 4).cast("int")
     item = lambda p: F.struct(p["viet"].alias("written"), p["noi"].alias("spoken"), p["kieu"].alias("type"))
     good = F.transform(proposals(df), item)
     other = lambda w, s, t: F.array(F.struct(F.lit(w).alias("written"), F.lit(s).alias("spoken"), F.lit(t).alias("type")))
