@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, licenses, lines, mixing, shards, toxicity, urls
+from . import ann, decontam, jaccard, langid, licenses, lines, mixing, repair, search, shards, tokencounts, toxicity, urls
 from .scratch import Scratch
 
 
@@ -101,6 +101,98 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and the longest prefix of 512 tokens of every document, from the table of prefixes."""
+    table_ = Scratch(spark, "op11").keep(tokencounts.prefix_table(table(spark, sf_dir, "documents")), "prefixes")
+    asked = table_.select("doc_id", "n_bytes", "n_chars", tokencounts.tokens_of(F.col("prefix"), F.col("n_chars")).alias("n_tokens"), tokencounts.longest_within(F.col("prefix"), F.lit(512)).alias("chars_within_limit"))
+    return asked.select("doc_id", "n_bytes", "n_tokens", (F.col("chars_within_limit") < F.col("n_chars")).alias("over_limit"), "chars_within_limit")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every damaged conversation."""
+    return repair.audit(repair.damaged(table(spark, sf_dir, "conversations")), Scratch(spark, "op12"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score of the 10 best documents of every benchmark item."""
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, keep=Scratch(spark, "op13").keep)
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS terms FROM documents
+), totals AS (
+  SELECT count(*) AS n_docs, sum(len(terms)) AS n_terms FROM docs WHERE len(terms) > 0
+), item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+), postings AS (
+  SELECT row_id, doc_id, len(terms) AS n, term, count(*) AS tf
+  FROM (SELECT row_id, doc_id, terms, unnest(terms) AS term FROM docs) SEMI JOIN item_terms USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), impacts AS (
+  SELECT row_id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + CAST((90 * n * n_docs) // n_terms AS BIGINT)))) AS impact FROM postings JOIN weights USING (term), totals
+), scores AS (
+  SELECT item_id, row_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM impacts JOIN item_terms USING (term) GROUP BY ALL HAVING sum(impact) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores QUALIFY rank <= 10
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE source AS (
+  SELECT row_number() OVER () AS line, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), crc AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(key, ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                            lambda c, bits: xor(xor(c, bits) >> 1, 3988292384 * (xor(c, bits) & 1))), 4294967295) % 20 AS kind FROM source
+), damage AS (
+  SELECT line, conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, line, copy) AS pos,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, line, copy) > 1 AS again,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, line, copy) AS before FROM damage
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed
+), summary AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+         count_if(fault = 'truncated') AS truncated, count_if(before IS NOT NULL AND before || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM judged GROUP BY conv_id
+), inserts(q, to_q, letters, roles, price) AS (
+  VALUES (0, 0, '', '', 0), (1, 1, '', '', 0), (2, 2, '', '', 0), (3, 3, '', '', 0), (0, 2, 'I', 'u', 5), (0, 3, 'II', 'ua', 10),
+         (1, 2, 'I', 'u', 5), (1, 3, 'II', 'ua', 10), (2, 3, 'I', 'a', 5), (3, 2, 'I', 'u', 5)
+), moves(q, initial, to_q, letter, price) AS (
+  VALUES (0, '', 0, 'D', 2), (1, '', 1, 'D', 2), (2, '', 2, 'D', 2), (3, '', 3, 'D', 2), (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0),
+         (2, 'a', 3, 'K', 0), (3, 'u', 2, 'K', 0), (0, 'u', 2, 'R', 1), (1, 'u', 2, 'R', 1), (2, 'a', 3, 'R', 1), (3, 'u', 2, 'R', 1)
+), steps AS (
+  SELECT i.q, m.initial, m.to_q, i.letters || m.letter AS letters, i.roles, m.letter, i.price + m.price AS price FROM inserts i JOIN moves m ON i.to_q = m.q
+), added(roles, body) AS (
+  VALUES ('', ''), ('u', chr(10) || 'user:'), ('a', chr(10) || 'assistant:'), ('ua', chr(10) || 'user:' || chr(10) || 'assistant:')
+), search AS (
+  SELECT conv_id, 0 AS pos, 0 AS q, 0 AS cost, '' AS audit, '' AS body FROM summary
+  UNION ALL
+  SELECT conv_id, pos, q, best.cost, best.audit, best.body FROM (
+    SELECT s.conv_id, j.pos AS pos, t.to_q AS q,
+           min({'cost': s.cost + t.price + CASE WHEN t.letter <> 'D' AND j.fault = 'truncated' THEN 5 ELSE 0 END, 'audit': s.audit || t.letters,
+                 'body': s.body || a.body || CASE t.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || j.text
+                         ELSE chr(10) || CASE t.initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text END}) AS best
+    FROM search s JOIN judged j ON s.conv_id IS NOT DISTINCT FROM j.conv_id AND j.pos = s.pos + 1
+    JOIN steps t ON t.q = s.q AND (t.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate') AND (t.letter = 'R' OR t.initial = substr(j.role, 1, 1)))
+    JOIN added a ON a.roles = t.roles GROUP BY s.conv_id, j.pos, t.to_q)
+), ends AS (
+  SELECT s.conv_id, min({'cost': s.cost + i.price, 'audit': s.audit || i.letters, 'body': s.body || a.body}) AS best
+  FROM search s JOIN summary n ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.pos = n.n JOIN inserts i ON i.q = s.q AND i.to_q IN (0, 3) JOIN added a ON a.roles = i.roles
+  GROUP BY s.conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN summary s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,8 +200,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_training_order, op3_url_filter, op4_language, op5_toxicity, op6_decontamination, op7_mixture, op8_licenses, op9_ngram_jaccard, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_training_order, op3_url_filter, op4_language, op5_toxicity, op6_decontamination, op7_mixture, op8_licenses, op9_ngram_jaccard, op10_line_dedup, op11_token_counts, op12_conversation_repair, op13_lexical_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op12_conversation_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}
