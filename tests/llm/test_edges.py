@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrit.llm import ann, decontam, licenses, lines, mixing, queries, shards, urls
+from tidewrit.llm import ann, decontam, langid, licenses, lines, mixing, queries, shards, urls
 from tidewrit.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `row` string, h1 string, __src string, __found string"
@@ -185,3 +185,68 @@ def test_stages_of_the_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_registered_queries_name_their_operators():
     assert [n for n in queries.queries() if n.startswith("op")] == [f"op{k}_{x}" for k, x in enumerate("nearest_neighbours training_order url_filter language toxicity decontamination mixture licenses ngram_jaccard line_dedup".split(), 1)]
+
+
+def test_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(5, [1.0, 0.001 * i, 0.0]) for i in range(15)] + [(i, [1.0, 0.1, 0.01 * i]) for i in range(6, 20)] + [(100, [1.0, 0.0, 0.0]), (100, [1.0, 0.2, 0.3]), (200, [1.0, 0.0, 0.0])]
+    rows += [(7, [1.0, 0.05, 0.0]), (300 + 7, [1.0, 0.05, 0.0])] + [(1001 + i, (rng.normal(size=3) * 3).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def want(q, k):
+        own = [np.array(v) for i, v in rows if i == q]
+        least: dict = {}
+        for i, v in rows:
+            if i != q:
+                least[i] = min([least.get(i, np.inf), *(float(np.sqrt(((np.array(v) - o) ** 2).sum())) for o in own)])
+        return sorted((d, i) for i, d in least.items())[:k]
+
+    for cell_rows in (8192, 20):  # one cell; many, some of them cut into parts
+        got = {}
+        for r in ann.search(df, F.col("vec_id").isin(100, 200, 5, 7), k=10, m=2, confidence=0.999, cell_rows=cell_rows, keep=keep(spark)).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+        for q in (100, 200, 5, 7):
+            assert [(round(d, 9), i) for _, d, i in sorted(got[q])] == [(round(d, 9), i) for d, i in want(q, 10)], (q, cell_rows)
+
+
+def test_large_cells_are_cut_into_parts(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, confidence=0.999, cell_rows=50, sample=8, keep=keep(spark)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 900, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        hits += len(got[q] & {int(i) for i in np.argsort(d)[1:11]})
+    assert hits >= 0.95 * 90
+
+
+def test_a_text_that_many_rows_repeat_is_in_a_sample_once(spark):
+    rng = np.random.default_rng(4)
+    made = {lang: [f"{a}{b}" for a in parts for b in parts] for lang, parts in (("de", ["ung", "sch", "ein", "keit", "zu"]), ("en", ["the", "ing", "ou", "er", "wh"]))}
+    text = lambda lang, n: " ".join(rng.choice(made[lang], n))
+    rows = [(i, text("de", 400), "de") for i in range(40)] + [(100 + i, text("en", 400), "en") for i in range(40)]
+    hot = "the ing ou er " * 700  # the language of these rows, and nothing like it
+    rows += [(1000, hot, "de")] * 400 + [(2000 + i, hot, "de") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.learn(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df.where("doc_id < 1000"), parser).collect()}
+    assert all(got[i] == "de" for i in range(40)) and all(got[100 + i] == "en" for i in range(40))
+
+
+def test_no_exchange_of_the_samples_carries_whole_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"wort {i} " * 900, "de") for i in range(30)], "doc_id long, text string, lang string")
+    seen = []
+    to_arrow = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: (seen.append(self._jdf.queryExecution().executedPlan().toString()), to_arrow(self))[1])
+    langid.learn(df)
+    assert len(seen) == 1 and "SortMergeJoin" not in seen[0] and "BroadcastHashJoin" in seen[0]
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    df = docs(spark, [(1, "A line of its own words\nB line that stands nowhere else", "a"), (1, "C line of the second row\nA line of its own words", "a"), (2, "D line\nC line of the second row", "b")])
+    got = sorted((r["doc_id"], r["text"]) for r in lines.without_repeated_lines(df, Scratch(spark, "t")).collect())
+    text = "\n".join(t for _, t in got)
+    assert all(text.count(x) == 1 for x in ("A line of its own words", "B line that stands nowhere else", "C line of the second row", "D line"))

@@ -15,10 +15,13 @@ vectors lie in clusters, few cells and vectors pass; of vectors without any stru
 
 Equal vectors are one vector in the tree. Of each only the k + 1 least ids can be in an answer, and only they are kept;
 equal queries are one query. So a vector that a third of the rows hold is one row in its cell. Ties go to lesser ids.
+Ids that have several vectors stand in the tree once for each, apart from ids of one vector, and a search goes on until it
+has enough different ids. A cell of over four times ``cell_rows`` is dealt out to parts by hash, each with a tree of its
+own, and its queries go to all of them; so what a worker holds is bounded for any number of vectors.
 
 No part have vectors that are null, empty, all zero, of another length than most, or hold null or non-finite numbers,
 and rows whose id is null. Rows with the query's id are its own, and an id is in an answer once, at the least distance of
-its vectors. With fewer than k others all are returned.
+its vectors, also to a query that has several itself. With fewer than k others all are returned.
 """
 
 from __future__ import annotations
@@ -116,7 +119,7 @@ class Cell:
             rows, dist = rows[~ready], dist[~ready]
 
     def nearest(self, vector: np.ndarray, point: np.ndarray, k: int, stop: float, bound: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows of the k best (by distance, then id), their distances, and how many were verified; bound: of k others that
+        """Rows of the k best different ids (by distance, then id), their distances, and how many were verified; bound: of k others that
         are known."""
         rows, dist, seen = np.zeros(0, np.int64), np.zeros(0), 0
 
@@ -133,7 +136,8 @@ class Cell:
                 some = new[lo : lo + STEP]
                 gap = self.vectors[some] - vector
                 rows, dist = np.concatenate([rows, some]), np.concatenate([dist, np.sqrt((gap * gap).sum(axis=1))])
-                best = np.lexsort((self.ids[rows], dist))[:k]
+                best = np.lexsort((self.ids[rows], dist))
+                best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])[:k]]  # each id once, at its least distance
                 rows, dist, seen = rows[best], dist[best], seen + len(some)
         return rows, dist, seen
 
@@ -159,6 +163,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     dims = int(sizes[0]["d"])
     rows = rows.where(F.size("v") == dims).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(seed), "v")})
+    several = keep(rows.select("vec_id", "h1", "h2").distinct().groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("vec_id").alias("own")), "several")
+    if not several.isEmpty():  # what such an id has in the tree is its alone
+        rows = rows.join(several, F.col("vec_id") == F.col("own"), "left").withColumn("place", F.col("h2")).withColumn("h2", F.when(F.col("own").isNotNull(), F.xxhash64("h2", "own")).otherwise(F.col("h2")))
+        first = Window.partitionBy("h1", "place").orderBy("vec_id")
+        few = rows.where("own is not null").select("h1", "place", "h2", "vec_id").distinct().withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1).select("h1", "h2").distinct()
+        rows = rows.where("own is null").unionByName(rows.where(F.col("own").isNotNull()).join(few, ["h1", "h2"], "left_semi")).drop("own", "place")
     # ids of one vector: told apart before they are ranked, so repeated rows push no other id out
     by = Window.partitionBy("h1", "h2").orderBy("vec_id")
     ids = rows.select("h1", "h2", "vec_id").distinct().withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= k + 1)
@@ -175,21 +185,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     stop = chi2_quantile(confidence, m)
     with sent(spark, (tree, matrix)) as shared:
         data = keep(whole.mapInArrow(_deal(shared, 0), DEALT), "cells")
+        # at most MOST_CELLS numbers; most often no cell is cut
+        large = data.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 4 * cell_rows).collect()
+        parts = np.ones(1 << depth, np.int64)
+        for r in large:
+            parts[r["cell"]] = -(-r["n"] // (2 * cell_rows))
+        layout = np.concatenate([[0], np.cumsum(parts)])
+        if large:
+            where = spark.createDataFrame(list(enumerate(zip(layout.tolist(), parts.tolist()))), "cell long, at struct<first: long, parts: long>")
+            data = keep(data.join(F.broadcast(where), "cell").withColumn("cell", F.col("at.first") + F.pmod("h1", "at.parts")).select(data.columns), "parts-of-cells")
 
         def ask(q: DataFrame, name: str) -> DataFrame:
             both = data.unionByName(q).repartition("cell").sortWithinPartitions("cell", "kind")
             return keep(both.mapInArrow(_answer(shared, dims, k + 1, stop), ANSWERS), name)
 
-        found = [ask(queries.mapInArrow(_deal(shared, 1), DEALT), "own-cell")]
-        if depth:
+        found = [ask(queries.mapInArrow(_deal(shared, 1, layout), DEALT), "own-cell")]
+        if depth or large:
             for name in ("near-cells", "other-cells"):
-                found.append(ask(_next(found, k + 1).mapInArrow(_cells(shared, stop, NEAR if name == "near-cells" else None), DEALT), name))
+                found.append(ask(_next(found, k + 1).mapInArrow(_cells(shared, stop, NEAR if name == "near-cells" else None, layout), DEALT), name))
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
     verified = every.groupBy("q1", "q2").agg(F.sum("verified").alias("verified"))
     both = every.select("q1", "q2", F.explode(F.arrays_zip("h1", "h2", "ids", "dist")).alias("x")).select("q1", "q2", "x.h1", "x.h2", F.col("x.ids").alias("least"), F.col("x.dist").alias("score"))
     best = Window.partitionBy("q1", "q2")
+    both = both.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2", "least").orderBy("score", "h2"))).where("r = 1")
     top = both.withColumn("r", F.row_number().over(best.orderBy("score", "least"))).where(F.col("r") <= k + 1).drop("r", "least")
     near = top.join(members, ["h1", "h2"]).withColumn("r", F.row_number().over(best.orderBy("score", "vec_id"))).where(F.col("r") <= k + 1).select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), "vec_id", "score")
     result = asked.withColumnRenamed("vec_id", "query_id").join(near.join(verified.toDF("h1", "h2", "verified"), ["h1", "h2"]), ["h1", "h2"]).where("query_id <> vec_id")
@@ -202,15 +222,19 @@ DEALT = "cell long, kind int, bound double, h1 long, h2 long, least long, v arra
 ANSWERS = "q1 long, q2 long, least long, v array<double>, cell long, verified long, h1 array<long>, h2 array<long>, ids array<long>, dist array<double>"
 
 
-def _deal(shared, kind: int):
-    """(h1, h2, least, v) to cells: as data (0) or as queries (1)."""
+def _deal(shared, kind: int, layout: np.ndarray | None = None):
+    """(h1, h2, least, v) to cells: as data (0) or as queries (1), these to all parts of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, matrix = shared.value
         for b in batches:
             if b.num_rows:
-                cell = tree.leaf(_matrix(b.column(3), float) @ matrix)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), kind, np.int32)), pa.array(np.full(len(cell), np.inf)), *b.columns], ["cell", "kind", "bound", "h1", "h2", "least", "v"])
+                cell, columns = tree.leaf(_matrix(b.column(3), float) @ matrix), b.columns
+                if layout is not None:
+                    parts = layout[cell + 1] - layout[cell]
+                    row = pa.array(np.repeat(np.arange(len(cell)), parts))
+                    cell, columns = np.repeat(layout[cell] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum()), [c.take(row) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), kind, np.int32)), pa.array(np.full(len(cell), np.inf)), *columns], ["cell", "kind", "bound", "h1", "h2", "least", "v"])
 
     return run
 
@@ -247,25 +271,28 @@ def _answer(shared, dims: int, k: int, stop: float):
 
 
 def _next(found: list[DataFrame], k: int) -> DataFrame:
-    """Of each query its vector, the distance of the k-th best so far (null if there are fewer) and the cells it was in."""
-    every = found[0].select("q1", "q2", "cell", "dist")
+    """Of each query its vector, the distance of the k-th best id so far (null if there are fewer) and the cells it was in."""
+    every = found[0].select("q1", "q2", "cell", "ids", "dist")
     for x in found[1:]:
-        every = every.unionByName(x.select("q1", "q2", "cell", "dist"))
-    so_far = every.groupBy("q1", "q2").agg(F.collect_set("cell").alias("been"), F.get(F.array_sort(F.flatten(F.collect_list("dist"))), F.lit(k - 1)).alias("bound"))
+        every = every.unionByName(x.select("q1", "q2", "cell", "ids", "dist"))
+    near = every.select("q1", "q2", F.explode(F.arrays_zip("ids", "dist")).alias("x")).groupBy("q1", "q2", "x.ids").agg(F.min("x.dist").alias("dist"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy("dist"))).where(F.col("r") == k).select("q1", "q2", F.col("dist").alias("bound"))
+    so_far = every.groupBy("q1", "q2").agg(F.collect_set("cell").alias("been")).join(near, ["q1", "q2"], "left")
     return found[0].select("q1", "q2", "least", "v").join(so_far, ["q1", "q2"])
 
 
-def _cells(shared, stop: float, most: int | None):
+def _cells(shared, stop: float, most: int | None, layout: np.ndarray):
     """Queries to the cells whose boxes pass the test; to the nearest ones first, if most is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, matrix = shared.value
+        parts = np.diff(layout)
         for b in batches:
             points = _matrix(b.column(3), float) @ matrix
             for i in range(b.num_rows):
                 bound = b.column(5)[i].as_py()
                 bound = np.inf if bound is None else bound
-                far = tree.distances(points[i])
+                far = np.repeat(tree.distances(points[i]), parts)
                 cells = np.setdiff1d(np.flatnonzero(far <= (stop * bound * bound if bound < np.inf else np.inf)), b.column(4)[i].as_py())
                 cells = cells[np.argsort(far[cells], kind="stable")][:most]
                 if len(cells):

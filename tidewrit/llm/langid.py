@@ -8,10 +8,10 @@ samples and the blank; all texts of a chunk advance through all of them together
 Texts are lower-cased; each run of other characters than letters is one blank. Letters outside the samples match nothing
 and are a phrase each. Texts are parsed whole, in blocks of ``BLOCK`` letters (a phrase ends with its block).
 
-Samples: all texts of a language are cut into pieces of ``chars // 8`` characters, and those of least hash (of id, text
-and place) are taken until ``chars`` characters are gathered, or all if the language has less (at most ``most_table``
+Samples: all different texts of a language are cut into pieces of ``chars // 8`` characters, and those of least hash (of
+text and place) are taken until ``chars`` characters are gathered, or all if the language has less (at most ``most_table``
 table entries over all languages together, so more languages have shorter samples). So every part of every text can be
-drawn, a sample has eight pieces at least, and rows that repeat an id are drawn as others are. Predictions always use the
+drawn, a sample has eight pieces at least, and a text or a piece that many rows repeat is in it once. Predictions always use the
 whole text. Null ids, texts and languages and empty texts teach nothing. Texts that are null or have no letter get ``und``
 and 0. The score is 1 - best / second best. With one language known the score is 1; with none every text is ``und``. Ties
 go to the language that sorts first.
@@ -30,6 +30,8 @@ from pyspark.sql import Window
 from . import kernels
 
 BLOCK = 1024
+#: Languages whose totals are sent to the tasks; more are joined.
+MOST_SENT = 10_000
 _letters: dict = {}
 
 
@@ -167,13 +169,16 @@ def learn(docs: DataFrame, chars: int = 20_000, most_table: int = 40_000_000, id
     """Automata from the rows of docs (already without those held out)."""
     piece = max(1, chars // 8)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    total = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("total"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(17), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    different = rows.groupBy("lang", "row").agg(F.max(F.length("text")).alias("n"))
+    total = different.groupBy("lang").agg((20.0 * chars / F.sum("n")).alias("limit"))  # about 20 times the need
+    known = total.limit(MOST_SENT + 1).collect()
+    total = F.broadcast(docs.sparkSession.createDataFrame(known, total.schema)) if len(known) <= MOST_SENT else total
     places = F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {piece}").cast("int"))
-    drawn = rows.join(total, "lang").withColumn("limit", 20.0 * chars / F.col("total"))  # about 20 times the need
-    # drawn inside the row, before anything is shuffled: only the pieces below the limit leave it
-    drawn = drawn.withColumn("place", F.explode(F.filter(places, lambda k: _uniform(F.xxhash64("row", k)) <= F.col("limit"))))
+    # drawn inside the row: only the pieces below the limit leave it, so no whole text is shuffled
+    drawn = rows.join(total, "lang").withColumn("place", F.explode(F.filter(places, lambda k: _uniform(F.xxhash64("row", k)) <= F.col("limit"))))
     drawn = drawn.select("lang", _uniform(F.xxhash64("row", "place")).alias("u"), F.expr(f"substring(text, place * {piece} + 1, {piece})").alias("text"))
+    drawn = drawn.groupBy("lang", "text").agg(F.min("u").alias("u"))
     by = Window.partitionBy("lang").orderBy("u", "text").rowsBetween(Window.unboundedPreceding, -1)
     texts = drawn.withColumn("before", F.coalesce(F.sum(F.length("text")).over(by), F.lit(0))).where(F.col("before") < chars).orderBy("lang", "u", "text").select("lang", "text").toArrow()
     samples: dict[str, list] = {}

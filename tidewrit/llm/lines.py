@@ -19,7 +19,8 @@ are linked, longer ones by ``k`` = 8. Equal lines are one line from the start, b
    those of its block that it is not yet linked to through others; the task returns a spanning forest, never pairs.
 4. Distributed union-find joins the forests. Of each component the line of the least place stays.
 
-Rows without an id take no part and keep all their lines. Rows that repeat an id are read as one document. Null and
+Rows without an id take no part and keep all their lines. Of rows that share an id each is judged for its own text, as its
+lines have their places in it; rows of one id and one text are one document. Null and
 empty texts have no line. Very long lines are signed and verified whole.
 """
 
@@ -128,9 +129,10 @@ def _halves(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, buf, offs in _chunks(b.column(1)):
+        for lo, buf, offs in _chunks(b.column(2)):
             text, number, s, e = split(buf, offs)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(number), *map(pa.array, _halves(identities(buf, s, e)))], ["doc_id", "line_no", "a", "b"])
+            at = pa.array(text + lo)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number), *map(pa.array, _halves(identities(buf, s, e)))], ["doc_id", "row", "line_no", "a", "b"])
 
 
 def _pack(k: int, ranges: int, frequent):
@@ -376,9 +378,9 @@ def _keyed(docs: DataFrame, frequent: set[bytes], frequent_texts: DataFrame | No
 
 
 def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines (doc_id, line_no, a, b), the different ones (a, b, place, n) and the links between these: (a, b, root)."""
-    places = scratch.keep(docs.mapInArrow(_places, "doc_id long, line_no long, a long, b long"), "places")
-    lines = scratch.keep(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.count("*").alias("n")), "lines")
+    """Of docs (doc_id, row, text): all lines (doc_id, row, line_no, a, b), the different ones (a, b, place, n) and the links between these: (a, b, root)."""
+    places = scratch.keep(docs.mapInArrow(_places, "doc_id long, row long, line_no long, a long, b long"), "places")
+    lines = scratch.keep(places.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("place"), F.count("*").alias("n")), "lines")
     ranges = max(8, -(-lines.count() * (BANDS + sum(x[4] for x in SCALES)) * 16 // (16 << 20)))
     frequent, frequent_texts = _frequent(docs, lines, scratch)
     buckets = _keyed(docs, frequent, frequent_texts, ranges, k, scratch)
@@ -406,21 +408,28 @@ def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: floa
 def repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 8, threshold: float = 0.8) -> DataFrame:
     """One row per line to drop: doc_id, line_no (from 0), and the place of the line that stays for it, kept_doc_id and
     kept_line_no."""
+    return _repeated(docs, scratch, id_col, text_col, k, threshold).select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+
+
+def _repeated(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, k: int = 8, threshold: float = 0.8) -> DataFrame:
+    """As repeated_lines(), with row and kept_row, which tell rows of one id apart: hashes of their texts, or 0 if no id repeats."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
+    repeats = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    docs = docs.select("doc_id", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("row"), "text")
     places, lines, named = similar_lines(docs, scratch, k, threshold)
     heads = scratch.keep(lines.join(named, ["a", "b"]).groupBy("root").agg(F.min("place").alias("kept")), "heads")
     linked = named.join(heads, "root").select("a", "b", "kept")
     drop = lines.join(linked, ["a", "b"], "left").withColumn("kept", F.coalesce("kept", "place")).where("n > 1 or kept <> place")
-    drop = scratch.keep(drop.select("a", "b", "n", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")), "drop")
+    drop = scratch.keep(drop.select("a", "b", "n", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"), F.col("kept.line_no").alias("kept_line_no")), "drop")
     # lines that hold more than a hundred-thousandth of all places are at most so many: they are sent to the places
     often = F.col("n") > F.lit(max(100, places.count() // 100_000))
     gone = places.join(F.broadcast(drop.where(often)), ["a", "b"]).unionByName(places.join(drop.where(~often), ["a", "b"]))
-    return gone.where("not (doc_id = kept_doc_id and line_no = kept_line_no)").select("doc_id", "line_no", "kept_doc_id", "kept_line_no")
+    return gone.where("not (doc_id = kept_doc_id and row = kept_row and line_no = kept_line_no)")
 
 
 def without_repeated_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the dropped lines taken out of their texts; documents that lose every line have an empty text."""
-    gone = repeated_lines(docs, scratch, id_col, text_col, **options).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    gone = _repeated(docs, scratch, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__gone"))
+    out = docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & F.col("__row").isin(F.lit(0), F.xxhash64(F.col(f"`{text_col}`"))), "left")
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (x, i) -> not array_contains(__gone, cast(i as bigint))), '\\n')")
     return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
