@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import forms
 from ..functions import lexicon as L
-from . import spans as S
+from . import selection, spans as S, stored
 
 #: Letters of Vietnamese besides the ASCII ones.
 VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
@@ -31,6 +30,11 @@ def parted(df: DataFrame, why: Column) -> tuple[DataFrame, DataFrame]:
     return df.where("reason is null").drop("reason"), df.where("reason is not null")
 
 
+def coverage(df: DataFrame, types: str = "types") -> DataFrame:
+    """(type, n) of every type that the rows carry."""
+    return df.select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
 def reason_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
@@ -184,14 +188,31 @@ def leak_key(values: Column, text: Column) -> Column:
 
 
 def build_splits(df: DataFrame, entity: str = "leak_key", template: str = "signature", seed: int = 13, entity_share: float = 0.12, template_share: float = 0.12, dev_share: float = 0.12) -> DataFrame:
-    """df with split, so that entity groups never cross entity_holdout_dev, templates of template_holdout_dev never occur
-    in train, and train and random_dev share no entity group. Assignment hashes the group with the seed, so it needs no
-    shuffle of the rows, holds for any number of groups, and is the same on every cluster."""
-
-    def share(col: str, salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed * 10 + salt), F.col(col)), F.lit(1_000_000)) / 1_000_000
-
-    return df.withColumn("split", F.when(share(entity, 1) < entity_share, SPLITS[2]).when(share(template, 2) < template_share, SPLITS[3]).when(share(entity, 3) < dev_share, SPLITS[1]).otherwise(SPLITS[0]))
+    """df with split: entity groups never cross train, random_dev and entity_holdout_dev, and templates of
+    template_holdout_dev never occur in train.
+
+    Each hold-out gets its share of the groups exactly (at least one, and never over half of them), the first in a seeded
+    order: entity groups of all rows, templates of the rows left, entity groups of what is left then. Where the share ends
+    is found by sums (operators.selection), so the groups of any number are counted and no row is moved; the splits are
+    filters on the hash of a row's own groups. A null group is one group."""
+    entity_key, template_key = selection.text_key(F.col(entity)), selection.text_key(F.col(template))
+    inside: dict[str, Column] = {}
+    rest = df
+    for name, key, share, most in (
+        (SPLITS[2], entity_key, entity_share, lambda n: n - max(1, n // 2)),
+        (SPLITS[3], template_key, template_share, lambda n: n - max(1, n // 2)),
+        (SPLITS[1], entity_key, dev_share, lambda n: n - 1),
+    ):
+        h = selection.seeded(f"{seed}|{name}", key)
+        groups = stored.keep(rest.select(F.lit(name).alias("group"), key.alias("key")).distinct().withColumns({"h": selection.seeded(f"{seed}|{name}", F.col("key")), "w": F.lit(1)}), "groups")
+        n = groups.count()
+        place = selection.places(groups, {name: min(max(1, int(n * share)), max(0, most(n)))})[name]
+        inside[name] = selection.up_to(place, h, key)
+        rest = rest.where(~inside[name])
+    split = F.lit(SPLITS[0])
+    for name in (SPLITS[1], SPLITS[3], SPLITS[2]):
+        split = F.when(inside[name], name).otherwise(split)
+    return df.withColumn("split", split)
 
 
 def leakage(df: DataFrame, entity: str = "leak_key", template: str = "signature") -> DataFrame:
@@ -202,27 +223,25 @@ def leakage(df: DataFrame, entity: str = "leak_key", template: str = "signature"
 
 
 def rebalance(base: DataFrame, delta: DataFrame, caps: dict[str, int], key: str = "id", types: str = "types", seed: int = 13) -> DataFrame:
-    """base and those rows of delta that are not in it and carry at least one type below its cap, taken one by one in
-    seeded order: inherently sequential. Only (order, key, types) of capped candidates goes to the one task that decides."""
+    """base and those rows of delta that are not in it and carry at least one type below its cap, when they are taken one by
+    one in seeded order and what is taken counts.
+
+    A row with a type that is below its cap is always taken. So up to where a type reaches its cap every row that carries
+    it is taken, whatever its other types are, and that place follows from the number of rows with the type alone: it is
+    found for all types at once by sums (operators.selection), and the rows are filtered where they stand. Rows of one key
+    are taken or left together; types that a row repeats count as often. Null and empty types are always taken."""
     counts = base.select(F.explode(types).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("t").isin(list(caps))).collect()  # at most one row a type
     have = {r["t"]: r["n"] for r in counts}
     delta = delta.join(base.select(key).distinct(), key, "left_anti").select(delta.columns)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now = dict(have)
-        for b in batches:
-            keep = []
-            for ts in b[types]:
-                ok = not len(ts) or any(t not in caps or now.get(t, 0) < caps[t] for t in ts)
-                if ok:
-                    for t in ts:
-                        now[t] = now.get(t, 0) + 1
-                keep.append(ok)
-            yield b.loc[keep, [key]]
-
-    narrow = delta.select(key, types).repartition(1).sortWithinPartitions(F.xxhash64(F.lit(seed), F.col(key)), key)
-    kept = narrow.mapInPandas(decide, delta.select(key).schema)
-    return base.unionByName(delta.join(kept, key, "left_semi").select(base.columns))
+    name = selection.text_key(F.col(key))
+    marks = delta.select(F.explode(types).alias("group"), name.alias("key")).where(F.col("group").isin(list(caps)))
+    marks = stored.keep(marks.groupBy("group", "key").agg(F.count("*").alias("w")).withColumn("h", selection.seeded(str(seed), F.col("key"))), "types")
+    places = selection.places(marks, {t: n - have.get(t, 0) for t, n in caps.items()})
+    h = selection.seeded(str(seed), name)
+    below = {t: selection.up_to(p, h, name) for t, p in places.items()}
+    open_ = F.exists(types, lambda t: reduce(Column.__or__, ((t == x) & ok for x, ok in below.items()), ~F.coalesce(t.isin(list(caps)), F.lit(False))))
+    taken = F.coalesce(F.size(types), F.lit(0)) <= 0
+    return base.unionByName(delta.where(taken | F.coalesce(open_, F.lit(False))).select(base.columns))
 
 
 def batches(df: DataFrame, n: int, order: list) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.validators import valid_column
-from ..operators import corpus, diff, lookup, metrics, pipeline, segment, sequence, spans as S, windows
+from ..operators import corpus, diff, limiter, lookup, metrics, pipeline, segment, sequence, spans as S, stored, windows
 from ..operators.normalize import Normalization
-from ..streaming import streams
+from ..streaming import limits, streams
 from . import verbalize as V
 
 
@@ -409,7 +409,25 @@ def sentences_of(spark, sf_dir) -> DataFrame:
     return df.select("doc_id", F.concat(F.col("source"), F.lit("|"), F.col("lang")).alias("leak_key"), F.substring_index("text", ".", 1).alias("signature"))
 
 
-@query()
+#: The order of a key: 60 bits of md5.
+ORDER_SQL = "CAST('0x' || substr(md5('%s|' || %s), 1, 15) AS BIGINT)"
+NULL_SQL = "coalesce(%s, chr(0) || 'null')"
+#: The shares of build_splits over a table d(id, e, t) of groups.
+SPLITS_SQL = f"""e AS (
+  SELECT e FROM (SELECT e, row_number() OVER (ORDER BY {ORDER_SQL % ('13|entity_holdout_dev', 'e')}, e) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT e FROM d))
+  WHERE r <= least(greatest(1, CAST(floor(n * CAST(0.12 AS DOUBLE)) AS BIGINT)), greatest(0, n - greatest(1, n // 2)))
+), left1 AS (SELECT * FROM d WHERE e NOT IN (SELECT e FROM e)), t AS (
+  SELECT t FROM (SELECT t, row_number() OVER (ORDER BY {ORDER_SQL % ('13|template_holdout_dev', 't')}, t) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM left1))
+  WHERE r <= least(greatest(1, CAST(floor(n * CAST(0.12 AS DOUBLE)) AS BIGINT)), greatest(0, n - greatest(1, n // 2)))
+), left2 AS (SELECT * FROM left1 WHERE t NOT IN (SELECT t FROM t)), v AS (
+  SELECT e FROM (SELECT e, row_number() OVER (ORDER BY {ORDER_SQL % ('13|random_dev', 'e')}, e) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT e FROM left2))
+  WHERE r <= least(greatest(1, CAST(floor(n * CAST(0.12 AS DOUBLE)) AS BIGINT)), greatest(0, n - 1))
+), made AS (
+  SELECT *, CASE WHEN e IN (SELECT e FROM e) THEN 'entity_holdout_dev' WHEN t IN (SELECT t FROM t) THEN 'template_holdout_dev' WHEN e IN (SELECT e FROM v) THEN 'random_dev' ELSE 'train' END AS split FROM d
+)"""
+
+
+@query(f"WITH d AS (SELECT doc_id, {NULL_SQL % "source || '|' || lang"} AS e, {NULL_SQL % "split_part(text, '.', 1)"} AS t FROM documents WHERE text IS NOT NULL), {SPLITS_SQL} SELECT doc_id, split FROM made")
 def leakage_safe_splits(spark, sf_dir):
     return corpus.build_splits(sentences_of(spark, sf_dir)).select("doc_id", "split")
 
@@ -430,7 +448,49 @@ def splits_without_leakage(spark, sf_dir):
     return corpus.leakage(corpus.build_splits(sentences_of(spark, sf_dir))).agg(F.count("*").alias("n_leaks"))
 
 
-@query()
+@query(f"WITH d AS (SELECT l_orderkey, l_linenumber, {NULL_SQL % "CAST(l_partkey AS VARCHAR)"} AS e, l_returnflag || '/' || l_linestatus || '/' || CAST(l_quantity AS INT) AS t FROM lineitem), {SPLITS_SQL} SELECT split, count(*) AS n_rows, count(DISTINCT e) AS n_entities, count(DISTINCT t) AS n_templates FROM made GROUP BY split")
+def split_shares(spark, sf_dir):
+    """Rows and groups of each split of the lineitems, parts being entities: the hold-outs have their shares of the groups."""
+    template = F.concat_ws("/", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int"))
+    made = corpus.build_splits(table(spark, sf_dir, "lineitem").select("l_partkey", template.alias("t")), "l_partkey", "t")
+    return made.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("l_partkey").alias("n_entities"), F.count_distinct("t").alias("n_templates"))
+
+
+REBALANCED_SQL = f"""
+WITH d AS (SELECT doc_id AS id, lang, {ORDER_SQL % ('13', 'CAST(doc_id AS VARCHAR)')} AS h FROM documents WHERE doc_id IS NOT NULL),
+taken AS (SELECT id, lang, count(*) OVER (PARTITION BY lang ORDER BY h, CAST(id AS VARCHAR)) AS n FROM d WHERE id % 4 <> 0),
+had AS (SELECT lang, count(*) AS n FROM d WHERE id % 4 = 0 GROUP BY lang)
+SELECT id, lang FROM d WHERE id % 4 = 0
+UNION ALL SELECT id, t.lang FROM taken t LEFT JOIN had ON t.lang = had.lang WHERE t.lang IS NULL OR t.lang NOT IN ('fr', 'de') OR t.n + coalesce(had.n, 0) <= 100
+"""
+TYPE_CAPS = {"HOUSEHOLD": 200, "BUILDING": 120, "n0": 300, "n1": 250, "n2": 10_000, "rich": 700}
+SEVERAL_SQL = f"""
+WITH RECURSIVE source AS (
+  SELECT c_custkey AS id, list_concat([c_mktsegment, 'n' || c_nationkey % 4], CASE WHEN c_acctbal > 4000 THEN ['rich'] ELSE [] END) AS types, {ORDER_SQL % ('13', 'CAST(c_custkey AS VARCHAR)')} AS h FROM customer
+), rest AS (
+  SELECT id, types, row_number() OVER (ORDER BY h, CAST(id AS VARCHAR)) AS n FROM source WHERE id % 3 <> 0
+), caps(type, most) AS (
+  VALUES {", ".join(f"('{c}', {n})" for c, n in TYPE_CAPS.items())}
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, FALSE AS taken,
+         (SELECT map(list(type), list(most - (SELECT count(*) FROM source WHERE id % 3 = 0 AND list_contains(types, type)))) FROM caps) AS room
+  UNION ALL
+  SELECT n, id, taken, map_from_entries(list_transform(map_entries(room), lambda e: {{'key': e.key, 'value': e.value - CASE WHEN taken AND list_contains(types, e.key) THEN 1 ELSE 0 END}})) FROM (
+    SELECT r.n, r.id, r.types, w.room, len(list_filter(r.types, lambda x: coalesce(w.room[x] > 0, TRUE))) > 0 AS taken FROM walk w JOIN rest r ON r.n = w.n + 1)
+)
+SELECT id FROM source WHERE id % 3 = 0 UNION ALL SELECT id FROM walk WHERE taken
+"""
+
+
+@query(SEVERAL_SQL)
+def rebalanced_types(spark, sf_dir):
+    """Customers of several types each; SQL takes them one by one."""
+    types = F.array_compact(F.array("c_mktsegment", F.concat(F.lit("n"), F.col("c_nationkey") % 4), F.when(F.col("c_acctbal") > 4000, "rich")))
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), types.alias("types"))
+    return corpus.rebalance(d.where("id % 3 = 0"), d, TYPE_CAPS).select("id")
+
+
+@query(REBALANCED_SQL)
 def rebalanced(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), F.array("lang").alias("types"))
     return corpus.rebalance(d.where("id % 4 = 0"), d, {"fr": 100, "de": 100}).select("id", F.get("types", F.lit(0)).alias("lang"))
@@ -450,6 +510,53 @@ def rate_window(spark, sf_dir):
     return df.select("event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 6).alias("total"))
 
 
+LIMITS = limiter.Limits(calls=3, tokens=150, daily=3, window=86_400_000_000)
+LIMITER_SQL = """
+WITH RECURSIVE asked AS (
+  SELECT event_id, user_id, epoch_us(ts) AS us, CAST(floor(value) AS BIGINT) AS tok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), walk AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS moment, CAST(NULL AS VARCHAR) AS refused,
+         CAST([] AS STRUCT(t BIGINT, k BIGINT)[]) AS ring, CAST(-1 AS BIGINT) AS day, CAST(0 AS BIGINT) AS used, CAST(-1 AS BIGINT) AS latest FROM asked
+  UNION ALL
+  SELECT user_id, n, event_id, moment, refused, CASE WHEN moment IS NULL THEN ring ELSE list_append(list_filter(ring, lambda x: moment - x.t <= 86400000000), {'t': moment, 'k': tok}) END,
+         CASE WHEN moment IS NULL THEN day ELSE moment // 86400000000 END, CASE WHEN moment IS NULL THEN used WHEN moment // 86400000000 = day THEN used + 1 ELSE 1 END, coalesce(moment, latest)
+  FROM (
+    SELECT *, CASE WHEN refused IS NULL THEN list_filter(list_sort(list_prepend(early, list_filter(list_transform(ring, lambda x: x.t + 86400000001), lambda c: c > early))),
+        lambda c: len(list_filter(ring, lambda x: c - x.t <= 86400000000)) < 3 AND coalesce(list_sum(list_transform(list_filter(ring, lambda x: c - x.t <= 86400000000), lambda x: x.k)), 0) + tok <= 150)[1] END AS moment
+    FROM (
+      SELECT a.user_id, a.n, a.event_id, a.tok, w.ring, w.day, w.used, w.latest, greatest(a.us, w.latest) AS early,
+             CASE WHEN a.tok > 150 THEN 'tokens' WHEN greatest(a.us, w.latest) // 86400000000 = w.day AND w.used >= 3 THEN 'day' END AS refused
+      FROM walk w JOIN asked a ON a.user_id = w.user_id AND a.n = w.n + 1))
+)
+SELECT event_id, coalesce(moment, -1) AS admitted_us, coalesce(refused, '') AS refused FROM walk WHERE n > 0
+"""
+
+
+def answer(us: Column) -> list[Column]:
+    return [F.coalesce(us, F.lit(-1)).alias("admitted_us"), F.coalesce("refused", F.lit("")).alias("refused")]
+
+
+@query(LIMITER_SQL)
+def limiter_admissions(spark, sf_dir):
+    """When the events of a user are admitted: three a day and window, and their values together."""
+    asked = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor("value").alias("tokens"))
+    return limiter.admissions(asked, "user_id", "ts", "tokens", "event_id", LIMITS).select("event_id", *answer(F.unix_micros("admitted_at")))
+
+
+@query(LIMITER_SQL.rstrip() + " AND event_id IN (SELECT event_id FROM events WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events))")
+def stream_limiter(spark, sf_dir):
+    """The same over a stream, up to its last watermark."""
+    events = _events(spark, sf_dir).withColumn("tokens", F.floor("value"))
+    out = _replayed(spark, limits.admissions(events, "user_id", "ts", "tokens", "event_id", LIMITS, "1 hour"))
+    return out.select(F.col("request").cast("long").alias("event_id"), *answer(F.col("admitted_us")))
+
+
+@query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
+def type_coverage_whole(spark, sf_dir):
+    """Every type and how often it occurs."""
+    return corpus.coverage(table(spark, sf_dir, "events").select(F.array("event_type").alias("types")), "types")
+
+
 @query("SELECT type, n FROM (SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, type LIMIT 3")
 def type_coverage(spark, sf_dir):
     df = table(spark, sf_dir, "events").select(F.explode(F.array("event_type")).alias("type"))
@@ -500,10 +607,7 @@ def _events(spark, sf_dir) -> DataFrame:
 
 
 def _replayed(spark, stream: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    folder = stored.new_folder(spark, "stream")
     streams.replay(stream, f"{folder}/out", f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
