@@ -117,6 +117,19 @@ def confusion(pairs: DataFrame, top: int | None = 20) -> DataFrame:
     return out.limit(top) if top else out
 
 
+def confusion_matrix(pairs: DataFrame, types: list[str] | tuple[str, ...] = TYPES) -> DataFrame:
+    """A row for each type as gold, a column for each type as pred, and a column and a row ``total``: counts of (gold, pred).
+    Types outside the list, and nulls, count as ``other``, which has a row and a column too. All four levels of totals come
+    from one aggregation; types that do not occur have zeros."""
+    names = [*types, "other"]
+    known = lambda c: F.when(F.col(c).isin(list(types)), F.col(c)).otherwise("other")
+    counted = pairs.select(known("gold").alias("gold"), known("pred").alias("pred")).cube("gold", "pred").agg(F.count("*").alias("n"))
+    counted = counted.select(F.coalesce("gold", F.lit("total")).alias("gold"), F.coalesce("pred", F.lit("total")).alias("pred"), "n")
+    wide = counted.groupBy("gold").pivot("pred", [*names, "total"]).agg(F.first("n"))
+    rows = pairs.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*names, "total"])], "type_no int, gold string")
+    return rows.join(F.broadcast(wide), "gold", "left").fillna(0).select("gold", "type_no", *(F.col(f"`{c}`") for c in [*names, "total"]))
+
+
 def per_type_report(gold: DataFrame, pred: DataFrame, id_col: str = "id", k: int = 3, min_support: int = 1) -> DataFrame:
     """A row for each of the 46 types: gold, hit, boundary_only, missed, spurious, precision, recall, f1, status, confusions."""
     g = gold.select(id_col, "start", "end", F.col("type").alias("gold_type")).distinct()
@@ -218,3 +231,19 @@ def best_threshold(records: DataFrame, low: float = 0.2, high: float = 0.95, min
     summed = both.withColumn("gain", F.sum("v").over(w)).where((F.col("c") >= low) & (F.col("c") <= high))
     best = summed.groupBy("type").agg(F.max(F.struct("gain", "c")).alias("b"))
     return best.join(support, "type").select("type", "support", F.when(F.col("support") < min_support, F.lit(default)).otherwise(F.col("b.c")).alias("threshold"), F.col("b.gain").alias("gain"))
+
+
+class Overlap(ValueError):
+    """Records that must not be tuned on."""
+
+
+def guarded_thresholds(records: DataFrame, final_test: DataFrame, sentence: str = "spoken", **options) -> DataFrame:
+    """best_threshold() of records, unless one of their sentences is in the final test: then Overlap is raised before any
+    gain is computed. Sentences are compared without case, marks and repeated blanks, by hash; the hashes of the final test go to a Bloom
+    filter by Spark itself where that pays, and the join is exact."""
+    plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(sentence, r"\p{P}", " ")), r"\s+", " "))
+    name = lambda df: df.select(F.sha2(plain.cast("binary"), 256).alias("print")).where("print is not null")
+    both = name(records).join(name(final_test).distinct(), "print", "left_semi").agg(F.count("*").alias("n"), F.count_distinct("print").alias("sentences")).first()
+    if both["n"]:
+        raise Overlap(f"{both['n']} records of {both['sentences']} sentences are in the final test: thresholds chosen on them fit its answers")
+    return best_threshold(records, **options)

@@ -78,6 +78,8 @@ class Normalization:
             return _each(_engine(shared.value).normalize, kinds, texts, ("normalized", "valid", "reason"))
 
         self._one, self._many, self._parsed = one, many, parsed
+        #: The function of a type and a text, for registration in SQL.
+        self.function = one
 
     def column(self, kind: Column | str, text: Column) -> Column:
         """struct(normalized, valid, reason, resolved) of a span's text; total: nulls are invalid."""

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.validators import valid_column
+from .. import sql as surface
 from ..operators import corpus, diff, limiter, lookup, metrics, pipeline, segment, sequence, spans as S, stored, windows
 from ..operators.normalize import Normalization
+from ..sources import writers
+from ..sources.answers import AnswerStore
 from ..streaming import limits, streams
 from . import verbalize as V
 
@@ -136,6 +139,33 @@ def trace_spoken_orders(spark, sf_dir):
     return out.select("o_orderkey", F.col("span_no").cast("int").alias("span_no"), "resolved_type", "normalized", "emitted")
 
 
+@query(SQL["trace_spoken_orders"])
+def trace_in_sql(spark, sf_dir):
+    """The same rows from a query in SQL alone, over a view of the utterances."""
+    surface.register(spark)
+    spoken_orders(spark, sf_dir).createOrReplaceTempView("spoken_orders")
+    return spark.sql("""
+        SELECT o_orderkey, t.span_no, t.resolved_type, t.normalized, t.emitted
+        FROM (SELECT o_orderkey, words, transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'type', s.type, 'boundary_conf', double(o_orderkey % 10) / 10, 'type_conf', s.type_conf)) AS spans FROM spoken_orders),
+             LATERAL trace_spans(words, spans) t
+    """)
+
+
+@query("SELECT CASE n WHEN 0 THEN 'CARDINAL' ELSE 'DATE' END AS type, count(*) AS spans, count(*) AS emitted, CAST(0 AS BIGINT) AS below_threshold, CAST(0 AS BIGINT) AS invalid FROM orders, (VALUES (0), (1)) s(n) GROUP BY 1")
+def emission_in_sql(spark, sf_dir):
+    """By type, from a view over a view."""
+    spoken_orders(spark, sf_dir).createOrReplaceTempView("spoken_orders")
+    surface.views(spark, "spoken_orders", "o_orderkey")
+    return spark.sql("SELECT type, spans, emitted, below_threshold, invalid FROM spoken_orders_emission")
+
+
+@query(r"SELECT conv_id, turn, CAST(unnest(range(len(p))) AS INT) AS n, unnest(p) AS sentence FROM (SELECT conv_id, turn, list_filter(string_split_regex(regexp_replace(trim(text, chr(32) || chr(9) || chr(10)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM conversations WHERE text IS NOT NULL)")
+def sentences_in_sql(spark, sf_dir):
+    surface.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("turns")
+    return spark.sql("SELECT conv_id, turn, s.n, s.sentence FROM turns, LATERAL text_sentences(text) s")
+
+
 # --- spans over tokenised text: a word of six or more characters begins a span that goes on while words have six -----
 
 LONG_SQL = "WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations WHERE text IS NOT NULL), e AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w), f AS (SELECT *, CASE WHEN length(word) >= 6 THEN 1 ELSE 0 END AS l, coalesce(lag(CASE WHEN length(word) >= 6 THEN 1 ELSE 0 END) OVER p, 0) AS b, coalesce(lead(CASE WHEN length(word) >= 6 THEN 1 ELSE 0 END) OVER p, 0) AS a FROM e WINDOW p AS (PARTITION BY conv_id, turn ORDER BY pos))"
@@ -364,6 +394,24 @@ def confusion_pairs(spark, sf_dir):
     return metrics.confusion(m)
 
 
+MATRIX_TYPES = ["click", "error", "purchase", "signup"]
+MATRIX_SQL = """
+WITH p AS (SELECT CASE WHEN event_type IN ('click', 'error', 'purchase', 'signup') THEN event_type ELSE 'other' END AS gold,
+                  CASE WHEN before IN ('click', 'error', 'purchase', 'signup') THEN before ELSE 'other' END AS pred
+           FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)),
+n AS (SELECT coalesce(gold, 'total') AS gold, coalesce(pred, 'total') AS pred, count(*) AS n FROM p GROUP BY CUBE (gold, pred))
+SELECT gold, "click", "error", purchase, signup, "other", total FROM (PIVOT n ON pred IN ('click', 'error', 'purchase', 'signup', 'other', 'total') USING sum(n)::BIGINT GROUP BY gold)
+"""
+
+
+@query(MATRIX_SQL)
+def confusion_matrix(spark, sf_dir):
+    """Types of a user's events against those of the events before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pairs = table(spark, sf_dir, "events").select(F.col("event_type").alias("gold"), F.lag("event_type").over(w).alias("pred"))
+    return metrics.confusion_matrix(pairs, MATRIX_TYPES).drop("type_no")
+
+
 SWEEP = "r AS (SELECT event_type AS type, round((event_id % 100) / 100.0, 4) AS c, CASE WHEN (event_id * 7) % 100 < event_id % 100 + 20 THEN 1 ELSE -1 END AS v FROM events)"
 
 
@@ -551,6 +599,43 @@ def stream_limiter(spark, sf_dir):
     return out.select(F.col("request").cast("long").alias("event_id"), *answer(F.col("admitted_us")))
 
 
+@query("""
+WITH d AS (SELECT doc_id, lang, text, source, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS now FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' WHEN lang = 'en' AND doc_id % 2 = 0 AND doc_id % 10 <> 0 THEN 'old' ELSE 'none' END AS version,
+       CASE WHEN doc_id % 3 = 0 THEN length(now) WHEN lang = 'en' AND doc_id % 2 = 0 AND doc_id % 10 <> 0 THEN -length(text) ELSE 0 END AS answer
+FROM d
+""")
+def answer_store(spark, sf_dir):
+    """Answers of two versions: those of the old are taken over where the language is en and the text has not changed since,
+    a batch is run twice, a run is killed before its commit, and all is compacted."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "lang", "text")
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    store = AnswerStore(spark, stored.new_folder(spark, "answers"), "int", ("text",), "doc_id", "long")
+    first = docs.where("doc_id % 2 = 0").withColumn("answer", -F.length("text"))
+    store.commit(first, "old", "batch-1")
+    store.commit(first.withColumn("answer", F.lit(7)), "old", "batch-1")  # a retry
+    later = now.where("doc_id % 3 = 0").withColumn("answer", F.length("text"))
+    store.commit(later.where("doc_id % 2 = 0").withColumn("answer", F.lit(8)), "new", "batch-2")
+    store.commit(later, "new", "batch-3")
+    later.withColumn("answer", F.lit(9)).write.parquet(f"{store.path}/data/killed")
+    store.migrate(now, F.coalesce(F.col("lang") == "en", F.lit(False)), "old", "new")
+    store.compact()
+    store.vacuum()
+    done = store.answered(now, "new").select("doc_id", F.when(F.col("answer") < 0, "old").otherwise("new").alias("version"), "answer")
+    return done.unionByName(store.todo(now, "new").select("doc_id", F.lit("none").alias("version"), F.lit(0).alias("answer")))
+
+
+@query("SELECT coalesce(outcome, 'kept') AS outcome, count(*) AS n, count(*) OVER () AS n_outcomes, (SELECT count(*) FROM documents) AS n_observed FROM (SELECT CASE WHEN text IS NULL THEN 'no text' WHEN length(text) > 5000 THEN 'long' WHEN lang = 'de' THEN 'language' END AS outcome FROM documents) GROUP BY 1")
+def side_outputs(spark, sf_dir):
+    """Rows kept and refused in one pass, counted on the way and in what was written."""
+    folder = stored.new_folder(spark, "outcomes")
+    why = corpus.reason(("no text", F.col("text").isNull()), ("long", F.length("text") > 5000), ("language", F.col("lang") == "de"))
+    seen = writers.write_outcomes(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), why, folder)
+    kept, refused = writers.read_outcomes(spark, folder, "doc_id long, lang string, text string")
+    counts = kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("outcome"), "n").where("n > 0").unionByName(refused.groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("n")))
+    return counts.withColumns({"n_outcomes": F.count("*").over(Window.partitionBy(F.lit(1))), "n_observed": F.lit(seen["rows"])})
+
+
 @query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
 def type_coverage_whole(spark, sf_dir):
     """Every type and how often it occurs."""
