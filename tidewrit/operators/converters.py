@@ -132,13 +132,15 @@ def stripped(tokens: Column, tags: Column) -> Column:
 
 def bundle_layout(df: DataFrame) -> DataFrame:
     """words, punct and spans (null where a record does not fit) of the three layouts of bundles: words with spans and labels;
-    tokens as objects (JSON) with tags and punctuation_targets; tokens with marks among them, and tags."""
+    tokens as objects (their JSON, or their texts where a column objects tells that they are) with tags and
+    punctuation_targets; tokens with marks among them, and tags."""
     tokens, tags = F.col("tokens"), F.col("bio_tags")
     final = (F.size("words") > 0) & F.col("punct").isNotNull() & F.col("spans").isNotNull() & tokens.isNull()
     fits = (F.size(tokens) > 0) & (F.size(tokens) == F.size(tags))
-    objects = F.get(tokens, F.lit(0)).startswith("{")
+    told = "objects" in df.columns
+    objects = F.col("objects") if told else F.get(tokens, F.lit(0)).startswith("{")
     own = F.transform("spans", lambda s: span(F.get(s, F.lit(0)), F.get(s, F.lit(1)), F.get(s, F.lit(2))))
-    names = F.transform(tokens, lambda t: F.lower(F.coalesce(F.get_json_object(t, "$.text"), F.lit(""))))
+    names = F.transform(tokens, lambda t: F.lower(F.coalesce(t if told else F.get_json_object(t, "$.text"), F.lit(""))))
     targets = F.when(F.size("punctuation_targets") == F.size(tokens), F.col("punctuation_targets")).otherwise(F.transform(tokens, lambda _: F.lit("O")))
     marked = stripped(tokens, tags)
     three = lambda w, p, s: F.struct(w.alias("words"), p.alias("punct"), s.cast(SPANS).alias("spans"))

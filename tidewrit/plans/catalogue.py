@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 
 from ..functions.validators import valid_column
 from .. import sql as surface
-from ..operators import corpus, diff, limiter, lookup, metrics, pipeline, segment, sequence, spans as S, stored, windows
+from ..operators import corpus, diff, limiter, lookup, metrics, pipeline, segment, sequence, spans as S, stored, subwords, windows
 from ..operators.normalize import Normalization
 from ..sources import writers
 from ..sources.answers import AnswerStore
@@ -671,6 +672,39 @@ def compound_words(spark, sf_dir):
     return df.select("conv_id", "turn", F.size("model").alias("n_words"), segment.reversible(F.col("tokens"), F.col("model")).alias("reversible"))
 
 
+#: Merges of the query's vocabulary, in the order of their ranks.
+MERGES = [("t", "h"), ("th", "e</w>"), ("e", "r"), ("o", "n"), ("e", "n"), ("i", "on"), ("t", "ion"), ("er", "</w>"), ("d", "e</w>"), ("c", "h</w>"), ("a", "n"), ("l", "l"), ("ti", "on"), ("o", "u"), ("e", "e")]
+MERGED_SQL = "replace(%s, ' {0}  {1} ', ' {0}{1} ')"
+SUBWORDS_SQL = f"""
+WITH w AS (
+  SELECT conv_id, turn, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM conversations WHERE text IS NOT NULL
+), spaced AS (
+  SELECT conv_id, turn, word, list_aggregate(list_transform(string_split(word[:-2], ''), lambda c: ' ' || c || ' '), 'string_agg', '') || ' ' || word[-1:] || '</w> ' AS s FROM w WHERE length(word) > 1
+  UNION ALL SELECT conv_id, turn, word, ' ' || word || '</w> ' FROM w WHERE length(word) = 1
+), merged AS (
+  SELECT conv_id, turn, word, (length(@) - length(replace(@, '  ', ''))) // 2 + 1 AS n FROM spaced
+)
+SELECT conv_id, turn, count(*) AS n_words, CAST(sum(n) + 2 AS BIGINT) AS n_subwords, round(sum(CAST(length(word) AS DOUBLE) / n), 6) AS letters FROM merged GROUP BY conv_id, turn
+""".replace("@", reduce(lambda s, m: MERGED_SQL.format(*m) % s, MERGES, "s"))
+
+
+@query(SUBWORDS_SQL)
+def subword_vectors(spark, sf_dir):
+    """Words to subwords, a vector a subword (the letters in it), and the mean of each word's again, through windows."""
+    symbols = sorted({*(a + b for a, b in MERGES), "<s>", "</s>", "<unk>"})
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    encode = subwords.encoder(spark, subwords.Subwords({t: i for i, t in enumerate(symbols)}, MERGES, begin_mark="<s>", end_mark="</s>"))
+    df = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", words.alias("words"))
+    df = S.settled(df.withColumn("e", encode("words")), conv_id=F.col("conv_id"), turn=F.col("turn"), words=F.col("words"), e=F.col("e"), counts=subwords.counts(F.col("e")))
+    # the letters of a word, dealt out evenly to its subwords; a subword's place is found from its word's
+    letters = F.flatten(F.concat(F.array(F.array(F.array(F.lit(0.0)))), F.zip_with("words", "counts", lambda w, n: F.array_repeat(F.array(F.length(w).cast("double") / n), n)), F.array(F.array(F.array(F.lit(0.0))))))
+    df = df.withColumn("pooled", subwords.word_vectors(F.col("e"), letters, 1)).withColumn("windows", windows.plan_windows(F.col("counts")))
+    parts = df.select("conv_id", "turn", F.size("words").alias("n_words"), F.size("e.ids").alias("n_subwords"), "pooled", F.posexplode("windows").alias("window_no", "w"))
+    pieces = parts.select(F.struct("conv_id", "turn").alias("id"), "n_words", "n_subwords", "window_no", "w.word_start", "w.word_end", F.posexplode(F.slice("pooled", F.col("w.word_start") + 1, F.col("w.word_end") - F.col("w.word_start"))).alias("at", "value"))
+    whole = windows.stitch(pieces.withColumn("word", F.col("word_start") + F.col("at")))
+    return whole.groupBy("id.conv_id", "id.turn").agg(F.count("*").alias("n_words"), F.first("n_subwords").cast("long").alias("n_subwords"), F.round(F.sum(F.get("value", F.lit(0))), 6).alias("letters"))
+
+
 @query()
 def diff_regions(spark, sf_dir):
     """Each user turn against the next turn."""

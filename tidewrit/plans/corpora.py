@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forms
-from ..operators import converters, corpus, metrics, pipeline, readings, segment
+from ..operators import converters, corpus, metrics, pipeline, readings, segment, stored
 from ..operators import spans as S
 from ..operators.normalize import Normalization
 from ..sources import readers
+from ..streaming import streams
 from . import verbalize as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +118,25 @@ def bundle_of_objects(spark, sf_dir):
     return _kept(converters.from_bundle(spark, _bundle(df, tokens=tokens, bio_tags=F.col("tags"), punctuation_targets=punct)))
 
 
+@query(BUNDLE_SQL % (BROKEN, ""))
+def bundle_files(spark, sf_dir):
+    """Files of JSON lines, tokens as objects in some and as strings in others, read as variants, by batch and by stream."""
+    df = bundle_records(spark, sf_dir)
+    punct = F.transform("words", lambda _, i: F.when(i == F.col("at") - 1, "COMMA").when(i == F.size("words") - 1, "PERIOD").otherwise("O"))
+    fields = {"bio_tags": F.col("tags"), "normalized_text": F.col("target"), "priority_group": key().cast("string")}
+    objects = df.where("o_orderkey % 2 = 0").select(F.transform("words", lambda w, i: F.struct(w.alias("text"), i.alias("start"))).alias("tokens"), punct.alias("punctuation_targets"), *(c.alias(n) for n, c in fields.items()))
+    tokens = F.concat(_insert(F.col("words"), F.col("at"), ","), strings("."))
+    marked = fields | {"bio_tags": F.concat(_insert(F.col("tags"), F.col("at"), "O"), strings("O"))}
+    plain = df.where("o_orderkey % 2 = 1").select(tokens.alias("tokens"), *(c.alias(n) for n, c in marked.items()))
+    folder = stored.new_folder(spark, "bundles")
+    objects.write.json(f"{folder}/in/kind=objects")
+    plain.write.json(f"{folder}/in/kind=strings")
+    streams.replay(readers.stream_variant_bundle(spark, f"{folder}/in/kind=strings"), f"{folder}/strings", f"{folder}/state")
+    records = readers.read_variant_bundle(spark, f"{folder}/in/kind=objects")
+    records = records.unionByName(spark.read.schema(records.schema).parquet(f"{folder}/strings"))
+    return _kept(converters.from_bundle(spark, records))
+
+
 @query(BUNDLE_SQL % ("ELSE NULL", "OR o_orderkey % 6 = 5"))
 def bundle_of_spans(spark, sf_dir):
     """Words with spans and labels, where the last case is as good as the first."""

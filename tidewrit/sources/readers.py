@@ -48,6 +48,32 @@ def read_any_bundle(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, schemas.ANY_BUNDLE)
 
 
+def variant_bundle(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Bundles of any of their layouts from lines of JSON, batch or stream, for operators.converters.from_bundle(). A record is a
+    variant, whose parts are read where they are: tokens may be strings or objects, spans lists of numbers and names. A line
+    that is no JSON has nulls. objects tells whether tokens are objects; tokens are then their texts."""
+    df = lines.select(F.try_parse_json(line).alias("v"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    text = lambda t, own: F.coalesce(F.try_variant_get(t, "$.text", "string"), own)
+    tokens = get("tokens", "array<variant>")
+    columns = {c: get(c, "string") for c in ("id", "normalized_text", "written", "source_type", "priority_group", "focus_family")}
+    columns |= {c: get(c, "array<string>") for c in ("bio_tags", "punctuation_targets", "words", "punct")}
+    columns |= {
+        "spans": get("spans", "array<array<string>>"),
+        "objects": F.coalesce(F.schema_of_variant(F.get(tokens, F.lit(0))).startswith("OBJECT"), F.lit(False)),
+        "tokens": F.transform(tokens, lambda t: F.when(F.schema_of_variant(t).startswith("OBJECT"), text(t, F.lit(""))).otherwise(F.try_variant_get(t, "$", "string"))),
+    }
+    return df.select(*(c.alias(n) for n, c in columns.items()))
+
+
+def read_variant_bundle(spark: SparkSession, path: str) -> DataFrame:
+    return variant_bundle(spark.read.text(path))
+
+
+def stream_variant_bundle(spark: SparkSession, path: str) -> DataFrame:
+    return variant_bundle(spark.readStream.text(path))
+
+
 def read_token_bundle(spark: SparkSession, path: str) -> DataFrame:
     """Bundles of token objects with punctuation targets: id, words, punct, spans (null if the tags are no BIO), written."""
     df = read_jsonl(spark, path, schemas.TOKEN_BUNDLE)
