@@ -18,6 +18,13 @@ from .normalize import Normalization
 THRESHOLDS = {k: L.DEFAULT_THRESHOLD for k in L.TYPES} | {k: L.CRITICAL_THRESHOLD for k in [*L.CRITICAL, *L.STRICT_IDENTIFIERS]} | {k: L.CATALOGUE_THRESHOLD for k in L.CATALOGUED}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer parts than there are, as a table of one small file does. Reading spans costs far
+    more than moving them; a table of many parts is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def threshold(kind: Column, own: dict[str, float] | None = None) -> Column:
     table = THRESHOLDS | (own or {})
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, float(v)))), kind), F.lit(L.DEFAULT_THRESHOLD))
@@ -78,7 +85,9 @@ def write(spark: SparkSession, utterances: DataFrame, norm: Normalization | None
     norm = norm or Normalization(spark)
     if "punct" not in utterances.columns:
         utterances = utterances.withColumn("punct", F.lit(None).cast("array<string>"))
-    df = utterances.withColumn("skipped_reason", skipped_reason(F.col("words"), F.col("spans"), F.col("punct")))
+    # however these are made, they are made once a row
+    df = S.settled(utterances, words=F.col("words"), spans=F.col("spans"), punct=F.col("punct"))
+    df = df.withColumn("skipped_reason", skipped_reason(F.col("words"), F.col("spans"), F.col("punct")))
     usable = F.when(F.col("skipped_reason").isNull(), F.col("spans"))
     texts = S.let(F.col("words"), lambda words: F.transform(usable, lambda s: S.text_of(words, s["start"], s["end"])))
     df = S.settled(df, __kinds=F.transform(usable, lambda s: s["type"]), __texts=texts)

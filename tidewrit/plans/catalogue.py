@@ -50,7 +50,7 @@ ROUND_TRIPS: dict[str, tuple[str, str, list[str], Column, str]] = {}
 
 def trip(name: str, kind: str, source: str, keys: list[str], spoken: Callable[[], Column], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, source).select(*keys, spoken().alias("spoken"))
+        df = pipeline.spread(table(spark, sf_dir, source)).select(*keys, spoken().alias("spoken"))
         r = Normalization(spark).column(kind, F.col("spoken"))
         return df.withColumn("r", r).select(*keys, F.col("r.normalized").alias("written"), F.col("r.valid").alias("valid"))
 
@@ -116,7 +116,7 @@ trip("normalize_rank", "RANK", "supplier", ["s_suppkey"], lambda: F.when(F.col("
 
 def spoken_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances of an order's number and date with gold spans."""
-    df = table(spark, sf_dir, "orders").select("o_orderkey", F.split(V.number(F.col("o_orderkey")), " ").alias("n"), F.split(V.date(F.col("o_orderdate")), " ").alias("d"))
+    df = S.settled(pipeline.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")), n=F.split(V.number(F.col("o_orderkey")), " "), d=F.split(V.date(F.col("o_orderdate")), " "))
     words = F.concat(F.array(F.lit("đơn"), F.lit("hàng")), F.col("n"), F.array(F.lit("lập")), F.col("d"))
     spans = F.array(F.struct(F.lit(2).alias("start"), (F.size("n") + 1).alias("end"), F.lit("CARDINAL").alias("type")), F.struct((F.size("n") + 3).alias("start"), (F.size("n") + F.size("d") + 2).alias("end"), F.lit("DATE").alias("type")))
     df = df.select("o_orderkey", words.alias("words"), spans.alias("gold"))

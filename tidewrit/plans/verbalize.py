@@ -30,10 +30,19 @@ def below_thousand(n: int, full: bool) -> str:
     return " ".join(words)
 
 
-def _group(n: Column, full: bool) -> Column:
-    """Looked up in a constant, so that an expression of a number stays small."""
-    names = "|".join(below_thousand(i, full) for i in range(1000))
-    return F.get(F.split(F.lit(names), "[|]"), n.cast("int"))
+def _named(words: list[str], i: Column) -> Column:
+    return F.get(F.split(F.lit("|".join(words)), "[|]"), i.cast("int"))
+
+
+#: What follows the hundreds, and numbers below a hundred: short constants, as long ones make plans slow to work on.
+BEHIND = [below_thousand(100 + i, True).removeprefix("một trăm").strip() for i in range(100)]
+ALONE = [below_thousand(i, False) for i in range(100)]
+
+
+def _group(n: Column, full: Column) -> Column:
+    """Three digits; full: behind a higher group, where its hundreds are always said."""
+    h = F.floor(n / 100)
+    return F.when((h > 0) | full, F.rtrim(F.concat(_named(DIGITS, h), F.lit(" trăm "), _named(BEHIND, n % 100)))).otherwise(_named(ALONE, n))
 
 
 def number(n: Column) -> Column:
@@ -42,8 +51,7 @@ def number(n: Column) -> Column:
     parts = []
     for scale, word in ((10**9, " tỷ"), (10**6, " triệu"), (10**3, " nghìn"), (1, "")):
         g = F.floor(n / scale) % 1000
-        said = _group(g, False) if scale == 10**9 else F.when(n >= scale * 1000, _group(g, True)).otherwise(_group(g, False))
-        parts.append(F.when(g > 0, F.concat(said, F.lit(word))))
+        parts.append(F.when(g > 0, F.concat(_group(g, n >= scale * 1000 if scale < 10**9 else F.lit(False)), F.lit(word))))
     return F.when(n == 0, DIGITS[0]).otherwise(F.concat_ws(" ", *parts))
 
 
