@@ -24,7 +24,8 @@ EQUIPMENT_PREFIXES = {"Su": ["su", "xu", "ét u"], "MiG": ["míc"], "Mi": ["mi",
 
 
 def spelled(acronym: str, most: int = 64) -> list[str]:
-    """Readings of an acronym by the names of its letters."""
+    """Readings of an acronym by the names of its letters, the first 64 of them: a longer acronym whose letters have several
+    names each is also found by the later tiers, or read from a table."""
     names = [LETTERS.get(c, []) + ([D_OR_DD] if c in "DĐ" else []) for c in acronym]
     return [" ".join(x) for x in islice(product(*(n or [c.lower()] for n, c in zip(names, acronym))), most)] + [acronym.lower()]
 

@@ -484,41 +484,57 @@ def plate(words: Words) -> str:
     return text
 
 
-def address(words: Words) -> str:
-    if words[0] in L.BLOCKS and len(words) > 1:
-        code = _joined(words[1:], [_DASHES, [(["trừ"], "-")]], False, spell)
-        if not re.search("[0-9]", code):
-            raise Miss("a block without a number")
-        return f"{L.BLOCKS[words[0]]} {code}"
-    out: list[str] = []
-    naming = house = False
+def _block(lead: str, words: Words) -> str:
+    code = _joined(words, [_DASHES, [(["trừ"], "-")]], False, spell)
+    if not re.search("[0-9]", code):
+        raise Miss("a block without a number")
+    return f"{lead} {code}"
+
+
+def _address_atoms(words: Words) -> Iterator[tuple[str, str]]:
+    """(N, number), (S, words for a slash), (W, another word), and words that begin a part: P of a place with a name, H of a
+    house, O of others."""
     i = 0
     while i < len(words):
-        w = words[i]
-        j = _run(words, i, L.NUMBER_WORDS)
+        w, j = words[i], _run(words, i, L.NUMBER_WORDS)
+        slash = _starts(words, i, _SLASHES)
         if j > i:
-            value = str(read_number(words[i:j]))
-            slash = _starts(words, j, _SLASHES) if house else None
-            while slash and (k := _run(words, slash[1], L.NUMBER_WORDS)) > slash[1]:
-                value += f"/{read_number(words[slash[1] : k])}"
-                j, slash = k, _starts(words, k, _SLASHES)
-            out.append(value)
-            naming = naming or house
-            i = j
-            continue
-        if w == "thành" and words[i + 1 : i + 2] == ["phố"]:
-            naming = house = False
-            out.append(w)
-        elif w in L.PLACE_WORDS or w in L.OTHER_ADDRESS_WORDS:
-            naming, house = w in L.PLACE_WORDS, w == "số"
-            out.append("Số" if house and not out else w)
+            yield "N", str(read_number(words[i:j]))
+        elif slash:
+            j = slash[1]
+            yield "S", " ".join(words[i:j])
         else:
-            house = house and naming
-            out.append(w[:1].upper() + w[1:] if naming else w)
-        i += 1
-    if not re.search("[0-9]", " ".join(out)):
+            j = i + 1
+            city = words[i : i + 2] == ["thành", "phố"]  # alone the first of these is a part of a name
+            yield "O" if city else "H" if w == "số" else "P" if w in L.PLACE_WORDS else "O" if w in L.OTHER_ADDRESS_WORDS else "W", w
+        i = j
+
+
+#: A part is a word that begins it, if any, and what follows up to the next.
+_ADDRESS_PART = re.compile("([PHO]?)([NSW]*)")
+
+
+def address(words: Words) -> str:
+    """A block with its code, or parts: a house with its number and the street's name, places with theirs, and others."""
+    if words[0] in L.BLOCKS and len(words) > 1:
+        return _block(L.BLOCKS[words[0]], words[1:])
+    atoms = list(_address_atoms(words))
+    shown = []
+    for part in _ADDRESS_PART.finditer("".join(kind for kind, _ in atoms)):
+        house = part[1] == "H" and part[2].startswith("N")
+        named = house or part[1] == "P"
+        if part[1]:
+            shown.append("Số" if part[1] == "H" and part.start() == 0 else atoms[part.start()][1])
+        for piece in re.finditer("N(?:SN)*|." if house else ".", part[2]):
+            own = [text for _, text in atoms[part.start(2) + piece.start() : part.start(2) + piece.end()]]
+            if piece[0].startswith("N"):
+                shown.append("/".join(own[::2]))
+            else:
+                shown += [w[:1].upper() + w[1:] if named else w for w in own[0].split()]
+    text = " ".join(shown)
+    if not re.search("[0-9]", text):
         raise Miss("an address without a number")
-    return " ".join(out)
+    return text
 
 
 # --- electronic addresses ---------------------------------------------------------------------------------------
@@ -540,34 +556,42 @@ def subtype(text: str) -> str | None:
     return found
 
 
-def _address_readings(words: Words, i: int = 0) -> Iterator[str]:
-    """Every reading as symbols, numbers, letters, ASCII pieces and syllables, the preferred first."""
-    if i == len(words):
-        yield ""
-        return
-    mark = _starts(words, i, _SYMBOLS)
-    if mark:
-        for rest in _address_readings(words, mark[1]):
-            yield mark[0] + rest
-    if words[i] in L.NUMBER_WORDS:
-        end = _run(words, i, L.NUMBER_WORDS)
-        # hai chấm behind a number is a colon, or 2 and a dot
-        cuts = [(end, "", end)] if words[end - 1 : end + 1] != ["hai", "chấm"] or end - 1 == i else [(end - 1, ":", end + 1), (end, "", end)]
-        for j, colon, then in cuts:
+def _address_reading(words: Words, colons: int) -> str:
+    """Symbols, numbers, letters, ASCII pieces and syllables. hai chấm is a colon the first times, so many as colons says, and
+    2 and a dot later: in no address is a colon behind such a dot."""
+    out, i = [], 0
+    while i < len(words):
+        mark = _starts(words, i, _SYMBOLS)
+        if mark and (words[i] not in L.NUMBER_WORDS or colons > 0):
+            colons -= words[i] in L.NUMBER_WORDS
+            symbol, i = mark
+            out.append(symbol)
+        elif words[i] in L.NUMBER_WORDS:
+            j = then = _run(words, i, L.NUMBER_WORDS)
+            colon = words[j - 1 : j + 1] == ["hai", "chấm"] and j - 1 > i and colons > 0
+            if colon:
+                j, then, colons = j - 1, j + 1, colons - 1
             run = words[i:j]
-            try:
-                value = str(read_cardinal(run)) if any(w in L.STRUCTURE for w in run) else read_digits([w for w in run if w != "lẻ"])
-            except Miss:
-                continue
-            for rest in _address_readings(words, then):
-                yield value + colon + rest
-    if not mark and words[i] not in L.NUMBER_WORDS:
-        letter = _starts(words, i, _LETTERS)
-        plain = words[i] if re.fullmatch(r"[A-Za-z0-9._%+:/@-]+", words[i]) else keys.fold(words[i])
-        piece, j = (letter[0].lower(), letter[1]) if letter else (plain.lower(), i + 1)
-        if re.fullmatch(r"[a-z0-9._%+:/@-]+", piece):
-            for rest in _address_readings(words, j):
-                yield piece + rest
+            out.append(str(read_cardinal(run)) if any(w in L.STRUCTURE for w in run) else read_digits([w for w in run if w != "lẻ"]))
+            out.append(":" if colon else "")
+            i = then
+        else:
+            letter = _starts(words, i, _LETTERS)
+            plain = words[i] if re.fullmatch(r"[A-Za-z0-9._%+:/@-]+", words[i]) else keys.fold(words[i])
+            piece, i = (letter[0].lower(), letter[1]) if letter else (plain.lower(), i + 1)
+            if not re.fullmatch(r"[a-z0-9._%+:/@-]+", piece):
+                raise Miss(f"no part of an address: {piece!r}")
+            out.append(piece)
+    return "".join(out)
+
+
+def _address_readings(words: Words) -> Iterator[str]:
+    """All readings, those with more colons first."""
+    for colons in range(sum(words[i : i + 2] == ["hai", "chấm"] for i in range(len(words))), -1, -1):
+        try:
+            yield _address_reading(words, colons)
+        except Miss:
+            continue
 
 
 def electronic(words: Words) -> str:
@@ -581,12 +605,10 @@ def electronic(words: Words) -> str:
             return f"IPv{L.DIGITS[rest[len(s)]]}" + (f" {electronic(tail)}" if tail else "")
     compact = "".join(words)
     kind = subtype(compact)
-    for tried, reading in enumerate([compact] if kind else _address_readings(words)):
+    for reading in [compact] if kind else _address_readings(words):
         kind = kind or subtype(reading)
         if kind:
             return reading.upper() if kind == "MAC" else reading.lower() if kind in ("EMAIL", "URL") else reading
-        if tried >= 64:
-            break
     raise Miss("no e-mail, web, IP or MAC address")
 
 
