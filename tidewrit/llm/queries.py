@@ -96,6 +96,28 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
 
 
+#: Every pair of texts with a common shingle, exactly; texts of equal words are one class.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS line, doc_id, list_filter(string_split_regex(lower(text), '[\x00-\x20]+'), lambda x: x <> '') AS w FROM documents
+), classes AS (
+  SELECT row_number() OVER () AS class, w, least, copies FROM (SELECT w, min(doc_id) AS least, count(DISTINCT doc_id) + count_if(doc_id IS NULL) AS copies FROM d WHERE len(w) > 0 GROUP BY w)
+), shingles AS (
+  SELECT class, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM classes
+), sizes AS (SELECT class, count(*) AS n FROM shingles GROUP BY class),
+pairs AS (
+  SELECT a.class AS a, b.class AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.class <> b.class GROUP BY a.class, b.class
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.class = a JOIN sizes y ON y.class = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9
+), reach(a, b) AS (
+  SELECT class, class FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), grouped AS (SELECT r.a AS class, min(c.least) AS class_id FROM reach r JOIN classes c ON r.b = c.class GROUP BY r.a),
+linked AS (SELECT a AS class, sum(c.copies) AS n FROM links JOIN classes c ON c.class = b GROUP BY a)
+SELECT d.doc_id, CASE WHEN len(d.w) > 0 THEN g.class_id ELSE d.doc_id END AS class_id, coalesce(c.copies, 1)::BIGINT AS n_copies, CASE WHEN len(d.w) > 0 THEN coalesce(l.n, 0) + c.copies - 1 ELSE 0 END::BIGINT AS n_links
+FROM d LEFT JOIN classes c ON d.w = c.w LEFT JOIN grouped g ON g.class = c.class LEFT JOIN linked l ON l.class = c.class
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines to drop and the places of those that stay for them."""
     return lines.repeated_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
@@ -204,4 +226,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op12_conversation_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op3_url_filter": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_conversation_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}
