@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import catalogues, keys
+from .stored import keep
 
 
 def _keys(text: pd.Series) -> pd.DataFrame:
@@ -51,8 +52,10 @@ def _first(df: DataFrame, key: str, last: bool) -> DataFrame:
 
 
 def lookup(df: DataFrame, book: DataFrame, catalogue: str, text: Column, fuzzy: bool = True, most_broadcast: int = 200_000) -> DataFrame:
-    """df with canonical, score and tier (exact, folded, phonetic, fuzzy or none) for the text."""
-    own = index(book.where(F.col("catalogue") == catalogue)).cache()
+    """df with canonical, score and tier (exact, folded, phonetic, fuzzy or none) for the text. A table is broadcast if it has
+    most_broadcast rows at most: the catalogue, and apart from it that of its bigrams."""
+    own = keep(index(book.where(F.col("catalogue") == catalogue)), "catalogue")
+    sized = lambda x: F.broadcast(x) if x.count() <= most_broadcast else x
     hint = F.broadcast if own.count() <= most_broadcast else lambda x: x
     out = df.withColumn("__text", F.coalesce(text, F.lit(""))).withColumn("__k", key_columns(F.col("__text")))
     for key, last, some in (("key", True, own), ("flat", False, own), ("sound", False, own.where("not numbered"))):
@@ -68,7 +71,7 @@ def lookup(df: DataFrame, book: DataFrame, catalogue: str, text: Column, fuzzy:
         right = own.select("canonical", "ord", "numbered", *(F.col(c).alias(f"r_{c}") for c in ("key", "flat", "sound", "signature")))
         right = right.withColumn("gram", F.explode(F.array_union(grams(F.col("r_flat")), F.transform(grams(F.col("r_sound")), lambda x: F.concat(F.lit("~"), x)))))
         near = (F.abs(F.length("r_key") - F.length("key")) <= F.greatest(F.lit(3), F.floor(F.length("key") / 3))) & (~F.col("numbered") | (F.col("signature") == F.col("r_signature")))
-        pairs = left.join(hint(right), "gram").where(near).drop("gram").distinct()
+        pairs = left.join(sized(right), "gram").where(near).drop("gram").distinct()
         value = F.greatest(ratio("flat", "r_flat"), F.when(~F.col("numbered"), ratio("sound", "r_sound")).otherwise(0.0))
         best = pairs.withColumn("s", value).groupBy("key").agg(F.max(F.struct("s", (-F.col("ord")).alias("o"), F.col("canonical").alias("c"))).alias("b"))
         out = out.join(best.withColumnRenamed("key", "__miss"), F.when(F.col("tier").isNull(), F.col("__k.key")) == F.col("__miss"), "left")

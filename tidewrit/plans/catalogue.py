@@ -267,6 +267,28 @@ def crf_best_tags(spark, sf_dir):
     return df.select("vec_id", F.array_join("r.tags", "").alias("tags"), F.size(spans).alias("n_spans"), F.coalesce(F.array_min(least), F.lit(1.0)).alias("least_confidence"))
 
 
+STEPS = ", ".join(f"('{a}', '{b}', {sequence.TAGS.index(b)})" for a, follow in S.NEXT.items() for b in follow)
+PATH_SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 10) AS x, CAST(len(embedding) // 5 AS INT) AS n FROM embeddings
+), steps(a, b, place) AS (VALUES {STEPS}), w AS (
+  SELECT vec_id, 1 AS t, tag, x[place + 1] AS score, tag AS path FROM e, (VALUES ('O', 0), ('B', 1), ('S', 4)) s(tag, place) WHERE n > 0
+  UNION ALL
+  SELECT vec_id, t, tag, best.score, best.path FROM (
+    SELECT w.vec_id, w.t + 1 AS t, s.b AS tag, max({{'score': w.score + e.x[w.t * 5 + s.place + 1], 'path': w.path || s.b}}) AS best
+    FROM w JOIN e ON w.vec_id = e.vec_id AND w.t < e.n JOIN steps s ON s.a = w.tag GROUP BY w.vec_id, w.t, s.b)
+)
+SELECT vec_id, arg_max(path, score) AS tags FROM (SELECT w.vec_id, path, score FROM w JOIN e ON w.vec_id = e.vec_id AND w.t = e.n WHERE tag IN ('O', 'E', 'S')) GROUP BY vec_id
+"""
+
+
+@query(PATH_SQL)
+def crf_best_paths(spark, sf_dir):
+    """Emissions from whole embeddings: rows of five; SQL walks all legal paths, the best to each tag at a time."""
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 5).cast("int") - 1), lambda i: F.transform(F.slice("embedding", i * 5 + 1, F.lit(5)), lambda x: x.cast("double") * 10))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(sequence.best_tags(rows)["tags"], "").alias("tags"))
+
+
 @query("WITH RECURSIVE w AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: greatest(CAST(ceil(length(x) / 4.0) AS INT), 1)) AS c FROM conversations WHERE text IS NOT NULL), t AS (SELECT conv_id, turn, CAST(len(c) AS INT) AS n, list_transform(range(0, len(c) + 1), lambda i: CASE WHEN i = 0 THEN 0 ELSE CAST(list_sum(c[1:i]) AS INT) END) AS s FROM w), p AS (SELECT conv_id, turn, n, s, 0 AS no, 0 AS a, CAST(greatest(1, len(list_filter(s, lambda x: x <= 224)) - 1) AS INT) AS b FROM t WHERE n > 0 UNION ALL SELECT conv_id, turn, n, s, no + 1, a2, CAST(greatest(a2 + 1, len(list_filter(s, lambda x: x <= s[a2 + 1] + 224)) - 1) AS INT) FROM (SELECT *, CAST(greatest(a + 1, len(list_filter(s[1:b], lambda x: x <= s[b + 1] - 40)) - 1) AS INT) AS a2 FROM p WHERE b < n)) SELECT conv_id, turn, no AS window_no, a AS word_start, b AS word_end, CAST(s[b + 1] - s[a + 1] AS INT) AS subwords FROM p")
 def window_plans(spark, sf_dir):
     counts = F.transform(F.split("text", " "), lambda w: F.greatest(F.ceil(F.length(w) / 4).cast("int"), F.lit(1)))
