@@ -112,8 +112,11 @@ def reading(text: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), rf"[^{_WORD}\s]", " "))
 
 
+#: Letters of Vietnamese besides the ASCII ones.
+VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
+
+
 def _plain_letters() -> tuple[str, str]:
     from .keys import fold
 
-    letters = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
-    return "".join(map(fold, letters)), letters
+    return "".join(map(fold, VIETNAMESE)), VIETNAMESE

@@ -12,8 +12,6 @@ from ..functions import forms
 from ..functions import lexicon as L
 from . import selection, spans as S, stored
 
-#: Letters of Vietnamese besides the ASCII ones.
-VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
 #: Tokens that show that a made sentence holds parts of its prompt; names of types are among them.
 JUNK = ("`", "-", "*", ">", "|", "ok", "wait", "note", "line", "sentence", "spoken", "output", "example", "câu", "```", *sorted({p for t in L.TYPES for p in (t.lower(), *t.lower().split("_"))}))
 SPLITS = ["train", "random_dev", "entity_holdout_dev", "template_holdout_dev"]
@@ -65,7 +63,7 @@ def _generated_reason(w: Column, s: Column, junk: tuple[str, ...]) -> Column:
         ("too short", F.size(w) < 5),
         ("too little context", F.size(F.filter(places, lambda x: ~inside(x["i"]))) < 2),
         ("junk", F.exists(places, lambda x: ~address(x["i"]) & x["w"].isin(*junk))),
-        ("foreign letters", F.exists(places, lambda x: ~address(x["i"]) & ~x["w"].rlike(f"^[a-z{VIETNAMESE}]+$"))),
+        ("foreign letters", F.exists(places, lambda x: ~address(x["i"]) & ~x["w"].rlike(f"^[a-z{forms.VIETNAMESE}]+$"))),
     )
 
 
@@ -115,10 +113,6 @@ def spoken_ok(text: Column, min_words: int = 3) -> Column:
     return F.coalesce(digit_free(text) & (F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) >= min_words), F.lit(False))
 
 
-def changed_in_first_case_only(a: Column, b: Column) -> Column:
-    return (a != b) & (F.lower(F.substring(a, 1, 1)) == F.lower(F.substring(b, 1, 1))) & (F.substr(a, F.lit(2)) == F.substr(b, F.lit(2)))
-
-
 def same_value(a: Column, b: Column) -> Column:
     """Two ways to write one value: equal letters, and equal numbers but for leading zeros and groups of three."""
     groups = lambda t: F.regexp_extract_all(t, F.lit("([0-9]+)"), 1)

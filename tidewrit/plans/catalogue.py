@@ -267,6 +267,25 @@ def crf_best_tags(spark, sf_dir):
     return df.select("vec_id", F.array_join("r.tags", "").alias("tags"), F.size(spans).alias("n_spans"), F.coalesce(F.array_min(least), F.lit(1.0)).alias("least_confidence"))
 
 
+@query("""
+WITH m AS (SELECT vec_id, list_transform([1, 2, 3, 4], lambda k: list_avg(list_transform(range(0, len(embedding) // 4), lambda i: CAST(embedding[i * 4 + k] AS DOUBLE)))) AS m FROM embeddings),
+t AS (SELECT vec_id, m, list_max(m) AS top FROM m)
+SELECT vec_id, CAST(list_position(m, top) - 1 AS INT) AS type, round(1 / list_sum(list_transform(m, lambda x: exp(x - top))), 6) AS probability FROM t
+""")
+def type_confidences(spark, sf_dir):
+    """Embeddings as logits of four types, a row of four a word, all words being one span."""
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1), lambda i: F.transform(F.slice("embedding", i * 4 + 1, F.lit(4)), lambda x: x.cast("double")))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", sequence.type_confidence(rows, F.lit(0), F.floor(F.size("embedding") / 4).cast("int") - 1, 4).alias("c"))
+    return df.select("vec_id", "c.type", F.round("c.probability", 6).alias("probability"))
+
+
+@query("SELECT user_id, round(0.4 * avg(CASE WHEN value > 10 THEN 1 ELSE 0 END) + 0.3 * avg(CASE WHEN value > 20 THEN 1 ELSE 0 END) + 0.1 * avg(CASE WHEN value > 30 THEN 1 ELSE 0 END) + 0.1 * avg(CASE WHEN value > 40 THEN 1 ELSE 0 END) + 0.1 * avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 6) AS score FROM events GROUP BY user_id")
+def checkpoint_scores(spark, sf_dir):
+    """The score of a checkpoint from five shares of a user's events."""
+    shares = [F.avg((F.col("value") > n).cast("int")) for n in (10, 20, 30, 40, 50)]
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(metrics.checkpoint_score(*shares), 6).alias("score"))
+
+
 STEPS = ", ".join(f"('{a}', '{b}', {sequence.TAGS.index(b)})" for a, follow in S.NEXT.items() for b in follow)
 PATH_SQL = f"""
 WITH RECURSIVE e AS (
@@ -760,6 +779,13 @@ def stream_normalize(spark, sf_dir):
     return _replayed(spark, streams.normalize_stream(spoken, Normalization(spark)).select("event_id", F.col("result.normalized").alias("written")))
 
 
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)")
+def stream_rates(spark, sf_dir):
+    """Events of each type by day, those days that the watermark has closed."""
+    source = _events(spark, sf_dir).select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return _replayed(spark, streams.rate(source, "event_type", "ts", "1 day")).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 6).alias("total"))
+
+
 @query("SELECT DISTINCT event_type, user_id % 10 AS bucket, CAST(1 AS BIGINT) AS n_kept, TRUE AS is_one_of_them FROM events")
 def stream_first_seen(spark, sf_dir):
     """Of each key, which holds hundreds of events, the stream lets exactly one through."""
