@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import catalogues
+from ..functions import catalogues, native
 from ..functions.lexicon import SIBLINGS
 from ..functions.normalizers import Engine
 from ..functions.validators import VALIDATED, valid
@@ -82,7 +82,10 @@ class Normalization:
         self.function = one
 
     def column(self, kind: Column | str, text: Column) -> Column:
-        """struct(normalized, valid, reason, resolved) of a span's text; total: nulls are invalid."""
+        """struct(normalized, valid, reason, resolved) of a span's text; total: nulls are invalid. A type that is given by name
+        and has an expression (functions.native) needs no Python."""
+        if isinstance(kind, str) and kind in native.NATIVE:
+            return native.NATIVE[kind](F.coalesce(text, F.lit("")), kind)
         return self._one(F.lit(kind) if isinstance(kind, str) else kind, F.coalesce(text, F.lit("")))
 
     def columns(self, kinds: Column, texts: Column) -> Column:
