@@ -56,3 +56,24 @@ def test_records_of_every_layout_are_variants(spark, tmp_path):
     assert by["2"]["tokens"] == ["x", ""] and by["2"]["objects"] and by["2"]["punctuation_targets"] == ["O", "PERIOD"]
     assert by["3"]["spans"] == [["0", "0", "DATE"]] and by["3"]["tokens"] is None and by["4"]["tokens"] is None and by["4"]["spans"] is None
     assert by["5"]["tokens"] == [] and not by["5"]["objects"] and len(got) == 6 and sum(r["id"] is None for r in got) == 1
+
+
+def test_many_inputs_are_one_scan(spark, tmp_path):
+    (tmp_path / "more").mkdir()
+    for i in range(12):
+        (tmp_path / f"f{i}.csv").write_text(f'h{i},other\n"Một, ""hai"" {chr(97 + i)}",x\nchung,y\n' if i % 2 else f"\ufeffdòng {chr(97 + i)}\nlặp\n\nlặp,z\n", "utf-8")
+    (tmp_path / "more" / "x.txt").write_text("trong thư mục\nchung\nmã 7\n", "utf-8")
+    (tmp_path / "more" / "empty.csv").write_text("", "utf-8")
+    paths = [*(str(tmp_path / f"f{i}.csv") for i in range(12)), str(tmp_path / "more")]
+    out = readers.read_inputs(spark, paths)
+    got = [(r["line"], r["file"]) for r in out.collect()]
+    want, seen = [], set()
+    for i in range(12):
+        lines = [f'một, "hai" {chr(97 + i)}', "chung"] if i % 2 else ["lặp"]
+        for x in lines:
+            if x not in seen:
+                want.append((x, paths[i]))
+                seen.add(x)
+    assert got == [*want, ("trong thư mục", paths[-1])]
+    assert out._jdf.queryExecution().analyzed().toString().count("Union") == 0
+    assert [r["line"] for r in readers.read_inputs(spark, paths, min_words=3).collect()] == [x for x, _ in got if len(x.split(" ")) >= 3]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import spans as S
+from ..operators.stored import keep
 from . import schemas
 
 
@@ -95,27 +98,32 @@ def clean_line(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>|[*_`#]+", " "), r"^\s*(?:[0-9]+[.)]|[-•])\s+", ""), r"\s+", " ")))
 
 
+def _plain_path(path: Column) -> Column:
+    return F.regexp_replace(F.url_decode(path), "^file:/+", "/")
+
+
 def read_inputs(spark: SparkSession, paths: list[str], min_words: int = 1) -> DataFrame:
-    """First column of CSV files (with header) and lines of text files: file, line, the first of equal lines, without digits, in
-    their order."""
-    parts = []
-    if csv := [p for p in paths if p.endswith(".csv")]:
-        for p in csv:
-            df = spark.read.option("header", True).csv(p)
-            parts.append(df.select(F.lit(p).alias("file"), F.col(f"`{df.columns[0]}`").alias("line")))
-    if text := [p for p in paths if not p.endswith(".csv")]:
-        for p in text:
-            parts.append(spark.read.text(p).select(F.lit(p).alias("file"), F.col("value").alias("line")))
-    places = {p: i for i, p in enumerate(paths)}
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    # of equal lines the first stays: by the order of the paths, then of the lines in a file as Spark numbers them
-    nos = F.create_map(*(F.lit(x) for k, v in places.items() for x in (k, v)))
-    df = df.withColumns({"line": clean_line(F.col("line")), "__o": F.struct(F.element_at(nos, F.col("file")).alias("file_no"), F.monotonically_increasing_id().alias("row"))})
+    """First column of CSV files (without their first row) and lines of text files: file, line, the first of equal lines, without
+    digits, in their order. paths are files or folders of them. All are one scan of lines, whatever their number; a line
+    is a row, and a quoted first column ends on it."""
+    path = F.col("_metadata.file_path")
+    raw = spark.read.text(paths).select(_plain_path(path).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+    raw = keep(raw.withColumn("row", F.monotonically_increasing_id()), "lines")
+    is_csv = F.lower("path").endswith(".csv")
+    heads = raw.where(is_csv & (F.col("block") == 0) & (F.col("value") != "")).groupBy("path").agg(F.min("row").alias("row"))
+    rows = raw.join(heads, ["path", "row"], "left_anti")
+    quoted = F.replace(F.regexp_extract("value", '^\ufeff?"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
+    first = F.when(F.col("value").rlike('^\ufeff?"'), quoted).otherwise(F.regexp_extract("value", "^\ufeff?([^,]*)", 1))
+    df = rows.withColumn("line", clean_line(F.when(is_csv, first).otherwise(F.regexp_replace("value", "^\ufeff", ""))))
+    # a row's path is one that was given, or in a folder that was
+    given = {re.sub("^file:/+", "/", p).rstrip("/"): (i, p) for i, p in reversed(list(enumerate(paths)))}
+    nos = F.create_map(*(F.lit(x) for k, (i, _) in given.items() for x in (k, i)))
+    no = F.coalesce(F.try_element_at(nos, F.col("path")), F.try_element_at(nos, F.regexp_replace("path", "/[^/]*$", "")), F.lit(len(paths)))
+    df = df.withColumn("__o", F.struct(no.alias("file_no"), "path", "block", "row"))
     df = df.where((F.size(F.split("line", " ")) >= min_words) & (F.col("line") != "") & ~F.col("line").rlike(r"\p{Nd}"))
-    first = df.groupBy("line").agg(F.min(F.struct("__o", "file")).alias("f"))
-    return first.select(F.col("f.file").alias("file"), "line", F.col("f.__o").alias("place")).orderBy("place").drop("place")
+    # of equal lines the first stays: by the order of the paths, then of the lines in a file
+    found = df.groupBy("line").agg(F.min("__o").alias("o"))
+    return found.select(F.coalesce(F.get(F.array(*map(F.lit, paths)), F.col("o.file_no")), F.col("o.path")).alias("file"), "line", "o").orderBy("o").drop("o")
 
 
 def read_style_seeds(spark: SparkSession, path: str, n: int, low: int = 40, high: int = 220) -> DataFrame:
