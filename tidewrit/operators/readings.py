@@ -79,7 +79,7 @@ def _implausible_all(reading: pd.Series, canonical: pd.Series) -> pd.Series:
 
 def form_reason(reading: Column) -> Column:
     return corpus.reason(
-        ("empty", reading == ""), ("digit", reading.rlike(r"\p{Nd}")), ("too long", F.size(F.split(reading, " ")) > MOST_SYLLABLES), ("foreign letters", ~F.replace(reading, F.lit(" "), F.lit("")).rlike(f"^[a-z{corpus.VIETNAMESE}]+$")),
+        ("empty", reading == ""), ("digit", reading.rlike(r"\p{Nd}")), ("too long", F.size(F.split(reading, " ")) > MOST_SYLLABLES), ("foreign letters", ~F.replace(reading, F.lit(" "), F.lit("")).rlike(f"^[a-z{forms.VIETNAMESE}]+$")),
     )
 
 
