@@ -116,6 +116,11 @@ def slice_hashes(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((sums[e] - sums[s]) * powers("inverse", _BASE_INVERSE, len(sums))[s])
 
 
+def hash_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two arrays by place that slice_hashes() is made of."""
+    return prefix_sums(buf), powers("inverse", _BASE_INVERSE, len(buf) + 1)[: len(buf) + 1]
+
+
 def words(buf: np.ndarray, offs: np.ndarray, belongs: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, and the offset of each text among them."""
     s, e, woff = tokens(buf, offs, belongs)

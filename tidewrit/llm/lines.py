@@ -15,7 +15,8 @@ are linked, longer ones by ``k`` = 8. Equal lines are one line from the start, b
    ``RANGE_BYTES`` because of a bucket of very many lines passes its keys on as rows, which Spark then groups. Only buckets
    of two or more different lines go on, and buckets with the same members are one.
 3. A bucket is cut into blocks of bounded length, a block is one row when it meets another, and a task verifies the pairs of
-   two blocks exactly on the lines' texts, which a third pass fetches for the candidates alone. A line is compared with
+   two blocks exactly on the lines' texts, which a third pass fetches for the candidates alone. Bitmaps of the lines' shingles
+   bound a pair's similarity from above; where that bound allows a link, the sets are compared. A line is compared with
    those of its block that it is not yet linked to through others; the task returns a spanning forest, never pairs.
 4. Distributed union-find joins the forests. Of each component the line of the least place stays.
 
@@ -45,6 +46,8 @@ BLOCK_CHARS, RANGE_BYTES, MOST_FREQUENT, LEAST_FREQUENT = 1 << 19, 64 << 20, 1_0
 #: lines share some, so the more rows.
 SCALES = ((3, 29, 64, 6, 38), (5, 49, 192, 4, 22))
 PACK = 4 << 20
+#: Bits of a line's bitmap; pairs that bitmaps are compared of at a time.
+SKETCH, PAIRS = 1024, 1 << 15
 
 
 def split(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,47 +70,65 @@ def split(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return text[some], number[some], black[a[some]], black[b[some] - 1] + 1
 
 
-def shingle_lines(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+class Characters:
+    """The hash sums at each character of a chunk, of which a run of characters is hashed, and how many stand before a byte."""
+
+    def __init__(self, buf: np.ndarray):
+        starts = (buf & 0xC0) != 0x80
+        at = np.append(np.flatnonzero(starts), len(buf))
+        sums, inverse = kernels.hash_sums(buf)
+        self.sums, self.inverse = sums[at], inverse[at]
+        self.before = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(starts, out=self.before[1:])
+
+    def hashes(self, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
+        """kernels.slice_hashes() of the characters from a up to b."""
+        return kernels.mix((self.sums[b] - self.sums[a]) * self.inverse[a])
+
+
+def shingle_lines(chars: Characters, s: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-character shingles of lines [s, e), and the offset of each line among them."""
-    start = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
-    a, b = np.searchsorted(start, s), np.searchsorted(start, e)
+    a, b, n = chars.before[s], chars.before[e], len(chars.sums)
     many = np.maximum(b - a - k + 1, 1)
     off = np.concatenate([[0], np.cumsum(many)])
     at = np.repeat(a - off[:-1], many) + np.arange(off[-1])
-    end = np.minimum(np.minimum(at + k, len(start) - 1), np.repeat(b, many))
-    return kernels.slice_hashes(sums, start[at], start[end]), off
+    short = np.flatnonzero(b - a < k)
+    at[off[:-1][short]] = 0
+    if 2 * len(at) > n > k:  # shingles from all characters on, in turn
+        g = chars.hashes(slice(n - k), slice(k, n))[at]
+    else:
+        g = chars.hashes(at, np.minimum(at + k, n - 1))
+    if len(short):
+        g[off[:-1][short]] = chars.hashes(a[short], b[short])
+    return g, off
 
 
 def numbered(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The shingles of each line, those that repeat told apart by their number: sets of them are bags of shingles."""
     if not len(g):
         return g
-    line = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((g, line))
-    h, line = g[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    first = np.flatnonzero(new)
-    again = np.arange(len(h)) - first[np.cumsum(new) - 1]
-    out = np.empty_like(g)
-    out[order] = kernels.mix(h + again.astype(np.uint64) * kernels.U64(0x9E3779B97F4A7C15))
-    return out
-
-
-def fitting(buf: np.ndarray, s: np.ndarray, e: np.ndarray, least: int, most: int) -> np.ndarray:
+    own = kernels.mix(g + np.repeat(np.arange(len(off) - 1, dtype=np.uint64) * kernels.U64(0xD6E8FEB86659FD93), np.diff(off)))
+    order = np.argsort(own)
+    h = own[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    again = np.empty(len(g), np.uint64)
+    again[order] = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+    return kernels.mix(g + again * kernels.U64(0x9E3779B97F4A7C15))
+
+
+def fitting(chars: Characters, s: np.ndarray, e: np.ndarray, least: int, most: int) -> np.ndarray:
     """The lines [s, e) of least to most characters."""
-    before = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    length = before[e] - before[s]
+    length = chars.before[e] - chars.before[s]
     return np.flatnonzero((length >= least) & (length <= most))
 
 
-def scales(buf: np.ndarray, sums: np.ndarray, s: np.ndarray, e: np.ndarray, k: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def scales(chars: Characters, s: np.ndarray, e: np.ndarray, k: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For ``k`` and each of SCALES: shingle length, rows, bands, which lines it holds for, their shingles and offsets."""
-    yield k, ROWS, BANDS, np.arange(len(s)), *shingle_lines(buf, sums, s, e, k)
+    yield k, ROWS, BANDS, np.arange(len(s)), *shingle_lines(chars, s, e, k)
     for size, least, most, rows, bands in SCALES:
-        some = fitting(buf, s, e, least, most)
+        some = fitting(chars, s, e, least, most)
         if size < k and len(some):
-            g, off = shingle_lines(buf, sums, s[some], e[some], size)
+            g, off = shingle_lines(chars, s[some], e[some], size)
             yield size, rows, bands, some, numbered(g, off), off
 
 
@@ -164,7 +185,7 @@ def _pack(k: int, ranges: int, frequent):
                 if not names:
                     continue
                 at, line = np.array([first[x] for x in names]), _halves(names)[0].view(np.uint64)
-                for length, rows, bands, some, g, off in scales(buf, kernels.prefix_sums(buf), s[at], e[at], k):
+                for length, rows, bands, some, g, off in scales(Characters(buf), s[at], e[at], k):
                     keys = kernels.band_keys(kernels.minhash(g, off, rows * bands), rows)
                     held.append((kernels.mix(keys.reshape(-1) + kernels.U64(length)), np.repeat(line[some], bands)))
                     size += keys.size * 16
@@ -243,36 +264,60 @@ def _in_level(level):
     return wanted
 
 
+class Sketches:
+    """A bitmap of each line's shingles. A bit that one line has and another lacks is a shingle that the other lacks, which
+    bounds the similarity of the two from above: of sets, and of bags too."""
+
+    def __init__(self, n: int, cut: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.bits, self.most = np.zeros((n, SKETCH // 64), np.uint64), np.zeros(n, np.int64)
+        for rows, g, off in cut:
+            many = np.diff(off)
+            bit = (g >> kernels.U64(32)) * kernels.U64(SKETCH) >> kernels.U64(32)
+            np.bitwise_or.at(self.bits.reshape(-1), np.repeat(rows * (SKETCH // 64), many) + (bit >> kernels.U64(6)).astype(np.int64), kernels.U64(1) << (bit & kernels.U64(63)))
+            self.most[rows] = many
+
+    def close(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether lines i[x] and j[x] may be similar."""
+        x, y = self.bits[i], self.bits[j]
+        both = x & y
+        x, y = (np.bitwise_count(z ^ both).sum(axis=1, dtype=np.int64) for z in (x, y))
+        shared = np.minimum(self.most[i] - x, self.most[j] - y)
+        return (shared > 0) & (shared >= threshold * (shared + x + y) - 1e-6)
+
+
 class Sets:
-    """Sets of shingles that many pairs are compared on: g are the elements of all, line their sets' numbers."""
+    """Sets of shingles that many pairs are compared on: g are the elements of all, line their sets' numbers, of which part is
+    the component. Sets of different components have no element in common, so one of each is looked up at a time."""
 
-    def __init__(self, g: np.ndarray, line: np.ndarray, n: int):
+    def __init__(self, g: np.ndarray, line: np.ndarray, part: np.ndarray):
+        n, g = len(part), kernels.mix(g + part[line].astype(np.uint64) * kernels.U64(0x9E3779B97F4A7C15))
         order = np.argsort(g)
         g, line = g[order], line[order]
         code = np.cumsum(np.concatenate([[False], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
         by_line = np.argsort(line.astype(np.uint16) if n < 1 << 16 else line, kind="stable")
-        self.width = np.int64(len(g) + 1)
-        every = line[by_line].astype(np.int64) * self.width + code[by_line]  # ascending
-        self.every = every[np.concatenate([[True], every[1:] != every[:-1]])] if len(g) else every
-        line, self.code = np.divmod(self.every, self.width)
-        self.size = np.bincount(line, minlength=n)
+        line, code = line[by_line], code[by_line]  # ascending by line and code
+        new = np.ones(len(line), bool)
+        new[1:] = (line[1:] != line[:-1]) | (code[1:] != code[:-1])
+        self.code = code[new]
+        self.size = np.bincount(line[new], minlength=n)
         self.off = np.concatenate([[0], np.cumsum(self.size)])
+        self.held = np.zeros(len(g), bool)
+
+    def _codes(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end = np.cumsum(self.size[i])
+        return self.code[np.repeat(self.off[:-1][i] - end + self.size[i], self.size[i]) + np.arange(end[-1])], end - self.size[i]
 
     def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """How many elements sets i[x] and j[x] have in common: those of the smaller are looked up among the larger's."""
-        less = np.where(self.size[i] <= self.size[j], i, j)
-        more = i + j - less
-        out = np.zeros(len(i), np.int64)
-        at = np.concatenate([[0], np.cumsum(self.size[less])])
-        lo = 0
-        while lo < len(i):  # about a million elements at a time
+        """How many elements sets i[x] and j[x] have in common; none is empty, and those i of a component are the same."""
+        pivots, _ = self._codes(np.unique(i))
+        self.held[pivots] = True
+        out, at, lo = np.zeros(len(j), np.int64), np.concatenate([[0], np.cumsum(self.size[j])]), 0
+        while lo < len(j):  # about a million elements at a time
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
-            n = self.size[less[lo:hi]]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            asked = np.repeat(more[lo:hi], n) * self.width + self.code[np.repeat(self.off[less[lo:hi]], n) + inner]
-            found = self.every[np.minimum(np.searchsorted(self.every, asked), len(self.every) - 1)] == asked
-            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), found, minlength=hi - lo).astype(np.int64)
+            codes, first = self._codes(j[lo:hi])
+            out[lo:hi] = np.add.reduceat(self.held[codes], first, dtype=np.int64)
             lo = hi
+        self.held[pivots] = False
         return out
 
 
@@ -297,52 +342,66 @@ def _verify(k: int, threshold: float):
         # a line that stands in several buckets is cut into shingles once, and a link found in one bucket holds in all
         names, first, of = np.unique(line, return_index=True, return_inverse=True)
         texts, root = text.take(pa.array(first)), np.arange(len(names))
-        group = np.repeat(np.arange(len(off) - 1), np.diff(off))
         for size, least, most in ((k, 0, None), *((x[0], x[1], x[2]) for x in SCALES if x[0] < k)):
-            rest = np.unique(of[~whole(root[of], off)[group]])  # only lines that are not linked yet are cut into shorter shingles
-            if not len(rest):
+            open_ = np.minimum.reduceat(root[of], off[:-1]) != np.maximum.reduceat(root[of], off[:-1])
+            at = np.flatnonzero(np.repeat(open_, np.diff(off)))  # only lines that are not linked yet are cut into shorter shingles
+            if not len(at):
                 break
-            root = linked(elements(texts, rest, size, least, most), root, of, block, alone, off)
+            cut = list(shingled(texts, np.unique(of[at]), size, least, most))
+            i, j = close(Sketches(len(names), cut), root, of, block, alone, at, np.concatenate([[0], np.cumsum(np.diff(off)[open_])]))
+            if len(i):
+                component = groups.forest(len(names), i, j)
+                root = linked(elements(cut, i, j, component, most is not None), component, root, i, j)
         some = np.flatnonzero(root != np.arange(len(names)))
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[root[some]])], ["u", "v"])
 
-    def whole(root: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Which groups are linked as a whole."""
-        return np.minimum.reduceat(root, off[:-1]) == np.maximum.reduceat(root, off[:-1])
-
-    def elements(text: pa.Array, rows: np.ndarray, size: int, least: int, most: int | None) -> Sets:
-        part, found = text.take(pa.array(rows)), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    def shingled(text: pa.Array, rows: np.ndarray, size: int, least: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Those of rows that shingles of this size hold for, their shingles and offsets."""
+        part = text.take(pa.array(rows))
         for lo, hi in kernels.chunks(kernels.raw(part)[1]):
             buf, offs = kernels.raw(part.slice(lo, hi - lo))
-            some = np.arange(hi - lo) if most is None else fitting(buf, offs[:-1], offs[1:], least, most)
+            chars = Characters(buf)
+            some = np.arange(hi - lo) if most is None else fitting(chars, offs[:-1], offs[1:], least, most)
             if len(some):
-                g, goff = shingle_lines(buf, kernels.prefix_sums(buf), offs[:-1][some], offs[1:][some], size)
-                found.append((g if most is None else numbered(g, goff), rows[lo + np.repeat(some, np.diff(goff))]))
-        return Sets(*(np.concatenate(x) for x in zip(*found)), len(text))
-
-    def linked(sets: Sets, root: np.ndarray, of: np.ndarray, block: np.ndarray, alone: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """One line of each open group after the other is compared with those behind it that it is not linked to."""
-        turn, size, n = 0, sets.size, np.diff(off)
-        open_ = np.flatnonzero(~whole(root[of], off) & (n > 1))
-        while len(open_):
-            pivot = off[:-1][open_] + turn
-            rest = off[1:][open_] - pivot - 1
-            x = np.repeat(pivot, rest)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(rest) - rest, rest)
+                yield rows[lo + some], *shingle_lines(chars, offs[:-1][some], offs[1:][some], size)
+
+    def close(sketches: Sketches, root: np.ndarray, of: np.ndarray, block: np.ndarray, alone: np.ndarray, at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of lines of the same group (runs off of at) that are not linked yet and that may be similar, each once."""
+        found = [np.zeros(0, np.int64)]
+        for x, y in groups.pairs_within(off, PAIRS):
+            x, y = at[x], at[y]
             i, j = of[x], of[y]
-            less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            ask = np.flatnonzero((root[i] != root[j]) & (alone[x] | (block[x] != block[y])) & (less > 0) & (less >= threshold * more - 1e-9))
-            if len(ask):
-                pairs = np.unique(np.minimum(i[ask], j[ask]) * len(root) + np.maximum(i[ask], j[ask]))
-                i, j = np.divmod(pairs, len(root))
-                both = sets.shared(i, j)
-                ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
-                if ok.any():
-                    root = groups.forest(len(root), root[i[ok]], root[j[ok]])[root]
-            turn += 1
-            open_ = open_[(n > turn + 1)[open_]]
-            open_ = open_[~whole(root[of], off)[open_]] if len(open_) else open_
+            ask = (root[i] != root[j]) & (alone[x] | (block[x] != block[y]))
+            pairs = np.unique(np.minimum(i[ask], j[ask]) * len(root) + np.maximum(i[ask], j[ask]))
+            found.append(pairs[sketches.close(*np.divmod(pairs, len(root)), threshold)])
+        return np.divmod(np.unique(np.concatenate(found)), len(root))
+
+    def elements(cut: list, i: np.ndarray, j: np.ndarray, component: np.ndarray, bags: bool) -> Sets:
+        """The exact sets of the lines of pairs."""
+        asked, found = np.zeros(len(component), bool), []
+        asked[i] = asked[j] = True
+        for rows, g, off in cut:
+            if (use := asked[rows]).any():
+                many = np.diff(off)
+                g, many = g[np.repeat(use, many)], many[use]
+                found.append((numbered(g, np.concatenate([[0], np.cumsum(many)])) if bags else g, np.repeat(rows[use], many)))
+        return Sets(*(np.concatenate(x) for x in zip(*found)), component)
+
+    def linked(sets: Sets, component: np.ndarray, root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of each component of pairs one line after the other is compared with those that it is not linked to."""
+        n = len(root)
+        while len(i):
+            pivot = np.full(n, n)
+            np.minimum.at(pivot, component[i], i)
+            now = pivot[component[i]] == i
+            a, b = i[now], j[now]
+            both = sets.shared(a, b)
+            ok = both >= threshold * (sets.size[a] + sets.size[b] - both) - 1e-9
+            if ok.any():
+                root = groups.forest(n, root[a[ok]], root[b[ok]])[root]
+            rest = ~now & (root[i] != root[j])
+            i, j = i[rest], j[rest]
         return root
 
     return run
