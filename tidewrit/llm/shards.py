@@ -9,9 +9,9 @@
    shards with the same bytes.
 
 Tokenisation cuts a text where white space follows a character; as the pre-tokeniser never joins across such a place,
-the pieces are encoded once and the encoding of a repeated piece is reused, with the same ids as the whole text. Texts
-that hold other Unicode white space are encoded whole, and so are pieces of over ``LONGEST_PIECE`` bytes. What a task
-remembers of pieces has a bound in bytes and goes when the task ends.
+the pieces are encoded once, all new ones of a chunk in one call, and the encoding of a repeated piece is reused, with the
+same ids as the whole text. Texts that hold other Unicode white space are encoded whole, and so are those with pieces of
+over ``LONGEST_PIECE`` bytes. What a task remembers of pieces has a bound in bytes and goes when the task ends.
 
 Shards are written by the tasks through pyarrow's file systems, so the folder may be local or mounted, or on HDFS (also by
 viewfs), S3, Google or Azure storage; any other is refused before work begins. Where a file can be renamed, it gets its
@@ -31,7 +31,6 @@ import base64
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +51,8 @@ LARGEST_VOCABULARY = 64 << 20
 PIECE_BYTES = 24 << 20
 #: Up to this length different pieces have different hashes but for chance; longer ones are not looked up by hash.
 LONGEST_PIECE = 512
+#: White space of one byte that texts are cut before.
+BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
 _open: dict = {}
 
 
@@ -71,6 +72,8 @@ class Pieces:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        self.width[list(ranks.values())] = [len(x) for x in ranks]
         self.clear()
 
     def clear(self) -> None:
@@ -87,68 +90,85 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.place[at], -1).astype(np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        encode = self.bpe.encode_ordinary
-        ids = [encode(t.decode()) for t in texts]
-        k, n = len(self.keys), len(ids)
-        ends = self.off[k] + np.cumsum([len(x) for x in ids])
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Places of new pieces [s, e) with these sorted keys. Pieces from a blank to a character that is none are encoded as one
+        text, whose tokens never join two of them."""
+        inner = np.flatnonzero(e > s)
+        inner = inner[BLANK[buf[s[inner]]] & ~BLANK[buf[e[inner] - 1]]]
+        size = e[inner] - s[inner]
+        ends = np.cumsum(size)
+        ids = self._ids(buf[np.repeat(s[inner] - ends + size, size) + np.arange(size.sum())])
+        reached = np.cumsum(self.width[ids])
+        cut = np.searchsorted(reached, ends) + 1
+        if len(ends) and not (cut[-1] == len(ids) and np.array_equal(reached[cut - 1], ends)):
+            raise RuntimeError("a token stands in two pieces")
+        alone = np.setdiff1d(np.arange(len(keys)), inner, assume_unique=True)
+        others = [self._ids(buf[x:y]) for x, y in zip(s[alone].tolist(), e[alone].tolist())]
+        ids = np.concatenate([ids, *others])
+        k, n = len(self.keys), len(keys)
+        ends = self.off[k] + np.concatenate([cut, (cut[-1] if len(cut) else 0) + np.cumsum([len(x) for x in others], dtype=np.int64)])
         while k + n + 1 > len(self.off):
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.off[k] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32)
+        self.pool[self.off[k] : ends[-1]] = ids
         self.off[k + 1 : k + n + 1] = ends
+        places = np.empty(n, np.int64)
+        places[np.concatenate([inner, alone])] = np.arange(k, k + n)
         at = np.searchsorted(self.keys, keys)
-        places = np.arange(k, k + n)
         self.keys, self.place = np.insert(self.keys, at, keys), np.insert(self.place, at, places)
         return places
 
-    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by END, and the offset of each text among them."""
-        n = len(offs) - 1
+    def _ids(self, buf: np.ndarray) -> np.ndarray:
+        return np.array(self.bpe.encode_ordinary(buf.tobytes().decode()), np.int32)
+
+    def _cut(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Of each piece the place and the number of ids; the offset of each text among the pieces; the ids of texts that are
+        encoded whole, whose pieces have none."""
         if self.n_bytes() > PIECE_BYTES:
             self.clear()
-        blank = buf <= 32
+        blank = BLANK[buf]
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf):
             cut[1:-1] = blank[1:] & ~blank[:-1]
         cut[offs] = True
         s = np.flatnonzero(cut[:-1])
         e = np.append(s[1:], len(buf))
-        long = e - s > LONGEST_PIECE
-        odd = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)) | ((buf < 32) & (buf != 10) & (buf != 9) & (buf != 13)))
+        piece_of = np.searchsorted(s, offs)
+        odd = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)) | ((buf < 32) & ~blank))
         whole = np.unique(np.searchsorted(offs, odd, "right") - 1)  # their white space may be of other kinds
-        data = buf.tobytes()
-        whole = [int(d) for d in whole if any(c.isspace() and c not in " \n\t\r" for c in data[offs[d] : offs[d + 1]].decode())]
-        whole = sorted({*whole, *(np.searchsorted(offs, s[long], "right") - 1).tolist()})
-        e = np.where(long, s, e)  # nothing is learnt of them
+        whole = [d for d in whole.tolist() if any(c.isspace() and c not in " \n\t\r" for c in buf[offs[d] : offs[d + 1]].tobytes().decode())]
+        whole = sorted({*whole, *(np.searchsorted(offs, s[e - s > LONGEST_PIECE], "right") - 1).tolist()})
+        for d in whole:  # nothing is learnt of them
+            e[piece_of[d] : piece_of[d + 1]] = s[piece_of[d] : piece_of[d + 1]]
         key, first, code = np.unique(kernels.slice_hashes(kernels.prefix_sums(buf), s, e), return_index=True, return_inverse=True)
         place = self._find(key)
         new = np.flatnonzero(place < 0)
         if len(new):
-            a, z = s[first[new]].tolist(), e[first[new]].tolist()
-            place[new] = self._learn(key[new], [data[x:y] for x, y in zip(a, z)])
+            place[new] = self._learn(key[new], buf, s[first[new]], e[first[new]])
         at = place[code]
-        many = self.off[at + 1] - self.off[at]
+        return at, self.off[at + 1] - self.off[at], piece_of, {d: self._ids(buf[offs[d] : offs[d + 1]]) for d in whole}
+
+    def count(self, buf: np.ndarray, offs: np.ndarray) -> int:
+        """How many ids encode() gives."""
+        _, many, _, special = self._cut(buf, offs)
+        return int(many.sum()) + sum(map(len, special.values())) + len(offs) - 1
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by END, and the offset of each text among them."""
+        at, many, piece_of, special = self._cut(buf, offs)
         before = np.concatenate([[0], np.cumsum(many)])
-        piece_of = np.searchsorted(s, offs)
         counts = before[piece_of[1:]] - before[piece_of[:-1]]
-        special = {d: self.bpe.encode_ordinary(data[offs[d] : offs[d + 1]].decode()) for d in whole}
         for d, ids in special.items():
             counts[d] = len(ids)
         out_off = np.concatenate([[0], np.cumsum(counts + 1)])
         out = np.full(int(out_off[-1]), END, np.int32)
-        normal = np.ones(n, bool)
-        normal[whole] = False
-        doc = np.repeat(np.arange(n), np.diff(piece_of))
-        use = normal[doc]
-        m = many[use]
-        ends = np.cumsum(m)
-        inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - m, m)
-        target = np.repeat(out_off[doc[use]] + before[:-1][use] - before[piece_of[doc[use]]], m) + inner
-        out[target] = self.pool[np.repeat(self.off[at[use]], m) + inner]
+        of_pieces = np.ones(len(out), bool)
+        of_pieces[out_off[1:] - 1] = False
         for d, ids in special.items():
-            out[out_off[d] : out_off[d] + len(ids)] = ids
+            out[out_off[d] : out_off[d + 1] - 1] = ids
+            of_pieces[out_off[d] : out_off[d + 1]] = False
+        out[of_pieces] = self.pool[np.repeat(self.off[at] - before[:-1], many) + np.arange(before[-1])]
         return out, out_off
 
 
@@ -197,14 +217,18 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, leng
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     with sent(spark, read_vocabulary(vocabulary)) as shared:
 
-        def encoded(batches: Iterator[pa.RecordBatch]):
+        def parts(batches: Iterator[pa.RecordBatch]):
             for b in batches:
                 for lo, hi in kernels.chunks(kernels.raw(b.column(1))[1], 1 << 19):  # the worker's memory is that of a chunk and the pieces
-                    yield b.column(0).slice(lo, hi - lo), *_pieces(shared).encode(*kernels.raw(b.column(1).slice(lo, hi - lo)))
+                    yield b.column(0).slice(lo, hi - lo), kernels.raw(b.column(1).slice(lo, hi - lo))
             _pieces(shared).clear()
 
+        def encoded(batches: Iterator[pa.RecordBatch]):
+            for ids, texts in parts(batches):
+                yield ids, *_pieces(shared).encode(*texts)
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = sum(int(off[-1]) for _, _, off in encoded(batches))
+            total = sum(_pieces(shared).count(*texts) for _, texts in parts(batches))
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total])], ["part", "n"])
 
