@@ -341,13 +341,15 @@ def _verify(k: int, threshold: float):
     def part(line: np.ndarray, text: pa.Array, block: np.ndarray, alone: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
         # a line that stands in several buckets is cut into shingles once, and a link found in one bucket holds in all
         names, first, of = np.unique(line, return_index=True, return_inverse=True)
-        texts, root = text.take(pa.array(first)), np.arange(len(names))
+        chunks, root = list(characters(text.take(pa.array(first)))), np.arange(len(names))
         for size, least, most in ((k, 0, None), *((x[0], x[1], x[2]) for x in SCALES if x[0] < k)):
             open_ = np.minimum.reduceat(root[of], off[:-1]) != np.maximum.reduceat(root[of], off[:-1])
             at = np.flatnonzero(np.repeat(open_, np.diff(off)))  # only lines that are not linked yet are cut into shorter shingles
             if not len(at):
                 break
-            cut = list(shingled(texts, np.unique(of[at]), size, least, most))
+            asked = np.zeros(len(names), bool)
+            asked[of[at]] = True
+            cut = list(shingled(chunks, asked, size, least, most))
             i, j = close(Sketches(len(names), cut), root, of, block, alone, at, np.concatenate([[0], np.cumsum(np.diff(off)[open_])]))
             if len(i):
                 component = groups.forest(len(names), i, j)
@@ -356,15 +358,19 @@ def _verify(k: int, threshold: float):
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[root[some]])], ["u", "v"])
 
-    def shingled(text: pa.Array, rows: np.ndarray, size: int, least: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Those of rows that shingles of this size hold for, their shingles and offsets."""
-        part = text.take(pa.array(rows))
-        for lo, hi in kernels.chunks(kernels.raw(part)[1]):
-            buf, offs = kernels.raw(part.slice(lo, hi - lo))
-            chars = Characters(buf)
-            some = np.arange(hi - lo) if most is None else fitting(chars, offs[:-1], offs[1:], least, most)
+    def characters(text: pa.Array) -> Iterator[tuple[int, np.ndarray, Characters]]:
+        for lo, hi in kernels.chunks(kernels.raw(text)[1]):
+            buf, offs = kernels.raw(text.slice(lo, hi - lo))
+            yield lo, offs, Characters(buf)
+
+    def shingled(chunks: list, asked: np.ndarray, size: int, least: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Those of the lines asked that shingles of this size hold for, their shingles and offsets."""
+        for lo, offs, chars in chunks:
+            some = np.flatnonzero(asked[lo : lo + len(offs) - 1])
+            if most is not None:
+                some = some[fitting(chars, offs[some], offs[some + 1], least, most)]
             if len(some):
-                yield rows[lo + some], *shingle_lines(chars, offs[:-1][some], offs[1:][some], size)
+                yield lo + some, *shingle_lines(chars, offs[some], offs[some + 1], size)
 
     def close(sketches: Sketches, root: np.ndarray, of: np.ndarray, block: np.ndarray, alone: np.ndarray, at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of lines of the same group (runs off of at) that are not linked yet and that may be similar, each once."""
@@ -449,8 +455,8 @@ def similar_lines(docs: DataFrame, scratch: Scratch, k: int = 8, threshold: floa
     level = bloom.members(candidates.select(F.col("a").alias("h")), candidates.count())
     with sent(docs.sparkSession, level) as shared:
         fetched = docs.select("text").mapInArrow(_fetch(_in_level(shared if level is not None else None)), "a long, b long, text binary")
-        texts = scratch.keep(fetched.groupBy("a", "b").agg(F.first("text").alias("text")).join(candidates, ["a", "b"]).select("id", "text", F.octet_length("text").alias("size")), "texts")
-    members = buckets.join(candidates, "a").select("bucket", "id").join(texts.select("id", "size"), "id")
+        texts = scratch.keep(fetched.groupBy("a", "b").agg(F.first("text").alias("text")).join(candidates, ["a", "b"]).select("a", "id", "text", F.octet_length("text").alias("size")), "texts")
+    members = scratch.keep(buckets.join(texts.select("a", "id", "size"), "a").select("bucket", "id", "size"), "members")
     shape = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("size"), F.min("id").alias("least")).withColumn("blocks", F.expr(f"cast(greatest(ceil(m / {BLOCK}), ceil(size / {BLOCK_CHARS})) as int)")).where("m > 1").select("bucket", "blocks", "least"), "shapes")
     members = members.select("bucket", "id").join(shape, "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(id, bucket), blocks) as int)"))
     blocks = members.join(texts.select("id", "text"), "id").groupBy("bucket", "block", "blocks", "least").agg(F.collect_list(F.struct("id", "text")).alias("lines"))
