@@ -149,13 +149,20 @@ def per_type_report(gold: DataFrame, pred: DataFrame, id_col: str = "id", k: int
 
 def examples(gold: DataFrame, pred: DataFrame, texts: DataFrame, id_col: str = "id", k: int = 2) -> DataFrame:
     """(type, right, wrong): the first k spans of each gold type that were found and that were not, as text; wrong ones with what
-    stands for them. texts: (id, words). Spans are ranked before they meet, so a type moves k rows a task."""
+    stands for them. texts: (id, words), or a row a word, (id, pos, word), where utterances are too long for arrays. Spans are
+    ranked before they meet, so a type moves k rows a task, and what is chosen goes to the texts, never the texts to it."""
     g = gold.select(id_col, "start", "end", F.col("type").alias("gold_type")).distinct()
     m = g.join(pred.select(id_col, "start", "end", F.col("type").alias("pred_type")).distinct(), [id_col, "start", "end"], "left")
     m = m.withColumn("ok", F.coalesce(F.col("gold_type") == F.col("pred_type"), F.lit(False)))
     rank = Window.partitionBy("gold_type", "ok").orderBy(id_col, "start", "end", "pred_type")
-    some = m.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).join(texts, id_col)
-    text = F.replace(S.text_of(F.col("words"), F.col("start"), F.col("end")), F.lit("_"), F.lit(" "))
+    some = F.broadcast(m.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k))
+    if "words" in texts.columns:
+        some = texts.join(some, id_col).withColumn("said", S.text_of(F.col("words"), F.col("start"), F.col("end")))
+    else:
+        held = texts.select(id_col, "pos", "word").join(some, id_col).where(F.col("pos").between(F.col("start"), F.col("end")))
+        words = F.transform(F.array_sort(F.collect_set(F.struct("pos", "word"))), lambda x: x["word"])
+        some = held.groupBy("gold_type", "ok", "r", "pred_type").agg(F.array_join(words, " ").alias("said"))
+    text = F.replace(F.col("said"), F.lit("_"), F.lit(" "))
     some = some.withColumn("text", F.when(F.col("ok"), text).otherwise(F.concat(text, F.lit(" -> "), F.coalesce("pred_type", F.lit("nothing")))))
     listed = lambda ok: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ok") == ok, F.struct("r", "text")))), lambda x: x["text"]), "; ")
     return some.groupBy(F.col("gold_type").alias("type")).agg(listed(True).alias("right"), listed(False).alias("wrong"))

@@ -376,7 +376,8 @@ def report_causes(spark, sf_dir):
 def report_examples(spark, sf_dir):
     """The first two spans of each type that were found, and that were not."""
     gold, pred = span_sets(spark, sf_dir)
-    texts = gold.groupBy("id").agg(F.max("end").alias("n")).select("id", F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("words"))
+    pos = F.explode(F.sequence("start", "end"))
+    texts = gold.select("id", pos.alias("pos")).select("id", "pos", F.concat(F.lit("w"), F.col("pos").cast("string")).alias("word"))
     out = metrics.examples(gold, pred, texts)
     first = lambda c: F.regexp_replace(c, r"(w[0-9]+)(?: w[0-9]+)*", "$1")  # noqa: E731  a span's first word stands for it
     return out.select("type", first(F.col("right")).alias("right"), first(F.col("wrong")).alias("wrong"))
