@@ -1,5 +1,7 @@
 """Larger tables and keys: what is shown, read or placed does not depend on how large a key is."""
 
+from tidewrit.functions import catalogues
+from tidewrit.functions.normalizers import Engine
 from tidewrit.operators import metrics
 
 
@@ -12,3 +14,13 @@ def test_examples_of_words_in_rows(spark):
     arrays = spark.createDataFrame([(2, ["e"])], "id long, words array<string>")
     assert {tuple(r) for r in metrics.examples(gold, pred, words).collect()} == {("DATE", "a b c", "d -> nothing"), ("TIME", "", "e -> DATE")}
     assert [tuple(r) for r in metrics.examples(gold, pred, arrays).collect()] == [("TIME", "", "e -> DATE")]
+
+
+def test_dotted_addresses_with_twos_before_dots():
+    """hai chấm is a colon too, and 170::90:186 is an address, but so said is 172.2.92.186."""
+    engine = Engine(catalogues.defaults())
+    said = {
+        "một trăm bảy mươi hai chấm hai chấm chín mươi hai chấm một trăm tám mươi sáu": "172.2.92.186", "bảy mươi hai chấm ba mươi hai chấm hai chấm hai trăm ba mươi lăm": "72.32.2.235",
+        "hai chấm hai chấm hai chấm hai": "2.2.2.2", "hai không không một hai chấm không hai chấm hai chấm một": "2001:0::1",
+    }
+    assert {k: engine.normalize("ELECTRONIC", k)[0] for k in said} == said
