@@ -1,8 +1,11 @@
 """Larger tables and keys: what is shown, read or placed does not depend on how large a key is."""
 
+from pyspark.sql import functions as F
+
 from tidewrit.functions import catalogues
 from tidewrit.functions.normalizers import Engine
-from tidewrit.operators import metrics
+from tidewrit.operators import converters, metrics
+from tidewrit.operators.normalize import Normalization
 
 
 def test_examples_of_words_in_rows(spark):
@@ -24,3 +27,12 @@ def test_dotted_addresses_with_twos_before_dots():
         "hai chấm hai chấm hai chấm hai": "2.2.2.2", "hai không không một hai chấm không hai chấm hai chấm một": "2001:0::1",
     }
     assert {k: engine.normalize("ELECTRONIC", k)[0] for k in said} == said
+
+
+def test_pairs_with_one_id_keep_their_own_regions(spark):
+    """Regions of pairs that share an id, or have none, are not mixed."""
+    said = {"có 12 tấn": "có mười hai tấn", "còn lại 7 tấn": "còn lại bảy tấn", "hết": "hết"}
+    pairs = spark.createDataFrame([("1" if i < 2 else None, w, s, "t") for i, (w, s) in enumerate(said.items())], "id string, written string, spoken string, topic string")
+    types = spark.createDataFrame([("12", "mười hai", "CARDINAL"), ("7", "bảy", "CARDINAL")], "written string, spoken string, type string")
+    out = converters.from_typed_regions(spark, pairs, types, Normalization(spark)).select("spoken", "written", "reason", F.size("spans").alias("n")).collect()
+    assert {tuple(r) for r in out} == {("có mười hai tấn", "Có 12 tấn", None, 1), ("còn lại bảy tấn", "Còn lại 7 tấn", None, 1), ("hết", "Hết", None, 0)}

@@ -382,18 +382,28 @@ def from_typed_regions(spark: SparkSession, pairs: DataFrame, types: DataFrame,
     df = df.withColumn("__ops", diff.word_opcodes("__w", "__s"))
     df = S.settled(df, __r=diff.candidate_regions(F.col("__w"), F.col("__s"), F.col("__ops")), words=F.col("__t.words"), punct=F.col("__t.punct")).drop("__ops")
     known = types.select(F.col("written").alias("__kw"), F.col("spoken").alias("__ks"), F.upper(F.trim("type")).alias("kind")).dropDuplicates(["__kw", "__ks"])
-    rows = df.select("id", "words", F.posexplode("__r").alias("no", "r")).withColumns({"__kw": forms.no_edges(F.col("r.written")), "__ks": F.lower(F.trim("r.spoken"))})
-    rows = rows.join(known, ["__kw", "__ks"], "left").withColumn("kind", F.coalesce("kind", F.lit("NONE")))
-    rows = rows.withColumn("out", norm.column(F.col("kind"), S.text_of(F.col("words"), F.col("r.start"), F.col("r.end"))))
-    differ = F.lower(forms.squeeze(F.col("r.written"))) != F.lower(forms.squeeze(F.col("r.spoken")))
-    bad = (
-        F.when(F.col("kind") == OUTSIDE, None).when(F.col("kind").isin("NONE", ""), F.when(differ, "NONE")).when(~F.col("kind").isin(L.TYPES), F.concat(F.lit("unknown type "), F.col("kind")))
-        .when(F.col("r.end") >= F.size("words"), "index").when(~is_verified(F.col("kind"), F.col("out"), F.col("r.written"), values=True), F.concat(F.lit("not confirmed "), F.col("kind")))
-    )
-    found = F.when(bad.isNull() & F.col("kind").isin(L.TYPES), span(F.col("r.start"), F.col("r.end"), F.col("kind")))
-    rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(found)).alias("spans"), F.array_sort(F.collect_list(F.when(bad.isNotNull(), F.struct("no", F.col("r.written").alias("written"), F.col("r.spoken").alias("spoken"), bad.alias("why"))))).alias("refused"))
-    df = df.drop("__w", "__s", "__r", "__t").withColumnRenamed("written", "written_source").join(rows, "id", "left")
-    df = df.withColumn("spans", S.without_overlaps(F.coalesce("spans", F.array().cast(SPANS))))
+    # a row a region for the answers only, which carries its sentence: regions are found once, and all of a sentence's are read in one call
+    df = df.drop("__w", "__s", "__t").withColumn("__row", F.monotonically_increasing_id())
+    rows = df.select("*", F.posexplode_outer("__r").alias("__no", "__x")).withColumns({"__kw": forms.no_edges(F.col("__x.written")), "__ks": F.lower(F.trim("__x.spoken"))}).drop("__x")
+    rows = rows.join(known, ["__kw", "__ks"], "left")
+    carried = [c for c in df.columns if c != "__row"]
+    answers = F.collect_list(F.when(F.col("__no").isNotNull(), F.struct("__no", F.coalesce("kind", F.lit("NONE")).alias("kind"))))
+    df = rows.groupBy("__row").agg(F.array_sort(answers).alias("__kinds"), F.first(F.struct(*carried)).alias("__own")).select("__own.*", F.transform("__kinds", lambda x: x["kind"]).alias("__kinds"))
+    df = S.settled(df, __texts=S.let(F.col("words"), lambda w: F.transform("__r", lambda r: S.text_of(w, r["start"], r["end"]))))
+    df = df.withColumn("__out", norm.columns(F.col("__kinds"), F.col("__texts")))
+
+    def answered(r: Column, kind: Column, out: Column, n: Column, no: Column) -> Column:
+        differ = F.lower(forms.squeeze(r["written"])) != F.lower(forms.squeeze(r["spoken"]))
+        bad = (
+            F.when(kind == OUTSIDE, None).when(kind.isin("NONE", ""), F.when(differ, "NONE")).when(~kind.isin(L.TYPES), F.concat(F.lit("unknown type "), kind))
+            .when(r["end"] >= n, "index").when(~is_verified(kind, out, r["written"], values=True), F.concat(F.lit("not confirmed "), kind))
+        )
+        return S.let(bad, lambda bad: F.struct(F.when(bad.isNull() & kind.isin(L.TYPES), span(r["start"], r["end"], kind)).alias("span"), F.when(bad.isNotNull(), F.struct(no.alias("no"), r["written"].alias("written"), r["spoken"].alias("spoken"), bad.alias("why"))).alias("refused")))
+
+    found = S.let(F.col("__kinds"), F.col("__out"), F.size("words"), lambda kinds, out, n: F.transform("__r", lambda r, i: answered(r, F.get(kinds, i), F.get(out, i), n, i)))
+    df = S.settled(df, __found=found).drop("__r", "__kinds", "__texts", "__out").withColumnRenamed("written", "written_source")
+    part = lambda name: F.filter(F.transform("__found", lambda x: x[name]), lambda x: x.isNotNull())
+    df = df.withColumns({"spans": S.without_overlaps(F.coalesce(F.array_sort(part("span")), F.array().cast(SPANS))), "refused": part("refused")}).drop("__found")
     early = F.when(F.lit(not keep_refused) & (F.size("refused") > 0), F.concat(F.lit("region without a type: "), F.get("refused", F.lit(0))["why"]))
     df = _through_gold(spark, df.withColumn("early", early).drop("spoken", "id"), norm, segment)
     return _sample(df, _pipeline_reason(), source=F.concat(F.lit("v1pair:"), F.coalesce("topic", F.lit("?"))))

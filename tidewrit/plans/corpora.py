@@ -224,9 +224,10 @@ def pairs(spark, sf_dir) -> DataFrame:
 def labels_from_answers(spark, sf_dir):
     """Regions with the types that a table of answers has for them: it lacks some shares and is wrong about others."""
     df = pairs(spark, sf_dir)
-    dates = df.select(day().alias("written"), F.col("date_said").alias("spoken"), F.lit("date").alias("type")).distinct()
-    share = (key() % 90 + 10).cast("string")
-    shares = df.where(key() % 90 + 10 < 70).select(F.concat(share, F.lit("%")).alias("written"), F.col("share_said").alias("spoken"), F.when(key() % 90 + 10 >= 50, "CARDINAL").otherwise("PERCENT").alias("type")).distinct()
+    # of each date and share once, before it is said
+    seen = pipeline.spread(table(spark, sf_dir, "orders").select("o_orderdate", (key() % 90 + 10).alias("share")))
+    dates = seen.select("o_orderdate").distinct().select(day().alias("written"), F.regexp_replace(V.date(F.col("o_orderdate")), "^ngày ", "").alias("spoken"), F.lit("date").alias("type")).distinct()
+    shares = seen.where("share < 70").select("share").distinct().select(F.concat(F.col("share").cast("string"), F.lit("%")).alias("written"), F.concat(V.number(F.col("share")), F.lit(" phần trăm")).alias("spoken"), F.when(F.col("share") >= 50, "CARDINAL").otherwise("PERCENT").alias("type"))
     return _kept(converters.from_typed_regions(spark, df.select("id", "written", "spoken", "topic"), dates.unionByName(shares), Normalization(spark)))
 
 
