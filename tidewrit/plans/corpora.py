@@ -216,7 +216,8 @@ def pairs_of_articles(spark, sf_dir):
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select(key().cast("string").alias("id"), key().cast("string").alias("topic"), sentence().alias("written"), spoken_sentence().alias("spoken"), "o_orderkey", "o_orderdate")
+    df = pipeline.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    df = df.select(key().cast("string").alias("id"), key().cast("string").alias("topic"), sentence().alias("written"), spoken_sentence().alias("spoken"), "o_orderkey", "o_orderdate")
     return S.settled(df, written=F.col("written"), spoken=F.col("spoken"), date_said=F.regexp_replace(V.date(F.col("o_orderdate")), "^ngày ", ""), share_said=F.concat(V.number(key() % 90 + 10), F.lit(" phần trăm")))
 
 

@@ -56,7 +56,8 @@ def number(n: Column) -> Column:
 
 
 def date(ts: Column) -> Column:
-    return F.concat_ws(" ", F.lit("ngày"), number(F.dayofmonth(ts)), F.lit("tháng"), number(F.month(ts)), F.lit("năm"), number(F.year(ts)))
+    small = lambda n: F.coalesce(_named(ALONE, n), F.lit(""))  # noqa: E731  below a hundred, one look-up
+    return F.concat_ws(" ", F.lit("ngày"), small(F.dayofmonth(ts)), F.lit("tháng"), small(F.month(ts)), F.lit("năm"), number(F.year(ts)))
 
 
 def time(ts: Column) -> Column:
