@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tidewrit.functions import catalogues
+from tidewrit.functions import catalogues, forms
 from tidewrit.functions.normalizers import Engine
 from tidewrit.operators import converters, metrics
+from tidewrit.operators import spans as S
 from tidewrit.operators.normalize import Normalization
+from tidewrit.plans import corpora
 
 
 def test_examples_of_words_in_rows(spark):
@@ -29,6 +31,30 @@ def test_dotted_addresses_with_twos_before_dots():
     assert {k: engine.normalize("ELECTRONIC", k)[0] for k in said} == said
 
 
+def test_records_of_one_small_file_reach_all_cores(spark):
+    """Orders come in one part, and reading them costs far more than moving them."""
+    for made in (corpora.orders, corpora.pairs):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tags_and_marks_without_accumulators(spark):
+    """Spans and words are found by places: nothing is copied at every step, so a long text costs no square of its length."""
+    n = 20_000
+    long = spark.range(1).select(F.array_repeat(F.lit("a"), n).alias("tokens"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 2 == 0, "I-DATE").otherwise("B-DATE")).alias("tags"))
+    out = long.select(S.bio_spans(F.col("tags")).alias("s"), converters.stripped(F.col("tokens"), F.col("tags")).alias("m"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" not in plan
+    assert out.select(F.size("s"), F.size("m.words"), F.size("m.punct")).first() == (n // 2, n, n)
+    odd = [(None, None, True), ([], [], True), (["B-A", "I-A", "O", "B-B", "I-A"], None, True), (["I-A", "I-B", "O", "X", "I-C", None, "I-A"], [(0, 1, "A"), (3, 4, ""), (5, 5, None), (6, 6, "A")], False), (["B-A", None], None, True), (["B-A", "B-A", "I-A"], [(0, 0, "A"), (1, 2, "A")], True)]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(odd)], "i int, t array<string>").select("i", S.bio_spans(F.col("t")).alias("strict"), S.bio_spans(F.col("t"), strict=False).alias("lenient"))
+    for r in df.orderBy("i").collect():
+        got = r["strict"] if odd[r["i"]][2] else r["lenient"]
+        assert (got and [tuple(s) for s in got]) == odd[r["i"]][1], r
+    marks = {k: v for k, v in forms.MARKS.items() if k != ":"}
+    df = spark.createDataFrame([([",", "A", ".", "?", ":", "b", "!"],), ([".", ","],), ([],)], "t array<string>").select(converters.labels_behind(converters.mark_letters(F.col("t"), marks), marks).alias("p"))
+    assert [r["p"] for r in df.collect()] == [["QUESTION", "O", "PERIOD"], [], []]
+
+
 def test_pairs_with_one_id_keep_their_own_regions(spark):
     """Regions of pairs that share an id, or have none, are not mixed."""
     said = {"có 12 tấn": "có mười hai tấn", "còn lại 7 tấn": "còn lại bảy tấn", "hết": "hết"}

@@ -63,7 +63,7 @@ def unknown_type(spans: Column) -> Column:
 
 
 def has_digit(words: Column) -> Column:
-    return F.exists(words, lambda w: w.rlike(r"\p{Nd}"))
+    return F.array_join(words, " ").rlike(r"\p{Nd}")
 
 
 def known_punct(punct: Column) -> Column:
@@ -113,21 +113,33 @@ def _pipeline_reason(detail: bool = True) -> Column:
 # --- bundles -----------------------------------------------------------------------------------------------------------
 
 
+def mark_letters(tokens: Column, marks: dict[str, str], first: bool = True) -> Column:
+    """A text with a letter a token: w for words, another for each label of a mark. first: whether the first token may be one."""
+    labels = list(dict.fromkeys(marks.values()))
+    codes = F.create_map(*(F.lit(x) for k, v in marks.items() for x in (k, str(labels.index(v)))))
+    code = lambda t: F.coalesce(F.try_element_at(codes, t), F.lit("w"))
+    return F.array_join(F.transform(tokens, code if first else lambda t, i: F.when(i == 0, "w").otherwise(code(t))), "")
+
+
+def labels_behind(letters: Column, marks: dict[str, str]) -> Column:
+    """The label of each word of mark_letters(): that of the last of the marks behind it, in passes over the letters."""
+    names = F.regexp_replace(F.regexp_replace(letters, "^[^w]+", ""), "w[^w]*([^w])", "$1")
+    for letter, name in [("w", "O"), *((str(i), v) for i, v in enumerate(dict.fromkeys(marks.values())))]:
+        names = F.replace(names, F.lit(letter), F.lit(name + " "))
+    return F.when(F.contains(letters, F.lit("w")), F.split(F.rtrim(names), " ")).when(letters.isNotNull(), F.array().cast("array<string>"))
+
+
 def stripped(tokens: Column, tags: Column) -> Column:
     """struct(words, punct, tags): tokens that are marks become the label of the word before them, the last of several; the
     leading ones go."""
-    marks = F.create_map(*(F.lit(x) for k, v in forms.MARKS.items() if k != ":" for x in (k, v)))
-    none = F.array().cast("array<string>")
+    marks = {k: v for k, v in forms.MARKS.items() if k != ":"}
+    pairs = F.arrays_zip(tokens.alias("t"), tags.alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        label, n = F.try_element_at(marks, x["t"]), F.size(acc["words"])
-        moved = F.concat(F.slice(acc["punct"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(label))
-        mark = F.struct(acc["words"].alias("words"), F.when(n > 0, moved).otherwise(acc["punct"]).alias("punct"), acc["tags"].alias("tags"))
-        word = F.struct(F.concat(acc["words"], F.array(F.lower(x["t"]))).alias("words"), F.concat(acc["punct"], F.array(F.lit("O"))).alias("punct"), F.concat(acc["tags"], F.array(x["g"])).alias("tags"))
-        return F.when(label.isNotNull(), mark).otherwise(word)
+    def parts(words: Column) -> Column:
+        lower = F.transform(words["t"], lambda t: F.lower(F.coalesce(t, F.lit(""))))
+        return F.struct(lower.alias("words"), labels_behind(mark_letters(tokens, marks), marks).alias("punct"), F.transform(words["g"], lambda g: F.coalesce(g, F.lit("O"))).alias("tags"))
 
-    pairs = F.zip_with(tokens, tags, lambda t, g: F.struct(F.coalesce(t, F.lit("")).alias("t"), F.coalesce(g, F.lit("O")).alias("g")))
-    return F.aggregate(pairs, F.struct(none.alias("words"), none.alias("punct"), none.alias("tags")), step)
+    return S.let(F.filter(pairs, lambda p: ~F.coalesce(p["t"].isin(list(marks)), F.lit(False))), parts)
 
 
 def bundle_layout(df: DataFrame) -> DataFrame:

@@ -94,22 +94,26 @@ def _runs(labels: Column) -> Column:
 def bio_spans(tags: Column, strict: bool = True) -> Column:
     """Spans of B-TYPE and I-TYPE tags. Strict: null if an I does not go on with an open span of its type; else it extends
     whatever is open, or begins one."""
+    return let(tags, lambda t: _bio_spans(t, strict))
+
+
+def _bio_spans(tags: Column, strict: bool) -> Column:
     kind = lambda t: F.substring(t, 3, 1000)
-    none = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        t, i, spans = x["t"], x["i"], acc["spans"]
-        last = F.try_element_at(spans, F.lit(-1))
-        goes_on = t.startswith("I-") & acc["open"] & ((kind(t) == last["type"]) if strict else F.lit(True))
-        new = F.array(F.struct(i.cast("int").alias("start"), i.cast("int").alias("end"), kind(t).alias("type")))
-        longer = F.concat(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), i.cast("int").alias("end"), last["type"].alias("type"))))
-        out = F.when(goes_on, longer).when(t == "O", spans).otherwise(F.concat(spans, new))
-        bad = t.startswith("I-") & ~goes_on if strict else F.lit(False)
-        return F.struct(out.alias("spans"), (t != "O").alias("open"), (acc["ok"] & ~bad).alias("ok"))
+    def goes_on(t: Column, before: Column) -> Column:
+        """An I behind anything but O; strict: of the same type. A null tag is no O, and nothing goes on behind it."""
+        return F.coalesce(t.startswith("I-") & (before != "O") & ((kind(t) == kind(before)) if strict else F.lit(True)), F.lit(False))
 
-    numbered = F.transform(tags, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    start = F.struct(none.alias("spans"), F.lit(False).alias("open"), F.lit(True).alias("ok"))
-    return F.aggregate(numbered, start, step, lambda a: F.when(a["ok"], a["spans"]))
+    # the places where nothing goes on, and the end: a span is from one to the next, without an accumulator copied at every step
+    places = F.filter(F.sequence(F.lit(0), F.size(tags)), lambda i: ~goes_on(F.get(tags, i), F.get(tags, i - 1)))
+
+    def found(places: Column) -> Column:
+        one = lambda i, then: F.when(then.isNotNull() & F.coalesce(F.get(tags, i) != "O", F.lit(True)), F.struct(i.alias("start"), (then - 1).alias("end"), kind(F.get(tags, i)).alias("type")))
+        spans = F.filter(F.zip_with(places, F.slice(places, F.lit(2), F.size(tags) + 1), one), lambda s: s.isNotNull())
+        alone = F.exists(F.slice(places, F.lit(1), F.size(places) - 1), lambda i: F.get(tags, i).startswith("I-"))
+        return F.when(~alone, spans) if strict else spans
+
+    return F.when(tags.isNotNull(), let(places, found))
 
 
 def text_of(words: Column, start: Column, end: Column) -> Column:
