@@ -55,6 +55,12 @@ def test_tags_and_marks_without_accumulators(spark):
     assert [r["p"] for r in df.collect()] == [["QUESTION", "O", "PERIOD"], [], []]
 
 
+def test_null_tokens_of_split_bundles_keep_their_places(spark):
+    rows = spark.createDataFrame([("a", "train", ["còn", None, "ba", "."], ["O", "O", "B-CARDINAL", "O"], "x")], "id string, split string, tokens array<string>, bio_tags array<string>, normalized_text string")
+    got = converters.from_split_bundle(rows).first()
+    assert (got["words"], got["punct"], got["spans"]) == (["còn", "", "ba"], ["O", "O", "PERIOD"], [(2, 2, "CARDINAL")])
+
+
 def test_pairs_with_one_id_keep_their_own_regions(spark):
     """Regions of pairs that share an id, or have none, are not mixed."""
     said = {"có 12 tấn": "có mười hai tấn", "còn lại 7 tấn": "còn lại bảy tấn", "hết": "hết"}

@@ -202,26 +202,18 @@ def from_bundle(spark: SparkSession, records: DataFrame, norm: Normalization | N
 def from_split_bundle(records: DataFrame) -> DataFrame:
     """BIO bundles with a declared split (sources.readers.read_bundle), read leniently; spans move with the words as marks
     go. The split is part of the source."""
-    marks = [m for m in forms.MARKS]
-    is_mark = lambda t, i: t.isin(marks) & (i > 0)  # noqa: E731  a first mark has no word before it and stays one
+    all_marks = "".join(str(i) for i in range(len(set(forms.MARKS.values()))))
 
-    def moved(tokens: Column, tags: Column) -> Column:
-        place = lambda i: i - F.size(F.filter(F.slice(tokens, F.lit(1), i), lambda t, j: is_mark(t, j)))
-        at = lambda i: F.when(~is_mark(F.get(tokens, i), i), place(i))
+    def moved(letters: Column, tags: Column) -> Column:
+        """Each end by the words before it; null on a mark."""
+        at = lambda i: F.when(F.substr(letters, i + 1, F.lit(1)) == "w", F.length(F.translate(F.substr(letters, F.lit(1), i), all_marks, "")))
         return F.transform(S.bio_spans(tags, strict=False), lambda s: span(at(s["start"]), at(s["end"]), s["type"]))
 
-    kept = lambda tokens: F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: ~is_mark(x["t"], x["i"]))
-    names = F.create_map(*(F.lit(x) for k, v in forms.MARKS.items() for x in (k, v)))
-
-    def label(tokens: Column, i: Column) -> Column:
-        behind = F.slice(tokens, i + 2, F.size(tokens))
-        n = F.array_position(F.transform(behind, lambda t: ~t.isin(marks)), True)
-        run = F.when(n > 0, F.slice(behind, F.lit(1), (n - 1).cast("int"))).otherwise(behind)
-        return F.coalesce(F.try_element_at(names, F.try_element_at(run, F.lit(-1))), F.lit("O"))
-
-    df = records.withColumnRenamed("id", "record")
-    parts = S.let(F.col("tokens"), lambda t: F.struct(F.transform(kept(t), lambda x: F.lower(x["t"])).alias("words"), F.transform(kept(t), lambda x: label(t, x["i"])).alias("punct")))
-    df = df.withColumn("__p", parts).withColumns({"words": F.col("__p.words"), "punct": F.col("__p.punct"), "spans": F.array_sort(S.let(F.col("tokens"), F.col("bio_tags"), moved))})
+    # a first mark has no word before it and stays one
+    df = S.settled(records.withColumnRenamed("id", "record"), __letters=mark_letters(F.col("tokens"), forms.MARKS, first=False))
+    words = F.filter(F.col("tokens"), lambda t, i: (i == 0) | ~F.coalesce(t.isin(list(forms.MARKS)), F.lit(False)))
+    df = df.withColumns({"words": F.transform(words, lambda t: F.lower(F.coalesce(t, F.lit("")))), "punct": labels_behind(F.col("__letters"), forms.MARKS)})
+    df = df.withColumn("spans", F.array_sort(S.let(F.col("__letters"), F.col("bio_tags"), moved))).drop("__letters")
     bad = first_reason(F.col("spans"), lambda s: F.when(~s["type"].isin(L.TYPES), F.concat(F.lit("unknown type: "), s["type"])).when(s["start"].isNull() | s["end"].isNull(), "span over a mark"))
     early = F.coalesce(F.when(~(F.size("tokens") == F.size("bio_tags")) | F.col("tokens").isNull() | F.col("bio_tags").isNull(), "lengths differ"), bad)
     df = df.withColumns({"early": early, "written": F.col("normalized_text"), "written_source": F.col("normalized_text")})
